@@ -24,34 +24,50 @@ def spread(df: DataFrame, factor: int = 3) -> DataFrame:
     return df.repartition(cores * factor) if df.rdd.getNumPartitions() < cores else df
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> (doc_id, repo, path, content, size)."""
+def with_sample(df: DataFrame, key, text) -> DataFrame:
+    """Add columns ext and content: the row's text plus its code sample."""
     items = samples()
     pick = constant_table(
         [dict(ext=e, head=h, n=n, upper=u, tail=t) for e, h, n, u, t in items],
         "array<struct<ext string, head string, n int, upper boolean, tail string>>",
     )
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
-    docs = docs.withColumn("s", F.element_at(pick, (F.col("doc_id") % len(items) + 1).cast("int")))
-    digest = F.repeat(F.md5(F.col("doc_id").cast("string")), 4)
+    df = df.withColumn("s", F.element_at(pick, (key % len(items) + 1).cast("int")))
+    digest = F.repeat(F.md5(key.cast("string")), 4)
     token = F.substring(F.when(F.col("s.upper"), F.upper(digest)).otherwise(digest), F.lit(1), F.col("s.n"))
-    content = F.concat(F.col("text"), F.lit("\n"), F.col("s.head"), token, F.col("s.tail"))
+    return df.withColumns(
+        {"ext": F.col("s.ext"), "content": F.concat(text, F.lit("\n"), F.col("s.head"), token, F.col("s.tail"))}
+    ).drop("s")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> (doc_id, repo, path, content, size)."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    docs = with_sample(docs, F.col("doc_id"), F.col("text"))
     return docs.select(
         "doc_id",
         F.col("source").alias("repo"),
-        F.concat("source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id").cast("string"), F.col("s.ext")).alias("path"),
-        content.alias("content"),
+        F.concat("source", F.lit("/"), "lang", F.lit("/d"), F.col("doc_id").cast("string"), F.col("ext")).alias("path"),
+        "content",
     ).withColumn("size", F.length("content").cast("bigint"))
 
 
 def web_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages -> (repo, path, content, size): the markup of every page."""
+    """pages -> (repo, path, content): the markup of every page plus a sample."""
     pages = spread(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return pages.select(
+    return with_sample(pages, F.col("page_id") * 3, F.col("html")).select(
         F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("repo"),
         F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"),
-        F.col("html").alias("content"),
-        F.length("html").cast("bigint").alias("size"),
+        "content",
+    )
+
+
+def pasted_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations -> (repo, path, content): one pasted snippet per turn."""
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return with_sample(c, F.col("conv_id") * 5 + F.col("turn"), F.col("text")).select(
+        F.col("role").alias("repo"),
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"), F.lit(".js")).alias("path"),
+        "content",
     )
 
 
