@@ -216,19 +216,16 @@ def audit_digest(findings: DataFrame, n: int = 100, tie: str = "seq") -> DataFra
 
 
 def context_excerpt(findings: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Findings with the numbered lines around them.
-
-    Only the matched files are split into lines, once per file, before the join.
-    """
+    """Numbered lines around findings that come from elsewhere (joins the corpus;
+    ``scan(..., excerpt=True)`` gives the same without a join)."""
     from .lines import excerpt
     from ..functions.text import lines_of
 
     wanted = findings.groupBy("repo", "file_path").agg(F.collect_set("line").alias("wanted"))
     files = corpus.select("repo", F.col("path").alias("file_path"), lines_of(F.col("content")).alias("_l"))
-    parts = files.join(wanted, ["repo", "file_path"]).select(
-        "repo", "file_path", "_l", F.explode("wanted").alias("line")
-    )
-    return parts.select("repo", "file_path", "line", excerpt(F.col("_l"), F.col("line")).alias("excerpt"))
+    cut = F.transform("wanted", lambda n: F.struct(n.alias("line"), excerpt(F.col("_l"), n).alias("excerpt")))
+    parts = files.join(wanted, ["repo", "file_path"]).select("repo", "file_path", F.explode(cut).alias("x"))
+    return parts.select("repo", "file_path", "x.line", "x.excerpt")
 
 
 def apply_verdicts(findings: DataFrame, verdicts: DataFrame, key: str = "seq") -> DataFrame:

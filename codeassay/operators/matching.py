@@ -106,10 +106,16 @@ class Compiled:
 
 
 def findings_of(
-    lines: DataFrame, emissions: list[Emission], *, config: dict | None = None, dedup: bool = False, keep: tuple = ()
+    lines: DataFrame, emissions: list[Emission], *, config: dict | None = None, dedup: bool = False, keep: tuple = (),
+    excerpt: bool = False,
 ) -> DataFrame:
     """Candidate lines -> findings, all of them or one per line."""
     compiled = Compiled(emissions, config)
+    if excerpt:
+        near = F.concat("before", F.slice("after", 1, 6))
+        first = F.col("line_no") - F.size("before")
+        text = F.array_join(F.transform(near, lambda t, i: F.concat((first + i).cast("string"), F.lit(": "), t)), "\n")
+        lines, keep = lines.withColumn("excerpt", text), (*keep, "excerpt")
     if dedup:
         hits = lines.withColumn("_h", compiled.best_hit()).filter(F.col("_h").isNotNull())
     else:

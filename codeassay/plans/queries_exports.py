@@ -213,6 +213,12 @@ def sbom_components(spark, sf):
     SELECT repo, path AS file_path, line_no AS line, excerpt FROM w WHERE language <> 'x' AND regexp_matches(text, '\\beval\\s*\\(\\s*[^"''`\\d)]') AND path NOT LIKE '%.py'""".replace("language <> 'x' AND ", ""),
 )
 def context_excerpt(spark, sf):
+    f = scan(d.corpus(spark, sf), detectors=(23,), declarative=False, secrets=False, excerpt=True)
+    return f.filter(~F.col("file_path").endswith(".py")).select("repo", "file_path", "line", "excerpt")
+
+
+@query("context_excerpt_join", ORACLE["context_excerpt"])
+def context_excerpt_join(spark, sf):
     c = d.corpus(spark, sf)
     f = scan(c, detectors=(23,), declarative=False, secrets=False).filter(~F.col("file_path").endswith(".py"))
     return ex.context_excerpt(f, c)
@@ -279,7 +285,17 @@ def cache_upsert(spark, sf):
 @query(
     "cache_live_entries",
     f"""{F_}, {KEYS}, c AS (SELECT explain_key AS cache_key, max(created_at) AS t FROM keys WHERE line = 1 GROUP BY 1)
-    SELECT cache_key FROM c WHERE epoch_ms(TIMESTAMP '2001-10-01 00:00:00') - epoch_ms(t) < 604800000 * 26""",
+    SELECT cache_key FROM c WHERE epoch_ms(TIMESTAMP '2001-10-01 00:00:00') - epoch_ms(t) < 15724800000""",
 )
 def cache_live_entries(spark, sf):
     return ex.live_entries(_cache(spark, sf), F.to_timestamp(F.lit("2001-10-01 00:00:00")), 604_800 * 26).select("cache_key")
+
+
+@query(
+    "cache_live_newest",
+    f"""{F_}, {KEYS}, c AS (SELECT explain_key AS cache_key, max(created_at) AS t FROM keys WHERE line = 1 GROUP BY 1)
+    SELECT cache_key FROM c WHERE epoch_ms(TIMESTAMP '2001-10-01 00:00:00') - epoch_ms(t) < 15724800000 ORDER BY t DESC, cache_key LIMIT 5000""",
+)
+def cache_live_newest(spark, sf):
+    as_of = F.to_timestamp(F.lit("2001-10-01 00:00:00"))
+    return ex.live_entries(_cache(spark, sf), as_of, 604_800 * 26, capacity=5000).select("cache_key")

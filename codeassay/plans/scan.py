@@ -33,12 +33,14 @@ def scan(
     extra_rules=(),
     dedup: bool = True,
     keep: tuple = (),
+    excerpt: bool = False,
 ) -> DataFrame:
     """Scan (repo, path, content) rows.
 
     ``detectors`` restricts the hand-written detectors to some numbers (``()``
     switches them off); ``extra_rules`` adds declarative rules at the end of
-    the catalog.  The job has no shuffle.
+    the catalog; ``excerpt`` adds the numbered lines around a finding.  The job
+    has no shuffle.
     """
     numbers = None if detectors is None else tuple(detectors)
     code = numbers is None or len(numbers) > 0
@@ -52,13 +54,13 @@ def scan(
         with_language(corpus),
         code=code or declarative or bool(extra_rules),
         secrets=secrets,
-        context=code or declarative or bool(extra_rules),
+        context=code or declarative or bool(extra_rules) or excerpt,
         taint=code,
         templates=mode == "confirm" and (numbers is None or 2 in numbers),
         file_rule=_file_rule() if declarative else None,
         keep=keep,
     )
-    return findings_of(lines, emissions, config=config, dedup=dedup, keep=keep)
+    return findings_of(lines, emissions, config=config, dedup=dedup, keep=keep, excerpt=excerpt)
 
 
 def run_code_rule(corpus: DataFrame, rule) -> DataFrame:
