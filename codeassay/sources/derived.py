@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The same table as a stream of arriving files."""
+    schema = table(spark, sf_dir, name).schema
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(sf_dir)
+
+
 def spread(df: DataFrame, factor: int = 3) -> DataFrame:
     """Even out a source that arrives in fewer splits than there are cores.
 
@@ -39,9 +48,10 @@ def with_sample(df: DataFrame, key, text) -> DataFrame:
     ).drop("s")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents -> (doc_id, repo, path, content, size)."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+def corpus(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """documents (or a stream of them) -> (doc_id, repo, path, content, size)."""
+    if docs is None:
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     docs = with_sample(docs, F.col("doc_id"), F.col("text"))
     return docs.select(
         "doc_id",
