@@ -328,5 +328,5 @@ def cache_upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def live_entries(cache: DataFrame, as_of: Column, ttl_seconds: int, capacity: int | None = None) -> DataFrame:
     """Entries younger than the limit; with a capacity, the newest ones of those."""
-    live = cache.filter(F.unix_millis(as_of.cast("timestamp")) - F.unix_millis(F.col("created_at").cast("timestamp")) < ttl_seconds * 1000)
+    live = cache.filter(F.unix_millis(as_of.cast("timestamp")) - F.unix_millis(F.col("created_at").cast("timestamp")) <= ttl_seconds * 1000)
     return live if capacity is None else live.orderBy(F.desc("created_at"), "cache_key").limit(capacity)

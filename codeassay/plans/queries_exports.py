@@ -285,7 +285,7 @@ def cache_upsert(spark, sf):
 @query(
     "cache_live_entries",
     f"""{F_}, {KEYS}, c AS (SELECT explain_key AS cache_key, max(created_at) AS t FROM keys WHERE line = 1 GROUP BY 1)
-    SELECT cache_key FROM c WHERE epoch_ms(TIMESTAMP '2001-10-01 00:00:00') - epoch_ms(t) < 15724800000""",
+    SELECT cache_key FROM c WHERE epoch_ms(TIMESTAMP '2001-10-01 00:00:00') - epoch_ms(t) <= 15724800000""",
 )
 def cache_live_entries(spark, sf):
     return ex.live_entries(_cache(spark, sf), F.to_timestamp(F.lit("2001-10-01 00:00:00")), 604_800 * 26).select("cache_key")
@@ -294,7 +294,7 @@ def cache_live_entries(spark, sf):
 @query(
     "cache_live_newest",
     f"""{F_}, {KEYS}, c AS (SELECT explain_key AS cache_key, max(created_at) AS t FROM keys WHERE line = 1 GROUP BY 1)
-    SELECT cache_key FROM c WHERE epoch_ms(TIMESTAMP '2001-10-01 00:00:00') - epoch_ms(t) < 15724800000 ORDER BY t DESC, cache_key LIMIT 5000""",
+    SELECT cache_key FROM c WHERE epoch_ms(TIMESTAMP '2001-10-01 00:00:00') - epoch_ms(t) <= 15724800000 ORDER BY t DESC, cache_key LIMIT 5000""",
 )
 def cache_live_newest(spark, sf):
     as_of = F.to_timestamp(F.lit("2001-10-01 00:00:00"))

@@ -79,7 +79,7 @@ def debounced_edits(spark, sf):
     return ev.debounce(e, "6 hours")
 
 
-QUOTA_SQL = """WITH RECURSIVE o AS (SELECT user_id AS k, event_id AS id, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+QUOTA_SQL = """WITH RECURSIVE o AS (SELECT user_id AS k, event_id AS id, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
   r(k, id, n, t, mn, me, dn, de, ok, wait) AS (
     SELECT k, id, n, t, 1, t + 60000, 1, t + 86400000, true, CAST(NULL AS BIGINT) FROM o WHERE n = 1
     UNION ALL
@@ -116,7 +116,7 @@ def quota_fixed_window_tight(spark, sf):
 
 @query(
     "quota_sliding_window",
-    """WITH w AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 172799999 PRECEDING AND CURRENT ROW) AS n FROM events)
+    """WITH w AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000) RANGE BETWEEN 172799999 PRECEDING AND CURRENT ROW) AS n FROM events)
     SELECT CAST(user_id AS VARCHAR) AS key, event_id AS request_id, n AS in_window, n > CASE WHEN user_id % 4 = 0 THEN 20 ELSE 5 END AS rejected FROM w""",
 )
 def quota_sliding_window(spark, sf):
@@ -135,7 +135,7 @@ def _status_events(e):
 
 @query(
     "scan_lifecycle",
-    """WITH e AS (SELECT event_id // 4 AS scan_id, event_id, ['pending', 'running', 'completed', 'failed', 'running'][event_id * 7 % 5 + 1] AS status, epoch_ms(ts) AS t FROM events),
+    """WITH e AS (SELECT event_id // 4 AS scan_id, event_id, ['pending', 'running', 'completed', 'failed', 'running'][event_id * 7 % 5 + 1] AS status, (epoch_us(ts) // 1000) AS t FROM events),
     r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY CASE status WHEN 'pending' THEN 2 WHEN 'running' THEN 1 ELSE 0 END, t, event_id) AS rn FROM e)
     SELECT r.scan_id, status, t AS since_ms, s.started AS started_ms FROM r
     LEFT JOIN (SELECT scan_id, min(t) AS started FROM e WHERE status = 'running' GROUP BY 1) s USING (scan_id) WHERE rn = 1""",
@@ -165,7 +165,7 @@ def daily_trend_stream(spark, sf):
     return run_available(ev.daily_counts(e), "daily")
 
 
-# these depend on arrival order and watermarks, so SQL has no counterpart
+# timeouts depend on the watermark, so SQL has no counterpart
 @query("scan_lifecycle_stream")
 def scan_lifecycle_stream(spark, sf):
     return run_available(ev.lifecycle_stream(_status_events(d.table_stream(spark, sf, "events"))), "lifecycle")
@@ -182,12 +182,22 @@ def completion_notices_stream(spark, sf):
     return run_available(ev.completion_notices(transitions), "notices")
 
 
-@query("first_lookups_stream")
-def first_lookups_stream(spark, sf):
-    e = d.table_stream(spark, sf, "events").select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return run_available(ev.first_lookups(e), "lookups")
+@query(
+    "cached_lookups_stream",
+    """WITH RECURSIVE o AS (SELECT user_id AS k, event_id AS id, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r(k, id, n, put, hit) AS (SELECT k, id, n, t, false FROM o WHERE n = 1
+      UNION ALL SELECT o.k, o.id, o.n, CASE WHEN o.t - r.put > 21600000 THEN o.t ELSE r.put END, o.t - r.put <= 21600000 FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1)
+    SELECT CAST(k AS VARCHAR) AS key, id AS request_id, hit FROM r""",
+)
+def cached_lookups_stream(spark, sf):
+    return run_available(ev.cached_lookups(_requests(spark, sf, True), ttl_seconds=21_600), "lookups").select("key", "request_id", "hit")
 
 
-@query("quota_sliding_window_stream")
+@query(
+    "quota_sliding_window_stream",
+    """WITH x AS (SELECT user_id, ts, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events)
+    SELECT CAST(user_id AS VARCHAR) AS key, w AS window_start, count(*) AS n FROM x GROUP BY 1, 2
+    HAVING count(*) > 5 AND w + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events)""",
+)
 def quota_sliding_window_stream(spark, sf):
-    return run_available(ev.sliding_quota_stream(_requests(spark, sf, True)), "sliding")
+    return run_available(ev.sliding_quota_stream(_requests(spark, sf, True), window="2 days", slide="1 day"), "sliding")

@@ -107,11 +107,13 @@ def sliding_quota(requests: DataFrame, seconds: int = reg.SLIDING_SECONDS) -> Da
     )
 
 
-def sliding_quota_stream(requests: DataFrame, watermark: str = "5 minutes") -> DataFrame:
-    """Approximation on a stream: requests per key in overlapping one-minute windows."""
+def sliding_quota_stream(
+    requests: DataFrame, window: str = f"{reg.SLIDING_SECONDS} seconds", slide: str = "10 seconds", watermark: str = "5 minutes"
+) -> DataFrame:
+    """Approximation on a stream: keys over the limit in overlapping windows."""
     return (
         requests.withWatermark("ts", watermark)
-        .groupBy("key", F.window("ts", f"{reg.SLIDING_SECONDS} seconds", "10 seconds").alias("w"))
+        .groupBy("key", F.window("ts", window, slide).alias("w"))
         .agg(F.count("*").alias("n"))
         .filter(F.col("n") > reg.SLIDING_ANON)
         .select("key", F.col("w.start").alias("window_start"), "n")
@@ -119,8 +121,37 @@ def sliding_quota_stream(requests: DataFrame, watermark: str = "5 minutes") -> D
 
 
 # ------------------------------------------------------------ cached look-ups
-def first_lookups(lookups: DataFrame, ttl: str = "5 minutes") -> DataFrame:
-    """Suppress repeats of a key while its entry is fresh (stream)."""
+LOOKUP_OUT = "key string, request_id bigint, ts_ms bigint, hit boolean"
+
+
+def cached_lookups(lookups: DataFrame, ttl_seconds: int = 300) -> DataFrame:
+    """Hit or miss per look-up of a keyed cache whose entries live for a fixed time.
+
+    (key, request_id, ts) stream; the state of a key is the time its entry was
+    stored.  A miss stores the entry anew.
+    """
+    ttl = ttl_seconds * 1000
+
+    def step(key, frames, state: GroupState):
+        rows = pd.concat(list(frames)).sort_values(["ts_ms", "request_id"])
+        put = state.get[0] if state.exists else None
+        hits = []
+        for now in rows["ts_ms"].tolist():
+            hit = put is not None and now - put <= ttl
+            if not hit:
+                put = now
+            hits.append(hit)
+        state.update((put,))
+        yield pd.DataFrame(
+            {"key": key[0], "request_id": rows["request_id"].to_numpy(), "ts_ms": rows["ts_ms"].to_numpy(), "hit": hits}
+        )
+
+    keyed = lookups.select("key", "request_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
+    return keyed.groupBy("key").applyInPandasWithState(step, LOOKUP_OUT, "put bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def distinct_lookups(lookups: DataFrame, ttl: str = "5 minutes") -> DataFrame:
+    """The built-in form: drop repeats of a key that arrive within the watermark."""
     return lookups.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
 
 
