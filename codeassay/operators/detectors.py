@@ -129,8 +129,44 @@ def _added_unsafe(category: str) -> Column:
     )
 
 
-def _make(no, languages, condition, outcomes, *, column=None, confirmed=False):
+#: literals of which a line must contain at least one, by detector and language
+#: group; implied by the patterns, and much cheaper than they are
+ANCHORS = {
+    (2, "js"): ("query", "exec", "raw"),
+    (2, "py"): ("execute",),
+    (3, "js"): (".innerHTML", "document.write", ".outerHTML", "dangerouslySetInnerHTML", "res.send"),
+    (3, "py"): ("return", "make_response", "Response", "mark_safe"),
+    (5, "all"): ("File", "Stream", "open", "path.", "exec", "spawn", "os.system", "subprocess."),
+    (6, "js"): ("redirect", "location"),
+    (7, "js"): ("jwt.sign",),
+    (9, "js"): ("Function",),
+    (10, "js"): ("__proto__", "Object.assign", ".prototype", "for", "merge"),
+    (11, "js"): ("find", "deleteMany", "updateMany", "aggregate"),
+    (12, "js"): ("fetch", "axios", "http", "got(", "request("),
+    (12, "py"): ("requests.", "urllib.", "httpx."),
+    (13, "js"): (".cookie",),
+    (14, "js"): ("Access-Control", "origin", "cors"),
+    (15, "all"): (")+", ")*"),
+    (16, "js"): (".send", ".json"),
+    (17, "js"): ("rejectUnauthorized", "NODE_TLS_REJECT"),
+    (18, "js"): ("==", "!="),
+    (19, "js"): ("debugger",),
+    (20, "all"): ("unserialize", "pickle.", "yaml.load", "ObjectInputStream", "readObject"),
+    (21, "js"): ("File", "Stream", "open", "access", "stat", "unlink", "dir", "path."),
+    (21, "py"): ("open",),
+    (22, "js"): ("exec", "spawn", "fork"),
+    (22, "py"): ("os.", "subprocess."),
+    (23, "js"): ("eval",),
+    (23, "py"): ("eval", "exec"),
+}
+
+
+def _make(no, languages, condition, outcomes, *, column=None, confirmed=False, anchored=True):
     name, _, cwe, owasp, advice = cat.META[no]
+    group = "all" if len(languages) == 3 else ("py" if languages == ("python",) else "js")
+    literals = ANCHORS.get((no, group)) if anchored else None
+    if literals:
+        condition = _any([_text().contains(a) for a in literals]) & condition
     return Emission(
         rule_id=f"SG-{no:03d}", name=name, cwe=cwe, owasp=owasp, suggestion=advice,
         languages=languages, condition=condition, outcomes=outcomes, column_pattern=column, confirmed=confirmed,
@@ -150,7 +186,9 @@ def _one(no: int, message: str | None = None, confidence: str = "high"):
 
 # ------------------------------------------------------------------ detectors
 def _secrets_001(c):
-    hit = _any([rx(_text(), p) for p in cat.SECRET_SHAPES])
+    tokens = _any([_text().contains(a) for a in ("AKIA", "gh", "sk_live_")]) & _any([rx(_text(), p) for p in cat.SECRET_SHAPES[:3]])
+    assigned = _text().rlike(GATE_ASSIGN) & _any([rx(_text(), p) for p in cat.SECRET_SHAPES[3:]])
+    hit = tokens | assigned
     return [_make(1, ALL_LANGUAGES, hit & ~_text().rlike(cat.SECRET_ENV) & ~_text().rlike(cat.SECRET_PLACEHOLDER), _one(1))]
 
 
@@ -171,7 +209,7 @@ def _sql_002(c):
         per_line = _any([e.condition for e in found])
         found.append(
             _make(2, JS_TS, F.col("template_start") & ~per_line,
-                  [Outcome("critical", "high", "SQL injection: template over several lines")], confirmed=True)
+                  [Outcome("critical", "high", "SQL injection: template over several lines")], confirmed=True, anchored=False)
         )
     skip = rx(_text(), cat.SQL_PY_BOUND) | (rx(_text(), cat.SQL_PY_STATIC) & ~_text().contains("%s"))
     inline = _any([rx(_text(), p) for p in cat.SQL_PY_INLINE])
@@ -205,8 +243,9 @@ def _xss_003(c):
     }
     confirm["outerHTML assignment"] = confirm["innerHTML assignment"]
     found = []
+    literal = dict(zip((label for label, _ in cat.XSS_JS), (".innerHTML", "document.write", ".outerHTML", "dangerouslySetInnerHTML", "res.send", "res.send")))
     for label, pattern in cat.XSS_JS:
-        cond = rx(_text(), pattern)
+        cond = _text().contains(literal[label]) & rx(_text(), pattern)
         if c:
             cond = cond & confirm[label]
         found.append(_make(3, JS_TS, cond, _nearby("xss", "warning", f"XSS: {label}"), confirmed=c))
@@ -235,8 +274,13 @@ def _crypto_004(c):
         "Math.random": rx(_text(), r"\bMath\.random\s*\("),
     }
     found = []
+    low = F.lower(_text())
+    literal = {
+        "MD5": low.contains("md5"), "SHA1": low.contains("sha1"), "Math.random": _text().contains("Math.random"),
+        "Weak cipher": low.contains("des") | low.contains("rc4"),
+    }
     for label, pattern in cat.CRYPTO:
-        cond = rx(_text(), pattern)
+        cond = literal[label] & rx(_text(), pattern)
         if c and label in confirm:
             cond = cond & (_is_py() | confirm[label])
         outs = [Outcome("warning", "high", f"Weak cryptography: {label}")]
@@ -273,7 +317,7 @@ def _jwt_007(c):
 
 
 def _jwt_none_008(c):
-    cond = rx(_text(), cat.JWT_NONE)
+    cond = F.lower(_text()).contains("algorithm") & rx(_text(), cat.JWT_NONE)
     if c:
         cond = cond & rx(_text(), r"\balgorithms?\s*:\s*[\"']none[\"']")
     return [_make(8, JS_TS, cond, _one(8), confirmed=c)]
