@@ -85,12 +85,15 @@ def to_sarif(findings: DataFrame, order: list[str], per_document: int = PART) ->
     of appearance; ``results`` lists all findings in order.
     """
     f = grouped_index(findings, "scan_id", order).withColumn("part", F.floor(F.col("idx") / per_document).cast("int"))
-    results = f.groupBy("scan_id", "part").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", sarif_result().alias("r")))), lambda x: x["r"]).alias("results")
+    docs = f.groupBy("scan_id", "part").agg(
+        F.array_sort(F.collect_list(F.struct("idx", sarif_result().alias("r"), sarif_rule().alias("u")))).alias("_all")
     )
-    first = f.groupBy("scan_id", "part", "rule_id").agg(F.min(F.struct("idx", sarif_rule().alias("r"))).alias("x"))
-    rules = first.groupBy("scan_id", "part").agg(
-        F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("rules")
+    ids = F.array_distinct(F.transform("_all", lambda x: x["r"]["ruleId"]))
+    docs = docs.withColumns(
+        {
+            "results": F.transform("_all", lambda x: x["r"]),
+            "rules": F.transform(ids, lambda i: F.get(F.filter("_all", lambda x: x["r"]["ruleId"] == i), F.lit(0))["u"]),
+        }
     )
     driver = F.struct(F.lit(TOOL).alias("name"), F.lit("0.1.0").alias("version"), F.col("rules").alias("rules"))
     doc = F.struct(
@@ -98,7 +101,7 @@ def to_sarif(findings: DataFrame, order: list[str], per_document: int = PART) ->
         F.lit("2.1.0").alias("version"),
         F.array(F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results").alias("results"))).alias("runs"),
     )
-    return results.join(rules, ["scan_id", "part"]).select("scan_id", "part", F.to_json(doc).alias("sarif"))
+    return docs.select("scan_id", "part", F.to_json(doc).alias("sarif"))
 
 
 SARIF_READ = """STRUCT<runs:ARRAY<STRUCT<tool:STRUCT<driver:STRUCT<rules:ARRAY<STRUCT<id:STRING,name:STRING,helpUri:STRING>>>>,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..catalog import registries as reg
 from ..functions.session import cut_lineage
 from .files import extension
-from .joins import salted_join
+from .joins import SALTS, hot_keys, key_hash, salted_join
 from .manifests import _lock_packages, nested_lock_levels
 
 
@@ -118,18 +119,25 @@ def reachability(edges: DataFrame, seeds: DataFrame, scan: str = "repo", max_rou
     """All keys reachable from the seeds: (scan, dep_key, depth).
 
     Breadth-first rounds; each round joins the frontier with the edges and
-    drops what is already known.  Frontier and known set are checkpointed, so
-    plans stay short and lost executors are no problem.  Edges of a hub are
-    spread by a salt.
+    drops what is already known.  The edges are partitioned by parent once and
+    kept, so a round only moves its frontier; edges of a hub are spread by a
+    salt.  Frontiers are checkpointed: plans stay short and a lost executor
+    costs little.
     """
-    e = edges.select(scan, "parent_key", "child_key").distinct()
+    keys = [scan, "parent_key"]
+    e = edges.select(*keys, "child_key").distinct()
+    hot = hot_keys(edges, keys)
+    is_hot = key_hash(keys).isin(hot) if hot else F.lit(False)
+    salt = F.when(is_hot, F.pmod(F.xxhash64("child_key"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    e = e.withColumn("_salt", salt).repartition(*keys, "_salt").persist(StorageLevel.MEMORY_AND_DISK)
     known = cut_lineage(seeds.select(scan, "dep_key").distinct().withColumn("depth", F.lit(0)))
     frontier, depth = known, 0
     while max_rounds is None or depth < max_rounds:
         depth += 1
-        step = salted_join(e, frontier.select(scan, F.col("dep_key").alias("parent_key")), [scan, "parent_key"])
+        asked = frontier.select(scan, F.col("dep_key").alias("parent_key")).withColumn("_salt", F.explode(copies))
         new = (
-            step.select(scan, F.col("child_key").alias("dep_key")).distinct()
+            e.join(asked, [*keys, "_salt"]).select(scan, F.col("child_key").alias("dep_key")).distinct()
             .join(known.select(scan, "dep_key"), [scan, "dep_key"], "left_anti")
             .withColumn("depth", F.lit(depth))
         )
@@ -139,6 +147,7 @@ def reachability(edges: DataFrame, seeds: DataFrame, scan: str = "repo", max_rou
         known = known.unionByName(frontier)
         if depth % 8 == 0:
             known = cut_lineage(known)
+    e.unpersist()
     return known
 
 
@@ -167,6 +176,7 @@ def dep_chains(edges: DataFrame, targets: DataFrame, scan: str = "repo", max_dep
     ``max_paths`` chains by length and text.
     """
     up = edges.select(scan, F.col("child_key").alias("node"), F.col("parent_key").alias("parent")).distinct()
+    up = up.repartition(scan, "node").persist(StorageLevel.MEMORY_AND_DISK)
     has_parent = up.select(scan, "node").distinct().withColumn("_up", F.lit(True))
     level = targets.select(scan, F.col("dep_key").alias("target"), F.col("dep_key").alias("node")).distinct().withColumn(
         "chain", F.array("node")

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.session import cut_lineage
+from .joins import hot_keys
 
 
 def grouped_index(df: DataFrame, group: str, order: list[str], name: str = "idx", buckets: int | None = None) -> DataFrame:
     """0-based position of a row in its group, without gathering a group.
 
-    Rows are range-partitioned by (group, order), so a huge group spans many
-    partitions.  Each partition numbers its own rows; the offsets come from the
+    Without hot groups this is a plain window.  Otherwise rows are
+    range-partitioned by (group, order), so a huge group spans many partitions.  Each partition numbers its own rows; the offsets come from the
     small table of counts per (group, partition).  The ranged rows are
     checkpointed because both steps must see the same partitions.
     """
+    if buckets is None and not hot_keys(df, [group]):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("bigint") - 1)
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, F.col(group), *[F.col(o) for o in order]).withColumn("_part", F.spark_partition_id())
     ranged = cut_lineage(ranged)
