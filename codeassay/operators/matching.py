@@ -105,6 +105,17 @@ class Compiled:
         return constant_table(rows, ATTRIBUTE_TYPE)
 
 
+def _once(expr: Column) -> Column:
+    """Row generator that evaluates a very wide expression exactly once per line.
+
+    As a plain column it would be computed again by the filter that Spark
+    pushes below it, and whole-stage code generation would put it into one
+    method that the JVM does not compile.  The lambda over one value keeps it
+    out of there.
+    """
+    return F.explode(F.array(F.when(F.exists(F.array("line_no"), lambda n: n.isNotNull()), expr)))
+
+
 def findings_of(
     lines: DataFrame, emissions: list[Emission], *, config: dict | None = None, dedup: bool = False, keep: tuple = (),
     excerpt: bool = False,
@@ -117,9 +128,9 @@ def findings_of(
         text = F.array_join(F.transform(near, lambda t, i: F.concat((first + i).cast("string"), F.lit(": "), t)), "\n")
         lines, keep = lines.withColumn("excerpt", text), (*keep, "excerpt")
     if dedup:
-        hits = lines.withColumn("_h", compiled.best_hit()).filter(F.col("_h").isNotNull())
+        hits = lines.withColumn("_h", _once(compiled.best_hit())).filter(F.col("_h").isNotNull())
     else:
-        hits = lines.withColumn("_h", F.explode(compiled.all_hits()))
+        hits = lines.withColumn("_hs", _once(compiled.all_hits())).withColumn("_h", F.explode("_hs"))
     hits = hits.select(
         "repo", "path", "line_no", "text", *keep, F.element_at(compiled.attributes(), F.col("_h")).alias("a")
     )
