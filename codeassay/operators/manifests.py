@@ -102,6 +102,10 @@ def package_lock(content: Column) -> Column:
     )
 
 
+def package_locks(files: DataFrame) -> DataFrame:
+    return files.filter(base_name(F.col("path")) == "package-lock.json").select("repo", "path", "content")
+
+
 def nested_lock_levels(files: DataFrame) -> DataFrame:
     """All entries of version 1 lock files, level by level.
 
@@ -306,9 +310,11 @@ def _heads(kind: Column, num: Column) -> Column:
 ONCE = ("yarn.lock", "pnpm-lock.yaml", "go.sum")
 
 
-def parse_manifests(files: DataFrame, nested: bool = True) -> DataFrame:
+def parse_manifests(files: DataFrame, nested: bool = True, levels: DataFrame | None = None) -> DataFrame:
     """(repo, path, content) -> one row per declared dependency.
 
+    ``levels`` takes the result of ``nested_lock_levels`` when it is at hand.
+
     Columns: repo, name, version, ecosystem, source, line, dev, license,
     declared_range, ord (position within the file).
     """
@@ -339,7 +345,7 @@ def parse_manifests(files: DataFrame, nested: bool = True) -> DataFrame:
     every = rows.filter(~F.col("_kind").isin(*ONCE)).select("repo", "path", "_i", "d")
     out = every.unionByName(once).select("repo", F.col("path").alias("source"), F.array("_i").alias("ord"), "d.*")
     if nested:
-        v1 = nested_lock_levels(m.filter(kind == "package-lock.json").select("repo", "path", "content"))
+        v1 = levels if levels is not None else nested_lock_levels(package_locks(files))
         null = F.lit(None).cast("string")
         out = out.unionByName(
             v1.select(

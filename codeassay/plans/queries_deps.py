@@ -193,8 +193,10 @@ def license_distribution(spark, sf):
 )
 def dependency_edges(spark, sf):
     files = dm.manifests(spark, sf)
-    deps = mf.parse_manifests(files.filter(F.col("path").endswith("package-lock.json")))
-    return gr.resolve_edges(gr.lock_requirements(files), deps).select("repo", "parent_key", "child_key", "range")
+    locks = mf.package_locks(files)
+    levels = mf.nested_lock_levels(locks)
+    deps = mf.parse_manifests(locks, levels=levels)
+    return gr.resolve_edges(gr.lock_requirements(locks, levels=levels), deps).select("repo", "parent_key", "child_key", "range")
 
 
 @_register(

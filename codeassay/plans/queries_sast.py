@@ -9,7 +9,9 @@ from ..sources import derived as d
 from ..sources import oracle_views as v
 from . import sast_oracle as so
 from ..operators.corpus import within_snippet_limit
-from .scan import scan
+from ..catalog.model import JS_TS, Rule
+from ..operators.matching import FINDING_COLUMNS
+from .scan import run_code_rule, scan
 
 OUT = ["repo", "file_path", "line", "column", "rule_id", "severity", "confidence", "message", "snippet"]
 
@@ -57,3 +59,45 @@ for _no in sorted(cat.META):
 _register("scan_all_findings", _scan(dedup=False), so.scan_sql(numbers=cat.META, declarative=True, secrets=True))
 _register("scan_deduplicated", _scan(dedup=True), so.scan_sql(numbers=cat.META, declarative=True, secrets=True, dedup=True))
 _register("scan_confirmed", _scan(dedup=True, mode="confirm"))
+
+
+# ------------------------------------------------------------- user-defined rules
+TEAM_PATTERN = r"\bconst\s+\w+\s*=\s*await\b"
+
+
+def _user_rule(spark, sf):
+    rule = Rule(
+        "TEAM-AWAIT", "Awaited constant", "info", "low", "CWE-0", "A00", "Awaited constant", "None.", JS_TS, TEAM_PATTERN,
+        anti_pattern="axios", anti_scope="window", skip_comments=True,
+    )
+    return scan(d.corpus(spark, sf), detectors=(), declarative=False, secrets=False, extra_rules=[rule]).select("file_path", "line", "column", "rule_id")
+
+
+_register(
+    "user_declarative_rule",
+    _user_rule,
+    f"""WITH {v.corpus()}, {v.lines()}, w AS (SELECT path, language, line_no, text, string_agg(text, ' ') OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS nxt FROM lines)
+    SELECT path AS file_path, line_no AS line, length(regexp_extract(text, {v.q('(?s)^(.*?)(?:' + TEAM_PATTERN + ')')}, 1)) + 1 AS "column", 'TEAM-AWAIT' AS rule_id
+    FROM w WHERE language <> 'python' AND {v.m('text', TEAM_PATTERN)} AND NOT contains(nxt, 'axios') AND NOT {v.m('text', r'^\s*(?://|[*])')}""",
+)
+
+
+def _long_line_rule(frame):
+    """A rule in Python: the longest line of every file that has one over 200 characters."""
+    import pandas as pd
+
+    rows = []
+    for repo, path, content in zip(frame["repo"], frame["path"], frame["content"]):
+        lines = content.split("\n")
+        size, first = max((len(t), -i) for i, t in enumerate(lines, start=1))
+        if size > 200:
+            rows.append((repo, path, -first, 1, "TEAM-LONG", "Long line", "info", "low", f"{size} characters", "", "", "", "", "pattern"))
+    return pd.DataFrame(rows, columns=list(FINDING_COLUMNS))
+
+
+_register(
+    "user_code_rule",
+    lambda spark, sf: run_code_rule(d.corpus(spark, sf), _long_line_rule).select("repo", "file_path", "line", "message"),
+    f"""WITH {v.corpus()}, {v.lines()}, r AS (SELECT repo, path, line_no, length(text) AS n, row_number() OVER (PARTITION BY path ORDER BY length(text) DESC, line_no) AS rn FROM lines)
+    SELECT repo, path AS file_path, CAST(line_no AS INT) AS line, n || ' characters' AS message FROM r WHERE rn = 1 AND n > 200""",
+)

@@ -19,9 +19,10 @@ def repository_scan(corpus: DataFrame, advisories: DataFrame, *, mode: str = "pa
     works on the manifest slice of the corpus, which is small and is best
     written to a table first when the corpus is large.
     """
-    deps = mf.parse_manifests(corpus)
+    levels = mf.nested_lock_levels(mf.package_locks(corpus))
+    deps = mf.parse_manifests(corpus, levels=levels)
     unique = mf.dedup_dependencies(deps)
-    edges = gr.resolve_edges(gr.lock_requirements(corpus), deps)
+    edges = gr.resolve_edges(gr.lock_requirements(corpus, levels=levels), deps)
     reached = gr.reachability(edges, gr.import_seeds(gr.imports(corpus), unique))
     sca = gr.flag_reachable(ad.scan_sca(deps, advisories), reached).select(*COLUMNS, "reachable")
     none = F.lit(None).cast("boolean").alias("reachable")
