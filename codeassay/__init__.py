@@ -1,0 +1,9 @@
+"""Code security analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors do not
+# need this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
