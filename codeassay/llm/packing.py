@@ -61,6 +61,25 @@ def best_pattern(value: np.ndarray, size: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
+def inverse_of(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots. Plain array operations: a BLAS with threads of its own can stall beside a JVM."""
+    m = len(matrix)
+    work = np.hstack([matrix.astype(float), np.eye(m)])
+    for k in range(m):
+        p = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, p]] = work[[p, k]]
+        work[k] /= work[k, k]
+        factor = work[:, k].copy()
+        factor[k] = 0
+        work -= np.outer(factor, work[k])
+    return work[:, m:]
+
+
+def times(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Matrix by vector, or vector by matrix, without a BLAS."""
+    return (left * right).sum(1) if left.ndim == 2 else (left[:, None] * right).sum(0)
+
+
 def first_basis(size: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """As many patterns as bins, and their amounts: largest pieces first, each pattern used until a bin is empty."""
     m, left, live = len(size), demand.copy(), np.ones(len(size), bool)
@@ -89,26 +108,26 @@ def solve(size: np.ndarray, demand: np.ndarray, room: int, sheet: Sheet) -> list
     """
     m = len(size)
     columns, amount = first_basis(size, demand, room)
-    cost, inverse, least = np.ones(m), np.linalg.inv(columns), (size @ demand) / room
+    cost, inverse, least = np.ones(m), inverse_of(columns), (size * demand).sum() / room
     for r in range(sheet.rounds):
-        if cost @ amount <= least * (1 + sheet.tolerance):
+        if (cost * amount).sum() <= least * (1 + sheet.tolerance):
             break
-        price = cost @ inverse
+        price = times(cost, inverse)
         if price.min() < -1e-9:  # more than the demand of this bin is free
             column, c = -np.eye(m)[int(price.argmin())], 0.0
         else:
             column, c = best_pattern(price, size, room).astype(float), 1.0
-            if price @ column <= 1 + 1e-9:
+            if (price * column).sum() <= 1 + 1e-9:
                 break
-        change = inverse @ column
+        change = times(inverse, column)
         ratio = np.where(change > 1e-9, amount / np.where(change > 1e-9, change, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
         columns[:, out], cost[out] = column, c
         if r % 100 == 99:  # rounding errors do not pile up
-            inverse = np.linalg.inv(columns)
-            amount = np.maximum(inverse @ demand, 0)
+            inverse = inverse_of(columns)
+            amount = np.maximum(times(inverse, demand), 0)
             continue
         amount = np.maximum(amount - ratio[out] * change, 0)
         amount[out] = ratio[out]
