@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, quality, tokens
+from . import packing, quality, substrings, tokens
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -47,3 +47,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     counted = tokens.with_token_counts(docs)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query("op2_substring_dedup")
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents outside windows of 35 words that occur again."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    cleaned = substrings.remove_repeats(docs, window=35)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
