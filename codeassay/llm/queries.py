@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, quality, substrings, tokens
+from . import jaccard, packing, quality, substrings, tokens
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -55,3 +55,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     cleaned = substrings.remove_repeats(docs, window=35)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 5-word shingles have a similarity of 0.8 or more."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return jaccard.jaccard_components(docs, k=5, percent=80)
