@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, packing, quality, substrings, tokens
+from . import decontaminate, jaccard, packing, quality, substrings, tokens
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -62,3 +62,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 5-word shingles have a similarity of 0.8 or more."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return jaccard.jaccard_components(docs, k=5, percent=80)
+
+
+@query("op8_winnowing")
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside windows of 10 words of a benchmark item."""
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    hits = decontaminate.benchmark_hits(docs, items)
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
