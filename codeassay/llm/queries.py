@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, languages, packing, quality, substrings, tokens
+from . import decontaminate, jaccard, languages, lines, packing, quality, substrings, tokens
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -83,3 +83,32 @@ def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = languages.labelled_sample(docs, ~held_out, "doc_id", "text", "lang", languages.Sample())
     found = languages.with_language(docs.select("doc_id", "text"), labelled)
     return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+#: Equal and near lines as in ``lines.dedup_lines``; partners within one edit share a half for a length, and are then compared character by character.
+LINES_SQL = r"""
+WITH src AS (SELECT DISTINCT doc_id, text FROM documents),
+cut AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM src),
+worded AS (SELECT * FROM cut WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+firsts AS (SELECT line, length(line) AS m, min({'k': doc_id, 'n': n}) AS first FROM worded GROUP BY line),
+halves AS (SELECT line, m, first, unnest([
+    'a' || m || ':' || left(line, m // 2), 'z' || m || ':' || right(line, m - m // 2),
+    'a' || (m - 1) || ':' || left(line, (m - 1) // 2), 'z' || (m - 1) || ':' || right(line, (m - 1) - (m - 1) // 2)]) AS half FROM firsts WHERE m >= 16),
+pairs AS (SELECT DISTINCT a.line AS line, b.line AS other FROM halves a JOIN halves b ON a.half = b.half AND b.first < a.first AND abs(a.m - b.m) <= 1),
+placed AS (SELECT line, other, CASE WHEN length(line) >= length(other) THEN line ELSE other END AS x, CASE WHEN length(line) >= length(other) THEN other ELSE line END AS y FROM pairs),
+differ AS (SELECT line, x, y, coalesce(list_min(list_filter(range(1, length(y) + 1), lambda i: x[i] <> y[i])), length(y) + 1) AS spot FROM placed),
+near AS (SELECT DISTINCT line FROM differ WHERE substr(x, spot + 1) = CASE WHEN length(x) = length(y) THEN substr(y, spot + 1) ELSE substr(y, spot) END),
+fate AS (SELECT c.doc_id, c.text, c.n, c.line, CASE WHEN f.line IS NULL THEN 0 WHEN r.line IS NOT NULL THEN 2 WHEN f.first <> {'k': c.doc_id, 'n': c.n} THEN 1 ELSE 0 END AS fate
+  FROM cut c LEFT JOIN firsts f ON c.line = f.line LEFT JOIN near r ON c.line = r.line),
+texts AS (SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (fate = 1) AS n_equal, count(*) FILTER (fate = 2) AS n_near,
+  coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (fate = 0), '') AS kept FROM fate GROUP BY doc_id, text)
+SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(t.n_equal, 0) AS n_equal, coalesce(t.n_near, 0) AS n_near, sha256(t.kept) AS kept_sha256
+FROM documents d LEFT JOIN texts t ON d.doc_id IS NOT DISTINCT FROM t.doc_id AND d.text = t.text
+"""
+
+
+@query("op9_line_dedup", LINES_SQL)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents without those that repeat an earlier one, up to one edit."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("kept_sha256"))
