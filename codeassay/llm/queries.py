@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import decontaminate, jaccard, languages, lines, packing, quality, substrings, tokens
+from ..functions.session import cut_lineage
+from . import archive, decontaminate, jaccard, languages, lines, packing, quality, substrings, tokens
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -112,3 +113,45 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents without those that repeat an earlier one, up to one edit."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_equal", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
+FIXITY_SQL = r"""
+WITH src AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, CASE WHEN page_id % 97 = 13 THEN '#' || substr(coalesce(html, ''), 2) ELSE coalesce(html, '') END AS html_b FROM pages),
+recs AS (SELECT page_id, url,
+  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS a,
+  'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html_b) || chr(13) || chr(10) || chr(13) || chr(10) || html_b || chr(13) || chr(10) || chr(13) || chr(10) AS b FROM src),
+hashed AS (SELECT page_id, sha256(a) AS digest_a, strlen(a) AS len_a, sha256(b) AS digest_b, strlen(b) AS len_b,
+  row_number() OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256(a)) - 1 AS i FROM recs),
+dealt AS (SELECT *, i // 1024 AS file, i % 1024 AS place, count(*) OVER (PARTITION BY i // 1024) AS n,
+  sum(len_a) OVER w AS end_a, sum(len_b) OVER w AS end_b FROM hashed WINDOW w AS (PARTITION BY i // 1024 ORDER BY i)),
+b AS (SELECT file, place, digest_a, end_a - len_a AS start_a, end_a, page_id,
+  CASE WHEN file % 5 = 2 AND place >= n - 3 THEN NULL ELSE digest_b END AS digest_b, CASE WHEN file % 5 = 2 AND place >= n - 3 THEN NULL ELSE end_b - len_b END AS start_b,
+  CASE WHEN file % 5 = 2 AND place >= n - 3 THEN NULL ELSE end_b END AS end_b FROM dealt)
+SELECT file, place, page_id, CAST(start_a AS BIGINT) AS start_a, CAST(end_a AS BIGINT) AS end_a, CAST(start_b AS BIGINT) AS start_b, CAST(end_b AS BIGINT) AS end_b, digest_a, digest_b,
+  CASE WHEN digest_b IS NULL THEN 'missing' WHEN digest_a <> digest_b THEN 'corrupt' ELSE 'moved' END AS kind
+FROM b WHERE digest_b IS NULL OR digest_a <> digest_b OR start_a <> start_b OR end_a <> end_b
+"""
+
+
+@query("op10_merkle_fixity", FIXITY_SQL)
+def op10_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of an archive of all pages whose replica is damaged.
+
+    The tables hold no second copy, so the replica is made of the pages: in one
+    of 97 records a byte differs, and one file of five has lost its last three records.
+    """
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    body = F.coalesce("html", F.lit(""))
+    flipped = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("#"), F.expr("substr(coalesce(html, ''), 2)"))).otherwise(body)
+    record, other = archive.warc_record(F.col("url"), F.col("html")), archive.warc_record(F.col("url"), flipped)
+    both = pages.select(
+        F.col("page_id").alias("key"), F.coalesce("url", F.lit("")).alias("url"), F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("bigint").alias("length"),
+        F.sha2(other, 256).alias("digest_b"), F.octet_length(other).cast("bigint").alias("length_b"),
+    )
+    dealt = archive.dealt_to_files(both)
+    n = F.count("*").over(Window.partitionBy("file"))
+    dealt = dealt.withColumn("n", n)
+    ours = cut_lineage(archive.leaves(dealt.select("file", "place", "key", "digest", "length")))
+    copy = dealt.filter((F.col("file") % 5 != 2) | (F.col("place") < F.col("n") - 3))
+    theirs = cut_lineage(archive.leaves(copy.select("file", "place", "key", F.col("digest_b").alias("digest"), F.col("length_b").alias("length"))))
+    return archive.damage(ours, theirs).withColumnRenamed("key", "page_id")
