@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.session import cut_lineage
-from . import archive, decontaminate, jaccard, languages, lines, packing, quality, substrings, tokens
+from . import archive, decontaminate, jaccard, languages, lines, packing, quality, substrings, tokens, toolcalls
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -155,3 +155,74 @@ def op10_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy = dealt.filter((F.col("file") % 5 != 2) | (F.col("place") < F.col("n") - 3))
     theirs = cut_lineage(archive.leaves(copy.select("file", "place", "key", F.col("digest_b").alias("digest"), F.col("length_b").alias("length"))))
     return archive.damage(ours, theirs).withColumnRenamed("key", "page_id")
+
+
+def tool_traffic(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results that the conversations imply: they hold prose, so each assistant turn makes two calls about its text.
+
+    The second needs the first and the second one of the turn before; the turn
+    that follows is its result.  Some calls are faulty: a text for a number,
+    a missing query, an unknown need, a cycle.
+    """
+    asked = messages.filter("role = 'assistant'")
+    name = lambda c, t, k: F.concat(F.lit("call-"), c.cast("string"), F.lit("-"), t.cast("string"), F.lit(k))
+    c, t = F.col("conv_id"), F.col("turn")
+    words, size = F.expr(r"concat_ws(' ', slice(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+', 0), 1, 3))"), F.char_length("text")
+    limit = F.when(t % 7 == 3, F.concat(F.lit('"'), size.cast("string"), F.lit('"'))).otherwise(size.cast("string"))
+    query_part = F.when(c % 11 == 5, F.lit("")).otherwise(F.concat(F.lit('"query" : "'), words, F.lit('", ')))
+    second = F.concat(F.lit("{ "), query_part, F.lit('"limit" : '), limit, F.lit(' ,"exact": true}'))
+    needs = F.array(name(c, t, "-b"), name(c, t - 2, "-a"))
+    needs_second = F.when(t <= 1, F.array(name(c, t, "-b"))).otherwise(needs)
+    needs_second = F.when(c % 10 == 0, F.concat(needs_second, F.array(F.lit("call-none")))).otherwise(needs_second)
+    calls = asked.select(
+        "conv_id", "turn",
+        F.explode(F.array(
+            F.struct(name(c, t, "-b").alias("call_id"), F.lit("lookup").alias("tool"), F.concat(F.lit('{"key":'), size.cast("string"), F.lit("}")).alias("arguments"),
+                     F.when(c % 23 == 4, F.array(name(c, t, "-a"))).otherwise(F.array().cast("array<string>")).alias("needs")),
+            F.struct(name(c, t, "-a").alias("call_id"), F.lit("search").alias("tool"), second.alias("arguments"), needs_second.alias("needs")),
+        )).alias("x"),
+    ).select("conv_id", "turn", "x.*")
+    results = messages.filter("turn >= 1 and role = 'user'").select("conv_id", name(c, t - 1, "-a").alias("call_id"), "turn", F.col("text").alias("content"))
+    return calls, results
+
+
+TOOLS = [("search", "query", "string", True), ("search", "limit", "integer", True), ("search", "exact", "boolean", False), ("lookup", "key", "integer", True)]
+
+TOOLS_SQL = r"""
+WITH a AS (SELECT conv_id, turn, text, length(text) AS size, array_to_string(list_slice(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), 1, 3), ' ') AS words,
+  'call-' || conv_id || '-' || turn AS id FROM conversations WHERE role = 'assistant'),
+r AS (SELECT conv_id, turn, text, 'call-' || conv_id || '-' || (turn - 1) || '-a' AS id FROM conversations WHERE role = 'user' AND turn >= 1),
+linked AS (SELECT a.*, r.turn AS result_turn, EXISTS (SELECT 1 FROM a p WHERE p.conv_id = a.conv_id AND p.turn = a.turn - 2) AS prior,
+  row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS k, a.turn - 2 * row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS run
+  FROM a LEFT JOIN r ON r.conv_id = a.conv_id AND r.id = a.id || '-a'),
+deep AS (SELECT *, 1 + coalesce(sum(1 + CASE WHEN result_turn IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, run ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM linked),
+calls AS (
+  SELECT conv_id, CASE WHEN conv_id % 23 = 4 THEN NULL ELSE turn END AS due, CASE WHEN conv_id % 23 = 4 THEN NULL ELSE 0 END AS depth, 1 AS phase, id || '-b' AS id, turn,
+    CASE WHEN conv_id % 23 = 4 THEN 'cyclic' ELSE 'pending' END AS status, CAST([] AS VARCHAR[]) AS errors, 0 AS unknown_needs, '{"arguments":{"key":' || size || '},"id":"' || id || '-b","name":"lookup","type":"call"}' AS json FROM deep
+  UNION ALL
+  SELECT conv_id, CASE WHEN conv_id % 23 = 4 THEN NULL ELSE turn END, CASE WHEN conv_id % 23 = 4 THEN NULL ELSE depth END, 1, id || '-a', turn,
+    CASE WHEN conv_id % 23 = 4 THEN 'cyclic' WHEN result_turn IS NULL THEN 'pending' ELSE 'linked' END,
+    list_filter([CASE WHEN conv_id % 11 = 5 THEN 'missing:query' END, CASE WHEN turn % 7 = 3 THEN 'type:limit' END], lambda x: x IS NOT NULL),
+    CASE WHEN conv_id % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN turn > 1 AND NOT prior THEN 1 ELSE 0 END,
+    '{"arguments":{"exact":true,"limit":' || CASE WHEN turn % 7 = 3 THEN '"' || size || '"' ELSE CAST(size AS VARCHAR) END || CASE WHEN conv_id % 11 = 5 THEN '' ELSE ',"query":"' || words || '"' END
+      || '},"id":"' || id || '-a","name":"search","type":"call"}' FROM deep),
+results AS (SELECT r.conv_id, CASE WHEN c.id IS NULL THEN r.turn WHEN c.due IS NULL THEN NULL ELSE greatest(r.turn, c.due) END AS due, CASE WHEN c.id IS NULL THEN 0 ELSE c.depth + 1 END AS depth, 2 AS phase, r.id, r.turn,
+  CASE WHEN c.id IS NULL THEN 'orphan' ELSE 'linked' END AS status, CAST([] AS VARCHAR[]) AS errors, 0 AS unknown_needs, '{"content":' || to_json(r.text) || ',"id":"' || r.id || '","type":"result"}' AS json
+  FROM r LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.id = r.id),
+said AS (SELECT conv_id, turn AS due, -1 AS depth, 0 AS phase, '' AS id, turn, 'linked' AS status, CAST([] AS VARCHAR[]) AS errors, 0 AS unknown_needs,
+  '{"content":' || to_json(text) || ',"role":' || to_json(role) || ',"type":"message"}' AS json FROM conversations),
+events AS (SELECT * FROM said UNION ALL SELECT * FROM calls UNION ALL SELECT * FROM results)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY due NULLS LAST, depth NULLS LAST, turn, phase, id, json) - 1 AS position,
+  CASE phase WHEN 0 THEN 'message' WHEN 1 THEN 'call' ELSE 'result' END AS kind, CASE WHEN phase > 0 THEN id END AS call_id, turn, CASE WHEN phase > 0 THEN CAST(depth AS BIGINT) END AS depth,
+  status, array_to_string(errors, ',') AS errors, CAST(0 AS BIGINT) AS repeats, CAST(unknown_needs AS BIGINT) AS unknown_needs, json FROM events
+"""
+
+
+@query("op7_tool_calls", TOOLS_SQL)
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages, calls and results of all conversations, linked, ordered, validated and serialised."""
+    messages = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    calls, results = tool_traffic(messages)
+    schemas = spark.createDataFrame(TOOLS, "tool string, name string, type string, required boolean")
+    linked = toolcalls.link_tool_calls(messages, calls, results, schemas)
+    return linked.withColumn("errors", F.concat_ws(",", "errors"))
