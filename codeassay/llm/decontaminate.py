@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.session import cut_lineage
+from .keys import fresh, row_key, without
 from .words import ALNUM, LOWER, Slice, covered, inside_text, mix, slices, window_hashes, words_of
 
 #: Up to so many fingerprints of items (8 bytes each) go to all tasks as a filter before the join; beyond, the join does without.
@@ -175,3 +176,12 @@ def benchmark_hits(
         F.col("k").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"), F.coalesce("item_ids", nothing).alias("item_ids"),
     )
+
+
+def without_hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", winnow: Winnow | None = None) -> DataFrame:
+    """``docs`` without the rows that have a hit word. All columns are kept; nulls as in ``benchmark_hits``."""
+    name = fresh("row_key", docs)
+    named = docs.withColumn(name, row_key(key, text))
+    found = benchmark_hits(named, items, name, text, item, item_text, winnow)
+    gone = cut_lineage(found.filter("n_hit > 0").select(name).distinct())
+    return without(named, name, gone).drop(name)

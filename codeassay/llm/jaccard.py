@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.session import cut_lineage
 from .blocks import BLOCK_BYTES, BUCKET_BYTES, classes_of, in_blocks, repeat_classes, with_answers
 from .components import connected_components
+from .keys import fresh, row_key, without
 from .packing import ranked
 from .words import mix, slices, window_hashes, words_of
 
@@ -250,3 +251,16 @@ def jaccard_components(
     return out.select(
         F.col("k").alias(key), "n_shingles", F.coalesce("component_id", "k").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: the least by key, then by the text's hash; of rows that repeat both, one.
+
+    Rows with the empty set stay.  Null keys come first.  All columns are kept.
+    """
+    name = fresh("row_key", docs)
+    named = docs.withColumn(name, row_key(key, text))
+    found = cut_lineage(jaccard_components(named, name, text, k, percent))
+    gone = found.filter(F.col(name) != F.col("component_id")).select(name).distinct()
+    repeated = found.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name)
+    return without(named, name, gone, repeated).drop(name)

@@ -20,9 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.session import cut_lineage
+from .keys import classes, value_class
 
-#: Values that a filter before a join may take; bounds what it broadcasts (eight bytes each).
-FILTER_VALUES = 1 << 20
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -47,23 +46,14 @@ def half_keys(line: str, m: str) -> Column:
     return F.expr(f"array({', '.join(parts)})")
 
 
-def within_filter(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose value may be wanted: those of one of the classes that wanted values fall in.
-
-    At most FILTER_VALUES classes are broadcast, however many values are
-    wanted; the exact join follows.
-    """
-    cls = F.pmod(F.col(column), F.lit(FILTER_VALUES))
-    return rows.withColumn("_class", cls).join(F.broadcast(wanted.select(cls.alias("_class")).distinct()), "_class", "left_semi").drop("_class")
-
-
 def candidate_lines(hashed: DataFrame, least_chars: int) -> DataFrame:
     """(h, g, m, line): distinct lines that share half with another line of a length in reach."""
     long = hashed.filter(F.col("m") >= least_chars)
     keys = long.select("h", "g", "m", "line", F.explode(half_keys("line", "m")).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key")
     shared = cut_lineage(shared)
-    some = within_filter(keys, "key", shared).groupBy("key", "h", "g", "m").agg(F.min("line").alias("line"))
+    # A filter of bounded size before the exact join: few of the other lines' texts are shuffled.
+    some = keys.withColumn("_class", value_class("key")).join(classes(shared, "key"), "_class", "left_semi").groupBy("key", "h", "g", "m").agg(F.min("line").alias("line"))
     return some.join(shared, "key", "left_semi").groupBy("h", "g", "m").agg(F.min("line").alias("line"))
 
 
@@ -132,8 +122,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     each = fate.union(blank).groupBy("k", "t").agg(F.array_sort(F.collect_set(F.struct("n", "fate"))).alias("all"), F.max("fate").alias("worst"))
     each = each.filter("worst > 0").select("k", "t", F.transform("all", lambda x: x["fate"]).alias("fates"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_equal", "n_near")]
-    texts = docs.select(*[F.col(c).alias(f"_{c}") for c in kept], F.xxhash64(text).alias("_t_"))
-    joined = texts.join(each, F.col(f"_{key}").eqNullSafe(F.col("k")) & (F.col("_t_") == F.col("t")), "left")
+    texts = docs.select(*[F.col(c).alias(f"_{c}") for c in kept], F.xxhash64(text).alias("t_hash"))
+    joined = texts.join(each, F.col(f"_{key}").eqNullSafe(F.col("k")) & (F.col("t_hash") == F.col("t")), "left")
     cut = F.split(f"_{text}", "\n", -1)
     left = F.array_join(F.filter(cut, lambda _, i: F.get("fates", i) == 0), "\n")
     new = F.when(F.col("fates").isNull(), F.col(f"_{text}")).otherwise(left)
