@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codeassay.functions.session import scratch_path
-from codeassay.llm import packing, quality
+from codeassay.llm import decontaminate, jaccard, lines, packing, quality
 
 #: No SQL: tokens, compression and set similarity have no counterpart there; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -21,6 +21,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.with_quality(docs).filter("kept").select(*docs.columns)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out lines that repeat an earlier one, up to one edit; a document without a word left goes."""
+    cleaned = lines.dedup_lines(docs).filter(F.col("text").rlike(lines.WORD)).select(*docs.columns)
+    return cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of similar documents."""
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out the documents that hold a window of a benchmark item."""
+    return decontaminate.without_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts and packs the documents that are left; one row per piece."""
     return packing.packed_documents(docs)
@@ -28,6 +44,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
     ("packing", pack_sequences),
 ]
 
