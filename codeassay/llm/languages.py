@@ -93,21 +93,24 @@ class Model:
         self.symbol[~alpha] = APART
         self.symbol[np.array(seen, np.int64)] = 3 + np.arange(len(seen))
         self.symbol = self.symbol[lower]
-        self.letter, self.tables, self.bits = alpha, [], []
+        self.letter, self.tables, self.bits, self.begin = alpha, [], [], []
         for name in self.names:
             sequence = [int(s) for x in texts[name] for s in [*self.symbol[codes_of(x)], PAD]]
             table = automaton(sequence, self.size)
-            table[:, PAD] = 0  # between the labelled texts, and behind the end of a text: begin anew at no cost
-            table[:, UNKNOWN] = MISS
-            start = np.where(table[0] < 0, MISS, table[0] | MISS)  # a new phrase with this symbol
-            self.tables.append(np.where(table < 0, start[None, :], table).astype(np.int32).reshape(-1))
+            between = len(table)  # the state where no phrase is open
+            start = np.where(table[0] < 0, between | MISS, table[0] | MISS)  # a new phrase with this symbol; unknown ones end at once
+            table = np.vstack([np.where(table < 0, start[None, :], table), start[None, :]]).astype(np.int32)
+            table[:, UNKNOWN] = between | MISS
+            table[:, PAD] = between  # behind the end of a text, at no cost; labelled texts are not joined either
+            self.tables.append(table.reshape(-1))
+            self.begin.append(between)
             self.bits.append(math.log2(max(2, len(sequence))))
 
     def phrases(self, symbols: np.ndarray) -> np.ndarray:
-        """For each language and each column of symbols, how many phrases begin after the first."""
+        """For each language and each column of symbols, how many phrases it takes."""
         out = np.zeros((len(self.names), symbols.shape[1]), np.int64)
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(symbols.shape[1], np.int32), np.zeros(symbols.shape[1], np.int32)
+            state, count = np.full(symbols.shape[1], self.begin[k], np.int32), np.zeros(symbols.shape[1], np.int32)
             for row in symbols:
                 found = table[state * np.int32(self.size) + row]
                 count += found >> 30
@@ -131,7 +134,7 @@ class Model:
         symbols = np.where(np.arange(SEGMENT)[:, None] < length[None, :], self.symbol[codes[np.minimum(at, max(len(codes) - 1, 0))]] if len(codes) else 0, PAD)
         total = np.zeros((len(self.names), len(texts)))
         for k, found in enumerate(self.phrases(symbols.astype(np.int32))):
-            total[k] = np.bincount(owner, found + 1, len(texts)) * self.bits[k] / np.maximum(sizes, 1)
+            total[k] = np.bincount(owner, found, len(texts)) * self.bits[k] / np.maximum(sizes, 1)
         best = total.argmin(0)
         order = np.sort(total, 0)
         margin = 1 - order[0] / np.maximum(order[1], 1e-12) if len(self.names) > 1 else np.ones(len(texts))

@@ -100,9 +100,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_
     """The columns of ``docs`` with repeated lines taken out of ``text``; ``n_lines``, ``n_equal`` and ``n_near`` count.
 
     Lines are cut at line feeds.  Of equal lines that hold a word the earliest
-    stays; a line of ``least_chars`` characters or more also goes if an earlier
-    one matches it by at most one inserted, deleted or replaced character,
-    whether that one stays or not.  Earlier is by key (null first), then the
+    stays; a line of ``least_chars`` characters or more also goes, wherever it
+    stands, if a line before its first place, also of that length, matches it by
+    at most one inserted, deleted or replaced character, whether that one stays
+    or not.  Earlier is by key (null first), then the
     hash of the text, then place.  Lines without a word stay.  Rows that repeat
     key and text are one text and keep the same lines.  Null texts stay null,
     with no lines; a text whose lines all go becomes empty.  Columns of
