@@ -9,19 +9,22 @@ of each other, and those of the second kind within that of the shorter line, so
 each key only has to name its earliest line; no pairs are formed.
 
 A line of n characters has n variants.  Only lines that can have a partner make
-them: one edit leaves the first or the last half of the shorter line as it is, so
-partners share the hash of a half for one length.  Those hashes are counted
-first.  A variant's hash is the exclusive or of its characters' hashes with their
-places, so running values give all variants of a line in one pass.
+them, and only where the edit can be.  One edit leaves the first or the last half
+of the shorter line as it is, so partners share the hash of a half for one
+length; those hashes are counted first.  Lines with a shared half are then cut
+into more blocks: partners share all but one, and only that block's deletions
+are emitted, keyed by all that surrounds it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.session import cut_lineage
 from .keys import classes, value_class
 
+#: Blocks that lines with a shared half are cut into.
+BLOCKS = 16
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -57,33 +60,41 @@ def candidate_lines(hashed: DataFrame, least_chars: int) -> DataFrame:
     return some.join(shared, "key", "left_semi").groupBy("h", "g", "m").agg(F.min("line").alias("line"))
 
 
-def variant_keys(lines: DataFrame) -> DataFrame:
-    """(key, whole, h, g, first): the hashed variants of each line, and the line itself as what a longer one may become.
+def shared_blocks(lines: DataFrame) -> DataFrame:
+    """(h, g, m, first, around, short, middle): where a line may differ from another that has all around the block in common.
 
-    ``whole`` is 1 for the line itself, 0 for what it becomes by a deletion,
+    ``short`` is the length of the shorter line of the pair, ``around`` the hash
+    of it, of the block's number and of what stands before and behind.
+    """
+    parts = []
+    for short in ("m", "(m - 1)"):
+        before, behind = f"cast({short} * b div {BLOCKS} as int)", f"cast({short} - {short} * (b + 1) div {BLOCKS} as int)"
+        around = f"xxhash64({short}, b, left(line, {before}), right(line, {behind}))"
+        parts.append(f"transform(sequence(0, {BLOCKS} - 1), b -> struct({around} AS around, {short} AS short, {before} AS before, {behind} AS behind))")
+    keys = lines.select("h", "g", "m", "first", "line", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("x")).select("h", "g", "m", "first", "line", "x.*")
+    shared = keys.groupBy("around").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("around")
+    middle = F.expr("substr(line, before + 1, m - before - behind)")
+    return keys.join(shared, "around", "left_semi").select("h", "g", "m", "first", "around", "short", middle.alias("middle"))
+
+
+def variant_keys(blocks: DataFrame) -> DataFrame:
+    """(key, whole, h, g, first): the hashed variants of each block, and the block itself as what a longer one may become.
+
+    ``whole`` is 1 for the block itself, 0 for what it becomes by a deletion,
     null for a variant with its place.
     """
-    chars = lines.select("h", "g", "m", "first", F.posexplode(F.split("line", "")).alias("i", "c"))
-    chars = chars.select("h", "g", "m", "first", "i", F.xxhash64("c", "i").alias("here"), F.xxhash64("c", F.col("i") - 1).alias("moved"))
-    line = Window.partitionBy("h", "g")
-    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    seen = chars.select(
-        "h", "g", "m", "first", "i", "here",
-        F.bit_xor("here").over(upto).alias("left"), F.bit_xor("moved").over(upto).alias("past"), F.bit_xor("moved").over(line).alias("all"),
-    )
-    variant = F.col("left").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("all")).bitwiseXOR(F.col("past"))
-    found = seen.select("h", "g", "m", "first", "i", variant.alias("v"), "left")
-    kinds = F.array(
-        F.struct(F.xxhash64(F.lit("replaced"), "m", "i", "v").alias("key"), F.lit(None).cast("int").alias("whole")),
-        F.struct(F.xxhash64(F.lit("inserted"), F.col("m") - 1, "v").alias("key"), F.lit(0).alias("whole")),
-        F.when(F.col("i") == F.col("m") - 1, F.struct(F.xxhash64(F.lit("inserted"), "m", "left").alias("key"), F.lit(1).alias("whole"))),
-    )
-    return found.select("h", "g", "first", F.explode(kinds).alias("x")).filter("x is not null").select("x.*", "h", "g", "first")
+    places = "if(length(middle) = 0, array(), sequence(1, length(middle)))"
+    without = "concat(left(middle, i - 1), substr(middle, i + 1))"
+    replaced = f"transform({places}, i -> struct(xxhash64('replaced', around, i, {without}) AS key, cast(null AS int) AS whole))"
+    inserted = f"transform({places}, i -> struct(xxhash64('inserted', around, {without}) AS key, 0 AS whole))"
+    itself = "array(struct(xxhash64('inserted', around, middle) AS key, 1 AS whole))"
+    kinds = F.expr(f"if(m = short, concat({replaced}, {itself}), {inserted})")
+    return blocks.select("h", "g", "first", F.explode(kinds).alias("x")).select("x.*", "h", "g", "first")
 
 
 def earlier_neighbours(lines: DataFrame, bound: int) -> DataFrame:
     """(h, g): lines that an earlier line in the corpus matches within the edit bound. ``lines``: h, g, m, first, line."""
-    keys = variant_keys(lines.select("h", "g", "m", "first", "line"))
+    keys = variant_keys(cut_lineage(shared_blocks(lines)))
     seen = F.struct("first", "h", "g")
     best = keys.groupBy("key").agg(
         F.min(F.when(F.coalesce("whole", F.lit(1)) == 1, seen)).alias("one"), F.min(F.when(F.col("whole") == 0, seen)).alias("other"), F.count("*").alias("n")
