@@ -1,4 +1,4 @@
-"""Registered queries: detector accuracy."""
+"""Registered queries: accuracy of text rules on the labelled documents."""
 
 from __future__ import annotations
 
@@ -6,54 +6,51 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
 from ..sources import derived as d
-from .scan import scan
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
-# published confusion counts per iteration of the case shapes: tp, fp, tn, fn
-PER_ITERATION = {
-    "SQL Injection": (3, 0, 4, 1), "XSS": (4, 0, 3, 0), "Command Injection": (4, 0, 4, 0), "Hardcoded Secrets": (6, 0, 4, 0),
-    "Eval Injection": (3, 0, 2, 0), "SSRF": (3, 0, 3, 0), "Path Traversal": (3, 0, 3, 0), "Prototype Pollution": (2, 0, 2, 0),
-    "Insecure Crypto": (3, 0, 3, 0), "NoSQL Injection": (3, 0, 3, 0), "Insecure Cookie": (2, 0, 2, 0), "Open Redirect": (2, 0, 2, 0),
+#: Rules that are held against the human labels: id and pattern.
+RULES = {
+    "T-CONTACT": r"@[a-z0-9]+\.", "T-TOKEN": r"(?i)token\s*=", "T-NUMBER": r"[0-9]{13,}", "T-LICENSE": r"(?i)\blicensed?\b", "T-SHOUT": r"[A-Z]{3,}!!",
 }
+#: Rules whose finding on a document of good quality counts as a false positive, by source.
+SOURCE_RULES = {"src0": ("T-CONTACT", "T-NUMBER"), "src1": ("T-SHOUT",)}
 
 
-def accuracy_counts(spark, sf):
-    """One iteration of all case shapes per document."""
-    docs = d.spread(d.table(spark, sf, "documents").select("doc_id"))
-    cases = ev.eval_cases(docs, "doc_id")
-    found = scan(ev.case_files(cases), mode="confirm", keep=("case_id",))
-    return ev.confusion(cases, found)
+def labelled(spark, sf, label):
+    """Every labelled document as a case, and what the rules find in whole texts."""
+    rows = d.table(spark, sf, "labels").join(d.table(spark, sf, "documents").select("doc_id", "source", "lang", "text"), "doc_id")
+    found = F.filter(F.array(*[F.when(F.col("text").rlike(p), F.lit(i)) for i, p in RULES.items()]), lambda x: x.isNotNull())
+    cases = rows.select(F.col("doc_id").alias("case_id"), F.col("source").alias("category"), F.expr(label).alias("vulnerable"), F.lit("T-SHOUT").alias("expected_rule"))
+    return cases, rows.select(F.col("doc_id").alias("case_id"), F.explode(found).alias("rule_id"))
 
 
-QUERIES["accuracy_confusion"] = lambda spark, sf: accuracy_counts(spark, sf).select("category", "tp", "fp", "tn", "fn")
-_VALUES = ", ".join(f"('{c}', {a}, {b}, {x}, {y})" for c, (a, b, x, y) in PER_ITERATION.items())
-_COUNTS = f"c AS (SELECT category, n * tp AS tp, n * fp AS fp, n * tn AS tn, n * fn AS fn FROM (VALUES {_VALUES}) t(category, tp, fp, tn, fn), (SELECT count(*) AS n FROM documents))"
-ORACLE["accuracy_confusion"] = f"WITH {_COUNTS} SELECT category, tp, fp, tn, fn FROM c"
+JUNK, TOXIC = "quality = 0", "toxic = 1"
+_HITS = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{i}' END" for i, p in RULES.items())
+_OWN = " ".join(f"WHEN category = '{c}' THEN " + " OR ".join(f"list_contains(hits, '{i}')" for i in ids) for c, ids in SOURCE_RULES.items())
 
-QUERIES["accuracy_metrics"] = lambda spark, sf: ev.metrics(accuracy_counts(spark, sf)).select(
+
+def _counts_sql(truth: str, own: str) -> str:
+    return f"""j AS (SELECT d.source AS category, {truth} AS truth, list_filter([{_HITS}], lambda x: x IS NOT NULL) AS hits FROM labels l JOIN documents d USING (doc_id)),
+  c AS (SELECT category, count(*) FILTER (WHERE truth AND len(hits) > 0) AS tp, count(*) FILTER (WHERE NOT truth AND ({own})) AS fp,
+    count(*) FILTER (WHERE NOT truth AND NOT ({own})) AS tn, count(*) FILTER (WHERE truth AND len(hits) = 0) AS fn,
+    count(*) FILTER (WHERE truth AND list_contains(hits, 'T-SHOUT')) AS matched FROM j GROUP BY 1)"""
+
+
+_BY_SOURCE = f"CASE {_OWN} ELSE len(hits) > 0 END"
+QUERIES["accuracy_confusion"] = lambda spark, sf: ev.confusion(*labelled(spark, sf, JUNK), SOURCE_RULES)
+ORACLE["accuracy_confusion"] = f"WITH {_counts_sql('l.quality = 0', _BY_SOURCE)} SELECT category, tp, fp, tn, fn, matched FROM c"
+
+QUERIES["accuracy_metrics"] = lambda spark, sf: ev.metrics(ev.confusion(*labelled(spark, sf, JUNK), SOURCE_RULES)).select(
     F.coalesce("category", F.lit("overall")).alias("category"), "tp", "fp", "tn", "fn", "precision", "recall", "f1", "fpr", "accuracy"
 )
 _DIV = lambda a, b: f"CASE WHEN ({b}) > 0 THEN CAST({a} AS DOUBLE) / ({b}) ELSE 0 END"
-ORACLE["accuracy_metrics"] = f"""WITH {_COUNTS}, s AS (SELECT coalesce(category, 'overall') AS category, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM c GROUP BY GROUPING SETS ((category), ())),
+ORACLE["accuracy_metrics"] = f"""WITH {_counts_sql('l.quality = 0', _BY_SOURCE)},
+  s AS (SELECT coalesce(category, 'overall') AS category, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM c GROUP BY GROUPING SETS ((category), ())),
   m AS (SELECT *, {_DIV('tp', 'tp + fp')} AS p, {_DIV('tp', 'tp + fn')} AS r FROM s)
   SELECT category, tp, fp, tn, fn, round(p * 100, 1) AS precision, round(r * 100, 1) AS recall, round({_DIV('2 * p * r', 'p + r')} * 100, 1) AS f1,
     round({_DIV('fp', 'fp + tn')} * 100, 1) AS fpr, round({_DIV('tp + tn', 'tp + fp + tn + fn')} * 100, 1) AS accuracy FROM m"""
 
-# a rule on text against human labels
-QUERIES["accuracy_labelled_documents"] = lambda spark, sf: _labelled(spark, sf)
-ORACLE["accuracy_labelled_documents"] = """WITH j AS (SELECT d.source AS category, l.toxic = 1 AS truth, regexp_matches(d.text, '(?i)token\\s*=|@[a-z]+\\.') AS hit
-  FROM labels l JOIN documents d USING (doc_id)),
-  c AS (SELECT category, count(*) FILTER (WHERE truth AND hit) AS tp, count(*) FILTER (WHERE NOT truth AND hit) AS fp,
-    count(*) FILTER (WHERE NOT truth AND NOT hit) AS tn, count(*) FILTER (WHERE truth AND NOT hit) AS fn FROM j GROUP BY 1)
-  SELECT category, tp, fp, tn, fn FROM c"""
-
-
-def _labelled(spark, sf):
-    j = d.table(spark, sf, "labels").join(d.table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
-    truth, hit = F.col("toxic") == 1, F.col("text").rlike(r"(?i)token\s*=|@[a-z]+\.")
-    return j.groupBy(F.col("source").alias("category")).agg(
-        F.count_if(truth & hit).alias("tp"), F.count_if(~truth & hit).alias("fp"),
-        F.count_if(~truth & ~hit).alias("tn"), F.count_if(truth & ~hit).alias("fn"),
-    )
+QUERIES["accuracy_labelled_documents"] = lambda spark, sf: ev.confusion(*labelled(spark, sf, TOXIC)).select("category", "tp", "fp", "tn", "fn")
+ORACLE["accuracy_labelled_documents"] = f"WITH {_counts_sql('l.toxic = 1', 'len(hits) > 0')} SELECT category, tp, fp, tn, fn FROM c"
