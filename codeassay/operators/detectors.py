@@ -23,6 +23,7 @@ from ..catalog.model import ALL_LANGUAGES, JS_TS, Rule
 from ..catalog.secrets import GATE_ASSIGN, GATE_ASSIGN_WORD, GATE_RUN, secret_rules
 from ..functions.regex import alternation, spark_regex
 from ..functions.text import rx
+from .files import FOR_IN
 
 REQ = r"(?:req|request)\.(?:params|query|body|headers)\b[\w.$]*"
 REQ3 = r"(?:req|request)\.(?:params|query|body)\b[\w.$]*"
@@ -61,11 +62,6 @@ def _is_py() -> Column:
     return F.col("language") == "python"
 
 
-def _after() -> Column:
-    """The line and the ones that follow, as one text."""
-    return F.array_join("after", "\n")
-
-
 def _next_three() -> Column:
     return F.array_join(F.slice("after", 1, 4), " ")
 
@@ -130,7 +126,8 @@ def _added_unsafe(category: str) -> Column:
 
 
 #: literals of which a line must contain at least one, by detector and language
-#: group; implied by the patterns, and much cheaper than they are
+#: group; implied by the patterns, and much cheaper than they are.  Those of
+#: CASELESS are held against the lower-cased line, as their patterns ignore case
 ANCHORS = {
     (2, "js"): ("query", "exec", "raw"),
     (2, "py"): ("execute",),
@@ -159,6 +156,7 @@ ANCHORS = {
     (23, "js"): ("eval",),
     (23, "py"): ("eval", "exec"),
 }
+CASELESS = {(2, "js"), (2, "py")}
 
 
 def _make(no, languages, condition, outcomes, *, column=None, confirmed=False, anchored=True):
@@ -166,7 +164,8 @@ def _make(no, languages, condition, outcomes, *, column=None, confirmed=False, a
     group = "all" if len(languages) == 3 else ("py" if languages == ("python",) else "js")
     literals = ANCHORS.get((no, group)) if anchored else None
     if literals:
-        condition = _any([_text().contains(a) for a in literals]) & condition
+        line = F.lower(_text()) if (no, group) in CASELESS else _text()
+        condition = _any([line.contains(a) for a in literals]) & condition
     return Emission(
         rule_id=f"SG-{no:03d}", name=name, cwe=cwe, owasp=owasp, suggestion=advice,
         languages=languages, condition=condition, outcomes=outcomes, column_pattern=column, confirmed=confirmed,
@@ -218,12 +217,12 @@ def _sql_002(c):
     )
     strong = Outcome("critical", "high", "SQL injection: query text from user data")
     found.append(
-        _make(2, ("python",), _text().contains("execute") & ~skip & inline, [
+        _make(2, ("python",), ~skip & inline, [
             Outcome(strong.severity, strong.confidence, strong.message, rx(_text(), reg.PY_INPUT)),
             Outcome("critical", "medium", "SQL injection: dynamic query text"),
         ])
     )
-    found.append(_make(2, ("python",), _text().contains(".execute") & ~skip & ~inline & variable, [strong]))
+    found.append(_make(2, ("python",), ~skip & ~inline & variable, [strong]))
     return found
 
 
@@ -337,9 +336,7 @@ def _function_009(c):
 def _prototype_010(c):
     cond = rx(_text(), cat.PROTOTYPE)
     if c:
-        loop = rx(_text(), r"\bfor\s*\(\s*(?:(?:const|let|var)\s+)?[\w$]+\s+in\b")
-        body = F.regexp_extract(_after(), r"^([^\n]*(?:\n(?!\s*\}\s*(?:\n|$))[^\n]*)*)", 1)
-        guarded = body.rlike(r"\.hasOwnProperty(?:\.call)?\s*\(|\bObject\.hasOwn\s*\(")
+        loop, guarded = _text().rlike(FOR_IN), F.coalesce("guarded", F.lit(False))
         cond = cond & (
             (loop & ~guarded)
             | rx(_text(), r"\.__proto__\b")
@@ -384,7 +381,7 @@ def _ssrf_012(c):
 def _cookie_013(c):
     if not c:
         return []
-    args = F.regexp_extract(_after(), r"\.cookie\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)", 1)
+    args = F.coalesce("call_args", F.lit(""))
     flags = args.rlike(r"\bhttpOnly\s*:\s*true\b") & args.rlike(r"\bsecure\s*:\s*true\b")
     cond = rx(_text(), cat.COOKIE) & rx(_text(), r"\.cookie\s*\(") & args.contains(",") & ~flags
     return [_make(13, JS_TS, cond, _one(13), confirmed=True)]

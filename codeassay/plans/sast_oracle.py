@@ -69,7 +69,7 @@ lw AS MATERIALIZED (
   SELECT f.repo, f.path, f.language, f.line_no, f.text,
     string_agg(f.text, ' ') OVER (PARTITION BY f.path ORDER BY f.line_no ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS nxt,
     string_agg(f.text, ' ') OVER (PARTITION BY f.path ORDER BY f.line_no ROWS BETWEEN 5 PRECEDING AND 1 FOLLOWING) AS guard,
-    string_agg(f.text, chr(10)) OVER (PARTITION BY f.path ORDER BY f.line_no ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS rest,
+    string_agg(f.text, chr(10)) OVER (PARTITION BY f.path ORDER BY f.line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
     lower(string_agg(f.text, ' ') OVER (PARTITION BY f.path ORDER BY f.line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) AS around,
     {', '.join(f"{_nearby(c)} AS near_{c}" for c in ('xss', 'cmd', 'path', 'ssrf'))},
     list_has_any(coalesce(l.sxss, []), words) AS t_sxss,

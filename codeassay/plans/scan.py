@@ -57,6 +57,7 @@ def scan(
         context=code or declarative or bool(extra_rules) or excerpt,
         taint=code,
         templates=mode == "confirm" and (numbers is None or 2 in numbers),
+        whole=mode == "confirm" and (numbers is None or bool({10, 13} & set(numbers))),
         file_rule=_file_rule() if declarative else None,
         keep=keep,
     )

@@ -148,3 +148,31 @@ def test_dedup_matches_a_left_fold(spark):
     df = spark.createDataFrame(rows, "seq int, file_path string, line int, rule_id string, severity string")
     got = {r.line: r.seq for r in dedup_findings(df, ("file_path", "line")).collect()}
     assert got == {line: r[0] for line, r in best.items()}
+
+
+def rules_at(df):
+    return {(r.file_path, r.line, r.rule_id) for r in df.collect()}
+
+
+def test_case_of_letters_does_not_hide_queries(spark, files):
+    js = "const a = em.createQuery(\"SELECT * FROM t WHERE id = \" + id);\ndb.RAW(`select ${x} from t`);"
+    py = "x = request.args.get('q')\ncur.EXECUTE(\"SELECT * FROM t WHERE a = \" + x)\ncur.Execute(f\"select {x}\")"
+    found = rules_at(scan(files(("a.js", js), ("a.py", py)), detectors=(2,), declarative=False, secrets=False))
+    assert {("a.js", 1, "SG-002"), ("a.js", 2, "SG-002"), ("a.py", 2, "SG-002"), ("a.py", 3, "SG-002")} <= found
+
+
+def test_public_variables_in_any_case_pass_the_gate(spark, files):
+    found = rules_at(scan(files(("a.js", "Next_Public_SECRET")), detectors=(), secrets=False))
+    assert found == rules_at(scan(files(("a.js", "NEXT_PUBLIC_SECRET")), detectors=(), secrets=False)) and found
+
+
+def test_long_calls_and_bodies_are_seen_whole(spark, files):
+    filler = "\n".join(f"  step{i}();" for i in range(40))
+    guarded = f"for (const k in src) {{\n{filler}\n  if (src.hasOwnProperty(k)) out[k] = src[k];\n}}"
+    bare = f"for (const k in src) {{\n{filler}\n  out[k] = src[k];\n}}\nx.hasOwnProperty(k);"
+    options = "\n".join(f"  // note {i}" for i in range(30))
+    weak = f"res.cookie('a', b, {{\n{options}\n  httpOnly: false, secure: true }});"
+    strong = f"res.cookie('a', b, {{\n{options}\n  httpOnly: true, secure: true }});"
+    corpus = files(("guarded.js", guarded), ("bare.js", bare), ("weak.js", weak), ("strong.js", strong))
+    found = rules_at(scan(corpus, mode="confirm", detectors=(10, 13), declarative=False, secrets=False))
+    assert found == {("bare.js", 1, "SG-010"), ("weak.js", 1, "SG-013")}
