@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -13,29 +14,32 @@ from .files import extension, language_of
 
 def read_corpus(
     spark: SparkSession, root: str, *, repo: str | None = None, ignore=reg.DEFAULT_IGNORE, languages=None,
-    max_bytes: int | None = None, manifests: bool = True,
+    max_bytes: int | None = None, manifests: bool = True, repo_depth: int = 1,
 ) -> DataFrame:
-    """Source files and manifests below a folder, as (repo, path, content, size).
+    """Source files and manifests below a folder, as (repo, path, content, size); paths count from the folder.
 
-    Path and size filters are pushed into the listing; contents of files that
-    are dropped are never read.
+    A repository is named by the first ``repo_depth`` segments below ``root``
+    (files directly in it by the folder itself), or by ``repo``.  Names are
+    filtered in the listing; the list is then filtered by path and size without
+    contents, and only contents of the files that are left are read.
+    ``max_bytes`` does not hold for manifests.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .select("path", "length", "content")
-    )
-    keep = language_of(F.col("path"))
-    keep = keep.isin(list(languages)) if languages else keep.isNotNull()
-    if manifests:
-        keep = keep | is_manifest(F.col("path"))
-    files = files.filter(keep & ~is_ignored(F.col("path"), ignore))
+    exts = [e for e, lang in reg.EXTENSION_LANGUAGE.items() if not languages or lang in languages]
+    names = [f"*{case}" for e in exts for case in sorted({e, e.upper(), e.capitalize()})] + (list(reg.MANIFEST_NAMES) if manifests else [])
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(names) + "}")
+    base = re.sub(r"^[A-Za-z][\w+.-]*:(?://[^/]*)?(?=/)", "", root.rstrip("/"))
+    plain = F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(?://[^/]*)?(?=/)", "")
+    below = plain.substr(F.lit(len(base) + 2), F.length("path"))
+    listed = reader.load(root).select("path", "length").filter(~is_ignored(F.concat(F.lit("/"), below), ignore))
     if max_bytes is not None:
-        files = files.filter((F.col("length") <= max_bytes) | is_manifest(F.col("path")))
+        listed = listed.filter((F.col("length") <= max_bytes) | is_manifest(F.col("path")))
+    # The driver holds the listing anyway to plan the read; contents are not part of it.
+    kept = [r["path"] for r in listed.select("path").toLocalIterator()]
+    files = spark.read.format("binaryFile").load(kept) if kept else reader.load(root).filter(F.lit(False))
+    parts = F.split(below, "/")
+    named = F.when(F.size(parts) > repo_depth, F.array_join(F.slice(parts, 1, repo_depth), "/")).otherwise(F.lit(base.rsplit("/", 1)[-1]))
     return files.select(
-        (F.lit(repo) if repo is not None else F.regexp_extract("path", r"([^/]+)/[^/]*$", 1)).alias("repo"),
-        "path",
-        F.col("content").cast("string").alias("content"),
-        F.col("length").alias("size"),
+        (F.lit(repo) if repo is not None else named).alias("repo"), below.alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size")
     )
 
 
@@ -89,22 +93,17 @@ def scannable(path: Column) -> Column:
     return is_manifest(path) | extension(path).isin(list(reg.HOSTED_EXTENSIONS))
 
 
-def tree_filter(tree: DataFrame, *, public: bool = False, cap: int | None = None, order: str = "path") -> DataFrame:
-    """Entries (repo, path, type, size) worth fetching.
+def tree_filter(tree: DataFrame, *, max_bytes: int | None = None, cap: int | None = None, order: str = "path") -> DataFrame:
+    """Entries (repo, path, type, size) worth fetching; no limit unless one is asked for.
 
-    ``cap`` keeps the first N per repository in tree order; the ranking is
-    pre-limited before the shuffle, so a huge repository stays cheap.
+    ``max_bytes`` does not hold for manifests.  ``cap`` keeps the first N per
+    repository in tree order; the ranking is pre-limited before the shuffle, so
+    a huge repository stays cheap.
     """
-    size_cap = reg.TREE_SIZE_CAP_PUBLIC if public else reg.TREE_SIZE_CAP
     skipped = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(s) for s in reg.TREE_SKIP_SEGMENTS]))
-    kept = tree.filter(
-        (F.col("type") == "blob")
-        & ~skipped
-        & (
-            is_manifest(F.col("path"))
-            | ((F.coalesce("size", F.lit(0)) <= size_cap) & extension(F.col("path")).isin(list(reg.HOSTED_EXTENSIONS)))
-        )
-    )
+    kept = tree.filter((F.col("type") == "blob") & ~skipped & scannable(F.col("path")))
+    if max_bytes is not None:
+        kept = kept.filter(is_manifest(F.col("path")) | (F.coalesce("size", F.lit(0)) <= max_bytes))
     if cap is None:
         return kept
     w = Window.partitionBy("repo").orderBy(order)
@@ -112,18 +111,19 @@ def tree_filter(tree: DataFrame, *, public: bool = False, cap: int | None = None
 
 
 def changed_in_pull_request(files: DataFrame) -> DataFrame:
-    """(path, status) of a pull request -> the ones to scan."""
+    """(repo, path, status) of pull requests -> the ones to scan."""
     return files.filter((F.col("status") != "removed") & scannable(F.col("path")))
 
 
 def changed_in_work_tree(staged: DataFrame, unstaged: DataFrame, untracked: DataFrame) -> DataFrame:
-    """Distinct non-blank names of the three change lists."""
-    names = staged.select("path").union(unstaged.select("path")).union(untracked.select("path"))
-    return names.select(F.trim("path").alias("path")).filter(F.col("path") != "").distinct()
+    """Distinct (repo, path) of the three change lists, without blank names."""
+    names = staged.select("repo", "path").union(unstaged.select("repo", "path")).union(untracked.select("repo", "path"))
+    return names.select("repo", F.trim("path").alias("path")).filter(F.col("path") != "").distinct()
 
 
 def restrict_to(corpus: DataFrame, changed: DataFrame) -> DataFrame:
-    return corpus.join(changed.select("path"), "path", "left_semi")
+    """Files of the corpus that changed: the same path in the same repository."""
+    return corpus.join(changed.select("repo", "path"), ["repo", "path"], "left_semi")
 
 
 def repo_of_url(url: Column) -> Column:
@@ -138,8 +138,6 @@ def repo_of_url(url: Column) -> Column:
     )
 
 
-def within_snippet_limit(snippets: DataFrame) -> DataFrame:
-    """Pasted code beyond the service limit is rejected, not cut."""
-    from ..catalog.registries import SNIPPET_CHAR_CAP
-
-    return snippets.filter(F.length("content") <= SNIPPET_CHAR_CAP)
+def within_snippet_limit(snippets: DataFrame, most: int | None = None) -> DataFrame:
+    """Pasted code beyond a service's limit (SNIPPET_CHAR_CAP, say) is rejected, not cut; without one all of it stays."""
+    return snippets if most is None else snippets.filter(F.length("content") <= most)

@@ -98,24 +98,30 @@ def _tree(spark, sf):
 def _tree_where(cap):
     names, exts, skip = sql_list(reg.MANIFEST_NAMES), sql_list(reg.HOSTED_EXTENSIONS), sql_list(reg.TREE_SKIP_SEGMENTS)
     return f"""type = 'blob' AND NOT list_has_any(string_split(path, '/'), {skip}) AND (list_contains({names}, string_split(path, '/')[-1])
-      OR (size <= {cap} AND list_contains({exts}, lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)))))"""
+      OR ({'true' if cap is None else f'size <= {cap}'} AND list_contains({exts}, lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)))))"""
 
 
 @query(
     "tree_filter_capped",
-    f"""WITH {TREE_SQL}, kept AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rn FROM (SELECT DISTINCT * FROM tree) WHERE {_tree_where(reg.TREE_SIZE_CAP)})
-    SELECT repo, path, size FROM kept WHERE rn <= {reg.TREE_FILE_CAP}""",
+    f"""WITH {TREE_SQL}, kept AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rn FROM (SELECT DISTINCT * FROM tree) WHERE {_tree_where(None)})
+    SELECT repo, count(*) AS files, count(*) FILTER (WHERE rn > {reg.TREE_FILE_CAP}) AS over_cap, count(*) FILTER (WHERE size > {reg.TREE_SIZE_CAP}) AS large FROM kept GROUP BY repo""",
 )
 def tree_filter_capped(spark, sf):
-    return co.tree_filter(_tree(spark, sf).distinct(), cap=reg.TREE_FILE_CAP).select("repo", "path", "size")
+    """All files of each repository, and how many a hosted service would leave out by number or size."""
+    kept = co.tree_filter(_tree(spark, sf).distinct())
+    n = F.count("*")
+    over, large = F.greatest(n - reg.TREE_FILE_CAP, F.lit(0)), F.count_if(F.col("size") > reg.TREE_SIZE_CAP)
+    return kept.groupBy("repo").agg(n.alias("files"), over.alias("over_cap"), large.alias("large"))
 
 
 @query(
     "tree_filter_public",
-    f"WITH {TREE_SQL} SELECT repo, count(*) AS files, sum(size) AS bytes FROM tree WHERE {_tree_where(reg.TREE_SIZE_CAP_PUBLIC)} GROUP BY 1",
+    f"""WITH {TREE_SQL} SELECT repo, count(*) AS files, sum(size) AS bytes, count(*) FILTER (WHERE size > {reg.TREE_SIZE_CAP_PUBLIC}) AS large
+    FROM tree WHERE {_tree_where(None)} GROUP BY 1""",
 )
 def tree_filter_public(spark, sf):
-    return co.tree_filter(_tree(spark, sf), public=True).groupBy("repo").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    kept = co.tree_filter(_tree(spark, sf)).groupBy("repo")
+    return kept.agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.count_if(F.col("size") > reg.TREE_SIZE_CAP_PUBLIC).alias("large"))
 
 
 @query(
@@ -131,29 +137,31 @@ def manifest_detection(spark, sf):
 
 @query(
     "changed_files_pull_request",
-    f"""WITH {TREE_SQL}, pr AS (SELECT DISTINCT path, CASE WHEN size % 3 = 0 THEN 'removed' ELSE 'modified' END AS status FROM tree)
-    SELECT path, status FROM pr WHERE status <> 'removed' AND (list_contains({sql_list(reg.MANIFEST_NAMES)}, string_split(path, '/')[-1])
+    f"""WITH {TREE_SQL}, pr AS (SELECT DISTINCT repo, path, CASE WHEN size % 3 = 0 THEN 'removed' ELSE 'modified' END AS status FROM tree)
+    SELECT repo, path, status FROM pr WHERE status <> 'removed' AND (list_contains({sql_list(reg.MANIFEST_NAMES)}, string_split(path, '/')[-1])
       OR list_contains({sql_list(reg.HOSTED_EXTENSIONS)}, lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1))))""",
 )
 def changed_files_pull_request(spark, sf):
     pr = _tree(spark, sf).select(
-        "path", F.when(F.col("size") % 3 == 0, "removed").otherwise("modified").alias("status")
+        "repo", "path", F.when(F.col("size") % 3 == 0, "removed").otherwise("modified").alias("status")
     ).distinct()
     return co.changed_in_pull_request(pr)
 
 
 @query(
     "changed_files_scope",
-    f"""{CORPUS}, names AS (
-      SELECT trim(p) AS path FROM (
-        SELECT CASE WHEN doc_id % 2 = 0 THEN path || ' ' ELSE '' END AS p FROM corpus UNION ALL
-        SELECT CASE WHEN doc_id % 3 = 0 THEN path ELSE ' ' END FROM corpus UNION ALL
-        SELECT CASE WHEN doc_id % 7 = 0 THEN path ELSE '' END FROM corpus) WHERE trim(p) <> '')
-    SELECT repo, path, length(content) AS size FROM corpus WHERE path IN (SELECT path FROM names)""",
+    f"""{CORPUS}, twice AS (SELECT doc_id, repo, path, content FROM corpus UNION ALL SELECT doc_id + 1, 'fork', path, content FROM corpus),
+    names AS (
+      SELECT repo, trim(p) AS path FROM (
+        SELECT repo, CASE WHEN doc_id % 2 = 0 THEN path || ' ' ELSE '' END AS p FROM twice UNION ALL
+        SELECT repo, CASE WHEN doc_id % 3 = 0 THEN path ELSE ' ' END FROM twice UNION ALL
+        SELECT repo, CASE WHEN doc_id % 7 = 0 THEN path ELSE '' END FROM twice) WHERE trim(p) <> '')
+    SELECT repo, path, length(content) AS size FROM twice WHERE (repo, path) IN (SELECT repo, path FROM names)""",
 )
 def changed_files_scope(spark, sf):
-    c = d.corpus(spark, sf)
-    part = lambda n, hit, miss: c.select(F.when(F.col("doc_id") % n == 0, hit).otherwise(F.lit(miss)).alias("path"))
+    c = d.corpus(spark, sf).select("doc_id", "repo", "path", "size")
+    c = c.union(c.select(F.col("doc_id") + 1, F.lit("fork"), "path", "size"))  # the same paths in another repository
+    part = lambda n, hit, miss: c.select("repo", F.when(F.col("doc_id") % n == 0, hit).otherwise(F.lit(miss)).alias("path"))
     changed = co.changed_in_work_tree(
         part(2, F.concat("path", F.lit(" ")), ""), part(3, F.col("path"), " "), part(7, F.col("path"), "")
     )
