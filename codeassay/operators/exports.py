@@ -1,8 +1,9 @@
 """Documents and reports built from findings and dependencies.
 
-A document covers one scan.  Scans of any size are cut into parts of bounded
-length (``part`` 0 is the whole document for ordinary scans), so no array or
-string grows with a scan.
+A document covers one scan.  It is a table of text fragments (scan_id, place,
+text) that make the document when they are put together in the order of place:
+a head, one fragment per finding or component, and a tail.  So no array or
+string grows with a scan, and a document has one form at every size.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from .reports import severity_counts
 
 SARIF_SCHEMA_URI = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json"
 TOOL = "codeassay"
-PART = 5_000
+#: Files that one folder may get from one append.
+FILES = 4
+#: Place of the fragment that closes a document.
+TAIL = (1 << 63) - 1
 
 
 # --------------------------------------------------------------- findings table
@@ -32,8 +36,9 @@ def findings_table(findings: DataFrame) -> DataFrame:
 
 
 def write_findings(findings: DataFrame, path: str, partition_by: str = "repo", mode: str = "append") -> None:
-    """Append findings, clustered so that each partition folder gets few files."""
-    findings.write.mode(mode).partitionBy(partition_by).parquet(path)
+    """Append findings; rows of a folder meet in a few tasks (a large one in up to ``FILES``), so it gets few files."""
+    salt = F.pmod(F.xxhash64("file_path", "line"), F.lit(FILES))
+    findings.repartition(F.col(partition_by), salt).write.mode(mode).partitionBy(partition_by).parquet(path)
 
 
 def to_json_rows(results: DataFrame) -> DataFrame:
@@ -78,49 +83,52 @@ def sarif_rule() -> Column:
     )
 
 
-def to_sarif(findings: DataFrame, order: list[str], per_document: int = PART) -> DataFrame:
-    """(scan_id, part, sarif): SARIF 2.1.0 documents.
+def to_sarif(findings: DataFrame, order: list[str]) -> DataFrame:
+    """Fragments of SARIF 2.1.0 documents.
 
-    ``rules`` lists the first finding of every rule in the document, in order
-    of appearance; ``results`` lists all findings in order.
+    The head lists the rules once per scan (at most as many as the catalog
+    has), each by its first finding, in order of appearance; ``place`` of a
+    result is its position in the scan.
     """
-    f = grouped_index(findings, "scan_id", order).withColumn("part", F.floor(F.col("idx") / per_document).cast("int"))
-    docs = f.groupBy("scan_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("idx", sarif_result().alias("r"), sarif_rule().alias("u")))).alias("_all")
-    )
-    ids = F.array_distinct(F.transform("_all", lambda x: x["r"]["ruleId"]))
-    docs = docs.withColumns(
-        {
-            "results": F.transform("_all", lambda x: x["r"]),
-            "rules": F.transform(ids, lambda i: F.get(F.filter("_all", lambda x: x["r"]["ruleId"] == i), F.lit(0))["u"]),
-        }
-    )
+    f = grouped_index(findings, "scan_id", order)
+    results = f.select("scan_id", F.col("idx").alias("place"), F.concat(F.when(F.col("idx") > 0, ",").otherwise(""), F.to_json(sarif_result())).alias("text"))
+    rules = f.groupBy("scan_id", "rule_id").agg(F.min_by(sarif_rule(), "idx").alias("u"), F.min("idx").alias("first"))
+    rules = rules.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "u"))), lambda x: x["u"]).alias("rules"))
     driver = F.struct(F.lit(TOOL).alias("name"), F.lit("0.1.0").alias("version"), F.col("rules").alias("rules"))
     doc = F.struct(
         F.lit(SARIF_SCHEMA_URI).alias("$schema"),
         F.lit("2.1.0").alias("version"),
-        F.array(F.struct(F.struct(driver.alias("driver")).alias("tool"), F.col("results").alias("results"))).alias("runs"),
+        F.array(F.struct(F.struct(driver.alias("driver")).alias("tool"), F.array().cast("array<string>").alias("results"))).alias("runs"),
     )
-    return docs.select("scan_id", "part", F.to_json(doc).alias("sarif"))
+    head = rules.select("scan_id", F.lit(-1).cast("bigint").alias("place"), F.regexp_replace(F.to_json(doc), r"\]\}\]\}$", "").alias("text"))
+    tail = rules.select("scan_id", F.lit(TAIL).alias("place"), F.lit(SARIF_END).alias("text"))
+    return results.unionByName(head).unionByName(tail)
+
 
+SARIF_END = "]}]}"
+SARIF_READ = """STRUCT<runs:ARRAY<STRUCT<tool:STRUCT<driver:STRUCT<rules:ARRAY<STRUCT<id:STRING,name:STRING,helpUri:STRING>>>>>>>"""
+RESULT_READ = """STRUCT<ruleId:STRING,level:STRING,locations:ARRAY<STRUCT<physicalLocation:STRUCT<artifactLocation:STRUCT<uri:STRING>,
+region:STRUCT<startLine:INT,startColumn:INT>>>>>"""
 
-SARIF_READ = """STRUCT<runs:ARRAY<STRUCT<tool:STRUCT<driver:STRUCT<rules:ARRAY<STRUCT<id:STRING,name:STRING,helpUri:STRING>>>>,
-results:ARRAY<STRUCT<ruleId:STRING,level:STRING,locations:ARRAY<STRUCT<physicalLocation:STRUCT<artifactLocation:STRUCT<uri:STRING>,
-region:STRUCT<startLine:INT,startColumn:INT>>>>>>>>>"""
 
+def read_sarif_results(fragments: DataFrame) -> DataFrame:
+    """(scan_id, pos, r): results of documents; what can't be read is null."""
+    inner = fragments.filter((F.col("place") >= 0) & (F.col("place") < TAIL))
+    return inner.select("scan_id", F.col("place").alias("pos"), F.from_json(F.ltrim("text", F.lit(",")), RESULT_READ).alias("r"))
 
-def read_sarif(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("doc", F.from_json("sarif", SARIF_READ))
 
+def read_sarif_rules(fragments: DataFrame) -> DataFrame:
+    """(scan_id, pos, r): rules of documents."""
+    heads = fragments.filter("place = -1").select("scan_id", F.from_json(F.concat("text", F.lit(SARIF_END)), SARIF_READ).alias("doc"))
+    return heads.select("scan_id", F.posexplode(F.col("doc.runs")[0]["tool"]["driver"]["rules"]).alias("pos", "r"))
 
-def sarif_summary(documents: DataFrame) -> DataFrame:
-    """Counts read back from documents; unreadable ones count as empty."""
-    levels = F.transform(F.col("doc.runs")[0]["results"], lambda r: r["level"])
-    d = read_sarif(documents).select("scan_id", F.coalesce(levels, F.array().cast("array<string>")).alias("l"))
-    count = lambda v: F.size(F.filter("l", lambda x: x == v))
-    return d.groupBy("scan_id").agg(
-        F.sum(F.size("l")).alias("total"), F.sum(count("error")).alias("critical"), F.sum(count("warning")).alias("warning"),
-        F.sum(F.size("l") - count("error") - count("warning")).alias("info"),
+
+def sarif_summary(fragments: DataFrame) -> DataFrame:
+    """Counts read back from documents."""
+    level = F.col("r.level")
+    return read_sarif_results(fragments).groupBy("scan_id").agg(
+        F.count("*").alias("total"), F.count_if(level == "error").alias("critical"), F.count_if(level == "warning").alias("warning"),
+        F.count_if(~F.coalesce(level.isin("error", "warning"), F.lit(False))).alias("info"),
     )
 
 
@@ -244,7 +252,7 @@ def apply_verdicts(findings: DataFrame, verdicts: DataFrame, key: str = "seq") -
 
 # ------------------------------------------------------------------------- SBOM
 def purl(ecosystem: Column, name: Column, version: Column, fallback: str = "generic") -> Column:
-    scoped = F.when(name.startswith("@"), F.concat(F.lit("%40"), F.substring(name, 2, 10_000))).otherwise(name)
+    scoped = F.when(name.startswith("@"), F.concat(F.lit("%40"), F.substr(name, F.lit(2)))).otherwise(name)
     at = F.lit("@")
     npm = F.concat(F.lit("pkg:npm/"), scoped, at, version)
     return (
@@ -265,35 +273,34 @@ def component() -> Column:
     )
 
 
-def to_sbom(dependencies: DataFrame, order: list[str], project: Column | None = None, per_document: int = PART) -> DataFrame:
-    """(scan_id, part, sbom): CycloneDX 1.5 documents with a component per dependency."""
-    d = grouped_index(dependencies, "scan_id", order).withColumn("part", F.floor(F.col("idx") / per_document).cast("int"))
-    grouped = d.groupBy("scan_id", "part").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("idx", F.to_json(component()).alias("c")))), lambda x: x["c"]).alias("cs")
-    )
-    name = F.col("scan_id").cast("string") if project is None else project
+def to_sbom(dependencies: DataFrame, order: list[str], project: Column | None = None) -> DataFrame:
+    """Fragments of CycloneDX 1.5 documents with a component per dependency."""
+    d = grouped_index(dependencies, "scan_id", order)
+    each = d.select("scan_id", F.col("idx").alias("place"), F.concat(F.when(F.col("idx") > 0, ",").otherwise(""), F.to_json(component())).alias("text"))
+    scans = dependencies.groupBy("scan_id").agg((F.first(F.col("scan_id").cast("string")) if project is None else F.min(project)).alias("_name"))
     head = F.struct(
         F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"),
         F.concat(F.lit("urn:uuid:"), F.uuid()).alias("serialNumber"), F.lit(1).alias("version"),
         F.struct(
             F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
             F.array(F.struct(F.lit(TOOL).alias("vendor"), F.lit(TOOL).alias("name"), F.lit("1.0.0").alias("version"))).alias("tools"),
-            F.struct(F.lit("application").alias("type"), name.alias("name")).alias("component"),
+            F.struct(F.lit("application").alias("type"), F.col("_name").alias("name")).alias("component"),
         ).alias("metadata"),
     )
-    body = F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(',"components":['), F.array_join("cs", ","), F.lit("]}"))
-    return grouped.select("scan_id", "part", body.alias("sbom"))
+    begin = F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(',"components":['))
+    heads = scans.select("scan_id", F.lit(-1).cast("bigint").alias("place"), begin.alias("text"))
+    tails = scans.select("scan_id", F.lit(TAIL).alias("place"), F.lit("]}").alias("text"))
+    return each.unionByName(heads).unionByName(tails)
 
 
-SBOM_READ = """STRUCT<bomFormat:STRING, specVersion:STRING, components:ARRAY<STRUCT<type:STRING, `bom-ref`:STRING, name:STRING, version:STRING,
-purl:STRING, licenses:ARRAY<STRUCT<license:STRUCT<id:STRING>>>, scope:STRING>>>"""
+COMPONENT_READ = """STRUCT<type:STRING, `bom-ref`:STRING, name:STRING, version:STRING, purl:STRING, licenses:ARRAY<STRUCT<license:STRUCT<id:STRING>>>, scope:STRING>"""
 
 
-def read_sbom(documents: DataFrame) -> DataFrame:
-    d = documents.select("scan_id", "part", F.from_json("sbom", SBOM_READ).alias("b"))
-    return d.select("scan_id", "part", F.posexplode("b.components").alias("pos", "c")).select(
-        "scan_id", "part", "pos", "c.name", "c.version", "c.purl", "c.scope", F.col("c.licenses")[0]["license"]["id"].alias("license")
-    )
+def read_sbom(fragments: DataFrame) -> DataFrame:
+    """(scan_id, pos, name, version, purl, scope, license) of all components."""
+    inner = fragments.filter((F.col("place") >= 0) & (F.col("place") < TAIL))
+    c = inner.select("scan_id", F.col("place").alias("pos"), F.from_json(F.ltrim("text", F.lit(",")), COMPONENT_READ).alias("c"))
+    return c.select("scan_id", "pos", "c.name", "c.version", "c.purl", "c.scope", F.col("c.licenses")[0]["license"]["id"].alias("license"))
 
 
 # ------------------------------------------------------------------ cache keys

@@ -83,10 +83,10 @@ def _sarif(spark, sf):
     f"""{F_} SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY seq) - 1 AS pos, rule_id AS "ruleId", {LEVEL} AS level, file_path AS uri, line AS start_line, "column" AS start_column FROM findings""",
 )
 def sarif_results(spark, sf):
-    r = ex.read_sarif(_sarif(spark, sf)).select("scan_id", "part", F.posexplode(F.col("doc.runs")[0]["results"]).alias("p", "r"))
+    r = ex.read_sarif_results(_sarif(spark, sf))
     loc = F.col("r.locations")[0]["physicalLocation"]
     return r.select(
-        "scan_id", (F.col("part") * ex.PART + F.col("p")).cast("bigint").alias("pos"), "r.ruleId", "r.level",
+        "scan_id", "pos", "r.ruleId", "r.level",
         loc["artifactLocation"]["uri"].alias("uri"), loc["region"]["startLine"].alias("start_line"), loc["region"]["startColumn"].alias("start_column"),
     )
 
@@ -99,7 +99,7 @@ def sarif_results(spark, sf):
       'https://cwe.mitre.org/data/definitions/' || replace(o.cwe, 'CWE-', '') || '.html' AS "helpUri" FROM o JOIN fst USING (scan_id, rule_id, k)""",
 )
 def sarif_rules(spark, sf):
-    r = ex.read_sarif(_sarif(spark, sf)).select("scan_id", F.posexplode(F.col("doc.runs")[0]["tool"]["driver"]["rules"]).alias("pos", "r"))
+    r = ex.read_sarif_rules(_sarif(spark, sf))
     return r.select("scan_id", F.col("pos").cast("bigint").alias("pos"), "r.id", "r.name", "r.helpUri")
 
 
@@ -195,7 +195,7 @@ def _sbom_deps(spark, sf):
     "sbom_components",
     f"""WITH {v.dependencies()}, o AS (SELECT * REPLACE (CASE WHEN line = 7 THEN 'Maven' ELSE ecosystem END AS ecosystem),
       source || '|' || printf('%02d', line) || '|' || name || '|' || CAST(dev AS VARCHAR) AS k FROM deps)
-    SELECT scan_id, 0 AS part, row_number() OVER (PARTITION BY scan_id ORDER BY k) - 1 AS pos, name, version,
+    SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY k) - 1 AS pos, name, version,
       CASE ecosystem WHEN 'npm' THEN 'pkg:npm/' || CASE WHEN starts_with(name, '@') THEN '%40' || substr(name, 2) ELSE name END || '@' || version
         WHEN 'PyPI' THEN 'pkg:pypi/' || lower(name) || '@' || version WHEN 'Go' THEN 'pkg:golang/' || name || '@' || version
         WHEN 'crates.io' THEN 'pkg:cargo/' || name || '@' || version ELSE 'pkg:generic/' || name || '@' || version END AS purl,
@@ -203,7 +203,7 @@ def _sbom_deps(spark, sf):
 )
 def sbom_components(spark, sf):
     docs = ex.to_sbom(_sbom_deps(spark, sf), ["k"])
-    return ex.read_sbom(docs).withColumn("pos", F.col("pos").cast("bigint"))
+    return ex.read_sbom(docs)
 
 
 @query(
