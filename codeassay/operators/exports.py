@@ -214,16 +214,13 @@ def scan_notifications(scans: DataFrame, projects: DataFrame, kind: str = "sched
     )
 
 
-def audit_digest(findings: DataFrame, n: int = 100, tie: str = "seq") -> DataFrame:
-    """(scan_id, digest): the first n findings by severity text, numbered."""
-    top = top_per_group(findings, ["scan_id"], ["severity", tie], n)
-    text = F.concat(
+def audit_digest(findings: DataFrame, tie: str = "seq") -> DataFrame:
+    """(scan_id, rn, entry): all findings of a scan by severity text, numbered; a digest is its entries in order."""
+    entry = F.concat(
         F.format_string("%d. [%s] %s - %s:%d\n   %s", "rn", "severity", "rule_name", "file_path", "line", "message"),
-        F.when(F.coalesce("snippet", F.lit("")) != "", F.concat(F.lit("\n   Code: "), F.substring("snippet", 1, 100))).otherwise(""),
-    )
-    return top.groupBy("scan_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", text.alias("t")))), lambda x: x["t"]), "\n").alias("digest")
+        F.when(F.coalesce("snippet", F.lit("")) != "", F.concat(F.lit("\n   Code: "), "snippet")).otherwise(""),
     )
+    return grouped_index(findings, "scan_id", ["severity", tie]).withColumn("rn", F.col("idx") + 1).select("scan_id", "rn", entry.alias("entry"))
 
 
 def context_excerpt(findings: DataFrame, corpus: DataFrame) -> DataFrame:

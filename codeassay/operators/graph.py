@@ -170,35 +170,35 @@ def flag_reachable(findings: DataFrame, reachable: DataFrame, scan: str = "repo"
     ).drop("_key", "_hit")
 
 
-def dep_chains(edges: DataFrame, targets: DataFrame, scan: str = "repo", max_depth: int = 5, max_paths: int = 3) -> DataFrame:
+def dep_chains(
+    edges: DataFrame, targets: DataFrame, scan: str = "repo", max_depth: int | None = None, max_paths: int | None = None
+) -> DataFrame:
     """Upward chains from a target to packages nobody depends on.
 
-    A chain has at most ``max_depth`` nodes.  A node keeps one chain per target
-    (the shortest, then the smallest), and a target reports the first
-    ``max_paths`` chains by length and text.
+    A node keeps one chain per target (the shortest, then the smallest), so
+    cycles end.  ``max_depth`` bounds the nodes of a chain and ``max_paths`` the
+    chains of a target (by length, then text); without them all are given.
     """
-    up = edges.select(scan, F.col("child_key").alias("node"), F.col("parent_key").alias("parent")).distinct()
-    up = up.repartition(scan, "node").persist(StorageLevel.MEMORY_AND_DISK)
+    up = cut_lineage(edges.select(scan, F.col("child_key").alias("node"), F.col("parent_key").alias("parent")).distinct())
     has_parent = up.select(scan, "node").distinct().withColumn("_up", F.lit(True))
     level = targets.select(scan, F.col("dep_key").alias("target"), F.col("dep_key").alias("node")).distinct().withColumn(
         "chain", F.array("node")
     )
-    seen = None
-    finished = []
-    for depth in range(1, max_depth + 1):
+    seen, finished, depth = level.select(scan, "target", "node"), [], 1
+    while True:
         marked = level.join(has_parent, [scan, "node"], "left")
         finished.append(marked.filter(F.col("_up").isNull()).select(scan, "target", "chain"))
         if depth == max_depth:
             break
         step = level.join(up, [scan, "node"]).select(scan, "target", F.col("parent").alias("node"), F.array_append("chain", F.col("parent")).alias("chain"))
-        best = step.groupBy(scan, "target", "node").agg(F.min("chain").alias("chain"))
-        if seen is not None:
-            best = best.join(seen, [scan, "target", "node"], "left_anti")
-        level = cut_lineage(best)
-        visited = level.select(scan, "target", "node")
-        seen = visited if seen is None else seen.unionByName(visited)
+        best = step.groupBy(scan, "target", "node").agg(F.min("chain").alias("chain")).join(seen, [scan, "target", "node"], "left_anti")
+        level, depth = cut_lineage(best), depth + 1
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level.select(scan, "target", "node"))
     out = finished[0]
     for f in finished[1:]:
         out = out.unionByName(f)
     w = Window.partitionBy(scan, "target").orderBy(F.size("chain"), "chain")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max_paths)
+    out = out.withColumn("rank", F.row_number().over(w))
+    return out if max_paths is None else out.filter(F.col("rank") <= max_paths)

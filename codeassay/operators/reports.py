@@ -35,9 +35,9 @@ def severity_rollup_levels(findings: DataFrame, *levels: str) -> DataFrame:
 
 
 def latest_completed(scans: DataFrame, recent: int | None = None, order=("created_at", "scan_id")) -> DataFrame:
-    """Newest completed scan per project, optionally among the newest ``recent`` scans only."""
+    """Newest completed scan per project, optionally among the newest ``recent`` scans of each project."""
     newest = [F.desc(o) for o in order]
-    base = scans if recent is None else scans.orderBy(*newest).limit(recent)
+    base = scans if recent is None else top_per_group(scans, ["project_id"], newest, recent).drop("rn")
     return top_per_group(base.filter(F.col("status") == "completed"), ["project_id"], newest, 1).drop("rn")
 
 
@@ -61,13 +61,10 @@ def portfolio(latest: DataFrame, keys=()) -> DataFrame:
     )
 
 
-def trend(scans: DataFrame, recent: int = 10, order=("created_at", "scan_id"), keys=()) -> DataFrame:
-    """Counts per day over the newest ``recent`` scans (per key) that completed."""
+def trend(scans: DataFrame, recent: int | None = None, order=("created_at", "scan_id"), keys=()) -> DataFrame:
+    """Counts per day over completed scans; with keys, optionally those among the newest ``recent`` of each."""
     newest = [F.desc(o) for o in order]
-    if keys:
-        base = top_per_group(scans, list(keys), newest, recent).drop("rn")
-    else:
-        base = scans.orderBy(*newest).limit(recent)
+    base = top_per_group(scans, list(keys), newest, recent).drop("rn") if keys and recent else scans
     day = F.to_date("created_at").alias("day")
     return base.filter(F.col("status") == "completed").groupBy(*keys, day).agg(
         F.sum("critical_count").alias("critical"), F.sum("warning_count").alias("warning"), F.sum("info_count").alias("info"),
@@ -226,8 +223,8 @@ def find_or_create_projects(projects: DataFrame, requested: DataFrame) -> DataFr
     )
 
 
-def due_projects(projects: DataFrame, as_of: Column, limit: int | None = 5) -> DataFrame:
-    """Daily schedules always, weekly ones on Sundays; the first ``limit`` by key."""
+def due_projects(projects: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
+    """Daily schedules always, weekly ones on Sundays; all of them, or the first ``limit`` by key."""
     s = F.col("scan_schedule")
     due = projects.filter(
         s.isNotNull() & (s != "none") & ((s == "daily") | ((s == "weekly") & (F.dayofweek(as_of) == 1)))

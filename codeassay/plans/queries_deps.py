@@ -70,14 +70,13 @@ def dependency_dedup(spark, sf):
     "dependency_dedup_capped",
     f"""WITH {v.dependencies()}, u AS (SELECT * FROM (SELECT scan_id % 7 AS scan_id, ecosystem, name, version, source, line, dev,
       row_number() OVER (PARTITION BY scan_id % 7, ecosystem, name, version ORDER BY source, line, dev) AS rn FROM deps) WHERE rn = 1)
-    SELECT scan_id, ecosystem, name, version, source, line FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY source, line, dev, name, version, ecosystem) AS k FROM u)
-    WHERE k <= {reg.PACKAGE_CAP}""",
+    SELECT scan_id, count(*) AS packages, greatest(count(*) - {reg.PACKAGE_CAP}, 0) AS over_cap FROM u GROUP BY 1""",
 )
 def dependency_dedup_capped(spark, sf):
     deps = d.dependencies(spark, sf).withColumn("scan_id", F.col("scan_id") % 7)
-    return mf.dedup_dependencies(deps, "scan_id", ("source", "line", "dev"), cap=reg.PACKAGE_CAP).select(
-        "scan_id", "ecosystem", "name", "version", "source", "line"
-    )
+    n = F.count("*")
+    unique = mf.dedup_dependencies(deps, "scan_id", ("source", "line", "dev")).groupBy("scan_id")
+    return unique.agg(n.alias("packages"), F.greatest(n - reg.PACKAGE_CAP, F.lit(0)).alias("over_cap"))
 
 
 @_register(
@@ -288,5 +287,5 @@ def _chain_sql():
 
 @_register("dependency_chains", _chain_sql())
 def dependency_chains(spark, sf):
-    c = gr.dep_chains(d.edges(spark, sf), _seeds(spark, sf), "scan_id")
+    c = gr.dep_chains(d.edges(spark, sf), _seeds(spark, sf), "scan_id", max_depth=5, max_paths=3)
     return c.select("scan_id", "target", F.array_join("chain", " < ").alias("chain"), "rank")

@@ -163,8 +163,7 @@ def scan_notifications(spark, sf):
 @query(
     "audit_digest",
     f"""{F_}, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY severity, seq) AS rn FROM findings WHERE {REAL})
-    SELECT scan_id, string_agg(rn || '. [' || severity || '] ' || rule_name || ' - ' || file_path || ':' || line || chr(10) || '   ' || message || chr(10) || '   Code: ' || substr(snippet, 1, 100), chr(10) ORDER BY rn) AS digest
-    FROM r WHERE rn <= 100 GROUP BY 1""",
+    SELECT scan_id, rn, rn || '. [' || severity || '] ' || rule_name || ' - ' || file_path || ':' || line || chr(10) || '   ' || message || chr(10) || '   Code: ' || snippet AS entry FROM r""",
 )
 def audit_digest(spark, sf):
     from ..operators.policies import without_markers
@@ -294,8 +293,8 @@ def cache_live_entries(spark, sf):
 @query(
     "cache_live_newest",
     f"""{F_}, {KEYS}, c AS (SELECT explain_key AS cache_key, max(created_at) AS t FROM keys WHERE line = 1 GROUP BY 1)
-    SELECT cache_key FROM c WHERE epoch_ms(TIMESTAMP '2001-10-01 00:00:00') - epoch_ms(t) <= 15724800000 ORDER BY t DESC, cache_key LIMIT 5000""",
+    SELECT cache_key, t AS created_at FROM c WHERE epoch_ms(TIMESTAMP '2001-10-01 00:00:00') - epoch_ms(t) <= 15724800000""",
 )
 def cache_live_newest(spark, sf):
     as_of = F.to_timestamp(F.lit("2001-10-01 00:00:00"))
-    return ex.live_entries(_cache(spark, sf), as_of, 604_800 * 26, capacity=5000).select("cache_key")
+    return ex.live_entries(_cache(spark, sf), as_of, 604_800 * 26).select("cache_key", "created_at")

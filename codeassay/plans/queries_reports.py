@@ -54,11 +54,11 @@ def latest_completed_scan(spark, sf):
 
 @query(
     "latest_completed_scan_recent",
-    f"""{S_}, r AS (SELECT * FROM scans ORDER BY created_at DESC, scan_id DESC LIMIT 50)
-    SELECT project_id, scan_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, scan_id DESC) AS rn FROM r WHERE status = 'completed') WHERE rn = 1""",
+    f"""{S_}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, scan_id DESC) AS k FROM scans)
+    SELECT project_id, scan_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY k) AS rn FROM r WHERE k <= 3 AND status = 'completed') WHERE rn = 1""",
 )
 def latest_completed_scan_recent(spark, sf):
-    return rp.latest_completed(d.scans(spark, sf), recent=50).select("project_id", "scan_id")
+    return rp.latest_completed(d.scans(spark, sf), recent=3).select("project_id", "scan_id")
 
 
 @query(
@@ -84,7 +84,7 @@ TREND = "sum(critical_count) AS critical, sum(warning_count) AS warning, sum(inf
 
 @query(
     "trend_recent",
-    f"{S_}, r AS (SELECT * FROM scans ORDER BY created_at DESC, scan_id DESC LIMIT 10) SELECT CAST(created_at AS DATE) AS day, {TREND} FROM r WHERE status = 'completed' GROUP BY 1",
+    f"{S_} SELECT CAST(created_at AS DATE) AS day, {TREND} FROM scans WHERE status = 'completed' GROUP BY 1",
 )
 def trend_recent(spark, sf):
     return rp.trend(d.scans(spark, sf))
@@ -96,7 +96,7 @@ def trend_recent(spark, sf):
     SELECT project_id, CAST(created_at AS DATE) AS day, {TREND} FROM r WHERE status = 'completed' GROUP BY 1, 2""",
 )
 def trend_per_project(spark, sf):
-    return rp.trend(d.scans(spark, sf), keys=("project_id",))
+    return rp.trend(d.scans(spark, sf), 10, keys=("project_id",))
 
 
 @query(
@@ -271,7 +271,7 @@ def schedule_eligibility(spark, sf):
     return rp.due_projects(d.projects(spark, sf), F.to_timestamp(F.lit("2024-01-07 06:00:00")), limit=None).select("project_id", "scan_schedule")
 
 
-@query("schedule_batch", f"{S_} SELECT project_id, scan_schedule FROM projects WHERE scan_schedule = 'daily' ORDER BY project_id LIMIT 5")
+@query("schedule_batch", f"{S_} SELECT project_id, scan_schedule FROM projects WHERE scan_schedule = 'daily'")
 def schedule_batch(spark, sf):
     return rp.due_projects(d.projects(spark, sf), F.to_timestamp(F.lit("2024-01-08 06:00:00"))).select("project_id", "scan_schedule")
 
