@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import detectors as cat
 from ..sources import derived as d, oracle_views as v
 from ..streaming import events as ev
-from ..streaming.runner import run_available
+from ..streaming.runner import run_available, run_updates
 from . import sast_oracle as so
 from .queries_sast import OUT
 from .scan import scan
@@ -79,20 +79,7 @@ def debounced_edits(spark, sf):
     return ev.debounce(e, "6 hours")
 
 
-QUOTA_SQL = """WITH RECURSIVE o AS (SELECT user_id AS k, event_id AS id, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-  r(k, id, n, t, mn, me, dn, de, ok, wait) AS (
-    SELECT k, id, n, t, 1, t + 60000, 1, t + 86400000, true, CAST(NULL AS BIGINT) FROM o WHERE n = 1
-    UNION ALL
-    SELECT k, id, n, t,
-      CASE WHEN t > de THEN 1 WHEN dn >= {daily} THEN mn0 WHEN mn0 >= {burst} THEN mn0 ELSE mn0 + 1 END,
-      CASE WHEN t > de THEN t + 60000 ELSE me0 END,
-      CASE WHEN t > de THEN 1 WHEN dn >= {daily} OR mn0 >= {burst} THEN dn ELSE dn + 1 END,
-      CASE WHEN t > de THEN t + 86400000 ELSE de END,
-      t > de OR (dn < {daily} AND mn0 < {burst}),
-      CASE WHEN t > de THEN NULL WHEN dn >= {daily} THEN CAST(ceil((de - t) / 1000.0) AS BIGINT) WHEN mn0 >= {burst} THEN CAST(ceil((me0 - t) / 1000.0) AS BIGINT) END
-    FROM (SELECT o.k, o.id, o.n, o.t, r.dn, r.de, CASE WHEN o.t > r.me THEN 0 ELSE r.mn END AS mn0, CASE WHEN o.t > r.me THEN o.t + 60000 ELSE r.me END AS me0
-      FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1))
-  SELECT CAST(k AS VARCHAR) AS key, id AS request_id, ok AS allowed, wait AS retry_after FROM r"""
+QUOTA_SQL = """SELECT CAST(user_id AS VARCHAR) AS key, date_trunc('{unit}', ts) AS window_start, count(*) AS n, greatest(count(*) - {limit}, 0) AS over FROM events GROUP BY 1, 2"""
 
 
 def _requests(spark, sf, stream):
@@ -103,15 +90,16 @@ def _requests(spark, sf, stream):
     )
 
 
-@query("quota_fixed_window", QUOTA_SQL.format(burst=5, daily=30))
+@query("quota_fixed_window", QUOTA_SQL.format(unit="day", limit=30))
 def quota_fixed_window(spark, sf):
-    return run_available(ev.quota_audit(_requests(spark, sf, True)), "quota").select("key", "request_id", "allowed", "retry_after")
+    windows = ev.quota_windows(_requests(spark, sf, True), "1 day", 30)
+    return run_updates(windows, "quota", ["key", "window_start"])
 
 
-@query("quota_fixed_window_tight", QUOTA_SQL.format(burst=1, daily=2))
+@query("quota_fixed_window_tight", QUOTA_SQL.format(unit="minute", limit=1))
 def quota_fixed_window_tight(spark, sf):
-    """Low limits, so that rejections are common in this table."""
-    return run_available(ev.quota_audit(_requests(spark, sf, True), burst=1, daily=2), "quota").select("key", "request_id", "allowed", "retry_after")
+    windows = ev.quota_windows(_requests(spark, sf, True), "1 minute", 1)
+    return run_updates(windows, "quota", ["key", "window_start"])
 
 
 @query(
@@ -154,50 +142,54 @@ def daily_trend(spark, sf):
 
 @query(
     "daily_trend_stream",
-    """WITH w AS (SELECT date_trunc('day', ts) AS day, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS critical, count(*) FILTER (WHERE event_type = 'click') AS warning FROM events GROUP BY 1)
-    SELECT * FROM w WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""",
+    """WITH w AS (SELECT date_trunc('day', ts) AS day, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS critical, count(*) FILTER (WHERE event_type = 'click') AS warning FROM events GROUP BY 1) SELECT * FROM w""",
 )
 def daily_trend_stream(spark, sf):
     e = d.table_stream(spark, sf, "events").select(
         F.col("ts").cast("timestamp").alias("created_at"),
         F.when(F.col("event_type") == "error", "critical").when(F.col("event_type") == "click", "warning").otherwise("info").alias("severity"),
     )
-    return run_available(ev.daily_counts(e), "daily")
+    return run_updates(ev.daily_counts(e), "daily", ["day"])
 
 
-# timeouts depend on the watermark, so SQL has no counterpart
-@query("scan_lifecycle_stream")
+LIFE_SQL = """e AS (SELECT event_id // 4 AS scan_id, event_id, ['pending', 'running', 'completed', 'failed', 'running'][event_id * 7 % 5 + 1] AS status, (epoch_us(ts) // 1000) AS t FROM events),
+    g AS (SELECT scan_id, min((t, event_id)) FILTER (status = 'pending') AS p, min((t, event_id)) FILTER (status = 'running') AS r0,
+      min((t, event_id, status)) FILTER (status IN ('completed', 'failed')) AS f FROM e GROUP BY 1),
+    h AS (SELECT *, CASE WHEN f IS NULL OR (r0[1], r0[2]) < (f[1], f[2]) THEN r0 END AS r FROM g),
+    tr AS (SELECT scan_id, 'pending' AS status, p[1] AS at_ms FROM h WHERE p IS NOT NULL AND (r IS NULL OR p < r) AND (f IS NULL OR p < (f[1], f[2]))
+      UNION ALL SELECT scan_id, 'running', r[1] FROM h WHERE r IS NOT NULL
+      UNION ALL SELECT scan_id, CASE WHEN late THEN 'failed' ELSE f[3] END, CASE WHEN late THEN r[1] + 900000 ELSE f[1] END
+        FROM (SELECT *, coalesce(r[1] + 900000 <= (SELECT max(t) FROM e) AND (f IS NULL OR f[1] > r[1] + 900000), false) AS late FROM h) WHERE late OR f IS NOT NULL)"""
+
+
+def _transitions(spark, sf, name):
+    minima = run_updates(ev.status_minima(_status_events(d.table_stream(spark, sf, "events"))), name, ["scan_id", "day"])
+    return ev.transitions(minima, minima.agg(F.max("last_ms")).first()[0] or 0)
+
+
+@query("scan_lifecycle_stream", f"WITH {LIFE_SQL} SELECT scan_id, status, at_ms FROM tr")
 def scan_lifecycle_stream(spark, sf):
-    return run_available(ev.lifecycle_stream(_status_events(d.table_stream(spark, sf, "events"))), "lifecycle")
+    return _transitions(spark, sf, "lifecycle")
 
 
-@query(
-    "completion_notices_stream",
-    """WITH e AS (SELECT event_id // 4 AS scan_id, event_id, ['pending', 'running', 'completed', 'failed', 'running'][event_id * 7 % 5 + 1] AS status, ts FROM events),
-    t AS (SELECT scan_id, arg_min(status, (ts, event_id)) AS status FROM e WHERE status IN ('completed', 'failed') GROUP BY 1)
-    SELECT scan_id, 'scheduled_scan' AS type, '/scans/' || scan_id AS link FROM t WHERE status = 'completed'""",
-)
+@query("completion_notices_stream", f"WITH {LIFE_SQL} SELECT scan_id, 'scheduled_scan' AS type, '/scans/' || scan_id AS link FROM tr WHERE status = 'completed'")
 def completion_notices_stream(spark, sf):
-    transitions = ev.lifecycle_stream(_status_events(d.table_stream(spark, sf, "events")))
-    return run_available(ev.completion_notices(transitions), "notices")
+    return ev.completion_notices(_transitions(spark, sf, "notices"))
 
 
 @query(
     "cached_lookups_stream",
-    """WITH RECURSIVE o AS (SELECT user_id AS k, event_id AS id, (epoch_us(ts) // 1000) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-    r(k, id, n, put, hit) AS (SELECT k, id, n, t, false FROM o WHERE n = 1
-      UNION ALL SELECT o.k, o.id, o.n, CASE WHEN o.t - r.put > 21600000 THEN o.t ELSE r.put END, o.t - r.put <= 21600000 FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1)
-    SELECT CAST(k AS VARCHAR) AS key, id AS request_id, hit FROM r""",
+    """SELECT CAST(user_id AS VARCHAR) AS key, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01 00:00:00') AS window_start, count(*) AS lookups, count(*) - 1 AS hits FROM events GROUP BY 1, 2""",
 )
 def cached_lookups_stream(spark, sf):
-    return run_available(ev.cached_lookups(_requests(spark, sf, True), ttl_seconds=21_600), "lookups").select("key", "request_id", "hit")
+    return run_updates(ev.lookup_windows(_requests(spark, sf, True), "6 hours"), "lookups", ["key", "window_start"])
 
 
 @query(
     "quota_sliding_window_stream",
     """WITH x AS (SELECT user_id, ts, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS w FROM events)
-    SELECT CAST(user_id AS VARCHAR) AS key, w AS window_start, count(*) AS n FROM x GROUP BY 1, 2
-    HAVING count(*) > 5 AND w + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 5 MINUTE FROM events)""",
+    SELECT CAST(user_id AS VARCHAR) AS key, w AS window_start, count(*) AS n, count(*) > CASE WHEN user_id % 4 = 0 THEN 20 ELSE 5 END AS rejected FROM x GROUP BY user_id, w""",
 )
 def quota_sliding_window_stream(spark, sf):
-    return run_available(ev.sliding_quota_stream(_requests(spark, sf, True), window="2 days", slide="1 day"), "sliding")
+    windows = ev.sliding_quota_stream(_requests(spark, sf, True), window="2 days", slide="1 day")
+    return run_updates(windows, "sliding", ["key", "window_start"])

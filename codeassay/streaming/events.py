@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..catalog import registries as reg
 
@@ -36,55 +32,16 @@ def debounce(edits: DataFrame, gap: str = "300 milliseconds", watermark: str = "
 
 
 # -------------------------------------------------------------------- quotas
-def admit(state: tuple, now: int, burst: int = reg.BURST_LIMIT, daily: int = reg.DAILY_LIMIT) -> tuple[tuple, bool, int | None]:
-    """One request against (minute count, minute reset, day count, day reset).
-
-    Windows start at the first request after the previous one ended; rejected
-    requests do not count.  Returns the new state, the decision and the seconds
-    to wait.  Times are milliseconds.
-    """
-    minute_n, minute_end, day_n, day_end = state
-    if day_end is None or now > day_end:
-        return (1, now + reg.BURST_SECONDS * 1000, 1, now + reg.DAILY_SECONDS * 1000), True, None
-    if now > minute_end:
-        minute_n, minute_end = 0, now + reg.BURST_SECONDS * 1000
-    if day_n >= daily:
-        return (minute_n, minute_end, day_n, day_end), False, -((now - day_end) // 1000)
-    if minute_n >= burst:
-        return (minute_n, minute_end, day_n, day_end), False, -((now - minute_end) // 1000)
-    return (minute_n + 1, minute_end, day_n + 1, day_end), True, None
-
+def quota_windows(requests: DataFrame, window: str, limit: int, watermark: str = "1 day") -> DataFrame:
+    """(key, window_start, n, over): requests of a key in each fixed window, and how many of them are over the limit.
 
-QUOTA_OUT = "key string, request_id bigint, ts_ms bigint, allowed boolean, retry_after bigint"
-QUOTA_STATE = "minute_n int, minute_end bigint, day_n int, day_end bigint"
-
-
-def quota_audit(requests: DataFrame, burst: int = reg.BURST_LIMIT, daily: int = reg.DAILY_LIMIT) -> DataFrame:
-    """Fixed-window decision per request: (key, request_id, ts) stream -> QUOTA_OUT.
-
-    The state of a key is four numbers.  Requests of a key must arrive in time
-    order across triggers; inside a trigger they are sorted here.  Trigger
-    size (files or bytes per trigger) bounds what one key brings at a time.
+    Windows follow the clock.  Serves a batch and, in update mode, a stream;
+    state goes with the watermark.
     """
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        rows = pd.concat(list(frames)).sort_values(["ts_ms", "request_id"])
-        current = state.get if state.exists else (0, None, 0, None)
-        decisions, waits = [], []
-        for now in rows["ts_ms"].tolist():
-            current, ok, wait = admit(current, now, burst, daily)
-            decisions.append(ok)
-            waits.append(wait)
-        state.update(current)
-        yield pd.DataFrame(
-            {
-                "key": key[0], "request_id": rows["request_id"].to_numpy(), "ts_ms": rows["ts_ms"].to_numpy(),
-                "allowed": decisions, "retry_after": pd.array(waits, dtype="Int64"),
-            }
-        )
-
-    keyed = requests.select("key", "request_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
-    return keyed.groupBy("key").applyInPandasWithState(step, QUOTA_OUT, QUOTA_STATE, "append", GroupStateTimeout.NoTimeout)
+    r = requests.withWatermark("ts", watermark) if requests.isStreaming else requests
+    return r.groupBy("key", F.window("ts", window).alias("w")).agg(F.count("*").alias("n")).select(
+        "key", F.col("w.start").alias("window_start"), "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("over")
+    )
 
 
 def sliding_quota(requests: DataFrame, seconds: int = reg.SLIDING_SECONDS) -> DataFrame:
@@ -110,55 +67,26 @@ def sliding_quota(requests: DataFrame, seconds: int = reg.SLIDING_SECONDS) -> Da
 def sliding_quota_stream(
     requests: DataFrame, window: str = f"{reg.SLIDING_SECONDS} seconds", slide: str = "10 seconds", watermark: str = "5 minutes"
 ) -> DataFrame:
-    """Approximation on a stream: keys over the limit in overlapping windows."""
+    """Approximation on a stream: requests of keys in overlapping windows, and whether they exceed the key's limit."""
+    limit = F.when(F.col("authenticated"), F.lit(reg.SLIDING_USER)).otherwise(F.lit(reg.SLIDING_ANON))
     return (
         requests.withWatermark("ts", watermark)
-        .groupBy("key", F.window("ts", window, slide).alias("w"))
+        .groupBy("key", "authenticated", F.window("ts", window, slide).alias("w"))
         .agg(F.count("*").alias("n"))
-        .filter(F.col("n") > reg.SLIDING_ANON)
-        .select("key", F.col("w.start").alias("window_start"), "n")
+        .select("key", F.col("w.start").alias("window_start"), "n", (F.col("n") > limit).alias("rejected"))
     )
 
 
 # ------------------------------------------------------------ cached look-ups
-LOOKUP_OUT = "key string, request_id bigint, ts_ms bigint, hit boolean"
-
-
-def cached_lookups(lookups: DataFrame, ttl_seconds: int = 300) -> DataFrame:
-    """Hit or miss per look-up of a keyed cache whose entries live for a fixed time.
-
-    (key, request_id, ts) stream; the state of a key is the time its entry was
-    stored.  A miss stores the entry anew.
-    """
-    ttl = ttl_seconds * 1000
-
-    def step(key, frames, state: GroupState):
-        rows = pd.concat(list(frames)).sort_values(["ts_ms", "request_id"])
-        put = state.get[0] if state.exists else None
-        hits = []
-        for now in rows["ts_ms"].tolist():
-            hit = put is not None and now - put <= ttl
-            if not hit:
-                put = now
-            hits.append(hit)
-        state.update((put,))
-        yield pd.DataFrame(
-            {"key": key[0], "request_id": rows["request_id"].to_numpy(), "ts_ms": rows["ts_ms"].to_numpy(), "hit": hits}
-        )
-
-    keyed = lookups.select("key", "request_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
-    return keyed.groupBy("key").applyInPandasWithState(step, LOOKUP_OUT, "put bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def distinct_lookups(lookups: DataFrame, ttl: str = "5 minutes") -> DataFrame:
-    """The built-in form: drop repeats of a key that arrive within the watermark."""
-    return lookups.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["key"])
+def lookup_windows(lookups: DataFrame, ttl: str = "5 minutes", watermark: str = "1 day") -> DataFrame:
+    """(key, window_start, lookups, hits): look-ups of a cache whose entries live to the end of their window; the first of a window misses."""
+    r = lookups.withWatermark("ts", watermark) if lookups.isStreaming else lookups
+    return r.groupBy("key", F.window("ts", ttl).alias("w")).agg(F.count("*").alias("lookups")).select(
+        "key", F.col("w.start").alias("window_start"), "lookups", (F.col("lookups") - 1).alias("hits")
+    )
 
 
 # ----------------------------------------------------------------- lifecycle
-RANKS = {"pending": 0, "running": 1, "completed": 2, "failed": 2}
-
-
 def status_rank(status: Column) -> Column:
     return F.when(status.isin("completed", "failed"), 2).when(status == "running", 1).otherwise(0)
 
@@ -176,39 +104,37 @@ def lifecycle(status_events: DataFrame) -> DataFrame:
     )
 
 
-LIFE_OUT = "scan_id bigint, status string, at_ms bigint"
-LIFE_STATE = "status string, since bigint"
-
-
-def lifecycle_stream(status_events: DataFrame, minutes: int = reg.STUCK_MINUTES, watermark: str = "1 minute") -> DataFrame:
-    """Transitions per scan: pending to running once, then a terminal status
-    that sticks.  A scan that runs longer than the limit in event time fails."""
-    order = RANKS
-
-    def step(key, frames, state: GroupState):
-        out = []
-        status, since = state.get if state.exists else (None, None)
-        if state.hasTimedOut:
-            if status == "running":
-                at = since + minutes * 60_000
-                out.append((key[0], "failed", at))
-                status, since = "failed", at
-                state.update((status, since))
-        else:
-            rows = pd.concat(list(frames)).sort_values(["ts_ms", "event_id"])
-            for s, at in zip(rows["status"], rows["ts_ms"]):
-                if status is None or order[s] > order[status]:
-                    status, since = s, int(at)
-                    out.append((key[0], status, since))
-            state.update((status, since))
-            if status == "running":
-                state.setTimeoutTimestamp(max(since + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["scan_id", "status", "at_ms"])
-
-    keyed = status_events.withWatermark("ts", watermark).select(
-        "scan_id", "status", "event_id", "ts", F.unix_millis("ts").alias("ts_ms")
-    )
-    return keyed.groupBy("scan_id").applyInPandasWithState(step, LIFE_OUT, LIFE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def status_minima(status_events: DataFrame, watermark: str = "1 day") -> DataFrame:
+    """First events of each kind per scan and day: (scan_id, day, pending, running, ended, last_ms).
+
+    Serves a batch and, in update mode, a stream; days go with the watermark, so
+    state does not grow with the number of scans.
+    """
+    e = status_events.withWatermark("ts", watermark) if status_events.isStreaming else status_events
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    at, status = F.struct(ms.alias("ms"), F.col("event_id").alias("e"), F.col("status").alias("status")), F.col("status")
+    return e.groupBy("scan_id", F.window("ts", "1 day").alias("w")).agg(
+        F.min(F.when(status == "pending", at)).alias("pending"), F.min(F.when(status == "running", at)).alias("running"),
+        F.min(F.when(status.isin("completed", "failed"), at)).alias("ended"), F.max(ms).alias("last_ms"),
+    ).select("scan_id", F.col("w.start").alias("day"), "pending", "running", "ended", "last_ms")
+
+
+def transitions(minima: DataFrame, as_of_ms: int, minutes: int = reg.STUCK_MINUTES) -> DataFrame:
+    """(scan_id, status, at_ms): pending, then running, then one terminal status, each once.
+
+    Only event times decide: a scan that has run for longer than the limit
+    without an end, up to ``as_of_ms``, failed when the limit ran out, however
+    events fell into triggers.
+    """
+    s = minima.groupBy("scan_id").agg(*[F.min(c).alias(c) for c in ("pending", "running", "ended")])
+    running = F.when(F.col("ended").isNull() | (F.col("running") < F.col("ended")), F.col("running"))
+    s = s.withColumn("run", running).withColumn("pend", F.when((F.col("run").isNull() | (F.col("pending") < F.col("run"))) & (F.col("ended").isNull() | (F.col("pending") < F.col("ended"))), F.col("pending")))
+    deadline = F.col("run.ms") + minutes * 60_000
+    late = (deadline <= as_of_ms) & (F.col("ended").isNull() | (F.col("ended.ms") > deadline))
+    row = lambda status, at: F.when(at.isNotNull(), F.struct(status.alias("status"), at.cast("bigint").alias("at_ms")))
+    end = F.when(late, F.struct(F.lit("failed").alias("status"), deadline.cast("bigint").alias("at_ms"))).otherwise(row(F.col("ended.status"), F.col("ended.ms")))
+    each = F.array(row(F.lit("pending"), F.col("pend.ms")), row(F.lit("running"), F.col("run.ms")), end)
+    return s.select("scan_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("scan_id", "x.*")
 
 
 def completion_notices(transitions: DataFrame) -> DataFrame:
@@ -220,8 +146,7 @@ def completion_notices(transitions: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- trend
 def daily_counts(findings: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """Finding counts per day.  On a stream, rows later than the watermark are
-    dropped and a day appears once it is closed."""
+    """Finding counts per day.  On a stream, in update mode, a day's counts grow until the watermark closes it."""
     f = findings.withWatermark("created_at", watermark) if findings.isStreaming else findings
     s = F.col("severity")
     return f.groupBy(F.window("created_at", "1 day").alias("w")).agg(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codeassay.plans.scan import scan
 from codeassay.streaming import events as ev
-from codeassay.streaming.runner import run_available
+from codeassay.streaming.runner import run_available, run_updates
 
 
 def as_stream(spark, df, tmp_path, parts=1):
@@ -21,39 +21,19 @@ def test_stream_scan_equals_batch(spark, files, tmp_path):
     assert sorted((r.file_path, r.line, r.rule_id) for r in stream.collect()) == batch
 
 
-def quota_fold(times):
-    """The limiter stated directly."""
-    out, minute, day = [], None, None
-    for t in times:
-        if day is None or t > day[0]:
-            day, minute = [t + 86_400_000, 1], [t + 60_000, 1]
-            out.append(True)
-            continue
-        if t > minute[0]:
-            minute = [t + 60_000, 0]
-        if day[1] >= 30 or minute[1] >= 5:
-            out.append(False)
-        else:
-            day[1] += 1
-            minute[1] += 1
-            out.append(True)
-    return out
-
-
-def test_quota_equals_fold(spark, tmp_path):
+def test_windows_of_a_stream_equal_a_batch(spark, tmp_path):
     rnd = random.Random(3)
     rows, start = [], dt.datetime(2024, 1, 1)
     for key in ("a", "b"):
         t = 0
         for _ in range(300):
-            t += rnd.choice([1, 5, 20, 61, 4000])
-            rows.append((key, len(rows), start + dt.timedelta(seconds=t)))
-    df = spark.createDataFrame(rows, "key string, request_id bigint, ts timestamp")
-    got = run_available(ev.quota_audit(as_stream(spark, df, tmp_path)), "q", path=str(tmp_path / "o"), checkpoint=str(tmp_path / "c"))
-    ok = {r.request_id: r.allowed for r in got.collect()}
-    for key in ("a", "b"):
-        mine = sorted((r[2], r[1]) for r in rows if r[0] == key)
-        assert [ok[i] for _, i in mine] == quota_fold([int(t.timestamp() * 1000) for t, _ in mine])
+            t += rnd.choice([1, 5, 20, 61, 400])
+            rows.append((key, key == "b", len(rows), start + dt.timedelta(seconds=t)))
+    df = spark.createDataFrame(rows, "key string, authenticated boolean, request_id bigint, ts timestamp").orderBy("ts")
+    for name, make in (("q", lambda x: ev.quota_windows(x, "1 minute", 2)), ("l", lambda x: ev.lookup_windows(x, "1 hour"))):
+        stream = make(as_stream(spark, df, tmp_path / name, 4))
+        got = run_updates(stream, name, ["key", "window_start"], path=str(tmp_path / name / "o"), checkpoint=str(tmp_path / name / "c"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, make(df).collect()))
 
 
 def test_lifecycle_transitions_and_timeout(spark, tmp_path):
@@ -61,7 +41,10 @@ def test_lifecycle_transitions_and_timeout(spark, tmp_path):
     rows = [(1, 1, "pending", t(0)), (1, 2, "running", t(1)), (1, 3, "running", t(2)), (1, 4, "completed", t(3)), (1, 5, "failed", t(4)),
             (2, 6, "running", t(0)), (3, 7, "pending", t(60))]
     df = spark.createDataFrame(rows, "scan_id bigint, event_id bigint, status string, ts timestamp")
-    got = run_available(ev.lifecycle_stream(as_stream(spark, df, tmp_path)), "l", path=str(tmp_path / "o"), checkpoint=str(tmp_path / "c"))
+    stream = ev.status_minima(as_stream(spark, df, tmp_path, 3))
+    minima = run_updates(stream, "l", ["scan_id", "day"], path=str(tmp_path / "o"), checkpoint=str(tmp_path / "c"))
+    got = ev.transitions(minima, int(t(60).timestamp() * 1000))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ev.transitions(ev.status_minima(df), int(t(60).timestamp() * 1000)).collect()))
     seen = sorted((r.scan_id, r.at_ms, r.status) for r in got.collect())
     assert [s for i, _, s in seen if i == 1] == ["pending", "running", "completed"]
     assert [s for i, _, s in seen if i == 2] == ["running", "failed"]
