@@ -35,9 +35,78 @@ def severity_of(score: Column, word: Column) -> Column:
     )
 
 
+EVENTS = "array<struct<introduced:string,fixed:string>>"
+
+
+def affected_ranges(ranges: Column) -> Column:
+    """Intervals (introduced, fixed) of a package; an interval without a fix is open. A fix without a start gives none."""
+
+    def of(r: Column) -> Column:
+        events = F.filter(F.coalesce(r["events"], F.array().cast(EVENTS)), lambda e: e["introduced"].isNotNull() | e["fixed"].isNotNull())
+
+        def interval(e: Column, i: Column) -> Column:
+            later = F.get(F.filter(F.slice(events, i + 1, F.size(events)), lambda x: x["fixed"].isNotNull()), F.lit(0))["fixed"]
+            return F.when(e["introduced"].isNotNull(), F.struct(e["introduced"].alias("introduced"), later.alias("fixed")))
+
+        return F.filter(F.transform(events, interval), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(F.coalesce(ranges, F.array().cast(f"array<struct<events:{EVENTS}>>")), of))
+
+
+#: Words for stages before and after a release, in order.
+STAGES = {"dev": -5, "a": -4, "alpha": -4, "b": -3, "beta": -3, "c": -2, "rc": -2, "pre": -2, "preview": -2, "post": 1, "rev": 1, "r": 1}
+
+
+def version_key(version: Column, ecosystem: Column) -> Column:
+    """Versions of an ecosystem in their order, as a value that Spark compares: numbers, then what stands before or after the release.
+
+    PyPI orders by stages (dev, a, b, rc, release, post), the others by semantic
+    versions: a pre-release comes before its release, numeric parts before
+    words.  Build data does not count; trailing zeros do not either.  A text
+    without a leading number is null.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.trim(version), r"^[vV=]+", ""), r"\+.*$", "")
+    core = F.regexp_extract(plain, r"^(\d+(?:\.\d+)*)", 1)
+    digits = F.split(F.regexp_replace(core, r"(?:\.0+)+$", ""), r"\.")
+    numbers = F.transform(digits, lambda x: x.cast("decimal(30,0)"))
+    rest = F.substr(plain, F.length(core) + 1)
+    number = lambda x: F.coalesce(F.nullif(x, F.lit("")).cast("decimal(30,0)"), F.lit(0).cast("decimal(30,0)"))
+    part = lambda rank, n, text: F.struct(rank.cast("int").alias("rank"), n.cast("decimal(30,0)").alias("n"), text.alias("text"))
+    release = F.array(part(F.lit(0), F.lit(0), F.lit("")))
+    ranks = F.create_map(*[F.lit(x) for p in STAGES.items() for x in p])
+    staged = F.transform(
+        F.regexp_extract_all(F.lower(rest), F.lit(r"([a-z]+[._-]?\d*)"), F.lit(1)),
+        lambda x: part(F.coalesce(ranks[F.regexp_extract(x, "^([a-z]+)", 1)], F.lit(-1)), number(F.regexp_extract(x, r"(\d*)$", 1)), F.lit("")),
+    )
+    words = F.transform(
+        F.filter(F.split(F.regexp_replace(rest, "^-", ""), r"\."), lambda x: x != ""),
+        lambda x: F.when(x.rlike(r"^\d+$"), part(F.lit(-2), number(F.regexp_extract(x, r"^(\d*)", 1)), F.lit(""))).otherwise(part(F.lit(-1), F.lit(0), x)),
+    )
+    tail = F.when(ecosystem == "PyPI", F.concat(staged, release)).when(F.size(words) > 0, words).otherwise(release)
+    return F.when(core != "", F.struct(numbers.alias("numbers"), tail.alias("tail")))
+
+
+def range_hits(used: DataFrame, advisories: DataFrame) -> DataFrame:
+    """(ecosystem, name, version, adv): used versions inside an affected interval.
+
+    ``used`` has distinct packages and versions, so a package that everybody
+    depends on is a few rows; intervals join by package and are then compared.
+    """
+    a = advisories.select("*", F.explode("packages").alias("_p")).select("*", F.explode("_p.ranges").alias("_r"))
+    spans = a.select(
+        F.col("_p.ecosystem").alias("ecosystem"), F.col("_p.name").alias("name"),
+        F.when(F.col("_r.introduced") != "0", version_key(F.col("_r.introduced"), F.col("_p.ecosystem"))).alias("_low"),
+        (F.col("_r.introduced") == "0").alias("_all"), version_key(F.col("_r.fixed"), F.col("_p.ecosystem")).alias("_fix"),
+        F.col("_r.fixed").isNull().alias("_open"), F.struct("id", "summary", "severity", "aliases", "fixed_version").alias("adv"),
+    )
+    keyed = used.select("ecosystem", "name", "version", version_key(F.col("version"), F.col("ecosystem")).alias("_key"))
+    inside = (F.col("_all") | (F.col("_key") >= F.col("_low"))) & (F.col("_open") | (F.col("_key") < F.col("_fix")))
+    return keyed.join(spans, ["ecosystem", "name"]).filter(F.col("_key").isNotNull() & inside).select("ecosystem", "name", "version", "adv").distinct()
+
+
 def normalise_advisories(raw: DataFrame) -> DataFrame:
     """Raw documents -> id, summary, details, severity, aliases, cvss_score,
-    fixed_version, references, packages (name, ecosystem, versions)."""
+    fixed_version, references, packages (name, ecosystem, versions, ranges)."""
     v3 = F.get(F.filter("severity", lambda s: s["type"] == "CVSS_V3"), F.lit(0))["score"]
     number = F.regexp_extract(v3, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1)
     score = F.nullif(number, F.lit("")).try_cast("double")
@@ -70,7 +139,8 @@ def normalise_advisories(raw: DataFrame) -> DataFrame:
         F.transform(
             "affected",
             lambda a: F.struct(
-                a["package"]["name"].alias("name"), a["package"]["ecosystem"].alias("ecosystem"), a["versions"].alias("versions")
+                a["package"]["name"].alias("name"), a["package"]["ecosystem"].alias("ecosystem"), a["versions"].alias("versions"),
+                affected_ranges(a["ranges"]).alias("ranges"),
             ),
         ).alias("packages"),
     )
@@ -106,7 +176,8 @@ def scan_sca(dependencies: DataFrame, advisories: DataFrame, scan: str = "repo")
     task.
     """
     used = dependencies.select("ecosystem", "name", "version").distinct()
-    hits = affected_versions(advisories).join(used, ["ecosystem", "name", "version"], "left_semi")
+    listed = affected_versions(advisories).join(used, ["ecosystem", "name", "version"], "left_semi")
+    hits = listed.unionByName(range_hits(used, advisories)).distinct()
     rows = salted_join(dependencies, hits, ["ecosystem", "name", "version"])
     name, version, eco, dev, adv = (F.col(c) for c in ("name", "version", "ecosystem", "dev", "adv"))
     cve = F.coalesce(F.get(F.filter(adv["aliases"], lambda a: a.startswith("CVE-")), F.lit(0)), adv["id"])

@@ -130,6 +130,35 @@ def advisory_join(spark, sf):
     return ad.scan_sca(d.dependencies(spark, sf), _advisories(spark, sf), "scan_id").select(*_SCA_COLS)
 
 
+RANGE_SQL = """WITH dep AS (SELECT DISTINCT l_partkey AS k, (l_suppkey % 10) || '.' || l_linenumber || '.' || (l_orderkey % 12) || CASE WHEN l_orderkey % 5 = 0 THEN '-beta.' || (l_orderkey % 13) ELSE '' END AS version,
+    [l_suppkey % 10, l_linenumber, l_orderkey % 12, CASE WHEN l_orderkey % 5 = 0 THEN 0 ELSE 1 END, CASE WHEN l_orderkey % 5 = 0 THEN l_orderkey % 13 ELSE 0 END] AS v FROM lineitem),
+  adv AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN [0, 0, 0, 0, 0] ELSE [p_size % 10, p_partkey % 4, 0, 1, 0] END AS low,
+    CASE WHEN p_partkey % 4 <> 1 THEN [p_size % 10 + 2, p_partkey % 7, p_partkey % 11, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 END, CASE WHEN p_partkey % 5 = 0 THEN 3 ELSE 0 END] END AS fix FROM part)
+  SELECT dep.k AS part, 'R-' || dep.k AS id, version FROM dep JOIN adv ON dep.k = adv.k AND (adv.k % 3 = 0 OR v >= low) AND (fix IS NULL OR v < fix)"""
+
+
+def _ranged_advisories(spark, sf):
+    """part -> advisories that only name ranges, as JSON text."""
+    k, size, text = F.col("p_partkey"), F.col("p_size"), lambda c: c.cast("string")
+    low = F.when(k % 3 == 0, "0").otherwise(F.concat_ws(".", text(size % 10), text(k % 4), F.lit("0")))
+    fix = F.concat(F.concat_ws(".", text(size % 10 + 2), text(k % 7), text(k % 11)), F.when(k % 5 == 0, "-beta.3").otherwise(""))
+    events = F.when(k % 4 != 1, F.concat(F.lit('{"introduced":"'), low, F.lit('"},{"fixed":"'), fix, F.lit('"}'))).otherwise(F.concat(F.lit('{"introduced":"'), low, F.lit('"}')))
+    doc = F.concat(
+        F.lit('{"id":"R-'), text(k), F.lit('","affected":[{"package":{"name":"p'), text(k), F.lit('","ecosystem":"npm"},"ranges":[{"events":['), events, F.lit("]}]}]}")
+    )
+    return ad.normalise_advisories(ad.parse_advisories(d.table(spark, sf, "part").select(doc.alias("value"))))
+
+
+@_register("advisory_range_join", RANGE_SQL)
+def advisory_range_join(spark, sf):
+    """Package versions inside the ranges of advisories without version lists."""
+    o, text = F.col("l_orderkey"), lambda c: c.cast("string")
+    version = F.concat(F.concat_ws(".", text(F.col("l_suppkey") % 10), text(F.col("l_linenumber")), text(o % 12)), F.when(o % 5 == 0, F.concat(F.lit("-beta."), text(o % 13))).otherwise(""))
+    used = d.table(spark, sf, "lineitem").select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), text(F.col("l_partkey"))).alias("name"), version.alias("version")).distinct()
+    hits = ad.range_hits(used, _ranged_advisories(spark, sf))
+    return hits.select(F.substr("name", F.lit(2)).cast("bigint").alias("part"), "adv.id", "version")
+
+
 @_register(
     "clean_dependencies",
     f"""WITH {v.dependencies()}, {v.advisories()} SELECT ecosystem, count(*) AS n FROM deps d WHERE NOT EXISTS (
