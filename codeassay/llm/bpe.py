@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import os
 import unicodedata
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,8 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Code points whose classes no version of Unicode has changed.
 TABLE = 0x0370
 LETTER, NUMBER, SPACE, OTHER = range(4)
-KEPT_PIECES = 1 << 20
+#: Pieces whose ids a worker keeps, as bytes: some hundred megabytes at most.
+KEPT_PIECES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -123,12 +125,17 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found, first, which
 
 
+def sizes_of(entries: list[bytes]) -> np.ndarray:
+    """Number of ids of each entry."""
+    return np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+
+
 class Encoder:
     """Ids, or only their number, of many texts."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.vocabulary = vocabulary
-        self.known: dict[int, tuple] = worker_cache().setdefault(f"pieces {vocabulary.ranks}", {})
+        self.known: dict[int, bytes] = worker_cache().setdefault(f"pieces {vocabulary.ranks}", {})
 
     def plain(self, texts: list[str]) -> list[bool]:
         """Whether the table of classes covers a text and no special string is in it."""
@@ -140,8 +147,8 @@ class Encoder:
             out &= [SPECIAL not in x for x in texts]
         return out.tolist()
 
-    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
-        """Of plain texts: bounds of each text's pieces, number of each piece's entry, and the entries (ids)."""
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of plain texts: bounds of each text's pieces, number of each piece's entry, and the entries (ids of four bytes each)."""
         whole = "".join(texts)
         codes = np.frombuffer(data := whole.encode("utf-16-le"), np.uint16)
         cuts = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
@@ -156,7 +163,7 @@ class Encoder:
         for key, a, b in zip(hashes.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
             ids = known.get(key)
             if ids is None:
-                ids = known[key] = tuple(merge.encode_ordinary(whole[a:b]))
+                ids = known[key] = array("I", merge.encode_ordinary(whole[a:b])).tobytes()
             entries.append(ids)
         return np.searchsorted(starts, cuts), which, entries
 
@@ -164,7 +171,7 @@ class Encoder:
         """Number of ids of each text."""
         out, simple = np.zeros(len(texts), np.int64), [i for i, x in enumerate(self.plain(texts)) if x]
         bounds, which, entries = self.pieces([texts[i] for i in simple])
-        sizes = np.array([len(x) for x in entries], np.int64)
+        sizes = sizes_of(entries)
         total = np.concatenate([[0], np.cumsum(sizes[which])])
         out[simple] = np.diff(total[bounds])
         for i in set(range(len(texts))) - set(simple):
@@ -176,8 +183,8 @@ class Encoder:
         out: list = [None] * len(texts)
         simple = [i for i, x in enumerate(self.plain(texts)) if x]
         bounds, which, entries = self.pieces([texts[i] for i in simple])
-        sizes = np.array([len(x) for x in entries], np.int64)
-        flat = np.fromiter((i for x in entries for i in x), np.uint32, int(sizes.sum()))
+        sizes = sizes_of(entries)
+        flat = np.frombuffer(b"".join(entries), np.uint32)
         begin, each = (np.cumsum(sizes) - sizes)[which], sizes[which]
         into = np.cumsum(each) - each
         ids = flat[np.arange(int(each.sum())) + np.repeat(begin - into, each)]
@@ -194,7 +201,7 @@ class Encoder:
         simple = [i for i, x in enumerate(self.plain(texts)) if x]
         for i in simple:
             bounds, which, entries = self.pieces([texts[i]])
-            sizes = np.array([len(x) for x in entries], np.int64)[which]
+            sizes = sizes_of(entries)[which]
             lengths = self._piece_starts(texts[i])
             out[i] = np.append(lengths, len(texts[i])), np.concatenate([[0], np.cumsum(sizes)])
         for i in set(range(len(texts))) - set(simple):
