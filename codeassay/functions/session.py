@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    atexit.register(shutil.rmtree, folder, True)  # only what this process made for itself
     sc.setCheckpointDir(folder)
     return folder
 

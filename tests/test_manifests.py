@@ -74,5 +74,5 @@ def test_read_corpus(spark, tmp_path):
         p = tmp_path / "repo" / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
-    rows = {r.path.rsplit("/", 1)[1]: (r.content, r.size) for r in read_corpus(spark, str(tmp_path / "repo"), repo="r").collect()}
+    rows = {r.path.rsplit("/", 1)[-1]: (r.content, r.size) for r in read_corpus(spark, str(tmp_path / "repo"), repo="r").collect()}
     assert rows == {"a.js": ("eval(x)", 7), "package.json": ("{}", 2)}
