@@ -192,10 +192,8 @@ TOOLS_SQL = r"""
 WITH a AS (SELECT conv_id, turn, text, length(text) AS size, array_to_string(list_slice(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), 1, 3), ' ') AS words,
   'call-' || conv_id || '-' || turn AS id FROM conversations WHERE role = 'assistant'),
 r AS (SELECT conv_id, turn, text, 'call-' || conv_id || '-' || (turn - 1) || '-a' AS id FROM conversations WHERE role = 'user' AND turn >= 1),
-linked AS (SELECT a.*, r.turn AS result_turn, EXISTS (SELECT 1 FROM a p WHERE p.conv_id = a.conv_id AND p.turn = a.turn - 2) AS prior,
-  row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS k, a.turn - 2 * row_number() OVER (PARTITION BY a.conv_id ORDER BY a.turn) AS run
+deep AS (SELECT a.*, r.turn AS result_turn, EXISTS (SELECT 1 FROM a p WHERE p.conv_id = a.conv_id AND p.turn = a.turn - 2) AS prior, 1 AS depth
   FROM a LEFT JOIN r ON r.conv_id = a.conv_id AND r.id = a.id || '-a'),
-deep AS (SELECT *, 1 + coalesce(sum(1 + CASE WHEN result_turn IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id, run ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM linked),
 calls AS (
   SELECT conv_id, CASE WHEN conv_id % 23 = 4 THEN NULL ELSE turn END AS due, CASE WHEN conv_id % 23 = 4 THEN NULL ELSE 0 END AS depth, 1 AS phase, id || '-b' AS id, turn,
     CASE WHEN conv_id % 23 = 4 THEN 'cyclic' ELSE 'pending' END AS status, CAST([] AS VARCHAR[]) AS errors, 0 AS unknown_needs, '{"arguments":{"key":' || size || '},"id":"' || id || '-b","name":"lookup","type":"call"}' AS json FROM deep
@@ -206,7 +204,7 @@ calls AS (
     CASE WHEN conv_id % 10 = 0 THEN 1 ELSE 0 END + CASE WHEN turn > 1 AND NOT prior THEN 1 ELSE 0 END,
     '{"arguments":{"exact":true,"limit":' || CASE WHEN turn % 7 = 3 THEN '"' || size || '"' ELSE CAST(size AS VARCHAR) END || CASE WHEN conv_id % 11 = 5 THEN '' ELSE ',"query":"' || words || '"' END
       || '},"id":"' || id || '-a","name":"search","type":"call"}' FROM deep),
-results AS (SELECT r.conv_id, CASE WHEN c.id IS NULL THEN r.turn WHEN c.due IS NULL THEN NULL ELSE greatest(r.turn, c.due) END AS due, CASE WHEN c.id IS NULL THEN 0 ELSE c.depth + 1 END AS depth, 2 AS phase, r.id, r.turn,
+results AS (SELECT r.conv_id, CASE WHEN c.id IS NULL THEN r.turn WHEN c.due IS NULL THEN NULL ELSE greatest(r.turn, c.due) END AS due, CASE WHEN c.id IS NULL OR c.due < r.turn THEN 0 ELSE c.depth + 1 END AS depth, 2 AS phase, r.id, r.turn,
   CASE WHEN c.id IS NULL THEN 'orphan' ELSE 'linked' END AS status, CAST([] AS VARCHAR[]) AS errors, 0 AS unknown_needs, '{"content":' || to_json(r.text) || ',"id":"' || r.id || '","type":"result"}' AS json
   FROM r LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.id = r.id),
 said AS (SELECT conv_id, turn AS due, -1 AS depth, 0 AS phase, '' AS id, turn, 'linked' AS status, CAST([] AS VARCHAR[]) AS errors, 0 AS unknown_needs,

@@ -45,31 +45,48 @@ def ordered_calls(calls: DataFrame, needs: DataFrame) -> DataFrame:
 
     ``calls``: conv, id, turn, result_turn (null without a result); ``needs``:
     conv, id, need.  ``at`` is the earliest turn by which all that a call needs
-    is there, ``depth`` the longest path to it.  Rounds go on while calls get
-    ready; those on a cycle, or behind one, never do and are left out.
+    is there; needs that go along the turns hold by that alone.  ``depth``
+    orders the calls of one ``at``: the longest path of needs within it.  Calls
+    on a cycle, or behind one, are left out.  The rounds follow the needs that go
+    against the turns or stay within one, not the length of a conversation.
     """
     inner = needs.join(calls.select("conv", F.col("id").alias("need")), ["conv", "need"], "left_semi").distinct()
     inner = cut_lineage(inner)
-    waits = inner.groupBy("conv", "id").agg(F.count("*").alias("waits"))
-    ready = calls.join(waits, ["conv", "id"], "left_anti").select("conv", "id", F.col("turn").alias("at"), F.lit(0).cast("bigint").alias("depth"))
-    done = ready = cut_lineage(ready)
-    state = waits.join(calls, ["conv", "id"]).select("conv", "id", "waits", F.col("turn").alias("at"), F.lit(0).cast("bigint").alias("depth"))
+    state = calls.select("conv", "id", "result_turn", F.col("turn").alias("at"))
+    there = F.greatest("at", F.coalesce("result_turn", "at"))
+    moved = state
+    while True:  # later starts travel along needs until nothing changes
+        came = inner.join(moved.select("conv", F.col("id").alias("need"), there.alias("there")), ["conv", "need"]).groupBy("conv", "id").agg(F.max("there").alias("there"))
+        moved = cut_lineage(state.join(came, ["conv", "id"]).filter(F.col("there") > F.col("at")).select("conv", "id", "result_turn", F.col("there").alias("at")))
+        if moved.isEmpty():
+            break
+        later = moved.select("conv", "id", F.col("at").alias("new"))
+        state = cut_lineage(state.join(later, ["conv", "id"], "left").withColumn("at", F.coalesce("new", "at")).drop("new"))
+    ends = inner.join(state.select("conv", "id", F.col("at").alias("own")), ["conv", "id"])
+    ends = ends.join(state.select("conv", F.col("id").alias("need"), F.col("at").alias("its"), "result_turn", there.alias("there")), ["conv", "need"])
+    ends = ends.filter(F.col("there") == F.col("own"))
+    step = 1 + F.col("result_turn").isNotNull().cast("bigint")
+    # A needed call of an earlier turn only matters by its result, which begins the turn.
+    close = cut_lineage(ends.select("conv", "id", "need", (F.col("its") == F.col("own")).alias("same"), step.alias("step")))
+    waits = close.groupBy("conv", "id").agg(F.count_if("same").alias("waits"), F.max(F.when(F.col("same"), 0).otherwise(1)).cast("bigint").alias("depth"))
+    state = state.join(waits, ["conv", "id"], "left").select("conv", "id", "at", F.coalesce("waits", F.lit(0)).alias("waits"), F.coalesce("depth", F.lit(0)).alias("depth"))
     state = cut_lineage(state)
-    facts = calls.select("conv", "id", "result_turn")
-    while not ready.isEmpty() and not state.isEmpty():
-        came = ready.join(facts, ["conv", "id"]).select(
-            "conv", F.col("id").alias("need"), F.greatest("at", F.coalesce("result_turn", "at")).alias("at"),
-            (F.col("depth") + 1 + F.col("result_turn").isNotNull().cast("int")).alias("depth"),
-        )
-        news = inner.join(came, ["conv", "need"]).groupBy("conv", "id").agg(F.count("*").alias("n"), F.max("at").alias("at2"), F.max("depth").alias("depth2"))
-        state = state.join(news, ["conv", "id"], "left").select(
-            "conv", "id", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"), F.greatest("at", "at2").alias("at"), F.greatest("depth", "depth2").alias("depth")
-        )
-        state = cut_lineage(state)
-        ready = state.filter("waits = 0").drop("waits")
-        state = state.filter("waits > 0")
+    ready, state = state.filter("waits = 0").drop("waits"), state.filter("waits > 0")
+    done, chain = ready, close.filter("same").drop("same")
+    while not state.isEmpty() and not ready.isEmpty():
+        came = chain.join(ready.select("conv", F.col("id").alias("need"), "depth"), ["conv", "need"])
+        news = came.groupBy("conv", "id").agg(F.count("*").alias("n"), F.max(F.col("depth") + F.col("step")).alias("depth2"))
+        state = cut_lineage(state.join(news, ["conv", "id"], "left").select(
+            "conv", "id", "at", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"), F.greatest("depth", "depth2").alias("depth")
+        ))
+        ready, state = state.filter("waits = 0").drop("waits"), state.filter("waits > 0")
         done = done.union(ready)
-    return done
+    stuck = edge = state.select("conv", "id")
+    while not edge.isEmpty():  # what needs a call of a cycle can't run either
+        behind = inner.join(edge.select("conv", F.col("id").alias("need")), ["conv", "need"]).select("conv", "id").distinct()
+        edge = cut_lineage(behind.join(stuck, ["conv", "id"], "left_anti"))
+        stuck = stuck.union(edge)
+    return done.join(stuck, ["conv", "id"], "left_anti")
 
 
 def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -116,7 +133,7 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
     cyclic = F.col("call_at") == LAST
     as_result = joined.select(
         "conv", F.when(cyclic, F.lit(LAST)).otherwise(F.greatest("turn", F.coalesce("call_at", "turn"))).alias("at"),
-        F.when(cyclic, F.lit(LAST)).otherwise(F.coalesce("call_depth", F.lit(-1)) + 1).alias("depth"), F.lit(2).alias("phase"), "id", "turn", F.lit("result").alias("kind"),
+        F.when(cyclic, F.lit(LAST)).when(F.col("call_at") >= F.col("turn"), F.col("call_depth") + 1).otherwise(0).alias("depth"), F.lit(2).alias("phase"), "id", "turn", F.lit("result").alias("kind"),
         F.when(F.col("call_at").isNull(), "orphan").otherwise("linked").alias("status"), F.array().cast("array<string>").alias("errors"), "repeats", none.alias("unknown_needs"),
         F.concat(F.lit('{"content":'), json_text(F.col("content")), F.lit(',"id":'), json_text(back("id")), F.lit(',"type":"result"}')).alias("json"),
     )
