@@ -147,14 +147,11 @@ def exploitable_count(findings: DataFrame) -> DataFrame:
 
 
 def group_by_file(findings: DataFrame, tie: str = "seq") -> DataFrame:
-    """Ordered findings per scan and file; code findings only."""
+    """Findings numbered within their scan and file, as rows; code findings only."""
     f = without_markers(findings).filter(~F.col("rule_id").startswith("SCA-"))
-    return f.groupBy("scan_id", "file_path").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("line", tie, "rule_id", "severity"))),
-            lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["rule_id"], F.lit(":"), x["severity"]),
-        ).alias("items")
-    )
+    place = F.row_number().over(Window.partitionBy("scan_id", "file_path").orderBy("line", tie, "rule_id", "severity"))
+    item = F.concat(F.col("line").cast("string"), F.lit(":"), "rule_id", F.lit(":"), "severity")
+    return f.select("scan_id", "file_path", (place - 1).alias("pos"), item.alias("item"))
 
 
 def package_of(rule_name: Column) -> Column:

@@ -167,8 +167,8 @@ def exploitable_count(spark, sf):
 
 @query(
     "group_by_file",
-    f"""{F_} SELECT scan_id, file_path, list(line || ':' || rule_id || ':' || severity ORDER BY line, seq) AS items FROM findings
-    WHERE {REAL} AND rule_id NOT LIKE 'SCA-%' GROUP BY 1, 2""",
+    f"""{F_} SELECT scan_id, file_path, row_number() OVER (PARTITION BY scan_id, file_path ORDER BY line, seq) - 1 AS pos,
+      line || ':' || rule_id || ':' || severity AS item FROM findings WHERE {REAL} AND rule_id NOT LIKE 'SCA-%'""",
 )
 def group_by_file(spark, sf):
     return rp.group_by_file(d.findings(spark, sf))
