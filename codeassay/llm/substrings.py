@@ -3,7 +3,7 @@
 Rabin-Karp hashes of all windows are counted in Spark over all texts (see
 ``blocks``); repeated windows merge into maximal intervals of words.  A hash has
 64 bits and its bucket is taken from a second, independent hash, so among n
-windows about n^2 / (2^65 buckets) pairs are confused: one in 40 at 9 billion.
+windows about n^2 / (2^65 buckets) pairs are confused: 0.001 at 9 billion.
 """
 
 from __future__ import annotations
