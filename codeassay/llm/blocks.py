@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 MESSAGE = "bucket int, block int, hashes binary, counts binary"
 ANSWER = "block int, bucket int, classes binary"
 
@@ -79,6 +79,7 @@ def repeat_classes(blocks: DataFrame, hashes: Hashes, buckets: int) -> DataFrame
         out[order] = np.repeat(kind, np.diff(np.append(begin, len(keys))))
         ends = np.cumsum([len(x) for x in data])
         parts = [out[e - len(x) : e].tobytes() for x, e in zip(data, ends, strict=True)]
+        pa.default_memory_pool().release_unused()
         return pa.table({"block": table["block"], "bucket": table["bucket"], "classes": pa.array(parts, pa.binary())})
 
     return blocks.groupBy("block").applyInArrow(send, MESSAGE).groupBy("bucket").applyInArrow(answer, ANSWER)
@@ -97,6 +98,8 @@ def with_answers(blocks: DataFrame, answers: DataFrame, work: Callable[[pa.Table
     """``work(texts of a block, its answers)`` for all blocks; the texts' shuffle is the one the counts came from."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(left, right)
+        out = work(left, right)
+        pa.default_memory_pool().release_unused()  # a worker lives on through other stages
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -26,8 +26,8 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Code points whose classes no version of Unicode has changed.
 TABLE = 0x0370
 LETTER, NUMBER, SPACE, OTHER = range(4)
-#: Pieces whose ids a worker keeps, as bytes: some hundred megabytes at most.
-KEPT_PIECES = 1 << 19
+#: Pieces whose ids a worker keeps, as bytes: about fifty megabytes.
+KEPT_PIECES = 1 << 18
 
 
 @dataclass(frozen=True)
