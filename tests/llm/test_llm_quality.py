@@ -1,3 +1,4 @@
+import base64
 import collections
 import os
 import random
@@ -49,3 +50,53 @@ def test_all_columns_stay_and_new_names_win(spark):
     out = quality.with_quality(docs)
     assert out.columns == [*[c for c in docs.columns if c != "kept"], *(x.split()[0] for x in quality.COLUMNS.split(", "))]
     assert dict(out.dtypes)["kept"] == "boolean"
+
+
+ENGLISH = """The harbour master kept two books, one for the ships that came in and another for those that were expected and did not
+come. Nobody but him read the second book, though everyone in the town knew of it, and in bad winters the wives of the fishermen would
+stand at his window and look at his face, not at the page. He wrote slowly, with a steel pen, and when the ink froze he warmed it over the
+lamp. On the night of the great storm he filled four pages, and in the morning he had to strike out only three lines. The other names
+stayed as they were, and when he died, his daughter carried on with the book, because somebody had to. She added a column for the weather,
+and later one for the cargo, so that in the end the book said more about the town than the church register did. Strangers who asked for
+it were told that it had been lost in the flood, which was not true. It lay under the counter, wrapped in oilcloth, and every year on the
+first of November she took it out, read one page aloud to whoever was in the room, and put it back. The schoolmaster once proposed to have
+it printed, but the council refused: a printed list would be finished, they said, and this one was not. So the last entry is in pencil,
+without a date, and gives the name of a boat that nobody remembers having built."""
+CHINESE = """港口的管理员有两本簿子，一本记着进港的船，另一本记着应该回来却没有回来的船。除了他自己，没有人看过第二本簿子，可是镇上的人都知道它。
+冬天天气不好的时候，渔民的妻子们站在他的窗前，看他的脸色，而不看簿子。他写得很慢，用的是一支钢笔，墨水冻住了，就在灯上烤一烤。
+大风暴的那天夜里，他写满了四页，到了早上只划掉了三行。其他的名字都留在那里。他去世以后，他的女儿接着写这本簿子，因为总得有人来写。
+她加了一栏写天气，后来又加了一栏写货物，所以到了最后，这本簿子比教堂的记录更能说明这个镇子的事情。外面来的人问起这本簿子，
+镇上的人就说它在洪水里丢了，其实不是这样。它放在柜台下面，用油布包着，每年十一月的第一天，她把它拿出来，给屋里的人念一页，然后放回去。
+学校的老师曾经提议把它印出来，可是镇上的议会没有同意：印出来的名单就是写完了的，他们说，而这一本还没有写完。"""
+RUSSIAN = """Смотритель гавани вёл две книги: одну для кораблей, которые пришли, и другую для тех, которых ждали и которые не пришли. Кроме него,
+никто не читал вторую книгу, хотя все в городе о ней знали, и в плохие зимы жёны рыбаков стояли у его окна и смотрели ему в лицо, а не на
+страницу. Он писал медленно, стальным пером, и когда чернила замерзали, он грел их над лампой. В ночь большой бури он исписал четыре
+страницы, а утром ему пришлось вычеркнуть только три строки. Остальные имена так и остались, и когда он умер, его дочь стала вести книгу
+дальше, потому что кто-то должен был это делать."""
+
+
+def random_letters(n, seed):
+    """Noise as hexadecimal words, base64 in lines and in words, and digits, of n bytes each."""
+    rng = random.Random(seed)
+    b64, hexed = base64.b64encode(rng.randbytes(n)).decode(), rng.randbytes(n).hex()
+    cut = lambda s, w, by: by.join(s[i : i + w] for i in range(0, n, w))[:n].encode()
+    return [cut(hexed, 16, " "), cut(hexed, 8, " "), cut(b64, 76, "\n"), cut(b64, 9, " "), cut("".join(rng.choices("0123456789", k=n)), 7, " ")]
+
+
+def test_encoded_noise_is_no_prose(spark):
+    judge = quality._Ratios(quality.Bands()).judge
+    for n in (1024, 1500, 2047, 2048, 3000, 4095, 4096, 8192, 20_000, 50_000):
+        for seed in range(10):
+            assert not any(judge(x)[-1] for x in random_letters(n, seed)), (n, seed)
+    for prose in (ENGLISH, CHINESE, RUSSIAN):
+        data = prose.encode()
+        assert judge(data)[-1] and judge(data[:1024])[-1]
+        # As many different characters of the script, without a language.
+        drawn = "".join(random.Random(3).sample(prose, len(prose))).encode()
+        assert not judge(drawn)[-1]
+    assert judge(ENGLISH[:300].encode())[-1]
+    assert quality._Ratios(quality.Bands()).gain(b"\x80" * 1100, 9.0) == 0
+    noise = [(i, x.decode()) for i, x in enumerate(random_letters(4000, 4))]
+    found = {r["doc_id"]: r for r in quality.with_quality(odd_documents(spark, [*noise, (9, ENGLISH)])).collect()}
+    assert not any(r["base_failed"] for i, r in found.items() if i != 2)
+    assert [found[i]["kept"] for i in (0, 1, 2, 3, 4, 9)] == [False] * 5 + [True]
