@@ -100,3 +100,22 @@ def test_encoded_noise_is_no_prose(spark):
     found = {r["doc_id"]: r for r in quality.with_quality(odd_documents(spark, [*noise, (9, ENGLISH)])).collect()}
     assert not any(r["base_failed"] for i, r in found.items() if i != 2)
     assert [found[i]["kept"] for i in (0, 1, 2, 3, 4, 9)] == [False] * 5 + [True]
+
+
+def test_chunks_of_every_longer_text_to_its_end():
+    judge = quality._Ratios(quality.Bands()).judge
+    rng = random.Random(7)
+    prose = lambda n: " ".join("".join(rng.choice(("th", "er", "on", "an", "re", "il", "os", "ma")) for _ in range(rng.randint(1, 4))) for _ in range(n))[:n].encode()
+    loop = lambda n: " ".join(f"{'abcdefgh' * 12}{i}" for i in range(n))[:n].encode()
+    noise = lambda n: random_letters(n, 8)[0]
+    for junk in (loop, noise):
+        # Two chunks, the second of them junk; the end of three; exactly half.
+        for good, bad in ((4096, 3900), (8192, 4000), (8192, 3800), (20_480, 20_480), (20_000, 20_000)):
+            assert not judge(prose(good) + junk(bad))[-1], (junk, good, bad)
+    for n in (4096, 4097, 5000, 8191, 8192, 8193, 12_000, 50_000):
+        assert judge(prose(n))[-1]
+        assert (judge(prose(n))[3] is None) == (n <= 4096)
+    for n in (4097, 6000, 8191):
+        assert not any(judge(x)[-1] for x in random_letters(n, 9))
+    # One odd chunk of many is let through.
+    assert judge(prose(20_480) + loop(4096) + prose(20_480))[-1]
