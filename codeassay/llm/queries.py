@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.session import cut_lineage
-from . import archive, decontaminate, jaccard, languages, lines, packing, quality, substrings, tokens, toolcalls
+from . import archive, decontaminate, infill, jaccard, languages, licenses, lines, packing, quality, search, substrings, tokens, toolcalls
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -224,3 +226,95 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     schemas = spark.createDataFrame(TOOLS, "tool string, name string, type string, required boolean")
     linked = toolcalls.link_tool_calls(messages, calls, results, schemas)
     return linked.withColumn("errors", F.concat_ws(",", "errors"))
+
+
+def template_expression(template: licenses.Template) -> str:
+    """The template as an expression over words that each end in a blank, for the SQL counterpart."""
+    out, at, markup = [], 0, template.markup.lower()
+    words = lambda text: "".join(f"{w} " for w in licenses.WORD.findall(text))
+    for m in re.finditer(r"<<(.*?)>>", markup):
+        out.append(words(markup[at : m.start()]))
+        at, fields = m.end(), dict(re.findall(r'(\w+)="(.*?)"', m[1]))
+        if m[1] == "beginoptional":
+            out.append("(?:")
+        elif m[1] == "endoptional":
+            out.append(")?")
+        else:
+            match = fields["match"].replace(".+", "[^ ]+")
+            out.append(f"(?:(?:{match}) ){{{fields['least']},{fields['most']}}}")
+    return "(?:^| )" + "".join(out) + words(markup[at:])
+
+
+def licenses_sql() -> str:
+    """Places of phrases by position, templates by expressions, the score by the mandatory words of what is met."""
+    templates = licenses.default_templates()
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    phrases = [(p.label, p.markup.split()) for p in licenses.PHRASES]
+    places = ", ".join(f"list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(x)}] = {x!r}) AS at_{n}" for n, (_, x) in enumerate(phrases))
+    ats = [f"at_{n}" for n in range(len(phrases))]
+    base = ", ".join(f"CASE WHEN len({a}) > 0 THEN {quote(label)} END" for a, (label, _) in zip(ats, phrases, strict=True))
+    met = ", ".join(f"CASE WHEN regexp_matches(said, {quote(template_expression(t))}) THEN {n} END" for n, t in enumerate(templates))
+    names = ", ".join(quote(t.label) for t in templates)
+    mandatory = [licenses.compile_template(t).mandatory for t in templates]
+    worth = ", ".join(str(len(x)) for x in mandatory)
+    phrase_worth = ", ".join(f"CASE WHEN len({a}) > 0 THEN {len(x)} ELSE 0 END" for a, (_, x) in zip(ats, phrases, strict=True))
+    return rf"""
+WITH src AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+said AS (SELECT doc_id, w, array_to_string(list_transform(w, lambda x: x || ' '), '') AS said FROM src),
+found AS (SELECT doc_id, len(w) AS n_words, {places}, list_filter([{met}], lambda x: x IS NOT NULL) AS met FROM said),
+places AS (SELECT *, list_concat(list_concat({ats[0]}, {ats[1]}), list_concat({ats[2]}, {ats[3]})) AS ats, list_filter([{base}], lambda x: x IS NOT NULL) AS base,
+  list_max(list_concat([0, {phrase_worth}], list_transform(met, lambda x: [{worth}][x + 1]))) AS worth FROM found)
+SELECT doc_id, n_words, len(ats) AS n_base, list_min(ats) AS first_word, list_max(ats) AS last_word, array_to_string(list_sort(base), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, list_transform(met, lambda x: [{names}][x + 1])))), ',') AS labels,
+  CAST(worth AS DOUBLE) / (worth + {licenses.HALF_WORDS}) AS score FROM places
+"""
+
+
+@query("op11_license_templates", licenses_sql())
+def op11_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and accepted license templates of every document."""
+    found = licenses.with_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score"
+    )
+
+
+SEARCH_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM docs WHERE len(w) > 0),
+said AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM docs),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM said GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+impact AS (SELECT r, doc_id, term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_docs) // n_terms)))) AS impact
+  FROM tf JOIN df USING (term), totals),
+scored AS (SELECT item_id, r, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN impact USING (term) GROUP BY item_id, r, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_ranked_search", SEARCH_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item."""
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return search.ranked_search(docs, items, k=10)
+
+
+INFILL_SQL = r"""
+WITH src AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || doc_id) AS h FROM documents),
+drawn AS (SELECT doc_id, text, w, len(w) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM src),
+cut AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, array_to_string(w[1 : a], '') AS p, array_to_string(w[a + 1 : b], '') AS m, array_to_string(w[b + 1 :], '') AS s FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM parts
+"""
+
+
+@query("op13_fill_in_middle", INFILL_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as prefix, suffix and middle, and back from the output."""
+    outputs = infill.with_infill(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+    back = infill.with_restored(outputs)
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")

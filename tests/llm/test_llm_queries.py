@@ -33,7 +33,7 @@ def test_matches_sql(spark, con, name):
 
 def test_all_are_registered():
     names = contract.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(names)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(names)
     assert len(corpus_pipeline.STAGES) == 5
 
 
