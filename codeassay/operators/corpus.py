@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..catalog import registries as reg
 from ..functions.text import base_name
+from ..sources import tree
 from .files import extension, language_of
 
 
@@ -19,28 +19,22 @@ def read_corpus(
     """Source files and manifests below a folder, as (repo, path, content, size); paths count from the folder.
 
     A repository is named by the first ``repo_depth`` segments below ``root``
-    (files directly in it by the folder itself), or by ``repo``.  Names are
-    filtered in the listing; the list is then filtered by path and size without
-    contents, and only contents of the files that are left are read.
+    (files directly in it by the folder itself), or by ``repo``.  Paths are
+    taken as they are: any character may stand in them.  Folders that are
+    ignored are not listed, and only contents of files that are left are read.
     ``max_bytes`` does not hold for manifests.
     """
     exts = [e for e, lang in reg.EXTENSION_LANGUAGE.items() if not languages or lang in languages]
-    names = [f"*{case}" for e in exts for case in sorted({e, e.upper(), e.capitalize()})] + (list(reg.MANIFEST_NAMES) if manifests else [])
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(names) + "}")
-    base = re.sub(r"^[A-Za-z][\w+.-]*:(?://[^/]*)?(?=/)", "", root.rstrip("/"))
-    plain = F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(?://[^/]*)?(?=/)", "")
-    below = plain.substr(F.lit(len(base) + 2), F.length("path"))
-    listed = reader.load(root).select("path", "length").filter(~is_ignored(F.concat(F.lit("/"), below), ignore))
+    listed = tree.list_tree(spark, root, ignore)
+    wanted = extension(F.col("path")).isin(exts)
     if max_bytes is not None:
-        listed = listed.filter((F.col("length") <= max_bytes) | is_manifest(F.col("path")))
-    # The driver holds the listing anyway to plan the read; contents are not part of it.
-    kept = [r["path"] for r in listed.select("path").toLocalIterator()]
-    files = spark.read.format("binaryFile").load(kept) if kept else reader.load(root).filter(F.lit(False))
-    parts = F.split(below, "/")
-    named = F.when(F.size(parts) > repo_depth, F.array_join(F.slice(parts, 1, repo_depth), "/")).otherwise(F.lit(base.rsplit("/", 1)[-1]))
-    return files.select(
-        (F.lit(repo) if repo is not None else named).alias("repo"), below.alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size")
-    )
+        wanted = wanted & (F.col("size") <= max_bytes)
+    if manifests:
+        wanted = wanted | is_manifest(F.col("path"))
+    parts = F.split("path", "/")
+    top = F.lit(tree.without_scheme(root).rstrip("/").rsplit("/", 1)[-1])
+    named = F.when(F.size(parts) > repo_depth, F.array_join(F.slice(parts, 1, repo_depth), "/")).otherwise(top)
+    return tree.read_files(listed.filter(wanted), root).select((F.lit(repo) if repo is not None else named).alias("repo"), "path", "content", "size")
 
 
 def ignore_patterns(text: str) -> list[str]:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..catalog import detectors as cat, registries as reg
 from ..functions.regex import alternation
+from ..functions.session import scratch_path
 from ..functions.text import lines_of
 from ..operators import corpus as co, files as fi, lines as li
-from ..sources import derived as d, oracle_views as v
+from ..sources import derived as d, oracle_views as v, tree
 from ..sources.oracle_views import m, q, sql_list
 from .sast_oracle import context_lines
 
@@ -37,6 +38,23 @@ def language_detection(spark, sf):
     )
 
 
+FILE_NAMES = ("app/[locale]/page.tsx", "a b/{id}/x.js", "q?*/[...all].mjs", "pc%20t/%5B.py", "__init__.py", ".config/_x.JS", "node_modules/y/z.js", "notes [1].md", "package.json", "é/ü.ts")
+
+
+@query(
+    "corpus_from_files",
+    f"""SELECT 'f' || (doc_id % 7) AS repo, 'f' || (doc_id % 7) || '/' || doc_id || '/' || {sql_list(FILE_NAMES)}[doc_id % {len(FILE_NAMES)} + 1] AS path, md5(text) AS digest, strlen(text) AS size
+    FROM documents WHERE doc_id % {len(FILE_NAMES)} NOT IN (6, 7)""",
+)
+def corpus_from_files(spark, sf):
+    """documents written as files under names full of special characters, and read as a corpus."""
+    root, k = scratch_path(spark, "tree [x] {y}"), F.col("doc_id")
+    names = F.element_at(F.array(*[F.lit(x) for x in FILE_NAMES]), (k % len(FILE_NAMES) + 1).cast("int"))
+    path = F.concat(F.lit("f"), (k % 7).cast("string"), F.lit("/"), k.cast("string"), F.lit("/"), names)
+    tree.write_tree(d.spread(d.table(spark, sf, "documents")).select(path.alias("path"), F.col("text").alias("content")), root)
+    return co.read_corpus(spark, root).select("repo", "path", F.md5("content").alias("digest"), "size")
+
+
 @query(
     "language_guess",
     f"""{CORPUS}, g AS (SELECT path, content, regexp_replace(content, '^\\s+', '') AS t FROM corpus)

@@ -1,4 +1,7 @@
+import pytest
+
 from codeassay.operators import corpus as co
+from codeassay.sources import tree
 
 
 def write(root, files):
@@ -33,9 +36,36 @@ def test_limits_only_when_asked(spark, tmp_path):
 
 def test_contents_of_ignored_paths_are_not_read(spark, tmp_path):
     write(tmp_path, FILES)
-    (tmp_path / "a/node_modules/y/z.js").chmod(0)
-    listed = co.read_corpus(spark, str(tmp_path)).inputFiles()
-    assert len(listed) == 6 and not [x for x in listed if "node_modules" in x or "png" in x]
+    for ignored in ("a/node_modules/y/huge.js", "b/huge.png"):
+        with open(tmp_path / ignored, "wb") as f:
+            f.truncate(3 << 30)  # no row can hold it
+    assert co.read_corpus(spark, str(tmp_path)).count() == 6
+
+
+NAMES = ["app/[locale]/page.tsx", "app/[...all]/{id}/x.js", "a b/c?d*.js", "pc%20t/a%5B.js", "s\\t/q.py", "_app/__init__.py", ".github/x.js", "é日/ü😀.ts", "r/a#b;c&d=e+.mjs", "x/__tests__/_y.JSX", "q'u\"o.js"]
+
+
+def test_names_are_taken_as_they_are(spark, tmp_path):
+    root = tmp_path / "ro[o]t {x}*?"
+    write(root, {p: f"text of {p}" for p in NAMES})
+    for at in (str(root), f"file:{root}", f"file://{root}/"):
+        found = {r.path: r.content for r in co.read_corpus(spark, at, repo="r").collect()}
+        assert found == {p: f"text of {p}" for p in NAMES}
+
+
+def test_walk_in_rounds(spark, tmp_path):
+    write(tmp_path, {f"{i % 7}/{i % 5}/{'d/' * (i % 9)}f{i}.js": "x" * i for i in range(300)})
+    (tmp_path / "loop").symlink_to(tmp_path)
+    every = {(str(p.relative_to(tmp_path)), p.stat().st_size) for p in tmp_path.rglob("*.js") if "loop" not in p.parts}
+    assert {tuple(r) for r in tree.list_tree(spark, str(tmp_path), entries=3).collect()} == every == {tuple(r) for r in tree.list_tree(spark, str(tmp_path)).collect()}
+    with pytest.raises(FileNotFoundError):
+        tree.list_tree(spark, str(tmp_path / "missing"))
+
+
+def test_bytes_that_are_no_text(spark, tmp_path):
+    (tmp_path / "x.js").write_bytes(b"a\xffb")
+    (tmp_path / "e.js").write_bytes(b"")
+    assert {(r.path, r.content, r.size) for r in co.read_corpus(spark, str(tmp_path)).collect()} == {("x.js", "a\ufffdb", 3), ("e.js", "", 0)}
 
 
 def test_changes_belong_to_a_repository(spark):
