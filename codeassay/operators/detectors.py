@@ -23,10 +23,18 @@ from ..catalog.model import ALL_LANGUAGES, JS_TS, Rule
 from ..catalog.secrets import GATE_ASSIGN, GATE_ASSIGN_WORD, GATE_RUN, secret_rules
 from ..functions.regex import alternation, spark_regex
 from ..functions.text import rx
-from .files import FOR_IN
+from .structure import any_call, called, in_open_loop, last_argument
 
 REQ = r"(?:req|request)\.(?:params|query|body|headers)\b[\w.$]*"
 REQ3 = r"(?:req|request)\.(?:params|query|body)\b[\w.$]*"
+_MEMBERS = r"[\w$]*(?:\s*!?\s*\??\.\s*[\w$]+|\s*!?(?:\?\.)?\[(?:[^\[\]]|\[[^\[\]]*\])*\])*$"
+#: An argument that is a member of the request and nothing else.
+USER_ARG = r"^(?:req|request)\s*\??\.\s*(?:query|params|body|headers)" + _MEMBERS
+USER_DATA_ARG = r"^(?:req|request)\s*\??\.\s*(?:query|params|body)" + _MEMBERS
+#: A literal: text, number, true, false, null, regular expression.
+LITERAL_ARG = r"""^(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[\d.][\w.]*|true|false|null|/.*/[a-z]*)$"""
+#: Detectors that look at calls and loops when they confirm.
+STRUCTURAL = frozenset((6, 9, 10, 13, 16))
 
 
 @dataclass(frozen=True)
@@ -304,10 +312,8 @@ def _legacy_005(c):
 def _redirect_006(c):
     cond = rx(_text(), cat.REDIRECT)
     if c:
-        cond = cond & (
-            rx(_text(), rf"\.(?:redirect|assign|replace)\s*\((?:[^()]*,)?\s*{REQ}\s*\)")
-            | rx(_text(), rf"\.href\s*=\s*{REQ}\s*(?:[;,)}}]|$)")
-        )
+        sent = any_call(lambda x: x["member"] & called(x, "redirect", "assign", "replace") & F.coalesce(last_argument(x).rlike(USER_ARG), F.lit(False)))
+        cond = cond & (sent | rx(_text(), rf"\.href\s*=\s*{REQ}\s*(?:[;,)}}]|$)"))
     return [_make(6, JS_TS, cond, _one(6), confirmed=c)]
 
 
@@ -325,24 +331,19 @@ def _jwt_none_008(c):
 def _function_009(c):
     cond = rx(_text(), cat.FUNCTION_CONSTRUCTOR)
     if c:
-        cond = (
-            cond
-            & ~rx(_text(), r"new\s+Function\s*\(\s*\)")
-            & ~rx(_text(), r"new\s+Function\s*\((?:[^()]*,)?\s*(?:\"[^\"]*\"|'[^']*'|\d+)\s*\)")
-        )
+        cond = cond & any_call(lambda x: x["made"] & (x["name"] == "Function") & F.coalesce(~last_argument(x).rlike(LITERAL_ARG), F.lit(False)))
     return [_make(9, JS_TS, cond, _one(9), confirmed=c)]
 
 
 def _prototype_010(c):
     cond = rx(_text(), cat.PROTOTYPE)
     if c:
-        loop, guarded = _text().rlike(FOR_IN), F.coalesce("guarded", F.lit(False))
         cond = cond & (
-            (loop & ~guarded)
+            in_open_loop()
             | rx(_text(), r"\.__proto__\b")
-            | rx(_text(), rf"\bObject\.assign\s*\((?:[^()]*,)?\s*{REQ3}\s*[,)]")
+            | any_call(lambda x: (x["name"] == "Object.assign") & F.exists(x["args"], lambda a: a.rlike(USER_DATA_ARG)))
             | rx(_text(), r"\.constructor\.prototype\b")
-            | rx(_text(), r"(?:^|[^\w$.])(?:_\.merge|_\.defaultsDeep|lodash\.merge|merge|deepmerge)\s*\(")
+            | any_call(lambda x: ~x["made"] & x["name"].isin("_.merge", "_.defaultsDeep", "lodash.merge", "merge", "deepmerge"))
         )
     return [_make(10, JS_TS, cond, _one(10), confirmed=c)]
 
@@ -381,9 +382,9 @@ def _ssrf_012(c):
 def _cookie_013(c):
     if not c:
         return []
-    args = F.coalesce("call_args", F.lit(""))
-    flags = args.rlike(r"\bhttpOnly\s*:\s*true\b") & args.rlike(r"\bsecure\s*:\s*true\b")
-    cond = rx(_text(), cat.COOKIE) & rx(_text(), r"\.cookie\s*\(") & args.contains(",") & ~flags
+    flagged = lambda x: F.array_contains(x["options"], "httpOnly:true") & F.array_contains(x["options"], "secure:true")
+    unsafe = any_call(lambda x: x["member"] & ~x["made"] & called(x, "cookie") & ((F.size(x["args"]) == 2) | ((F.size(x["args"]) > 2) & ~flagged(x))))
+    cond = rx(_text(), cat.COOKIE) & unsafe
     return [_make(13, JS_TS, cond, _one(13), confirmed=True)]
 
 
@@ -405,9 +406,8 @@ def _redos_015(c):
 def _exposure_016(c):
     if not c:
         return []
-    cond = rx(_text(), cat.ERROR_EXPOSURE) & rx(
-        _text(), r"(?i)\.(?:send|json)\s*\((?:[^()]*[,{:])?\s*(?:err|error|e)(?:\.(?:stack|message))?\s*[,})]"
-    )
+    error = r"^(?i:err|error|e)(?:\s*\.\s*(?:stack|message))?$"
+    cond = rx(_text(), cat.ERROR_EXPOSURE) & any_call(lambda x: x["member"] & ~x["made"] & called(x, "send", "json") & F.exists(x["values"], lambda v: v.rlike(error)))
     return [_make(16, JS_TS, cond, _one(16), confirmed=True)]
 
 

@@ -13,16 +13,15 @@ from ..catalog import registries as reg
 from ..catalog.secrets import GATE_ASSIGN, GATE_RUN
 from ..functions.regex import alternation
 from ..functions.text import lines_of, numbered, rx, words_of
+from .structure import line_facts
 
-#: Lines around a candidate that rules look at; calls and loop bodies are taken as far as they go.
+#: Lines around a candidate that rules look at; calls and loops are looked up in the bracket index of the file.
 BEFORE, AFTER = 5, 5
 
 #: lines without any of these cannot match a code rule
 CODE_GATE = (
     r"[(=:<`\"']|debugger|__proto__|prototype|(?i:NEXT_PUBLIC_)|ObjectInputStream|dangerouslySetInnerHTML|req\."
 )
-FOR_IN = r"\bfor\s*\(\s*(?:(?:const|let|var)\s+)?[\w$]+\s+in\b"
-COOKIE_CALL = r"\.cookie\s*\("
 JS_DECL = r"\b(?:const|let|var)\s+"
 JS_INPUT = r"(?:req|request)\.(?:params|query|body|headers)"
 
@@ -202,19 +201,6 @@ def sql_template_lines(content: Column, sanitized: Column) -> Column:
     return F.when(gate, folded).otherwise(F.array().cast("array<int>"))
 
 
-# -------------------------------------------------------- calls and loop bodies
-def call_arguments(rest: Column) -> Column:
-    """Argument text of the first cookie call in the lines, over as many lines as it takes; empty if it does not close."""
-    return F.regexp_extract(F.array_join(rest, "\n"), COOKIE_CALL + r"([^()]*(?:\([^()]*\)[^()]*)*)\)", 1)
-
-
-def own_member_test(rest: Column) -> Column:
-    """Whether the lines up to the first that is only a closing brace test own members."""
-    end = F.array_position(F.transform(F.slice(rest, 2, F.size(rest)), lambda t: t.rlike(r"^\s*\}\s*$")), True)
-    body = F.slice(rest, 1, F.when(end > 0, end.cast("int")).otherwise(F.size(rest)))
-    return F.exists(body, lambda t: t.rlike(r"\.hasOwnProperty(?:\.call)?\s*\(|\bObject\.hasOwn\s*\("))
-
-
 # ------------------------------------------------------------- candidate lines
 def candidate_lines(
     files: DataFrame,
@@ -224,16 +210,15 @@ def candidate_lines(
     context: bool = True,
     taint: bool = True,
     templates: bool = False,
-    whole: bool = False,
+    structure: bool = False,
     file_rule: tuple[str, str, str] | None = None,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``files`` (repo, path, language, content) -> candidate lines.
 
     Columns: repo, path, language, line_no, text, before, after, tags,
-    template_start, file_rule_line plus ``keep``.  With ``whole`` also
-    call_args (of a cookie call, however long) and guarded (the body of a
-    ``for … in`` tests own members before a line that only closes it).
+    template_start, file_rule_line plus ``keep``.  With ``structure`` also
+    facts: the calls that begin on the line and the loop around it.
     """
     none_tags = F.array().cast(TAG_TYPE)
     prepared = files.select(
@@ -249,6 +234,8 @@ def candidate_lines(
         else F.array().cast("array<int>"),
         "_file_line": F.lit(None).cast("int"),
     }
+    if structure:
+        cols["_facts"] = line_facts(is_js, F.col("content"))
     if file_rule is not None:
         pattern, anti, requires = file_rule
         first = F.filter(
@@ -283,12 +270,8 @@ def candidate_lines(
                 F.slice(lines, F.greatest(i + 1 - BEFORE, F.lit(1)), F.least(i, F.lit(BEFORE))).alias("before"),
                 F.slice(lines, i + 1, F.lit(AFTER + 1)).alias("after"),
             ]
-        if whole:
-            rest = F.slice(lines, i + 1, F.size(lines))
-            fields += [
-                F.when(is_js & t.rlike(COOKIE_CALL), call_arguments(rest)).alias("call_args"),
-                F.when(is_js & t.rlike(FOR_IN), own_member_test(rest)).alias("guarded"),
-            ]
+        if structure:
+            fields.append(F.get(F.col("_facts"), i).alias("facts"))
         return F.when(gate(t) | F.array_contains(F.col("_templates"), i + 1), F.struct(*fields))
 
     picked = F.filter(F.transform(lines, pick), lambda x: x.isNotNull())
@@ -315,5 +298,5 @@ def candidate_lines(
         (tags if taint else none_tags).alias("tags"),
         F.array_contains(F.col("_templates"), F.col("_c.line_no")).alias("template_start"),
         (F.col("_file_line") == F.col("_c.line_no")).alias("file_rule_line"),
-        *([F.col("_c.call_args").alias("call_args"), F.col("_c.guarded").alias("guarded")] if whole else []),
+        *([F.col("_c.facts").alias("facts")] if structure else []),
     )

@@ -56,9 +56,18 @@ for _no in sorted(cat.META):
             _scan(detectors=(_no,), declarative=False, secrets=False, dedup=False),
             so.scan_sql(numbers=(_no,)),
         )
+    if _no in (6, 9, 10):
+        # calls and loops are looked up when these confirm
+        _register(
+            f"{_name}_confirmed",
+            _scan(detectors=(_no,), declarative=False, secrets=False, dedup=False, mode="confirm"),
+            so.scan_sql(numbers=(_no,), confirm=True),
+        )
 _register("scan_all_findings", _scan(dedup=False), so.scan_sql(numbers=cat.META, declarative=True, secrets=True))
 _register("scan_deduplicated", _scan(dedup=True), so.scan_sql(numbers=cat.META, declarative=True, secrets=True, dedup=True))
-_register("scan_confirmed", _scan(dedup=True, mode="confirm"))
+_register(
+    "scan_confirmed", _scan(dedup=True, mode="confirm"), so.scan_sql(numbers=cat.META, declarative=True, secrets=True, dedup=True, confirm=True)
+)
 
 
 # ------------------------------------------------------------- user-defined rules

@@ -9,6 +9,7 @@ from ..catalog.model import ALL_LANGUAGES, JS_TS
 from ..catalog.secrets import secret_rules
 from ..functions.regex import alternation
 from ..sources import oracle_views as v
+from . import confirm_oracle as co, structure_oracle as st
 from ..sources.oracle_views import m, q
 
 PY = ("python",)
@@ -69,7 +70,6 @@ lw AS MATERIALIZED (
   SELECT f.repo, f.path, f.language, f.line_no, f.text,
     string_agg(f.text, ' ') OVER (PARTITION BY f.path ORDER BY f.line_no ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS nxt,
     string_agg(f.text, ' ') OVER (PARTITION BY f.path ORDER BY f.line_no ROWS BETWEEN 5 PRECEDING AND 1 FOLLOWING) AS guard,
-    string_agg(f.text, chr(10)) OVER (PARTITION BY f.path ORDER BY f.line_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
     lower(string_agg(f.text, ' ') OVER (PARTITION BY f.path ORDER BY f.line_no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) AS around,
     {', '.join(f"{_nearby(c)} AS near_{c}" for c in ('xss', 'cmd', 'path', 'ssrf'))},
     list_has_any(coalesce(l.sxss, []), words) AS t_sxss,
@@ -88,9 +88,11 @@ def _emissions(numbers, confirm=False) -> list:
     t = "text"
     out = []
 
-    def add(no, languages, cond, *outcomes):
+    def add(no, languages, cond, *outcomes, column=None):
         if no in numbers:
-            out.append((f"SG-{no:03d}", languages, cond, outcomes, None, False))
+            out.append((f"SG-{no:03d}", languages, cond, outcomes, column, False))
+
+    also = lambda test: f" AND {test}" if confirm else ""
 
     def flat(no, languages, cond, message=None):
         add(no, languages, cond, (None, cat.META[no][1], "high", message or cat.META[no][0]))
@@ -98,15 +100,19 @@ def _emissions(numbers, confirm=False) -> list:
     web, src = m(t, reg.PY_INPUT_WEB), m(t, reg.PY_INPUT)
     flat(1, ALL_LANGUAGES, f"{_or(m(t, p) for p in cat.SECRET_SHAPES)} AND NOT {m(t, cat.SECRET_ENV)} AND NOT {m(t, cat.SECRET_PLACEHOLDER)}")
     for label, p in cat.SQL_JS:
-        add(2, JS_TS, m(t, p), (m("guard", reg.NUMERIC_GUARD), "critical", "medium", f"SQL injection: {label}"),
+        add(2, JS_TS, m(t, p) + also(co.sql_js(label)), (m("guard", reg.NUMERIC_GUARD), "critical", "medium", f"SQL injection: {label}"),
             (None, "critical", "high", f"SQL injection: {label}"))
+    if confirm:
+        per_line = _or(f"({m(t, p)} AND {co.sql_js(label)})" for label, p in cat.SQL_JS)
+        several = "SQL injection: template over several lines"
+        add(2, JS_TS, f"template_start AND NOT {per_line}", (None, "critical", "high", several))
     skip = f"({m(t, cat.SQL_PY_BOUND)} OR ({m(t, cat.SQL_PY_STATIC)} AND NOT contains(text, '%s')))"
     inline = _or(m(t, p) for p in cat.SQL_PY_INLINE)
     strong = "SQL injection: query text from user data"
     add(2, PY, f"NOT {skip} AND {inline}", (src, "critical", "high", strong), (None, "critical", "medium", "SQL injection: dynamic query text"))
     add(2, PY, f"NOT {skip} AND NOT {inline} AND {m(t, cat.SQL_PY_VARIABLE)} AND q_sql", (None, "critical", "high", strong))
     for label, p in cat.XSS_JS:
-        add(3, JS_TS, m(t, p), ("near_xss", "warning", "medium", f"XSS: {label}"), (None, "warning", "high", f"XSS: {label}"))
+        add(3, JS_TS, m(t, p) + also(co.xss_js(label)), ("near_xss", "warning", "medium", f"XSS: {label}"), (None, "warning", "high", f"XSS: {label}"))
     seen = []
     for label, p in cat.XSS_PY:
         cond = f"{m(t, p)} AND NOT (t_sxss AND NOT {web})" + "".join(f" AND NOT {s}" for s in seen)
@@ -117,48 +123,48 @@ def _emissions(numbers, confirm=False) -> list:
         outs = [(None, "warning", "high", f"Weak cryptography: {label}")]
         if label in ("MD5", "SHA1"):
             outs.insert(0, (checksum, "warning", "medium", f"Weak cryptography: {label}"))
-        add(4, ALL_LANGUAGES, m(t, p), *outs)
-    flat(6, JS_TS, m(t, cat.REDIRECT))
+        add(4, ALL_LANGUAGES, m(t, p) + also(co.crypto(label)), *outs)
+    flat(6, JS_TS, st.confirmed(6) if confirm else m(t, cat.REDIRECT))
     flat(7, JS_TS, m(t, cat.JWT_LITERAL))
-    flat(8, JS_TS, m(t, cat.JWT_NONE))
-    flat(9, JS_TS, m(t, cat.FUNCTION_CONSTRUCTOR))
-    flat(10, JS_TS, m(t, cat.PROTOTYPE))
-    flat(11, JS_TS, m(t, cat.NOSQL))
+    flat(8, JS_TS, m(t, cat.JWT_NONE) + co.also(8, confirm))
+    flat(9, JS_TS, st.confirmed(9) if confirm else m(t, cat.FUNCTION_CONSTRUCTOR))
+    flat(10, JS_TS, st.confirmed(10) if confirm else m(t, cat.PROTOTYPE))
+    flat(11, JS_TS, m(t, cat.NOSQL) + co.also(11, confirm))
     near = lambda no, c, sev, msg, cond: add(no, JS_TS, cond, (f"near_{c}", sev, "medium", msg), (None, sev, "high", msg))
-    near(12, "ssrf", "critical", "SSRF: request to a user-controlled address", m(t, cat.SSRF_JS))
+    near(12, "ssrf", "critical", "SSRF: request to a user-controlled address", m(t, cat.SSRF_JS) + co.also(12, confirm))
     add(12, PY, f"{m(t, cat.SSRF_PY)} AND NOT {m(t, cat.PY_PLAIN_LITERAL)}",
         (f"({src} OR t_ssrf)", "critical", "high", "SSRF: user data in a request address"),
         (None, "critical", "medium", "SSRF: dynamic request address"))
-    flat(14, JS_TS, m(t, cat.CORS))
+    flat(14, JS_TS, m(t, cat.CORS) + co.also(14, confirm))
     flat(15, ALL_LANGUAGES, f"{m(t, cat.REGEX_PRESENT)} AND {_or(m(t, p) for p in cat.REDOS)}")
-    flat(17, JS_TS, m(t, cat.TLS_OFF))
-    flat(19, JS_TS, m(t, cat.DEBUGGER))
+    flat(17, JS_TS, m(t, cat.TLS_OFF) + co.also(17, confirm))
+    if confirm:
+        add(19, JS_TS, m(t, co.DEBUGGER), (None, cat.META[19][1], "high", cat.META[19][0]), column="debugger")
+    else:
+        flat(19, JS_TS, m(t, cat.DEBUGGER))
     for label, p in cat.DESERIALIZE:
         flat(20, ALL_LANGUAGES, m(t, p), f"Unsafe deserialization: {label}")
-    near(21, "path", "critical", "Path traversal: user data in a file path", f"({m(t, cat.PATH_JS)} OR {m(t, cat.PATH_JOIN_JS)})")
+    near(21, "path", "critical", "Path traversal: user data in a file path", f"({m(t, cat.PATH_JS)} OR {m(t, cat.PATH_JOIN_JS)})" + co.also(21, confirm))
     add(21, PY, f"{m(t, cat.PATH_PY_OPEN)} AND NOT {m(t, cat.PATH_PY_LITERAL)} AND ({src} OR {m(t, cat.PATH_PY_DYNAMIC)} OR t_path)",
         (src, "critical", "high", "Path traversal: user data in open()"), (None, "critical", "medium", "Path traversal: user data in open()"))
-    near(22, "cmd", "critical", "Command injection: user data in a command", m(t, cat.COMMAND_JS))
+    near(22, "cmd", "critical", "Command injection: user data in a command", m(t, cat.COMMAND_JS) + co.also(22, confirm))
     safe = f"({m(t, r'\(\s*\[')} OR {m(t, cat.PY_PLAIN_LITERAL)} OR q_first OR (t_quoted AND NOT t_cmd))"
     add(22, PY, f"{m(t, cat.COMMAND_PY)} AND NOT {safe}",
         (f"({src} OR t_cmd)", "critical", "high", "Command injection: user data in a shell command"),
         (None, "warning", "medium", "Command injection: dynamic value in a shell command"))
-    flat(23, JS_TS, m(t, cat.EVAL_JS))
+    flat(23, JS_TS, m(t, cat.EVAL_JS) + co.also(23, confirm))
     add(23, PY, f"{m(t, cat.EVAL_PY)} AND NOT {m(t, cat.EVAL_PY_LITERAL)}",
         (src, "critical", "high", "Eval injection: user data evaluated"), (None, "critical", "medium", "Eval injection: dynamic text evaluated"))
     for label, p in cat.LEGACY:
-        flat(5, ALL_LANGUAGES, m(t, p), f"Unsafe access: {label}")
+        flat(5, ALL_LANGUAGES, m(t, p) + also(co.legacy()), f"Unsafe access: {label}")
     if confirm:
-        args = f"regexp_extract(rest, {q(r'[.]cookie\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)')}, 1)"
-        flat(13, JS_TS, f"{m(t, r'[.]cookie\s*\(')} AND contains({args}, ',') AND NOT "
-             f"({m(args, r'\bhttpOnly\s*:\s*true\b')} AND {m(args, r'\bsecure\s*:\s*true\b')})")
-        error = r"(?i)[.](?:send|json)\s*\((?:[^()]*[,{:])?\s*(?:err|error|e)(?:[.](?:stack|message))?\s*[,})]"
-        flat(16, JS_TS, f"{m(t, cat.ERROR_EXPOSURE)} AND {m(t, error)}")
+        flat(13, JS_TS, st.confirmed(13))
+        flat(16, JS_TS, st.confirmed(16))
         names = "(?:password|secret|token|hash|key|signature|apikey|api_key|digest|hmac)"
         left = rf"(?i)(?:^|[^\w$]){names}\s*(?:===|!==|==|!=)"
         right = rf"(?i)(?:===|!==|==|!=)\s*(?:[\w$]+[.])*{names}\s*(?:[^\w$.(\[\s]|$)"
         flat(18, JS_TS, f"{m(t, cat.TIMING)} AND ({m(t, left)} OR {m(t, right)})")
-    return out
+    return sorted(out, key=lambda e: cat.ORDER.index(int(e[0][3:])))
 
 
 def _declarative() -> list:
@@ -222,6 +228,9 @@ def scan_sql(*, numbers=(), declarative=False, secrets=False, dedup=False, sourc
     if declarative:
         ctes.append(app_lines())
     base = "lw" if context else "lines lw"
+    if confirm:
+        ctes += [st.structure(), st.flagged_lines(), co.js_names(), co.named_lines("lws")]
+        base = "lwn lw"
     ctes.append(
         f"hits AS (SELECT repo, path, line_no, unnest(list_filter([{', '.join(cells)}], lambda x: x IS NOT NULL)) AS h FROM {base})"
     )

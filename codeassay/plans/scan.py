@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..catalog.js_rules import APP_CONSTRUCTOR, FILE_RULE, js_rules
-from ..operators.detectors import detector_emissions, js_emissions, rule_emission, secret_emissions
+from ..operators.detectors import STRUCTURAL, detector_emissions, js_emissions, rule_emission, secret_emissions
 from ..operators.files import candidate_lines, language_of
 from ..operators.matching import FINDING_COLUMNS, dedup_findings, findings_of
 
@@ -57,7 +57,7 @@ def scan(
         context=code or declarative or bool(extra_rules) or excerpt,
         taint=code,
         templates=mode == "confirm" and (numbers is None or 2 in numbers),
-        whole=mode == "confirm" and (numbers is None or bool({10, 13} & set(numbers))),
+        structure=mode == "confirm" and (numbers is None or bool(STRUCTURAL & set(numbers))),
         file_rule=_file_rule() if declarative else None,
         keep=keep,
     )

@@ -99,6 +99,14 @@ _JS = [
     "// eval(x)\n * fetch(y)\n// new Buffer(1)\néval(x); éeval(y);",
     "const q = db.query(`\n  SELECT *\n  FROM t WHERE id = ${id}`);\nconst k = 'sk_test_1';\nexec(cmd, req.body);",
     "import a from 'lodash';\nimport { b } from '@scope/pkg/sub';\nconst c = require('express');\nimport './local';\nconst d = await import('chalk/x');",
+    # calls in calls, over lines, with brackets in texts and comments
+    'res.cookie("s", jwt.sign(claims(user), key), { httpOnly: false, secure: false });\nres.cookie("t", seal(a, (b)), { httpOnly: true, secure: true, maxAge: age(1, 2) });',
+    'res.cookie(\n  "sid", // it is (not a bracket\n  sign(user, "a)b"),\n  { secure: true }\n);\nres.cookie(name(), value, options);\nconst v = req.cookie("sid");\nres.cookie("x", y, { nested: { httpOnly: true, secure: true } });\nres.cookie(\n  "ok", seal([1, 2]), /* both ) set */\n  { secure: true,\n    httpOnly: true }\n);',
+    "for (const k in src) {\n  if (deep) {\n    log(k);\n  }\n  if (Object.hasOwn(src, k)) {\n    target[k] = src[k];\n  }\n}\nfor (let i = 0; i < n; i++) { merge(a, b); }",
+    "for (const k in src) {\n  if (deep) {\n    log(k);\n  }\n  Object.assign(target, src[k]);\n}\nif (src.hasOwnProperty(k)) done();\nfor (k in a) if (a.hasOwnProperty(k)) b[k] = a[k];\nfor (const k in a) b[k] = a[k];\nfor (const x in y) {\n  for (const k in a) {\n    if (this.hasOwnProperty(k)) merge(a, k);\n  }\n}",
+    'Object.assign(make(1, two()), req.body);\nObject.assign({}, (x), wrap(req.body));\nconst m = deepmerge(a, f(b));\nmerged(a);\nvm.merge(a);\nObject.assign({}, req.query["a"], b);',
+    'res.redirect(req.query.code, pick(req.query.url));\nres.redirect(req.query.code || code(302), req.query["url"]);\nconst g = new Function(build("a"), "return 1");\nconst f = new Function("a", build("x", ")"));\nnew Function();',
+    "res.json({ error: fmt(err, 1), detail: { stack: err.stack } });\nres.json({ message: fmt(error) });\nres.send('failed (', err);\nres.status(400).json({ error });\nres.json({ ...error, message: x });",
 ]
 _TS = [
     "interface User { name: string }\nconst x: number = eval(code);",
