@@ -56,12 +56,12 @@ def resolve_edges(requirements: DataFrame, dependencies: DataFrame, scan: str =
         .groupBy(scan, F.col("name").alias("child"))
         .agg(F.min_by("version", F.struct(*order)).alias("version"))
     )
-    edges = requirements.join(first, [scan, "child"]).withColumn(
+    edges = salted_join(requirements, first, [scan, "child"]).withColumn(
         "child_key", dep_key(F.lit("npm"), F.col("child"), F.col("version"))
     )
     last = edges.groupBy(scan, "parent_key").agg(F.max(F.struct("path", "ord")).alias("_last"))
     return (
-        edges.join(last, [scan, "parent_key"])
+        salted_join(edges, last, [scan, "parent_key"])
         .filter(F.struct("path", "ord") == F.col("_last"))
         .select(scan, "parent_key", "child_key", "range", "path", "ord")
     )
@@ -122,35 +122,42 @@ def reachability(edges: DataFrame, seeds: DataFrame, scan: str = "repo", max_rou
 
     Breadth-first rounds; each round joins the frontier with the edges and
     drops what is already known.  The edges are partitioned by parent once and
-    kept, so a round only moves its frontier; edges of a hub are spread by a
-    salt.  Frontiers are checkpointed: plans stay short and a lost executor
-    costs little.
+    kept; edges of a hub are spread by a salt.  What is known is kept
+    partitioned by key as well, and the levels found since are merged into it
+    only when they have grown to half of it, so each key moves a logarithmic
+    number of times.  Levels are checkpointed: plans stay short and a lost
+    executor costs a partition.
     """
-    keys = [scan, "parent_key"]
+    keys, node = [scan, "parent_key"], [scan, "dep_key"]
     e = edges.select(*keys, "child_key").distinct()
     hot = hot_keys(edges, keys)
     is_hot = key_hash(keys).isin(hot) if hot else F.lit(False)
     salt = F.when(is_hot, F.pmod(F.xxhash64("child_key"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     e = e.withColumn("_salt", salt).repartition(*keys, "_salt").persist(StorageLevel.MEMORY_AND_DISK)
-    known = cut_lineage(seeds.select(scan, "dep_key").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = known, 0
+    frontier = cut_lineage(seeds.select(*node).distinct().withColumn("depth", F.lit(0)))
+    known, size, recent, waiting, depth = frontier.repartition(*node).persist(StorageLevel.MEMORY_AND_DISK), frontier.count(), None, 0, 0
+    held = [e, known]
     while max_rounds is None or depth < max_rounds:
         depth += 1
         asked = frontier.select(scan, F.col("dep_key").alias("parent_key")).withColumn("_salt", F.explode(copies))
-        new = (
-            e.join(asked, [*keys, "_salt"]).select(scan, F.col("child_key").alias("dep_key")).distinct()
-            .join(known.select(scan, "dep_key"), [scan, "dep_key"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        frontier = cut_lineage(new)
-        if frontier.isEmpty():
+        new = e.join(asked, [*keys, "_salt"]).select(scan, F.col("child_key").alias("dep_key")).distinct().join(known.select(*node), node, "left_anti")
+        if recent is not None:
+            new = new.join(recent.select(*node), node, "left_anti")
+        frontier = cut_lineage(new.withColumn("depth", F.lit(depth)))
+        found = frontier.count()
+        if not found:
             break
-        known = known.unionByName(frontier)
-        if depth % 8 == 0:
-            known = cut_lineage(known)
-    e.unpersist()
-    return known
+        recent, waiting = (frontier if recent is None else recent.unionByName(frontier)), waiting + found
+        if 2 * waiting >= size:
+            merged = cut_lineage(known.unionByName(recent))
+            held.pop().unpersist()
+            known, size, recent, waiting = merged.repartition(*node).persist(StorageLevel.MEMORY_AND_DISK), size + waiting, None, 0
+            held.append(known)
+    out = cut_lineage(known if recent is None else known.unionByName(recent))
+    for x in held:
+        x.unpersist()
+    return out
 
 
 def flag_reachable(findings: DataFrame, reachable: DataFrame, scan: str = "repo", compat: bool = True) -> DataFrame:
@@ -173,32 +180,43 @@ def flag_reachable(findings: DataFrame, reachable: DataFrame, scan: str = "repo"
 def dep_chains(
     edges: DataFrame, targets: DataFrame, scan: str = "repo", max_depth: int | None = None, max_paths: int | None = None
 ) -> DataFrame:
-    """Upward chains from a target to packages nobody depends on.
-
-    A node keeps one chain per target (the shortest, then the smallest), so
-    cycles end.  ``max_depth`` bounds the nodes of a chain and ``max_paths`` the
-    chains of a target (by length, then text); without them all are given.
+    """Upward chains from a target to packages nobody depends on: (scan, target, chain, rank).
+
+    A target has one chain per package nobody depends on (the shortest, then
+    the smallest), so cycles end.  ``max_depth`` bounds the nodes of a chain and
+    ``max_paths`` the chains of a target (by length, then text); without them
+    all are given.
+
+    Chains are built from their ends: packages above the targets are found
+    first, then chains grow downwards, a level a round.  A package keeps its
+    ``max_paths`` best chains only.  That is exact, as the chains of a package
+    through one parent are in the order of the parent's.  So the table has a
+    bounded number of rows for each package, not one for each target and
+    package above it.  Edges below a hub are spread by a salt.
     """
+    node, up_key = [scan, "node"], [scan, "parent"]
     up = cut_lineage(edges.select(scan, F.col("child_key").alias("node"), F.col("parent_key").alias("parent")).distinct())
-    has_parent = up.select(scan, "node").distinct().withColumn("_up", F.lit(True))
-    level = targets.select(scan, F.col("dep_key").alias("target"), F.col("dep_key").alias("node")).distinct().withColumn(
-        "chain", F.array("node")
+    wanted = targets.select(scan, "dep_key").distinct()
+    upward = up.select(scan, F.col("node").alias("parent_key"), F.col("parent").alias("child_key"))
+    above = reachability(upward, wanted, scan, None if max_depth is None else max_depth - 1).select(scan, F.col("dep_key").alias("node"))
+    inner = cut_lineage(up.join(above, node, "left_semi"))
+    hot = hot_keys(inner, up_key)
+    level = cut_lineage(
+        above.join(up.select(*node).distinct(), node, "left_anti").select(*node, F.col("node").alias("root"), F.array("node").alias("chain"))
     )
-    seen, finished, depth = level.select(scan, "target", "node"), [], 1
-    while True:
-        marked = level.join(has_parent, [scan, "node"], "left")
-        finished.append(marked.filter(F.col("_up").isNull()).select(scan, "target", "chain"))
-        if depth == max_depth:
-            break
-        step = level.join(up, [scan, "node"]).select(scan, "target", F.col("parent").alias("node"), F.array_append("chain", F.col("parent")).alias("chain"))
-        best = step.groupBy(scan, "target", "node").agg(F.min("chain").alias("chain")).join(seen, [scan, "target", "node"], "left_anti")
-        level, depth = cut_lineage(best), depth + 1
-        if level.isEmpty():
-            break
-        seen = seen.unionByName(level.select(scan, "target", "node"))
-    out = finished[0]
-    for f in finished[1:]:
-        out = out.unionByName(f)
-    w = Window.partitionBy(scan, "target").orderBy(F.size("chain"), "chain")
-    out = out.withColumn("rank", F.row_number().over(w))
+    kept, depth = level, 1
+    while depth != max_depth and not level.isEmpty():
+        step = salted_join(inner, level.withColumnRenamed("node", "parent"), up_key, hot=hot)
+        best = step.groupBy(*node, "root").agg(F.min("chain").alias("chain")).select(*node, "root", F.concat(F.array("node"), "chain").alias("chain"))
+        if max_paths is None:
+            new = best.join(kept.select(*node, "root"), [*node, "root"], "left_anti")
+        else:
+            full = kept.groupBy(*node).agg(F.collect_list("root").alias("_roots"))  # at most ``max_paths``
+            new = best.join(full, node, "left").filter(F.col("_roots").isNull() | ~F.array_contains("_roots", F.col("root")))
+            new = new.withColumn("_rn", F.row_number().over(Window.partitionBy(*node).orderBy("chain")))
+            new = new.filter(F.col("_rn") <= max_paths).filter(F.col("_rn") + F.size(F.coalesce("_roots", F.array().cast("array<string>"))) <= max_paths).drop("_roots", "_rn")
+        level, depth = cut_lineage(new), depth + 1
+        kept = kept.unionByName(level)
+    out = kept.join(wanted.withColumnRenamed("dep_key", "node"), node).select(scan, F.col("node").alias("target"), "chain")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy(scan, "target").orderBy(F.size("chain"), "chain")))
     return out if max_paths is None else out.filter(F.col("rank") <= max_paths)

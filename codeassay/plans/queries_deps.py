@@ -230,13 +230,13 @@ def dependency_edges(spark, sf):
 @_register(
     "dependency_ranges",
     f"""WITH {v.dependencies()}, {v.edges()},
-    own AS (SELECT DISTINCT scan_id % 10 AS scan_id, ecosystem || ':' || name || '@' || version AS dep_key, declared_range AS range, 0 AS p, '' AS parent FROM deps WHERE declared_range IS NOT NULL),
+    own AS (SELECT DISTINCT scan_id // {d.SCAN_ORDERS} + 1 AS scan_id, ecosystem || ':' || name || '@' || version AS dep_key, declared_range AS range, 0 AS p, '' AS parent FROM deps WHERE declared_range IS NOT NULL),
     asked AS (SELECT scan_id, child_key, '^' || length(parent_key) AS range, 1, parent_key FROM edges),
     a AS (SELECT * FROM own UNION ALL SELECT * FROM asked)
     SELECT scan_id, dep_key, range FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, dep_key ORDER BY p, parent, range) AS rn FROM a) WHERE rn = 1""",
 )
 def dependency_ranges(spark, sf):
-    deps = d.dependencies(spark, sf).withColumn("scan_id", F.col("scan_id") % 10)
+    deps = d.dependencies(spark, sf).withColumn("scan_id", F.expr(f"scan_id div {d.SCAN_ORDERS} + 1"))
     edges = d.edges(spark, sf).select(
         "*", F.concat(F.lit("^"), F.length("parent_key").cast("string")).alias("range"), F.lit("lock").alias("path"),
         F.array(F.lit(0)).alias("ord"),
@@ -259,15 +259,23 @@ def import_extraction(spark, sf):
     return gr.imports(d.corpus(spark, sf))
 
 
-SEEDS_SQL = "seeds AS (SELECT s_suppkey % 10 AS scan_id, 'npm:p' || ((s_suppkey * 31) % 499) || '@1.0.0' AS dep_key FROM supplier)"
+def _marked_sql(name: str, times: int, plus: int) -> str:
+    return f"""{name} AS (SELECT 0 AS scan_id, 'npm:p' || (s_suppkey * {times} + {plus}) || '@1.0.0' AS dep_key FROM supplier
+      UNION ALL SELECT s_suppkey + 1, 'npm:p' || (s_suppkey * {d.SCAN_ORDERS} + {times} + {plus}) || '@1.0.0' FROM supplier)"""
 
 
-def _seeds(spark, sf):
-    s = d.table(spark, sf, "supplier")
-    return s.select(
-        (F.col("s_suppkey") % 10).alias("scan_id"),
-        F.concat(F.lit("npm:p"), ((F.col("s_suppkey") * 31) % 499).cast("string"), F.lit("@1.0.0")).alias("dep_key"),
+def _marked(spark, sf, times: int, plus: int):
+    """A package of the large scan and one of a small scan for each supplier."""
+    k = F.col("s_suppkey")
+    two = F.array(
+        F.struct(F.lit(0).cast("bigint").alias("scan_id"), d.package_key(k * times + plus).alias("dep_key")),
+        F.struct((k + 1).cast("bigint").alias("scan_id"), d.package_key(k * d.SCAN_ORDERS + times + plus).alias("dep_key")),
     )
+    return d.table(spark, sf, "supplier").select(F.inline(two))
+
+
+SEEDS, TARGETS = (7, 1), (29, 401)
+SEEDS_SQL, TARGETS_SQL = _marked_sql("seeds", *SEEDS), _marked_sql("targets", *TARGETS)
 
 
 @_register(
@@ -277,7 +285,7 @@ def _seeds(spark, sf):
     SELECT scan_id, dep_key FROM r""",
 )
 def reachability(spark, sf):
-    return gr.reachability(d.edges(spark, sf), _seeds(spark, sf), "scan_id").select("scan_id", "dep_key")
+    return gr.reachability(d.edges(spark, sf), _marked(spark, sf, *SEEDS), "scan_id").select("scan_id", "dep_key")
 
 
 @_register(
@@ -297,7 +305,7 @@ def reachable_flag(spark, sf):
 
 
 def _chain_sql():
-    lv = ["l1 AS (SELECT DISTINCT scan_id, dep_key AS target, dep_key AS node, [dep_key] AS chain FROM seeds)"]
+    lv = ["l1 AS (SELECT DISTINCT scan_id, dep_key AS target, dep_key AS node, [dep_key] AS chain FROM targets)"]
     for n in range(2, 6):
         seen = "".join(
             f" AND NOT EXISTS (SELECT 1 FROM l{j} s WHERE s.scan_id = x.scan_id AND s.target = x.target AND s.node = x.node)" for j in range(2, n)
@@ -308,7 +316,7 @@ def _chain_sql():
               WHERE true{seen} GROUP BY 1, 2, 3)"""
         )
     done = " UNION ALL ".join(f"SELECT * FROM l{n}" for n in range(1, 6))
-    return f"""WITH {v.edges()}, {SEEDS_SQL}, up AS (SELECT DISTINCT scan_id, child_key AS node, parent_key AS parent FROM edges), {', '.join(lv)},
+    return f"""WITH {v.edges()}, {TARGETS_SQL}, up AS (SELECT DISTINCT scan_id, child_key AS node, parent_key AS parent FROM edges), {', '.join(lv)},
     done AS (SELECT * FROM ({done}) a WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.scan_id = a.scan_id AND up.node = a.node))
     SELECT scan_id, target, array_to_string(chain, ' < ') AS chain, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY scan_id, target ORDER BY len(chain), chain) AS rank FROM done) WHERE rank <= 3"""
@@ -316,5 +324,5 @@ def _chain_sql():
 
 @_register("dependency_chains", _chain_sql())
 def dependency_chains(spark, sf):
-    c = gr.dep_chains(d.edges(spark, sf), _seeds(spark, sf), "scan_id", max_depth=5, max_paths=3)
+    c = gr.dep_chains(d.edges(spark, sf), _marked(spark, sf, *TARGETS), "scan_id", max_depth=5, max_paths=3)
     return c.select("scan_id", "target", F.array_join("chain", " < ").alias("chain"), "rank")

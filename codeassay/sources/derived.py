@@ -255,12 +255,25 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Orders that share a scan; a third of all lines belongs to one large scan besides.
+SCAN_ORDERS = 4096
+
+
+def package_key(number) -> F.Column:
+    return F.concat(F.lit("npm:p"), number.cast("string"), F.lit("@1.0.0"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem -> dependency edges of 10 lock files (cycles included)."""
-    li = table(spark, sf_dir, "lineitem")
-    n = lambda c: F.concat(F.lit("npm:p"), c.cast("string"), F.lit("@1.0.0"))
-    return li.select(
-        (F.col("l_suppkey") % 10).alias("scan_id"),
-        n(F.col("l_partkey")).alias("parent_key"),
-        n((F.col("l_partkey") * 7 + F.col("l_linenumber") * 13 + 1) % 997).alias("child_key"),
+    """lineitem -> dependency edges: orders are packages, a line leads to the thrice of its order, some back to a third of it.
+
+    Packages, edges and scans grow with the table, and so do depth (by the
+    logarithm), cycles and the number of packages nobody depends on.
+    """
+    o, line, block = F.col("l_orderkey"), F.col("l_linenumber"), F.expr(f"l_orderkey div {SCAN_ORDERS}")
+    large = F.col("l_suppkey") % 3 == 0
+    base = F.when(large, F.lit(0)).otherwise(block * SCAN_ORDERS).cast("bigint")
+    placed = table(spark, sf_dir, "lineitem").select(
+        F.when(large, F.lit(0)).otherwise(block + 1).cast("bigint").alias("scan_id"), base.alias("base"), (o - base).alias("o"), line.alias("line")
     )
+    child = F.when((F.col("line") == 7) & (F.col("o") % 8 == 1), F.expr("o div 3")).otherwise(F.col("o") * 3 + F.col("line"))
+    return placed.select("scan_id", package_key(F.col("base") + F.col("o")).alias("parent_key"), package_key(F.col("base") + child).alias("child_key"))

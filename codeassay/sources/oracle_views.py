@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..catalog import registries as reg
-from .derived import CWE_POOL, ECOSYSTEMS, LICENSES, RULE_POOL
+from .derived import CWE_POOL, ECOSYSTEMS, LICENSES, RULE_POOL, SCAN_ORDERS
 from .snippets import samples
 
 
@@ -147,7 +147,8 @@ def policies() -> str:
 
 
 def edges() -> str:
-    return """edges AS (
-  SELECT l_suppkey % 10 AS scan_id, 'npm:p' || l_partkey || '@1.0.0' AS parent_key,
-         'npm:p' || ((l_partkey * 7 + l_linenumber * 13 + 1) % 997) || '@1.0.0' AS child_key
-  FROM lineitem)"""
+    block = f"(l_orderkey // {SCAN_ORDERS})"
+    return f"""edges AS (
+  SELECT scan_id, 'npm:p' || (base + o) || '@1.0.0' AS parent_key, 'npm:p' || (base + CASE WHEN line = 7 AND o % 8 = 1 THEN o // 3 ELSE o * 3 + line END) || '@1.0.0' AS child_key
+  FROM (SELECT CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE {block} + 1 END AS scan_id, CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE {block} * {SCAN_ORDERS} END AS base,
+    l_orderkey - CASE WHEN l_suppkey % 3 = 0 THEN 0 ELSE {block} * {SCAN_ORDERS} END AS o, l_linenumber AS line FROM lineitem))"""
