@@ -9,39 +9,20 @@ from ..catalog import registries as reg
 from ..functions.session import cut_lineage
 from .files import extension
 from .joins import SALTS, hot_keys, key_hash, salted_join
-from .manifests import _lock_packages, nested_lock_levels, package_locks
 
 
 def dep_key(eco: Column, name: Column, version: Column) -> Column:
     return F.concat(eco, F.lit(":"), name, F.lit("@"), version)
 
 
-def lock_requirements(files: DataFrame, nested: bool = True, levels: DataFrame | None = None) -> DataFrame:
-    """(repo, parent_key, ord, child, range) declared in package lock files.
+def lock_requirements(entries: DataFrame) -> DataFrame:
+    """(repo, path, ord, parent_key, child, range): what the entries of lock files ask for.
 
     ``ord`` orders the entries of a file; a later entry replaces an earlier one
     with the same key.
     """
-    locks = package_locks(files)
-    flat = locks.select("repo", "path", F.posexplode(_lock_packages(F.col("content"))).alias("i", "e")).select(
-        "repo", "path", F.array("i").alias("ord"), F.col("e.name").alias("name"), F.col("e.info.version").alias("version"),
-        F.map_concat(
-            F.coalesce("e.info.dependencies", F.create_map().cast("map<string,string>")),
-            F.map_filter(
-                F.coalesce("e.info.devDependencies", F.create_map().cast("map<string,string>")),
-                lambda k, _: ~F.coalesce(F.map_contains_key(F.col("e.info.dependencies"), k), F.lit(False)),
-            ),
-        ).alias("children"),
-    )
-    rows = flat
-    if nested:
-        v1 = (levels if levels is not None else nested_lock_levels(locks)).select(
-            "repo", "path", "ord", "name", "version", F.col("requires").alias("children")
-        )
-        rows = flat.unionByName(v1)
-    return rows.select(
-        "repo", "path", "ord", dep_key(F.lit("npm"), F.col("name"), F.col("version")).alias("parent_key"),
-        F.explode("children").alias("child", "range"),
+    return entries.select(
+        "repo", "path", "ord", dep_key(F.lit("npm"), F.col("name"), F.col("version")).alias("parent_key"), F.inline("children")
     )
 
 

@@ -3,15 +3,17 @@
 Every format is an array expression over the file's text, so all formats run
 in one projection over the manifest slice of the corpus.  Lock files are cut
 into blocks by the positions of their header lines; the blocks partition the
-file, so the work is linear in its size.  Only the nested first lock-file
-version needs a loop (one pass per nesting level).
+file, so the work is linear in its size.  Only the first lock-file version,
+whose entries nest to any depth, is walked by an Arrow function.
 """
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.session import cut_lineage
 from ..functions.text import base_name, js_trim, lines_of, numbered
 from .corpus import is_manifest
 
@@ -79,12 +81,11 @@ LOCK_ENTRY = (
     "STRUCT<version STRING, dev BOOLEAN, license STRING, dependencies MAP<STRING,STRING>, devDependencies MAP<STRING,STRING>>"
 )
 LOCK = f"packages MAP<STRING,{LOCK_ENTRY}>, dependencies STRING"
-LOCK_V1 = "MAP<STRING,STRUCT<version STRING, dev BOOLEAN, requires MAP<STRING,STRING>, dependencies STRING>>"
 
 
-def _lock_packages(content: Column) -> Column:
+def _lock_packages(packages: Column) -> Column:
     """(name, entry) of the ``packages`` section, without the root entry."""
-    entries = F.map_entries(F.from_json(content, LOCK)["packages"])
+    entries = F.map_entries(packages)
     named = F.transform(
         F.filter(entries, lambda e: (e["key"] != "") & (F.coalesce(e["value"]["version"], F.lit("")) != "")),
         lambda e: F.struct(F.regexp_replace(e["key"], "^.*node_modules/", "").alias("name"), e["value"].alias("info")),
@@ -92,51 +93,97 @@ def _lock_packages(content: Column) -> Column:
     return F.filter(named, lambda e: e["name"] != "")
 
 
-def package_lock(content: Column) -> Column:
-    return F.transform(
-        _lock_packages(content),
-        lambda e: _dep(
-            e["name"], e["info"]["version"], "npm", F.lit(1), F.coalesce(e["info"]["dev"], F.lit(False)),
-            _text_only(e["info"]["license"]),
-        ),
-    )
-
-
 def package_locks(files: DataFrame) -> DataFrame:
     return files.filter(base_name(F.col("path")) == "package-lock.json").select("repo", "path", "content")
 
 
-def nested_lock_levels(files: DataFrame) -> DataFrame:
-    """All entries of version 1 lock files, level by level.
+ENTRY = "struct<ord:array<int>,name:string,version:string,dev:boolean,license:string,children:array<struct<child:string,range:string>>>"
+
+
+def _as_text(value) -> str | None:
+    """A member that is asked for as text: other values as they are written."""
+    if value is None or isinstance(value, str):
+        return value
+    return json.dumps(_plain(value), separators=(",", ":"), ensure_ascii=False)
+
+
+def _plain(value):
+    if isinstance(value, _Members):
+        return {k: _plain(v) for k, v in value}
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+class _Members(list):
+    """Members of an object in order, repeated names included."""
+
+    def last(self, name: str):
+        return next((v for k, v in reversed(self) if k == name), None)
+
+
+def nested_entries(text: str) -> list[dict]:
+    """All entries of a first-version lock file; ``ord`` is the way of positions that leads to one.
 
-    Columns: repo, path, ord (position path), name, version, dev, requires.
+    A text that is no object, or has a ``packages`` section, has none.  An
+    entry without a version is left out with what it holds.
     """
-    doc = F.from_json("content", LOCK)
-    level = files.select("repo", "path", F.array().cast("array<int>").alias("ord"), doc.alias("d")).filter(
-        F.col("d.packages").isNull() & F.col("d.dependencies").isNotNull()
-    ).select("repo", "path", "ord", F.col("d.dependencies").alias("children"))
-    levels = []
-    while True:
-        entries = (
-            level.select("repo", "path", "ord", F.posexplode(F.map_entries(F.from_json("children", LOCK_V1))).alias("i", "e"))
-            .filter(F.coalesce(F.col("e.value.version"), F.lit("")) != "")
-            .select(
-                "repo", "path", F.array_append("ord", F.col("i")).alias("ord"), F.col("e.key").alias("name"),
-                F.col("e.value.version").alias("version"), F.coalesce("e.value.dev", F.lit(False)).alias("dev"),
-                F.col("e.value.requires").alias("requires"), F.col("e.value.dependencies").alias("children"),
-            )
-        )
-        entries = cut_lineage(entries)
-        levels.append(entries.drop("children"))
-        level = entries.filter(F.col("children").isNotNull()).select("repo", "path", "ord", "children")
-        if level.isEmpty():
-            break
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
+    try:
+        doc = json.loads(text, object_pairs_hook=_Members)
+    except ValueError:
+        return []
+    if not isinstance(doc, _Members) or isinstance(doc.last("packages"), _Members) or not isinstance(doc.last("dependencies"), _Members):
+        return []
+    out, todo = [], [((), doc.last("dependencies"))]
+    while todo:
+        way, members = todo.pop()
+        for i, (name, entry) in enumerate(members):
+            version = _as_text(entry.last("version")) if isinstance(entry, _Members) else None
+            if not version:
+                continue
+            needs, inner = entry.last("requires"), entry.last("dependencies")
+            children = [{"child": k, "range": _as_text(v)} for k, v in needs] if isinstance(needs, _Members) else []
+            out.append({"ord": [*way, i], "name": name, "version": version, "dev": entry.last("dev") is True, "license": None, "children": children})
+            if isinstance(inner, _Members):
+                todo.append(((*way, i), inner))
     return out
 
 
+def _nested(contents: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([
+        ("ord", pa.list_(pa.int32())), ("name", pa.string()), ("version", pa.string()), ("dev", pa.bool_()), ("license", pa.string()),
+        ("children", pa.list_(pa.struct([("child", pa.string()), ("range", pa.string())]))),
+    ]))
+    return pa.array([None if x is None else nested_entries(x) for x in contents.to_pylist()], kind)
+
+
+def lock_entries(locks: DataFrame) -> DataFrame:
+    """All entries of package lock files of any version, in one pass whatever their depth.
+
+    Columns: repo, path, ord (position, or way of positions where entries nest),
+    name, version, dev, license, children (name to range).
+    """
+    asked = lambda m: F.transform(
+        F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:string>>")), lambda x: F.struct(x["key"].alias("child"), x["value"].alias("range"))
+    )
+    flat = F.transform(
+        _lock_packages(F.col("_d.packages")),
+        lambda e, i: F.struct(
+            F.array(i).alias("ord"), e["name"].alias("name"), e["info"]["version"].alias("version"), F.coalesce(e["info"]["dev"], F.lit(False)).alias("dev"),
+            _text_only(e["info"]["license"]).alias("license"),
+            F.concat(
+                asked(e["info"]["dependencies"]),
+                F.filter(asked(e["info"]["devDependencies"]), lambda x: ~F.coalesce(F.map_contains_key(e["info"]["dependencies"], x["child"]), F.lit(False))),
+            ).alias("children"),
+        ),
+    )
+    nested = F.arrow_udf(_nested, f"array<{ENTRY}>").asNondeterministic()
+    read = locks.select("repo", "path", "content", F.from_json("content", LOCK).alias("_d"))
+    first = F.col("_d.packages").isNull() & F.col("_d.dependencies").isNotNull()
+    none = F.array().cast(f"array<{ENTRY}>")
+    return read.select("repo", "path", "_d", nested(F.when(first, F.col("content"))).alias("_nested")).select(
+        "repo", "path", F.inline(F.concat(F.coalesce(flat, none), F.coalesce("_nested", none)))
+    )
+
+
 # ------------------------------------------------------------ line manifests
 def requirements_txt(num: Column) -> Column:
     pattern = r"^([a-zA-Z0-9_][a-zA-Z0-9._-]*)(?:\[.*?\])?\s*==\s*([^\s;#,]+)"
@@ -310,15 +357,15 @@ def _heads(kind: Column, num: Column) -> Column:
 ONCE = ("yarn.lock", "pnpm-lock.yaml", "go.sum")
 
 
-def parse_manifests(files: DataFrame, nested: bool = True, levels: DataFrame | None = None) -> DataFrame:
+def parse_manifests(files: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """(repo, path, content) -> one row per declared dependency.
 
-    ``levels`` takes the result of ``nested_lock_levels`` when it is at hand.
+    ``entries`` takes the result of ``lock_entries`` when it is at hand.
 
     Columns: repo, name, version, ecosystem, source, line, dev, license,
     declared_range, ord (position within the file).
     """
-    m = files.filter(is_manifest(F.col("path"))).select(
+    m = files.filter(is_manifest(F.col("path")) & (base_name(F.col("path")) != "package-lock.json")).select(
         "repo", "path", "content", base_name(F.col("path")).alias("_kind"), numbered(lines_of(F.col("content"))).alias("_num")
     )
     m = m.withColumn("_heads", _heads(F.col("_kind"), F.col("_num")))
@@ -326,7 +373,6 @@ def parse_manifests(files: DataFrame, nested: bool = True, levels: DataFrame | N
     berry = content.contains("__metadata:")
     deps = (
         F.when(kind == "package.json", package_json(content, num))
-        .when(kind == "package-lock.json", package_lock(content))
         .when((kind == "yarn.lock") & berry, yarn_lock(num, heads, r'^\s+version:\s*"?([^"\s]+)"?'))
         .when(kind == "yarn.lock", yarn_lock(num, heads, r'^\s+version\s+"([^"]+)"'))
         .when(kind == "pnpm-lock.yaml", pnpm_lock(num, heads))
@@ -344,16 +390,13 @@ def parse_manifests(files: DataFrame, nested: bool = True, levels: DataFrame | N
     ).select("repo", "path", F.col("s._i").alias("_i"), F.col("s.d").alias("d"))
     every = rows.filter(~F.col("_kind").isin(*ONCE)).select("repo", "path", "_i", "d")
     out = every.unionByName(once).select("repo", F.col("path").alias("source"), F.array("_i").alias("ord"), "d.*")
-    if nested:
-        v1 = levels if levels is not None else nested_lock_levels(package_locks(files))
-        null = F.lit(None).cast("string")
-        out = out.unionByName(
-            v1.select(
-                "repo", F.col("path").alias("source"), "ord", "name", "version", F.lit("npm").alias("ecosystem"),
-                F.lit(1).alias("line"), "dev", null.alias("license"), null.alias("declared_range"),
-            )
+    locked = entries if entries is not None else lock_entries(package_locks(files))
+    return out.unionByName(
+        locked.select(
+            "repo", F.col("path").alias("source"), "ord", "name", "version", F.lit("npm").alias("ecosystem"), F.lit(1).alias("line"), "dev", "license",
+            F.lit(None).cast("string").alias("declared_range"),
         )
-    return out
+    )
 
 
 def dedup_dependencies(deps: DataFrame, scan: str = "repo", order=("source", "ord"), cap: int | None = None) -> DataFrame:

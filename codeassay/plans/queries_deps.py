@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.session import cut_lineage
 from ..operators import manifests as mf
 from ..sources import derived_manifests as dm
 
@@ -25,7 +26,7 @@ def _format_query(kind):
         marker = {1: '"lockfileVersion": 2', 2: '"lockfileVersion": 1', 3: "# yarn lockfile v1", 4: "__metadata:"}.get(kind)
         if marker:
             files = files.filter(F.col("content").contains(marker))
-        return mf.parse_manifests(files, nested=kind == 2).select(*OUT)
+        return mf.parse_manifests(files).select(*OUT)
 
     return run
 
@@ -220,11 +221,9 @@ def license_distribution(spark, sf):
     UNION ALL SELECT 'r' || k, 'npm:' || parent, 'npm:' || child || '@9.9.9', range FROM v1""",
 )
 def dependency_edges(spark, sf):
-    files = dm.manifests(spark, sf)
-    locks = mf.package_locks(files)
-    levels = mf.nested_lock_levels(locks)
-    deps = mf.parse_manifests(locks, levels=levels)
-    return gr.resolve_edges(gr.lock_requirements(locks, levels=levels), deps).select("repo", "parent_key", "child_key", "range")
+    entries = cut_lineage(mf.lock_entries(mf.package_locks(dm.manifests(spark, sf))))
+    deps = entries.select("repo", F.col("path").alias("source"), "ord", "name", "version", F.lit("npm").alias("ecosystem"))
+    return gr.resolve_edges(gr.lock_requirements(entries), deps).select("repo", "parent_key", "child_key", "range")
 
 
 @_register(

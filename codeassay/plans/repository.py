@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.session import cut_lineage
 from ..operators import advisories as ad, graph as gr, licenses as lc, manifests as mf
 from .scan import scan
 
@@ -19,10 +20,10 @@ def repository_scan(corpus: DataFrame, advisories: DataFrame, *, mode: str = "pa
     works on the manifest slice of the corpus, which is small and is best
     written to a table first when the corpus is large.
     """
-    levels = mf.nested_lock_levels(mf.package_locks(corpus))
-    deps = mf.parse_manifests(corpus, levels=levels)
+    entries = cut_lineage(mf.lock_entries(mf.package_locks(corpus)))
+    deps = mf.parse_manifests(corpus, entries)
     unique = mf.dedup_dependencies(deps)
-    edges = gr.resolve_edges(gr.lock_requirements(corpus, levels=levels), deps)
+    edges = gr.resolve_edges(gr.lock_requirements(entries), deps)
     reached = gr.reachability(edges, gr.import_seeds(gr.imports(corpus), unique))
     sca = gr.flag_reachable(ad.scan_sca(deps, advisories), reached).select(*COLUMNS, "reachable")
     none = F.lit(None).cast("boolean").alias("reachable")

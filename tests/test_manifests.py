@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from codeassay.operators import advisories as ad, graph as gr, licenses as lc
-from codeassay.operators.manifests import clean_version, parse_manifests
+from codeassay.operators.manifests import clean_version, lock_entries, parse_manifests
 
 
 def deps(files, path, content):
@@ -26,6 +26,21 @@ def test_formats(files):
     assert deps(files, "other.txt", "a==1.0") == []
 
 
+def test_nested_locks(files):
+    """Any depth in one pass without a shuffle, repeated names, values that are no text, texts that are no lock files."""
+    deep = '{"version": "1.0", "dependencies": {"n%d": ' * 60 % tuple(range(60)) + '{"version": "2.0"}' + "}}" * 60
+    texts = ['{"dependencies": {"top": %s}}' % deep, '{"dependencies": {"a": {"version": 3, "requires": {"b": 1, "b": "2"}}, "a": {"version": "4"}, "c": {"version": null}, "d": 5}}']
+    texts += ["", "[1]", '{"dependencies": []}', '{"dependencies": {"a": {"version": "1"}}', '{"packages": {}, "dependencies": {"a": {"version": "1"}}}', '{"packages": 7, "dependencies": {"a": {"version": "1", "dev": "x"}}}']
+    entries = lock_entries(files(*((f"{i}/package-lock.json", t) for i, t in enumerate(texts))))
+    rows = {}
+    for r in entries.collect():
+        rows.setdefault(r.path[0], []).append((list(r.ord), r.name, r.version, r.dev, [tuple(c) for c in r.children]))
+    assert sorted(rows["0"]) == [([0] * (i + 1), "top" if not i else f"n{i - 1}", "1.0" if i < 60 else "2.0", False, []) for i in range(61)]
+    assert sorted(rows["1"]) == [([0], "a", "3", False, [("b", "1"), ("b", "2")]), ([1], "a", "4", False, [])]
+    assert set(rows) <= {"0", "1", "7"}
+    assert "Exchange" not in entries._jdf.queryExecution().executedPlan().toString()
+
+
 def test_clean_version(spark):
     raw = ["^1.2.3", ">=1.0", "1", "*", "latest", "~ 2.1", "v1.0"]
     df = spark.createDataFrame([(r,) for r in raw], "r string").select(clean_version(F.col("r")).alias("v"))
