@@ -1,11 +1,15 @@
-"""Registered queries: accuracy of text rules on the labelled documents."""
+"""Registered queries: accuracy of the detectors on labelled code, and of text rules on the labelled documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..catalog import detectors as cat
 from ..operators import evaluate as ev
-from ..sources import derived as d
+from ..sources import cases as ca, derived as d
+from ..sources.oracle_views import q
+from . import sast_oracle as so
+from .scan import scan
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -54,3 +58,38 @@ ORACLE["accuracy_metrics"] = f"""WITH {_counts_sql('l.quality = 0', _BY_SOURCE)}
 
 QUERIES["accuracy_labelled_documents"] = lambda spark, sf: ev.confusion(*labelled(spark, sf, TOXIC)).select("category", "tp", "fp", "tn", "fn")
 ORACLE["accuracy_labelled_documents"] = f"WITH {_counts_sql('l.toxic = 1', 'len(hits) > 0')} SELECT category, tp, fp, tn, fn FROM c"
+
+
+# ------------------------------------------------------------- detectors on labelled code
+def _rated(spark, sf):
+    cases = ca.cases(spark, sf)
+    found = scan(cases.select("repo", "path", "content"), mode="confirm", dedup=False).select(F.col("file_path").alias("case_id"), "rule_id")
+    return ev.confusion(cases, found, ev.CATEGORY_RULES)
+
+
+def _cases_sql() -> str:
+    rows = ", ".join(f"({n}, {q(c)}, {q(e)}, {q(r) if r else 'NULL'}, {q(t)})" for n, (c, e, r, t) in enumerate(ca.CASES))
+    return f"""samples(n, category, ext, rule, code) AS (VALUES {rows}),
+corpus AS (SELECT 'cases' AS repo, 'case' || doc_id || '.' || ext AS path, replace(code, '#', CAST(doc_id AS VARCHAR)) AS content, category, rule FROM documents JOIN samples ON n = doc_id % {len(ca.CASES)})"""
+
+
+def _rated_sql() -> str:
+    own = " ".join(f"WHEN {q(c)} THEN list_has_any(rules, [{', '.join(q(r) for r in ids)}])" for c, ids in ev.CATEGORY_RULES.items())
+    found = so.scan_sql(numbers=cat.META, declarative=True, secrets=True, confirm=True, source=_cases_sql())
+    return f"""WITH {_cases_sql()}, found AS (SELECT file_path, list(DISTINCT rule_id) AS rules FROM ({found}) GROUP BY 1),
+  j AS (SELECT category, rule, coalesce(rules, []) AS rules FROM corpus LEFT JOIN found ON file_path = path),
+  c AS (SELECT category, count(*) FILTER (WHERE rule IS NOT NULL AND len(rules) > 0) AS tp, count(*) FILTER (WHERE rule IS NULL AND CASE category {own} END) AS fp,
+    count(*) FILTER (WHERE rule IS NULL AND NOT CASE category {own} END) AS tn, count(*) FILTER (WHERE rule IS NOT NULL AND len(rules) = 0) AS fn,
+    count(*) FILTER (WHERE list_contains(rules, rule)) AS matched FROM j GROUP BY 1)"""
+
+
+QUERIES["detector_confusion"] = _rated
+ORACLE["detector_confusion"] = f"{_rated_sql()} SELECT category, tp, fp, tn, fn, matched FROM c"
+
+QUERIES["detector_accuracy"] = lambda spark, sf: ev.metrics(_rated(spark, sf)).select(
+    F.coalesce("category", F.lit("overall")).alias("category"), "tp", "fp", "tn", "fn", "precision", "recall", "f1", "fpr", "accuracy"
+)
+ORACLE["detector_accuracy"] = f"""{_rated_sql()}, s AS (SELECT coalesce(category, 'overall') AS category, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM c GROUP BY GROUPING SETS ((category), ())),
+  m AS (SELECT *, {_DIV('tp', 'tp + fp')} AS p, {_DIV('tp', 'tp + fn')} AS r FROM s)
+  SELECT category, tp, fp, tn, fn, round(p * 100, 1) AS precision, round(r * 100, 1) AS recall, round({_DIV('2 * p * r', 'p + r')} * 100, 1) AS f1,
+    round({_DIV('fp', 'fp + tn')} * 100, 1) AS fpr, round({_DIV('tp + tn', 'tp + fp + tn + fn')} * 100, 1) AS accuracy FROM m"""
