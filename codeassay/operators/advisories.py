@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.session import cut_lineage
 from .joins import salted_join
+from .ranking import grouped_index
 
 RAW_SCHEMA = """id STRING, summary STRING, details STRING, aliases ARRAY<STRING>,
 severity ARRAY<STRUCT<type:STRING, score:STRING>>,
@@ -86,22 +88,65 @@ def version_key(version: Column, ecosystem: Column) -> Column:
     return F.when(core != "", F.struct(numbers.alias("numbers"), tail.alias("tail")))
 
 
-def range_hits(used: DataFrame, advisories: DataFrame) -> DataFrame:
+#: Packages with more pairs of a version and an interval than this go through the interval index.
+DIRECT_PAIRS = 4096
+
+
+def range_hits(used: DataFrame, advisories: DataFrame, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
     """(ecosystem, name, version, adv): used versions inside an affected interval.
 
     ``used`` has distinct packages and versions, so a package that everybody
-    depends on is a few rows; intervals join by package and are then compared.
+    depends on is a few rows.  Packages with few pairs join by package and
+    compare; the others go through ``indexed_hits``.  Both give the same rows.
     """
+    package = ["ecosystem", "name"]
     a = advisories.select("*", F.explode("packages").alias("_p")).select("*", F.explode("_p.ranges").alias("_r"))
     spans = a.select(
         F.col("_p.ecosystem").alias("ecosystem"), F.col("_p.name").alias("name"),
         F.when(F.col("_r.introduced") != "0", version_key(F.col("_r.introduced"), F.col("_p.ecosystem"))).alias("_low"),
         (F.col("_r.introduced") == "0").alias("_all"), version_key(F.col("_r.fixed"), F.col("_p.ecosystem")).alias("_fix"),
         F.col("_r.fixed").isNull().alias("_open"), F.struct("id", "summary", "severity", "aliases", "fixed_version").alias("adv"),
-    )
-    keyed = used.select("ecosystem", "name", "version", version_key(F.col("version"), F.col("ecosystem")).alias("_key"))
+    ).filter((F.col("_all") | F.col("_low").isNotNull()) & (F.col("_open") | F.col("_fix").isNotNull()))
+    keyed = used.select("ecosystem", "name", "version", version_key(F.col("version"), F.col("ecosystem")).alias("_key")).filter("_key is not null")
+    pairs = keyed.groupBy(*package).agg(F.count("*").alias("_v")).join(spans.groupBy(*package).agg(F.count("*").alias("_i")), package)
+    large = cut_lineage(pairs.filter(F.col("_v") * F.col("_i") > direct_pairs).select(*package))
     inside = (F.col("_all") | (F.col("_key") >= F.col("_low"))) & (F.col("_open") | (F.col("_key") < F.col("_fix")))
-    return keyed.join(spans, ["ecosystem", "name"]).filter(F.col("_key").isNotNull() & inside).select("ecosystem", "name", "version", "adv").distinct()
+    few = keyed.join(large, package, "left_anti").join(spans, package).filter(inside).select("ecosystem", "name", "version", "adv")
+    if large.isEmpty():
+        return few.distinct()
+    many = indexed_hits(keyed.join(large, package, "left_semi"), spans.join(large, package, "left_semi"))
+    return few.unionByName(many).distinct()
+
+
+def indexed_hits(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+    """The same for packages with many versions and many intervals, at the cost of their sum and the hits.
+
+    The versions and bounds of a package get positions in version order.  An
+    interval of positions falls into at most two dyadic blocks a level, a
+    version lies in one block of each level; they meet in exactly one block if
+    the version is inside, so the join is by block and tests nothing more.
+    """
+    pkg = F.to_json(F.struct("ecosystem", "name"))
+    keyed, spans = keyed.withColumn("_pkg", pkg), spans.withColumn("_pkg", pkg)
+    keys = keyed.select("_pkg", "_key").union(spans.filter("_low is not null").select("_pkg", F.col("_low"))).union(spans.filter("_fix is not null").select("_pkg", F.col("_fix")))
+    placed = cut_lineage(grouped_index(keys.distinct(), "_pkg", ["_key"], "_at"))
+    size = placed.groupBy("_pkg").agg(F.count("*").alias("_n"), (F.length(F.bin(F.count("*"))) - 1).alias("_top"))
+    bound = lambda name, at: placed.select("_pkg", F.col("_key").alias(name), F.col("_at").alias(at))
+    points = salted_join(keyed, bound("_key", "_p"), ["_pkg", "_key"]).join(size, "_pkg")
+    levels = F.sequence(F.lit(0), F.col("_top"))
+    blocks = points.select("_pkg", "ecosystem", "name", "version", F.explode(F.transform(levels, lambda k: F.struct(k.alias("k"), F.call_function("shiftright", F.col("_p"), k).alias("b")))).alias("_block"))
+    ranged = spans.join(bound("_low", "_from"), ["_pkg", "_low"], "left").join(bound("_fix", "_until"), ["_pkg", "_fix"], "left").join(size, "_pkg")
+    low, high = F.coalesce("_from", F.lit(0)).cast("bigint"), F.coalesce("_until", "_n").cast("bigint")
+
+    def level(k):
+        step = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
+        first, last = F.ceil(F.col("_lo") / step).cast("bigint"), F.floor(F.col("_hi") / step).cast("bigint")
+        mark = lambda b, odd: F.when((first < last) & (odd % 2 == 1), F.struct(k.alias("k"), b.alias("b")))
+        return F.array(mark(first, first), mark(last - 1, last))
+
+    ranged = ranged.select("_pkg", "adv", "_top", low.alias("_lo"), high.alias("_hi"))
+    cover = ranged.select("_pkg", "adv", F.explode(F.filter(F.flatten(F.transform(levels, level)), lambda x: x.isNotNull())).alias("_block"))
+    return blocks.join(cover, ["_pkg", "_block"]).select("ecosystem", "name", "version", "adv")
 
 
 def normalise_advisories(raw: DataFrame) -> DataFrame:
@@ -168,13 +213,15 @@ def dev_label(dev: Column) -> Column:
     return F.when(dev, F.lit(" (dev)")).otherwise(F.lit(""))
 
 
-def scan_sca(dependencies: DataFrame, advisories: DataFrame, scan: str = "repo") -> DataFrame:
-    """Findings for every occurrence of an affected package version.
+def scan_sca(dependencies: DataFrame, advisories: DataFrame, scan: str = "repo", failed: DataFrame | None = None) -> DataFrame:
+    """Findings for every occurrence of an affected package version; scans in ``failed`` (their look-up broke off) have none.
 
     Advisories are cut down to the packages in use before the join, and the
     occurrences are salted: a package that everybody uses does not end in one
     task.
     """
+    if failed is not None:
+        dependencies = dependencies.join(failed.select(scan).distinct(), scan, "left_anti")
     used = dependencies.select("ecosystem", "name", "version").distinct()
     listed = affected_versions(advisories).join(used, ["ecosystem", "name", "version"], "left_semi")
     hits = listed.unionByName(range_hits(used, advisories)).distinct()
@@ -209,7 +256,19 @@ def scan_sca(dependencies: DataFrame, advisories: DataFrame, scan: str = "repo")
     )
 
 
-def sca_metrics(unique_dependencies: DataFrame, advisories: DataFrame | None, scan: str = "repo") -> DataFrame:
-    """Package count per scan and whether the advisory check had to be skipped."""
-    skipped = advisories is None or advisories.isEmpty()
-    return unique_dependencies.groupBy(scan).agg(F.count("*").alias("dep_count")).withColumn("skipped", F.lit(skipped))
+def sca_metrics(unique_dependencies: DataFrame, advisories: DataFrame | None, scan: str = "repo", failed: DataFrame | None = None) -> DataFrame:
+    """Package count per scan and whether the advisory check had to be skipped.
+
+    It is skipped for all scans where there are no advisories (an empty table
+    has none to give), and for the scans in ``failed``: those whose look-up
+    broke off.
+    """
+    counts = unique_dependencies.groupBy(scan).agg(F.count("*").alias("dep_count"))
+    if advisories is None:
+        return counts.withColumn("skipped", F.lit(True))
+    listed = advisories.limit(1).agg(F.count("*").alias("n")).scalar()  # a subquery of the plan, no action here
+    out = counts.withColumn("skipped", listed == 0)
+    if failed is None:
+        return out
+    broken = failed.select(scan).distinct().withColumn("_broken", F.lit(True))
+    return out.join(broken, scan, "left").withColumn("skipped", F.col("skipped") | F.coalesce("_broken", F.lit(False))).drop("_broken")

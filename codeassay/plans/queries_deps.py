@@ -181,6 +181,54 @@ def sca_metrics(spark, sf):
     return ad.sca_metrics(unique, _advisories(spark, sf), "scan_id")
 
 
+@_register(
+    "sca_failed_lookups",
+    f"""WITH {v.dependencies()}, {v.advisories()}, {SCA_SQL}, failed AS (SELECT o_orderkey AS scan_id FROM orders WHERE o_orderstatus = 'P'),
+    n AS (SELECT scan_id, count(*) AS findings FROM sca WHERE scan_id NOT IN (SELECT scan_id FROM failed) GROUP BY 1)
+    SELECT d.scan_id, count(DISTINCT ecosystem || name || version) AS dep_count, d.scan_id IN (SELECT scan_id FROM failed) AS skipped, coalesce(any_value(findings), 0) AS findings
+    FROM deps d LEFT JOIN n ON n.scan_id = d.scan_id GROUP BY d.scan_id""",
+)
+def sca_failed_lookups(spark, sf):
+    """Scans whose advisory look-up broke off keep their packages, have no findings and are marked as skipped."""
+    deps, advisories = d.dependencies(spark, sf), _advisories(spark, sf)
+    failed = d.table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("scan_id"))
+    metrics = ad.sca_metrics(mf.dedup_dependencies(deps, "scan_id", ("source", "line", "dev")), advisories, "scan_id", failed)
+    n = ad.scan_sca(deps, advisories, "scan_id", failed).groupBy("scan_id").agg(F.count("*").alias("findings"))
+    return metrics.join(n, "scan_id", "left").select("scan_id", "dep_count", "skipped", F.coalesce("findings", F.lit(0)).alias("findings"))
+
+
+@_register(
+    "sca_without_advisories",
+    f"WITH {v.dependencies()} SELECT scan_id, count(DISTINCT ecosystem || name || version) AS dep_count, true AS skipped FROM deps GROUP BY 1",
+)
+def sca_without_advisories(spark, sf):
+    """An empty snapshot has nothing to check against."""
+    unique = mf.dedup_dependencies(d.dependencies(spark, sf), "scan_id", ("source", "line", "dev"))
+    return ad.sca_metrics(unique, _advisories(spark, sf).filter("id is null"), "scan_id")
+
+
+#: Packages of many versions and many intervals: a hundred parts make one.
+INDEX_SQL = """WITH dep AS (SELECT DISTINCT l_partkey // 100 AS g, (l_suppkey % 10) || '.' || (l_orderkey % 97) || '.' || l_linenumber AS version, [l_suppkey % 10, l_orderkey % 97, l_linenumber] AS v FROM lineitem),
+  adv AS (SELECT p_partkey AS k, p_partkey // 100 AS g, [p_partkey % 10, p_size, 0] AS low, CASE WHEN p_partkey % 9 <> 4 THEN [p_partkey % 10, p_size + p_partkey % 13, 3] END AS fix FROM part)
+  SELECT 'I-' || k AS id, count(*) AS versions FROM dep JOIN adv USING (g) WHERE v >= low AND (fix IS NULL OR v < fix) GROUP BY 1"""
+
+
+@_register("advisory_interval_index", INDEX_SQL)
+def advisory_interval_index(spark, sf):
+    """How many used versions each advisory hits, for packages with thousands of versions and a hundred intervals."""
+    text, k, size, o = (lambda c: c.cast("string")), F.col("p_partkey"), F.col("p_size"), F.col("l_orderkey")
+    name = lambda c: F.concat(F.lit("g"), text(F.floor(c / 100)))
+    version = F.concat_ws(".", text(F.col("l_suppkey") % 10), text(o % 97), text(F.col("l_linenumber")))
+    used = d.table(spark, sf, "lineitem").select(F.lit("npm").alias("ecosystem"), name(F.col("l_partkey")).alias("name"), version.alias("version")).distinct()
+    low = F.concat_ws(".", text(k % 10), text(size), F.lit("0"))
+    fix = F.when(k % 9 != 4, F.concat(F.lit('},{"fixed":"'), F.concat_ws(".", text(k % 10), text(size + k % 13), F.lit("3")), F.lit('"'))).otherwise("")
+    doc = F.concat(
+        F.lit('{"id":"I-'), text(k), F.lit('","affected":[{"package":{"name":"'), name(k), F.lit('","ecosystem":"npm"},"ranges":[{"events":[{"introduced":"'), low, F.lit('"'), fix, F.lit("}]}]}]}")
+    )
+    advisories = ad.normalise_advisories(ad.parse_advisories(d.table(spark, sf, "part").select(doc.alias("value"))))
+    return ad.range_hits(used, advisories).groupBy("adv.id").agg(F.count("*").alias("versions"))
+
+
 _PARTS = f"""parts AS (
   SELECT *, CASE WHEN len(list_intersect(list_transform(regexp_split_to_array(license, '(?i)\\s+OR\\s+|\\s+AND\\s+|\\s*\\(\\s*|\\s*\\)\\s*'), lambda x: trim(x)), {sql_list(reg.STRONG_COPYLEFT)})) > 0 THEN 'critical'
     WHEN len(list_intersect(list_transform(regexp_split_to_array(license, '(?i)\\s+OR\\s+|\\s+AND\\s+|\\s*\\(\\s*|\\s*\\)\\s*'), lambda x: trim(x)), {sql_list(reg.WEAK_COPYLEFT)})) > 0 THEN 'warning' ELSE 'none' END AS risk
