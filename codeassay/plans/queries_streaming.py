@@ -8,6 +8,7 @@ from ..catalog import detectors as cat
 from ..sources import derived as d, oracle_views as v
 from ..streaming import events as ev
 from ..streaming.runner import run_available, run_updates
+from ..streaming.sessions import debounced
 from . import sast_oracle as so
 from .queries_sast import OUT
 from .scan import scan
@@ -79,6 +80,12 @@ def debounced_edits(spark, sf):
     return ev.debounce(e, "6 hours")
 
 
+@query("debounced_edits_stream", GAP_SQL)
+def debounced_edits_stream(spark, sf):
+    e = d.table_stream(spark, sf, "events").select(F.col("user_id").alias("uri"), F.col("props").alias("text"), F.col("ts").cast("timestamp").alias("ts"))
+    return debounced(e, "debounced", "6 hours", "30 days")
+
+
 QUOTA_SQL = """SELECT CAST(user_id AS VARCHAR) AS key, date_trunc('{unit}', ts) AS window_start, count(*) AS n, greatest(count(*) - {limit}, 0) AS over FROM events GROUP BY 1, 2"""
 
 

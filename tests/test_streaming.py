@@ -1,11 +1,13 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeassay.plans.scan import scan
 from codeassay.streaming import events as ev
 from codeassay.streaming.runner import run_available, run_updates
+from codeassay.streaming.sessions import debounced, merged, microseconds
 
 
 def as_stream(spark, df, tmp_path, parts=1):
@@ -50,3 +52,40 @@ def test_lifecycle_transitions_and_timeout(spark, tmp_path):
     assert [s for i, _, s in seen if i == 2] == ["running", "failed"]
     final = {r.scan_id: r.status for r in ev.lifecycle(df).collect()}
     assert final == {1: "completed", 2: "running", 3: "pending"}
+
+
+def test_debounced_stream_equals_batch(spark, tmp_path):
+    """Edits in any order over the triggers: sessions that span triggers, grow at both ends and join."""
+    rnd, start, rows = random.Random(9), dt.datetime(2024, 1, 1), []
+    for uri in range(6):
+        t = 0
+        for n in range(40):
+            t += rnd.choice([1, 10, 29, 30, 31, 90])
+            rows.append((uri, None if n % 11 == 7 else f"{uri}-{n}", start + dt.timedelta(seconds=t)))
+    for order in (rnd.sample(rows, len(rows)), sorted(rows, key=lambda r: r[2])):
+        here = tmp_path / str(len(list(tmp_path.iterdir())))
+        for i in range(0, len(order), 48):
+            spark.createDataFrame(order[i : i + 48], "uri bigint, text string, ts timestamp").coalesce(1).write.mode("append").parquet(str(here / "in"))
+        df = spark.read.parquet(str(here / "in"))
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(here / "in"))
+        got = debounced(stream, "d", "30 seconds", "2 days", str(here / "o"), str(here / "c"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ev.debounce(df, "30 seconds").collect()))
+
+
+def test_sessions_leave_state_behind_the_watermark(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    for k in range(6):
+        rows = [(1, f"a{k}", start + dt.timedelta(hours=k)), (2 + k, "b", start + dt.timedelta(hours=k, seconds=3))]
+        spark.createDataFrame(rows, "uri bigint, text string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = debounced(stream, "d", "30 seconds", "10 minutes", str(tmp_path / "o"), str(tmp_path / "c"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ev.debounce(df, "30 seconds").collect()))
+
+
+def test_merging_and_durations():
+    assert merged([[0, 0, "a"], [5, 5, "b"], [15, 15, "c"], [14, 14, "d"]], 10) == [[0, 15, "c"]]
+    assert merged([[11, 11, "b"], [0, 0, "a"]], 10) == [[0, 0, "a"], [11, 11, "b"]]
+    assert [microseconds(x) for x in ("300 milliseconds", "1 minute", "6 hours")] == [300_000, 60_000_000, 21_600_000_000]
+    with pytest.raises(ValueError):
+        microseconds("soon")
