@@ -83,10 +83,17 @@ def sarif_rule() -> Column:
     )
 
 
-def to_sarif(findings: DataFrame, order: list[str]) -> DataFrame:
-    """Fragments of SARIF 2.1.0 documents.
+def _every(found: DataFrame, scans: DataFrame | None) -> DataFrame:
+    """``found`` (a row a scan) with the scans that it lacks, their other columns null."""
+    if scans is None:
+        return found
+    return found.join(scans.select("scan_id").distinct(), "scan_id", "full")
 
-    The head lists the rules once per scan (at most as many as the catalog
+
+def to_sarif(findings: DataFrame, order: list[str], scans: DataFrame | None = None) -> DataFrame:
+    """Fragments of SARIF 2.1.0 documents, one document for each scan with a finding and for each of ``scans``.
+
+    A scan without findings has a document without rules and results.  The head lists the rules once per scan (at most as many as the catalog
     has), each by its first finding, in order of appearance; ``place`` of a
     result is its position in the scan.
     """
@@ -94,6 +101,7 @@ def to_sarif(findings: DataFrame, order: list[str]) -> DataFrame:
     results = f.select("scan_id", F.col("idx").alias("place"), F.concat(F.when(F.col("idx") > 0, ",").otherwise(""), F.to_json(sarif_result())).alias("text"))
     rules = f.groupBy("scan_id", "rule_id").agg(F.min_by(sarif_rule(), "idx").alias("u"), F.min("idx").alias("first"))
     rules = rules.groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "u"))), lambda x: x["u"]).alias("rules"))
+    rules = _every(rules, scans).select("scan_id", F.coalesce("rules", F.array().cast(rules.schema["rules"].dataType)).alias("rules"))
     driver = F.struct(F.lit(TOOL).alias("name"), F.lit("0.1.0").alias("version"), F.col("rules").alias("rules"))
     doc = F.struct(
         F.lit(SARIF_SCHEMA_URI).alias("$schema"),
@@ -124,11 +132,13 @@ def read_sarif_rules(fragments: DataFrame) -> DataFrame:
 
 
 def sarif_summary(fragments: DataFrame) -> DataFrame:
-    """Counts read back from documents."""
-    level = F.col("r.level")
-    return read_sarif_results(fragments).groupBy("scan_id").agg(
-        F.count("*").alias("total"), F.count_if(level == "error").alias("critical"), F.count_if(level == "warning").alias("warning"),
-        F.count_if(~F.coalesce(level.isin("error", "warning"), F.lit(False))).alias("info"),
+    """Counts read back from documents, zeros for a document without results."""
+    result = F.col("place") >= 0
+    read = fragments.filter(F.col("place") < TAIL).select("scan_id", result.alias("result"), F.when(result, F.from_json(F.ltrim("text", F.lit(",")), RESULT_READ)["level"]).alias("level"))
+    level, result = F.coalesce("level", F.lit("")), F.col("result")
+    return read.groupBy("scan_id").agg(
+        F.count_if(result).alias("total"), F.count_if(result & (level == "error")).alias("critical"), F.count_if(result & (level == "warning")).alias("warning"),
+        F.count_if(result & ~level.isin("error", "warning")).alias("info"),
     )
 
 
@@ -270,11 +280,16 @@ def component() -> Column:
     )
 
 
-def to_sbom(dependencies: DataFrame, order: list[str], project: Column | None = None) -> DataFrame:
-    """Fragments of CycloneDX 1.5 documents with a component per dependency."""
+def to_sbom(dependencies: DataFrame, order: list[str], project: Column | None = None, scans: DataFrame | None = None) -> DataFrame:
+    """Fragments of CycloneDX 1.5 documents with a component per dependency.
+
+    Each of ``scans`` has a document, without components if it has no
+    dependencies; such a document is named by its scan.
+    """
     d = grouped_index(dependencies, "scan_id", order)
     each = d.select("scan_id", F.col("idx").alias("place"), F.concat(F.when(F.col("idx") > 0, ",").otherwise(""), F.to_json(component())).alias("text"))
-    scans = dependencies.groupBy("scan_id").agg((F.first(F.col("scan_id").cast("string")) if project is None else F.min(project)).alias("_name"))
+    named = dependencies.groupBy("scan_id").agg((F.first(F.col("scan_id").cast("string")) if project is None else F.min(project)).alias("_name"))
+    scans = _every(named, scans).select("scan_id", F.coalesce("_name", F.col("scan_id").cast("string")).alias("_name"))
     head = F.struct(
         F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"),
         F.concat(F.lit("urn:uuid:"), F.uuid()).alias("serialNumber"), F.lit(1).alias("version"),
@@ -290,6 +305,11 @@ def to_sbom(dependencies: DataFrame, order: list[str], project: Column | None =
     return each.unionByName(heads).unionByName(tails)
 
 
+def sbom_summary(fragments: DataFrame) -> DataFrame:
+    """(scan_id, components): the size of each document."""
+    return fragments.groupBy("scan_id").agg(F.count_if((F.col("place") >= 0) & (F.col("place") < TAIL)).alias("components"))
+
+
 COMPONENT_READ = """STRUCT<type:STRING, `bom-ref`:STRING, name:STRING, version:STRING, purl:STRING, licenses:ARRAY<STRUCT<license:STRUCT<id:STRING>>>, scope:STRING>"""
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import exports as ex, matching as ma
+from ..operators import exports as ex, manifests as mf, matching as ma
 from ..sources import derived as d, oracle_views as v
 from ..sources.derived import RULE_POOL
 from ..sources.oracle_views import sql_list
@@ -106,6 +106,17 @@ def sarif_rules(spark, sf):
 COUNTS = "count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'info') AS info"
 
 
+@query(
+    "sarif_every_scan",
+    f"""{F_}, c AS (SELECT scan_id, {COUNTS} FROM findings GROUP BY 1)
+    SELECT o_orderkey AS scan_id, coalesce(total, 0) AS total, coalesce(critical, 0) AS critical, coalesce(warning, 0) AS warning, coalesce(info, 0) AS info
+    FROM orders LEFT JOIN c ON scan_id = o_orderkey""",
+)
+def sarif_every_scan(spark, sf):
+    """A document for every scan, read back: scans without findings have empty ones."""
+    return ex.sarif_summary(ex.to_sarif(d.findings(spark, sf), ["seq"], d.scans(spark, sf)))
+
+
 @query("sarif_summary", f"{F_} SELECT scan_id, {COUNTS} FROM findings GROUP BY 1")
 def sarif_summary(spark, sf):
     return ex.sarif_summary(_sarif(spark, sf))
@@ -184,6 +195,16 @@ def verdict_merge(spark, sf):
     return ex.apply_verdicts(f, verdicts).select("scan_id", "seq", "severity")
 
 
+@query(
+    "sbom_every_scan",
+    "SELECT o_orderkey AS scan_id, count(l_orderkey) AS components FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 1",
+)
+def sbom_every_scan(spark, sf):
+    """A document for every scan; those without dependencies have no components."""
+    deps = mf.dedup_dependencies(d.dependencies(spark, sf), "scan_id", ("source", "line", "dev"))
+    return ex.sbom_summary(ex.to_sbom(deps, ["source", "line", "name"], scans=d.scans(spark, sf)))
+
+
 def _sbom_deps(spark, sf):
     return d.dependencies(spark, sf).withColumn(
         "ecosystem", F.when(F.col("line") == 7, "Maven").otherwise(F.col("ecosystem"))

@@ -37,3 +37,20 @@ def test_appended_findings_are_few_files(spark, tmp_path):
     ex.write_findings(rows, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4000
     assert all(len(list(x.glob("*.parquet"))) <= ex.FILES for x in (tmp_path / "t").glob("repo=*"))
+
+
+def test_clean_scans_have_documents(spark):
+    scans = spark.createDataFrame([(1,), (2,), (3,), (3,)], "scan_id bigint")
+    findings = spark.createDataFrame(
+        [(1, 0, "R", "n", "critical", "m", "a.js", 1, 1, "x", "fix", "CWE-1", "A01")],
+        "scan_id bigint, seq int, rule_id string, rule_name string, severity string, message string, file_path string, line int, column int, snippet string, suggestion string, cwe string, owasp string",
+    )
+    fragments = ex.to_sarif(findings, ["seq"], scans)
+    documents = whole(fragments)
+    assert set(documents) == {1, 2, 3} and documents[2] == documents[3]
+    assert documents[2]["runs"][0]["results"] == [] and documents[2]["runs"][0]["tool"]["driver"]["rules"] == [] and documents[2]["version"] == "2.1.0"
+    assert sorted(tuple(r) for r in ex.sarif_summary(fragments).collect()) == [(1, 1, 1, 0, 0), (2, 0, 0, 0, 0), (3, 0, 0, 0, 0)]
+    assert set(whole(ex.to_sarif(findings, ["seq"]))) == {1} and set(whole(ex.to_sarif(findings.limit(0), ["seq"], scans))) == {1, 2, 3}
+    deps = spark.createDataFrame([(1, 0, "npm", "p", "1.0", None, False)], "scan_id bigint, k int, ecosystem string, name string, version string, license string, dev boolean")
+    bills = whole(ex.to_sbom(deps, ["k"], scans=scans))
+    assert [len(bills[i]["components"]) for i in (1, 2, 3)] == [1, 0, 0] and bills[3]["metadata"]["component"]["name"] == "3"
