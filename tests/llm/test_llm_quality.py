@@ -119,3 +119,25 @@ def test_chunks_of_every_longer_text_to_its_end():
         assert not any(judge(x)[-1] for x in random_letters(n, 9))
     # One odd chunk of many is let through.
     assert judge(prose(20_480) + loop(4096) + prose(20_480))[-1]
+
+
+def test_repetition_that_no_window_shows(spark):
+    """Lines from one mould with another number in every third word: no three words occur twice, and the text says one thing."""
+    rng = random.Random(6)
+    line = lambda: f"{rng.randrange(10**4)} crates of {rng.randrange(10**4)} pears for {rng.randrange(10**4)} days at {rng.randrange(10**4)} cents"
+    texts = [(i, "\n".join(line() for _ in range(n))) for i, n in enumerate((15, 30, 60, 150, 600))] + [(10, ENGLISH), (11, RUSSIAN), (12, CHINESE + " " + ENGLISH)]
+    found = {r["doc_id"]: r for r in quality.with_quality(odd_documents(spark, texts)).collect()}
+    assert not any(r["base_failed"] for r in found.values())
+    assert [found[i]["kept"] for i in (0, 1, 2, 3, 4, 10, 11, 12)] == [False] * 5 + [True] * 3
+    assert quality.letters_a_byte("aя日😀".encode()) == 0.4
+
+
+def test_large_scripts_are_not_taken_for_repetition():
+    """Two and three bytes a letter compress better and may: the upper end counts letters."""
+    judge = quality._Ratios(quality.Bands()).judge
+    rng = random.Random(1)
+    for first, n in ((0x400, 60), (0x900, 60), (0x4E00, 300)):
+        stems = ["".join(chr(first + rng.randrange(n)) for _ in range(2)) for _ in range(120)]
+        text = " ".join("".join(rng.choice(stems) for _ in range(rng.randint(1, 4))) for _ in range(3000))
+        for size in (300, 800, 1500, 3000, 6000):
+            assert judge(text[:size].encode())[-1], (hex(first), size)
