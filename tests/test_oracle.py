@@ -17,7 +17,8 @@ FAST = (
     "scan_deduplicated", "scan_all_findings", "language_detection", "ignore_filter", "multiline_sql_templates", "quick_triage_scan",
     "taint_py_sources", "manifest_all_formats", "dependency_dedup", "advisory_join", "license_findings", "dependency_edges", "reachability",
     "dependency_chains", "policy_evaluation", "severity_rollup", "finding_facets", "portfolio_score", "pull_request_report", "sarif_results",
-    "sbom_components", "snippet_fingerprint", "accuracy_metrics", "quota_fixed_window_tight", "scan_lifecycle",
+    "sbom_components", "snippet_fingerprint", "accuracy_metrics", "quota_fixed_window_tight", "scan_lifecycle", "scan_confirmed", "corpus_from_files",
+    "detector_010_prototype_pollution_confirmed", "detector_accuracy", "advisory_interval_index", "sca_failed_lookups", "sarif_every_scan",
 )
 ORACLE = contract.oracle_sql()
 NAMES = list(ORACLE) if os.environ.get("FULL_ORACLE") else FAST
