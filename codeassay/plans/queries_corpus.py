@@ -9,7 +9,7 @@ from ..functions.regex import alternation
 from ..functions.session import scratch_path
 from ..functions.text import lines_of
 from ..operators import corpus as co, files as fi, lines as li
-from ..sources import derived as d, oracle_views as v, tree
+from ..sources import derived as d, oracle_views as v, tables, tree
 from ..sources.oracle_views import m, q, sql_list
 from .sast_oracle import context_lines
 
@@ -38,6 +38,22 @@ def language_detection(spark, sf):
     )
 
 
+@query(
+    "catalog_tables",
+    """SELECT p.project_id, p.name, count(s.o_orderkey) AS scans, count(s.o_orderkey) FILTER (WHERE s.o_orderstatus = 'F') AS completed, max(CAST(s.o_orderdate AS TIMESTAMP)) AS last_scan, CAST(NULL AS VARCHAR) AS github_url
+    FROM (SELECT c_custkey AS project_id, 'org' || c_nationkey || '/' || lower(c_mktsegment) || '-' || (c_custkey % 100) AS name FROM customer) p LEFT JOIN orders s ON s.o_custkey = p.project_id GROUP BY 1, 2""",
+)
+def catalog_tables(spark, sf):
+    """Projects and scans written as catalog tables, each in another format, and read back by their declared schemas."""
+    folder = scratch_path(spark, "catalog")
+    tables.write_table(d.projects(spark, sf), folder, "projects", "json")
+    tables.write_table(d.scans(spark, sf), folder, "scans")
+    projects, scans = tables.read_table(spark, folder, "projects", "json"), tables.read_table(spark, folder, "scans")
+    done = scans.groupBy("project_id").agg(F.count("*").alias("scans"), F.count_if(F.col("status") == "completed").alias("completed"), F.max("created_at").alias("last_scan"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return projects.join(done, "project_id", "left").select("project_id", "name", zero("scans"), zero("completed"), "last_scan", "github_url")
+
+
 FILE_NAMES = ("app/[locale]/page.tsx", "a b/{id}/x.js", "q?*/[...all].mjs", "pc%20t/%5B.py", "__init__.py", ".config/_x.JS", "node_modules/y/z.js", "notes [1].md", "package.json", "é/ü.ts")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 SCHEMAS = {
     "projects": "project_id BIGINT, user_id BIGINT, name STRING, github_url STRING, scan_schedule STRING, created_at TIMESTAMP, updated_at TIMESTAMP",
@@ -18,5 +19,17 @@ SCHEMAS = {
 }
 
 
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with the columns and types of a catalog table, in its order; columns that it lacks are null, others go."""
+    schema = StructType.fromDDL(SCHEMAS[name])
+    have = {c.lower(): c for c in df.columns}
+    pick = lambda f: F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)
+    return df.select(*[pick(f).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def write_table(df: DataFrame, folder: str, name: str, fmt: str = "parquet", mode: str = "append") -> None:
+    conform(df, name).write.format(fmt).mode(mode).save(f"{folder.rstrip('/')}/{name}")
+
+
 def read_table(spark: SparkSession, folder: str, name: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).format(fmt).load(f"{folder.rstrip('/')}/{name}")
