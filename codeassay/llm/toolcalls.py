@@ -103,7 +103,10 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
     id in a conversation the earliest counts (by turn, then content), the
     others are counted in ``repeats``; needed ids that no call has are ignored and
     counted in ``unknown_needs``.  Null ids are orphans and pending calls of
-    their own id, null.  Null conversations are one conversation.  Empty tables
+    their own id, null.  Repeated rows of a schema count once.  Numbers are
+    written as Spark writes VARIANT values (``1e2`` is ``100.0``); arguments that
+    do not parse, an object that repeats a name among them, are quoted as text
+    with the error ``json``.  Null conversations are one conversation.  Empty tables
     give an empty result; other columns are not carried.
     """
     conv = F.coalesce(F.col("conv_id").cast("string"), F.lit("\0"))
@@ -117,7 +120,7 @@ def link_tool_calls(messages: DataFrame, calls: DataFrame, results: DataFrame, s
     needs = call.select("conv", "id", F.explode("needs").alias("need"))
     unknown = needs.join(call.select("conv", F.col("id").alias("need")), ["conv", "need"], "left_anti").groupBy("conv", "id").agg(F.count("*").alias("unknown_needs"))
     placed = ordered_calls(call, needs)
-    spec = schemas.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("name", "type", "required"))).alias("spec"))
+    spec = schemas.groupBy("tool").agg(F.array_sort(F.collect_set(F.struct("name", "type", "required"))).alias("spec"))
     call = call.join(placed, ["conv", "id"], "left").join(unknown, ["conv", "id"], "left").join(spec, "tool", "left").withColumn("parsed", F.try_parse_json("arguments"))
     at, depth = F.coalesce("at", F.lit(LAST)), F.coalesce("depth", F.lit(LAST))
     status = F.when(F.col("at").isNull(), "cyclic").when(F.col("result_turn").isNull(), "pending").otherwise("linked")

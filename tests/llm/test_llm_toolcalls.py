@@ -69,3 +69,11 @@ def test_no_python_in_the_plan(spark):
 
     plan = QUERIES["op7_tool_calls"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeated_schema_rows_and_numbers(spark, monkeypatch):
+    monkeypatch.setitem(link.__globals__, "SPEC", SPEC * 3)
+    given = ['{"q":1,"x":"1"}', '{"q":"a","x":1e2}', '{"q":"a","x":1.50,"x":2}']
+    out = {r["call_id"]: r for r in link(spark, [(1, f"c{i}", i, "find", x, []) for i, x in enumerate(given)])}
+    assert out["c0"]["errors"] == ["type:q", "type:x"] and out["c2"]["errors"] == ["json"]
+    assert json.loads(out["c1"]["json"])["arguments"] == {"q": "a", "x": 100.0} and json.loads(out["c2"]["json"])["arguments"] == given[2]
