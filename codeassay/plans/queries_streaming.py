@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import detectors as cat
 from ..sources import derived as d, oracle_views as v
-from ..streaming import events as ev
+from ..streaming import events as ev, lookups as lk
 from ..streaming.runner import run_available, run_updates
 from ..streaming.sessions import debounced
 from . import sast_oracle as so
@@ -200,3 +200,14 @@ def cached_lookups_stream(spark, sf):
 def quota_sliding_window_stream(spark, sf):
     windows = ev.sliding_quota_stream(_requests(spark, sf, True), window="2 days", slide="1 day")
     return run_updates(windows, "sliding", ["key", "window_start"])
+
+
+@query(
+    "cache_entries_stream",
+    """WITH RECURSIVE m AS (SELECT user_id, min(ts) AS ts FROM events GROUP BY 1
+      UNION ALL SELECT e.user_id, min(e.ts) FROM m JOIN events e ON e.user_id = m.user_id AND e.ts > m.ts + INTERVAL 6 HOUR GROUP BY e.user_id),
+    n AS (SELECT e.user_id, e.ts, max(m.ts) AS loaded FROM events e JOIN m ON m.user_id = e.user_id AND m.ts <= e.ts GROUP BY e.event_id, e.user_id, e.ts)
+    SELECT CAST(user_id AS VARCHAR) AS key, loaded AS loaded_at, count(*) AS lookups, count(*) - 1 AS hits FROM n GROUP BY 1, 2""",
+)
+def cache_entries_stream(spark, sf):
+    return lk.cached(_requests(spark, sf, True), "cache-entries", "6 hours", "30 days")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeassay.plans.scan import scan
-from codeassay.streaming import events as ev
+from codeassay.streaming import events as ev, lookups as lk
 from codeassay.streaming.runner import run_available, run_updates
 from codeassay.streaming.sessions import debounced, merged, microseconds
 
@@ -89,3 +89,44 @@ def test_merging_and_durations():
     assert [microseconds(x) for x in ("300 milliseconds", "1 minute", "6 hours")] == [300_000, 60_000_000, 21_600_000_000]
     with pytest.raises(ValueError):
         microseconds("soon")
+
+
+def loads(rows, life):
+    out = {}
+    for key, at in sorted(rows, key=lambda r: (r[0] is not None, r)):
+        own = out.setdefault(key, [])
+        if own and at - own[-1][0] <= dt.timedelta(seconds=life):
+            own[-1][1] += 1
+        else:
+            own.append([at, 1])
+    return sorted(((k, at, n, n - 1) for k, own in out.items() for at, n in own), key=repr)
+
+
+def test_cache_entries_in_any_order(spark, tmp_path):
+    """Late look-ups move the loadings after them; each order over the triggers ends in the same entries."""
+    rnd, start, rows = random.Random(5), dt.datetime(2024, 1, 1), []
+    for key in ("a", "b", None):
+        t = 0
+        for _ in range(90):
+            t += rnd.choice([0, 5, 29, 30, 31, 70])
+            rows.append((key, start + dt.timedelta(seconds=t)))
+    for n, order in enumerate((rnd.sample(rows, len(rows)), sorted(rows, key=lambda r: r[1]))):
+        here = tmp_path / str(n)
+        for i in range(0, len(order), 54):
+            spark.createDataFrame(order[i : i + 54], "key string, ts timestamp").coalesce(1).write.mode("append").parquet(str(here / "in"))
+        stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(here / "in"))
+        got = lk.cached(stream, "c", "30 seconds", "2 days", str(here / "o"), str(here / "c"))
+        assert sorted(map(tuple, got.collect()), key=repr) == loads(rows, 30)
+
+
+def test_cache_state_goes_with_the_watermark(spark, tmp_path):
+    start, rows = dt.datetime(2024, 1, 1), []
+    for k in range(6):
+        part = [("a", start + dt.timedelta(minutes=20 * k + m)) for m in (0, 3, 5, 6, 14)] + [(f"b{k}", start + dt.timedelta(minutes=20 * k + 1))]
+        rows += part
+        spark.createDataFrame(part, "key string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = lk.cached(stream, "c", "5 minutes", "10 minutes", str(tmp_path / "o"), str(tmp_path / "c"))
+    assert sorted(map(tuple, got.collect()), key=repr) == loads(rows, 300)
+    assert lk.settled([[0, 3]], [[4, 1], [12, 1], [30, 1]], 10, 20) == ([[12, 1]], [[30, 1]])
+    assert lk.settled([[0, 3]], [], 10, 20) == ([], [])
