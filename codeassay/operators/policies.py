@@ -62,8 +62,12 @@ def glob_match(value: Column, pattern: Column) -> Column:
     return F.regexp_like(value, F.concat(F.lit("^"), F.array_join(parts, ".*"), F.lit("$")))
 
 
+def has_patterns(c: Column) -> Column:
+    return F.coalesce(F.size(c["package_patterns"]), F.lit(-1)) > 0
+
+
 def matches(c: Column) -> Column:
-    """All conditions of ``c`` hold; an absent condition always holds."""
+    """All conditions of ``c`` but its package patterns hold (see ``pattern_hits``); an absent condition always holds."""
     rule = F.col("rule_id")
     is_sca, is_lic = rule.startswith("SCA-"), rule.startswith("LICENSE-")
     source = c["source"]
@@ -78,10 +82,6 @@ def matches(c: Column) -> Column:
             | ((source == "license") & is_lic)
         )
         & ((F.coalesce(F.size(c["cwe_ids"]), F.lit(-1)) < 1) | ok(F.array_contains(c["cwe_ids"], F.coalesce("cwe", F.lit("")))))
-        & (
-            (F.coalesce(F.size(c["package_patterns"]), F.lit(-1)) < 1)
-            | ok(F.exists(c["package_patterns"], lambda p: glob_match(F.col("package_name"), p)))
-        )
         & ~(ok(~c["include_dev_deps"]) & F.col("is_dev"))
         & (
             (F.coalesce(F.size(c["license_types"]), F.lit(-1)) < 1)
@@ -95,16 +95,51 @@ def without_markers(findings: DataFrame) -> DataFrame:
     return findings.filter(~F.col("rule_id").isin(*reg.MARKER_RULES))
 
 
+def pattern_hits(scoped: DataFrame, findings: DataFrame) -> DataFrame:
+    """(scan_id, package_name, policy_id): packages of a scan that meet a package pattern of one of its policies.
+
+    Patterns are indexed by the longer of the literal texts before the first and
+    after the last ``*``; a package offers its own beginnings and ends of the
+    lengths that occur, so it meets only patterns whose literal fits.  Each
+    package and each pattern of a scan is tried once, whatever the number of
+    findings and policies.  Patterns that are literal at neither end meet all
+    packages of their scan.
+    """
+    wanted = scoped.filter(has_patterns(F.col("conditions")))
+    wanted = wanted.select("scan_id", "policy_id", F.explode(F.array_distinct(F.col("conditions.package_patterns"))).alias("pattern")).filter("pattern is not null")
+    head, tail = F.substring_index("pattern", "*", 1), F.substring_index("pattern", "*", -1)
+    by_tail = F.char_length(tail) > F.char_length(head)
+    keyed = wanted.select("scan_id", "pattern").distinct().withColumn("literal", F.when(by_tail, tail).otherwise(head))
+    keyed = keyed.select("scan_id", "pattern", "literal", by_tail.alias("at_end"))
+    lengths = keyed.groupBy("scan_id").agg(F.collect_set(F.struct("at_end", F.char_length("literal").alias("n"))).alias("ends"))
+    packages = findings.filter("package_name is not null").select("scan_id", "package_name").distinct()
+    name = F.col("package_name")
+    fitting = packages.join(lengths, "scan_id").select("scan_id", "package_name", F.explode("ends").alias("e")).filter(F.col("e.n") <= F.char_length(name))
+    literal = F.when(F.col("e.at_end"), F.right(name, F.col("e.n"))).otherwise(F.left(name, F.col("e.n")))
+    offered = fitting.select("scan_id", "package_name", F.col("e.at_end").alias("at_end"), literal.alias("literal"))
+    hits = salted_join(offered, keyed, ["scan_id", "at_end", "literal"]).filter(glob_match(name, F.col("pattern")))
+    return hits.select("scan_id", "package_name", "pattern").join(wanted, ["scan_id", "pattern"]).select("scan_id", "package_name", "policy_id").distinct()
+
+
 def policy_matches(scoped: DataFrame, findings: DataFrame, order: list[str], with_index: bool = True) -> DataFrame:
     """(scan_id, policy_id, idx): one row per match.
 
     ``idx`` is the 0-based position of the finding in its scan.  Rows, not
-    arrays: a scan of any size stays spread over the cluster.
+    arrays: a scan of any size stays spread over the cluster.  A finding meets
+    the policies without package patterns and those whose patterns its package
+    fits.
     """
     f = policy_attributes(without_markers(findings))
+    hits = pattern_hits(scoped, f)
     if with_index:
         f = grouped_index(f, "scan_id", order)
-    joined = salted_join(f, scoped.select("scan_id", "policy_id", "conditions"), ["scan_id"]).filter(matches(F.col("conditions")))
+    # One pass over the findings: each asks for the policies of all packages ("") and, with a package, for those of its own.
+    own = F.concat(F.lit("="), F.col("package_name"))
+    asked = f.withColumn("_for", F.explode(F.array_compact(F.array(F.lit(""), own))))
+    rules = scoped.select("scan_id", "policy_id", "conditions")
+    general = rules.filter(~has_patterns(F.col("conditions"))).withColumn("_for", F.lit(""))
+    special = rules.join(hits, ["scan_id", "policy_id"]).select(*rules.columns, F.concat(F.lit("="), F.col("package_name")).alias("_for"))
+    joined = salted_join(asked, general.unionByName(special), ["scan_id", "_for"]).filter(matches(F.col("conditions")))
     return joined.select("scan_id", "policy_id", *(["idx"] if with_index else []))
 
 

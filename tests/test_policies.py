@@ -35,3 +35,17 @@ def test_score_and_grade(spark):
     df = spark.createDataFrame([(0, 0), (1, 0), (1, 4), (3, 2), (20, 0)], "c int, w int")
     s = rp.security_score(F.col("c"), F.col("w"))
     assert [(r.s, r.g) for r in df.select(s.alias("s"), rp.grade(s).alias("g")).collect()] == [(100, "A"), (90, "A"), (78, "C"), (64, "D"), (0, "F")]
+
+
+def test_pattern_index_is_the_glob(spark):
+    """Every pattern against every package, literal at both ends, one or none."""
+    parts = ["", "a", "ab", "@s/", "l.d", "core", "*", "**", "a*b"]
+    patterns = [x + y for x in parts for y in parts] + ["*-core", "l*sh", "*o*", None]
+    names = ["a", "ab", "aab", "lodash", "x-core", "core", "@s/core", "l.d", "lxd", "aXb", "*"]
+    findings = spark.createDataFrame([(i % 2, f"Vulnerable dependency: {n}", i) for i, n in enumerate(names * 2)], "scan_id int, rule_name string, seq int")
+    findings = po.policy_attributes(findings)
+    conditions = F.struct(F.array("p", F.lit("no such")).alias("package_patterns"))
+    scoped = spark.createDataFrame([(s, i, p) for s in (0, 1) for i, p in enumerate(patterns)], "scan_id int, policy_id int, p string").withColumn("conditions", conditions)
+    hits = {tuple(r) for r in po.pattern_hits(scoped, findings).collect()}
+    slow = findings.select("scan_id", "package_name").distinct().join(scoped, "scan_id").filter(po.glob_match(F.col("package_name"), F.col("p")))
+    assert hits == {tuple(r) for r in slow.select("scan_id", "package_name", "policy_id").collect()} and len(hits) > 100
