@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.session import scratch_path
 from ..operators import exports as ex, manifests as mf, matching as ma
+from ..operators.keyed import KeyedTable
 from ..sources import derived as d, oracle_views as v
 from ..sources.derived import RULE_POOL
 from ..sources.oracle_views import sql_list
@@ -302,6 +304,21 @@ def cache_upsert(spark, sf):
     return ex.cache_upsert(_cache(spark, sf), fresh).select("cache_key", "response")
 
 
+UPSERT_SQL = ORACLE["cache_upsert"]
+
+
+@query("cache_upsert_table", UPSERT_SQL)
+def cache_upsert_table(spark, sf):
+    """The stored table, first loaded with the old entries, then merged with the new ones bucket by bucket."""
+    old = _cache(spark, sf).select("cache_key", "response", "created_at")
+    key = ex.explain_key(F.col("rule_name"), F.col("snippet"), F.lit("en")).alias("cache_key")
+    fresh = d.findings(spark, sf).filter(F.col("line") == 2).groupBy(key).agg(F.max("created_at").alias("created_at"), F.lit("new").alias("response"))
+    table = KeyedTable(scratch_path(spark, "cache"), old.schema, ("cache_key",), "created_at", 32).create(spark)
+    table.upsert(old)
+    table.upsert(fresh)
+    return table.read(spark).select("cache_key", "response")
+
+
 @query(
     "cache_live_entries",
     f"""{F_}, {KEYS}, c AS (SELECT explain_key AS cache_key, max(created_at) AS t FROM keys WHERE line = 1 GROUP BY 1)

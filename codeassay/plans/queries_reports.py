@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reports as rp
+from ..functions.session import scratch_path
+from ..operators import reports as rp, sketches as sk
 from ..sources import derived as d, oracle_views as v
 
 QUERIES: dict = {}
@@ -130,6 +131,22 @@ def files_with_findings(spark, sf):
     return rp.files_with_findings(d.findings(spark, sf))
 
 
+@query(
+    "distinct_files_by_month",
+    f"""{F_} SELECT date_trunc('month', created_at)::DATE AS month, count(*) AS n_rows, true AS within FROM findings WHERE {REAL} GROUP BY 1""",
+)
+def distinct_files_by_month(spark, sf):
+    """Distinct files of scans from stored daily sketches, held against the exact counts: within five standard errors."""
+    f = rp.without_markers(d.findings(spark, sf))
+    path, month = scratch_path(spark, "file-sketches"), F.trunc("day", "month").alias("month")
+    sketches = sk.daily_sketches(f, [F.col("scan_id"), F.col("file_path")], [])
+    sk.write_days(sketches, path)
+    merged = sk.distinct_of(spark.read.schema(sketches.schema).parquet(path), [month])
+    exact = f.groupBy(F.trunc(F.to_date("created_at"), "month").alias("month")).agg(F.count_distinct("scan_id", "file_path").alias("n"))
+    within = F.abs(F.col("n_distinct") - F.col("n")) <= 5 * sk.standard_error() * F.col("n")
+    return merged.join(exact, "month").select("month", "n_rows", within.alias("within"))
+
+
 @query(
     "finding_facets",
     f"""{F_} SELECT CASE WHEN rule_id LIKE 'SCA-%' THEN 'sca' ELSE 'sast' END AS source, severity, count(*) AS n, count(DISTINCT file_path) AS files,

@@ -19,6 +19,7 @@ FAST = (
     "dependency_chains", "policy_evaluation", "severity_rollup", "finding_facets", "portfolio_score", "pull_request_report", "sarif_results",
     "sbom_components", "snippet_fingerprint", "accuracy_metrics", "quota_fixed_window_tight", "scan_lifecycle", "scan_confirmed", "corpus_from_files",
     "detector_010_prototype_pollution_confirmed", "detector_accuracy", "advisory_interval_index", "sca_failed_lookups", "sarif_every_scan",
+    "policy_matches", "cache_entries_stream", "cache_upsert_table", "distinct_files_by_month",
 )
 ORACLE = contract.oracle_sql()
 NAMES = list(ORACLE) if os.environ.get("FULL_ORACLE") else FAST
