@@ -4,7 +4,8 @@ Records of an archive lie in files one after another.  A leaf is the hash of a
 record with its range of offsets; a node is the hash of up to ``fanout`` nodes in
 order, so it covers one range of its file.  Two replicas are compared from the
 roots down: only children of nodes that differ are looked at, so sound files
-cost one comparison.
+cost one comparison.  Each level is stored once, in folders by groups of files;
+below the roots only the folders of groups with a mismatch are read.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.session import cut_lineage
+from ..functions.session import cut_lineage, scratch_path
 from ..operators.ranking import grouped_index
 
 FANOUT = 16
 FILE_RECORDS = 1024
+#: Folders of a stored level, by the number of the file, and Parquet files that one may have.
+GROUPS, FILES = 32, 8
 
 
 def warc_record(url: Column, body: Column) -> Column:
@@ -61,25 +64,41 @@ def parents(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return up.withColumn("hash", F.sha2(F.concat_ws("", F.col("below.hash")), 256)).drop("below")
 
 
+def group_of(file: Column) -> Column:
+    return F.pmod(file, F.lit(GROUPS)).cast("int")
+
+
+def stored(nodes: DataFrame, path: str) -> DataFrame:
+    """``nodes`` with their ``group``, written to a folder for each group and read again."""
+    named = nodes.withColumn("group", group_of(F.col("file")))
+    spread = named.repartition(F.col("group"), F.floor(F.col("file") / GROUPS) % FILES)
+    spread.sortWithinPartitions("group", "file", "place").write.partitionBy("group").parquet(path)
+    return nodes.sparkSession.read.schema(named.schema).parquet(path)
+
+
 def tree(leaf: DataFrame, file_records: int = FILE_RECORDS, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels of the trees of all files, leaves first, until each file has one root."""
-    levels, width = [leaf.select("file", "place", "start", "end", "hash")], file_records
+    """Stored levels of the trees of all files, leaves (with all their columns) first, until each file has one root."""
+    path = scratch_path(leaf.sparkSession, "merkle")
+    levels, width = [stored(leaf, f"{path}/level-0")], file_records
     while width > 1:
-        levels.append(parents(levels[-1], fanout))
+        levels.append(stored(parents(levels[-1], fanout), f"{path}/level-{len(levels)}"))
         width = -(-width // fanout)
     return levels
 
 
 def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(file, place) and both replicas' start and end of the leaves that differ, found from the roots down."""
+    """(file, place, group) and both replicas' start, end and hash of the leaves that differ, found from the roots down."""
     branches: DataFrame | None = None
     for a, b in zip(reversed(ours), reversed(theirs), strict=True):
-        if branches is not None:  # only children of differing nodes
-            near = branches.select("file", F.col("place").alias("above"))
-            a, b = (x.withColumn("above", F.floor(F.col("place") / fanout)).join(near, ["file", "above"], "left_semi").drop("above") for x in (a, b))
-        one = a.select("file", "place", *[F.col(c).alias(f"{c}_a") for c in ("start", "end", "hash")])
-        two = b.select("file", "place", *[F.col(c).alias(f"{c}_b") for c in ("start", "end", "hash")])
-        branches = one.join(two, ["file", "place"], "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
+        if branches is not None:  # only children of differing nodes, from the folders that hold any
+            groups = [r["group"] for r in branches.select("group").distinct().collect()]  # at most GROUPS numbers
+            near = branches.select("group", "file", F.col("place").alias("above"))
+            a, b = (
+                x.filter(F.col("group").isin(groups)).withColumn("above", F.floor(F.col("place") / fanout)).join(near, ["group", "file", "above"], "left_semi") for x in (a, b)
+            )
+        one = a.select("group", "file", "place", *[F.col(c).alias(f"{c}_a") for c in ("start", "end", "hash")])
+        two = b.select("group", "file", "place", *[F.col(c).alias(f"{c}_b") for c in ("start", "end", "hash")])
+        branches = cut_lineage(one.join(two, ["group", "file", "place"], "full").filter(~F.col("hash_a").eqNullSafe(F.col("hash_b"))))
     return branches
 
 
@@ -91,8 +110,10 @@ def damage(ours: DataFrame, theirs: DataFrame, file_records: int = FILE_RECORDS)
     (other bytes), ``moved`` (the same bytes elsewhere).  Equal replicas, also
     empty ones, give no rows.
     """
-    found = audit(tree(ours, file_records), tree(theirs, file_records)).select("file", "place")
-    sides = [x.join(found, ["file", "place"], "left_semi").select("file", "place", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "digest", "start", "end")]) for x, s in ((ours, "a"), (theirs, "b"))]
+    one, two = tree(ours, file_records), tree(theirs, file_records)
+    found = audit(one, two).select("group", "file", "place")
+    groups = [r["group"] for r in found.select("group").distinct().collect()]
+    sides = [x.filter(F.col("group").isin(groups)).join(found, ["group", "file", "place"], "left_semi").select("file", "place", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "digest", "start", "end")]) for x, s in ((one[0], "a"), (two[0], "b"))]
     both = reduce(lambda x, y: x.join(y, ["file", "place"], "full"), sides)
     kind = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").when(F.col("digest_a") != F.col("digest_b"), "corrupt").otherwise("moved")
     return both.select(

@@ -153,9 +153,9 @@ def op10_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = archive.dealt_to_files(both)
     n = F.count("*").over(Window.partitionBy("file"))
     dealt = dealt.withColumn("n", n)
-    ours = cut_lineage(archive.leaves(dealt.select("file", "place", "key", "digest", "length")))
+    ours = archive.leaves(dealt.select("file", "place", "key", "digest", "length"))
     copy = dealt.filter((F.col("file") % 5 != 2) | (F.col("place") < F.col("n") - 3))
-    theirs = cut_lineage(archive.leaves(copy.select("file", "place", "key", F.col("digest_b").alias("digest"), F.col("length_b").alias("length"))))
+    theirs = archive.leaves(copy.select("file", "place", "key", F.col("digest_b").alias("digest"), F.col("length_b").alias("length")))
     return archive.damage(ours, theirs).withColumnRenamed("key", "page_id")
 
 

@@ -45,6 +45,21 @@ def test_sound_branches_are_not_descended(spark):
     assert [(r["file"], r["place"]) for r in found.collect()] == [(0, 40)]
 
 
+def test_only_folders_with_a_mismatch_are_read(spark):
+    rows = [(i, f"u{i}", "x") for i in range(200)]
+    a, b = leaves(spark, rows, 4), leaves(spark, [(i, u, "y" if i == 41 else h) for i, u, h in rows], 4)
+    one, two = archive.tree(a, 4, 2), archive.tree(b, 4, 2)
+    assert [x.count() for x in one] == [200, 100, 50] and one[0].select("group").distinct().count() == archive.GROUPS
+
+    def only(x):  # the folder of file 10, as if all others were lost
+        folder = next(f.rsplit("/", 1)[0] for f in x.inputFiles() if "/group=10/" in f)
+        return spark.read.schema(x.schema).option("basePath", folder.rsplit("/", 1)[0]).parquet(folder)
+
+    one, two = ([only(x) for x in side[:-1]] + side[-1:] for side in (one, two))
+    assert one[0].count() == 8
+    assert [(r["file"], r["place"]) for r in archive.audit(one, two, 2).collect()] == [(10, 1)]
+
+
 def test_record_bytes(spark):
     row = spark.createDataFrame([("http://é", "<b>ü</b>"), (None, None)], "u string, h string").select(archive.warc_record(F.col("u"), F.col("h")).alias("r")).collect()
     assert bytes(row[0]["r"]).decode() == "WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: http://é\r\nContent-Length: 9\r\n\r\n<b>ü</b>\r\n\r\n"
