@@ -4,7 +4,7 @@ A window of ``window`` words is found by its fingerprint, the least hash of the
 k-grams in it.  Equal windows have equal fingerprints, so every shared span of a
 window or more is met; a run of windows mostly has one fingerprint, so there are
 few.  Texts and benchmark items join on fingerprints; each hit is then extended:
-its windows are compared with the text word by word.
+the text's windows with that fingerprint join the items' windows by their words.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .words import ALNUM, LOWER, Slice, covered, inside_text, mix, slices, windo
 
 #: Up to so many fingerprints of items (8 bytes each) go to all tasks as a filter before the join; beyond, the join does without.
 FILTER_FINGERPRINTS = 1_000_000
+#: Windows of a text that are written out at a time.
+WINDOWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -99,31 +101,15 @@ def marked_texts(docs: DataFrame, key: str, text: str, winnow: Winnow, short: li
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n_words bigint, t string, prints array<bigint>")
 
 
-def extend(text: bytes, windows: list[dict]) -> tuple[int, list[int], list[str]]:
-    """Words of the text inside an occurrence of a window, intervals of them, and the groups of items of the windows that occur."""
-    part = Slice(0, text.translate(LOWER), np.array([0, len(text)]))
-    words = words_of(part, ALNUM)
-    hit, groups = np.zeros(len(words.hash), bool), set()
-    wanted: dict[int, dict[str, str]] = {}
-    for w in windows:
-        wanted.setdefault(w["width"], {})[w["words"]] = w["items"]
-    for width, said in wanted.items():
-        if len(words.hash) < width:
-            continue
-        joined = [x.encode() for x in said]
-        lengths = np.array([len(x) for x in joined])
-        cuts = np.concatenate([[0], np.cumsum(lengths)])
-        theirs = words_of(Slice(0, b"".join(joined), cuts), ALNUM)
-        hashes = window_hashes(theirs.hash, width)[theirs.bounds[:-1]]
-        starts = []
-        for a in np.flatnonzero(np.isin(window_hashes(words.hash, width), hashes)).tolist():
-            items = said.get(b" ".join(part.data[words.start[j] : words.end[j]] for j in range(a, a + width)).decode())
-            if items is not None:
-                starts.append(a)
-                groups.add(items)
-        hit |= covered(np.array(starts, np.int64), width, len(words.hash))
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-    return int(hit.sum()), edge.tolist(), sorted(groups)
+def windows_of(text: bytes, prints: np.ndarray, winnow: Winnow, short: list[int], most: int) -> Iterator[tuple[int, int, np.ndarray, list[str]]]:
+    """(number of words, width, starts, words) of those windows of a text that have one of the fingerprints, at most so many at a time."""
+    words = words_of(Slice(0, text.translate(LOWER), np.array([0, len(text)])), ALNUM)
+    low = text.translate(LOWER)
+    for width, at, found in fingerprints(words.hash, words.bounds, winnow, short):
+        at = at[np.isin(found, prints)]
+        for i in range(0, len(at), most):
+            some = at[i : i + most]
+            yield len(words.hash), width, some, [b" ".join(low[words.start[j] : words.end[j]] for j in range(a, a + width)).decode() for a in some.tolist()]
 
 
 def benchmark_hits(
@@ -146,28 +132,45 @@ def benchmark_hits(
     grouped = windows.groupBy("print", "width", "words").agg(F.array_sort(F.collect_set("item")).alias("ids"))
     grouped = grouped.withColumn("items", F.sha2(F.to_json("ids"), 256))
     groups = grouped.select("items", "ids").dropDuplicates(["items"])
-    index = grouped.groupBy("print").agg(F.collect_list(F.struct("width", "words", "items")).alias("windows"))
     prints = windows.select("print").distinct()
     known = None
     if prints.count() <= filter_fingerprints:
         known = np.sort(np.array([r["print"] for r in prints.collect()], np.int64)).view(np.uint64)
     texts = cut_lineage(marked_texts(docs, key, text, winnow, sorted(short), known).withColumn("row", F.monotonically_increasing_id()))
-    met = texts.filter("t is not null").select("row", F.explode("prints").alias("print")).join(index, "print")
-    met = met.groupBy("row").agg(F.flatten(F.collect_list("windows")).alias("windows"))
-    tried = texts.filter("t is not null").select("row", "t").join(met, "row")
+    tried = texts.filter("t is not null").select("row", "t", "prints")
+    if known is None:  # of a text's own fingerprints those that an item has
+        met = tried.select("row", F.explode("prints").alias("print")).join(prints, "print").groupBy("row").agg(F.collect_list("print").alias("prints"))
+        tried = tried.drop("prints").join(met, "row")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                n, edge, names = extend(one.column(1)[0].as_py().encode(), one.column(2)[0].as_py())
+                row, text_, own = (batch.column(c)[i].as_py() for c in range(3))
+                for n, width, at, said in windows_of(text_.encode(), np.array(own, np.int64).view(np.uint64), winnow, sorted(short), WINDOWS):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x] * len(at), t) for x, t in ((row, pa.int64()), (n, pa.int64()), (width, pa.int32()))] + [pa.array(at, pa.int64()), pa.array(said, pa.string())],
+                        names=["row", "n", "width", "start", "words"],
+                    )
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, at = batch.column(1)[i].as_py(), batch.column(2)[i].values
+                width, start = at.field("width").to_numpy(), at.field("start").to_numpy()
+                hit = np.zeros(n, bool)
+                for m in np.unique(width).tolist():
+                    hit |= covered(start[width == m], m, n)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist()
                 spans = [[{"start": a, "end": b} for a, b in zip(edge[::2], edge[1::2], strict=True)]]
                 yield pa.RecordBatch.from_arrays(
-                    [one.column(0), pa.array([n], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([names], pa.list_(pa.string()))],
+                    [batch.column(0).slice(i, 1), pa.array([int(hit.sum())], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), batch.column(3).slice(i, 1)],
                     names=["row", "n_hit", "spans", "groups"],
                 )
 
-    found = cut_lineage(tried.mapInArrow(verify, "row bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, groups array<string>").filter("n_hit > 0"))
+    # A text's row only carries windows that occur in it, however many items share a fingerprint.
+    occurring = tried.mapInArrow(found_windows, "row bigint, n bigint, width int, start bigint, words string").join(grouped.select("words", "items"), "words")
+    hits = occurring.groupBy("row", "n").agg(F.collect_list(F.struct("width", "start")).alias("at"), F.collect_set("items").alias("groups"))
+    found = cut_lineage(hits.mapInArrow(merged, "row bigint, n_hit bigint, spans array<struct<start:bigint,end:bigint>>, groups array<string>"))
     listed = found.select("row", F.explode("groups").alias("items")).join(groups, "items").select("row", F.explode("ids").alias("id"))
     listed = listed.groupBy("row").agg(F.array_sort(F.collect_set("id")).alias("item_ids"))
     out = texts.select("k", "n_words", "row").join(found.drop("groups"), "row", "left").join(listed, "row", "left")

@@ -56,3 +56,15 @@ def test_empty_tables(spark):
     assert decontaminate.benchmark_hits(no_documents(spark), items).count() == 0
     none = decontaminate.benchmark_hits(odd_documents(spark), items.limit(0)).collect()
     assert len(none) == len(TEXTS) and not any(r["n_hit"] for r in none)
+
+
+@pytest.mark.parametrize("most", (1_000_000, 0))
+def test_a_phrase_in_many_items(spark, monkeypatch, most):
+    """Items that begin alike share fingerprints; a text meets the windows that occur in it, and all items that have them."""
+    monkeypatch.setattr(decontaminate, "WINDOWS", 7)
+    phrase = "choose the one best answer to this question about a topic"
+    items = [(i, f"{phrase} number{i} of list{i % 50} with rest{i % 3} here") for i in range(600)]
+    texts = [(1, f"so {phrase} number7 of list7 with other"), (2, "the one best answer to this question about"), (3, f"{phrase}. {phrase}! number599"), (4, None)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    out = decontaminate.benchmark_hits(docs, spark.createDataFrame(items, "item_id bigint, text string"), filter_fingerprints=most)
+    assert rows(out, "doc_id", "n_words", "n_hit", "item_ids") == expected(texts, items)
