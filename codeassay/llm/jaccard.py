@@ -3,13 +3,16 @@
 Equal sets are one node.  Sets are ordered by how often their shingles occur
 (counted exactly over all texts, see ``blocks``), rare ones first; two sets above
 the threshold then share a shingle of their prefixes.  Shingles that occur once
-link nothing, so the index of prefixes is small.  Its lists are skipped in
-blocks by position: a list is cut into bands of set sizes, and only the same or
-adjacent bands can hold partners.  Lists join sets into families, and only
-within families are overlaps counted.
-
-There the answers of a set are derived from those of a similar set: its
-overlaps with all others are the other set's, less the lists of the shingles
+link nothing, so the index of prefixes is small.  Its postings keep the place of
+the shingle in its set.  Lists are skipped in blocks by position: a list is cut
+by size and place, and a pair of blocks whose sets cannot overlap enough even if
+all that follows the place were shared is skipped whole.  For the first shingle
+that two sets share this bound holds exactly, so no link is lost.  Lists join sets
+into families, and only within families are overlaps counted.
+
+There the answers of a set are derived from those of a similar set: of the sets
+not answered yet the one most similar to an answered set comes next; its
+overlaps with all others are the answered set's, less the lists of the shingles
 that it lacks, plus the lists of those that only it has.
 """
 
@@ -31,7 +34,9 @@ from .words import mix, slices, window_hashes, words_of
 
 #: Sets of a family that one task compares with each other or with as many more.
 PART_SETS = 1000
-SETS = "k {kind}, block int, n_shingles bigint, sid string, tokens array<bigint>"
+#: Blocks by place that a list of one band of sizes is cut into.
+STEPS = 8
+SETS = "k {kind}, block int, n_shingles bigint, sid string, place int, tokens array<bigint>"
 
 
 def shingle_sets(column: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,17 +99,24 @@ def compare(sets: list[np.ndarray], part: np.ndarray, weight: np.ndarray, percen
             i = root[i]
         return i
 
-    last: tuple[np.ndarray, np.ndarray] | None = None  # tokens of the set before in this order, and its overlaps
-    for x in range(m):
-        own = np.sort(which[bounds[x] : bounds[x + 1]])
-        counts = None
-        if last is not None:
-            gone, more = np.setdiff1d(last[0], own, assume_unique=True), np.setdiff1d(own, last[0], assume_unique=True)
+    tokens = [np.sort(which[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    answered = np.empty((m, m), np.int32)  # overlaps of the sets answered so far with all sets
+    left, best, like = np.ones(m, bool), np.zeros(m), np.full(m, -1)  # for each set the most similar answered one
+    for _ in range(m):
+        x = int(np.argmax(np.where(left, best, -1.0)))
+        left[x] = False
+        own, counts = tokens[x], None
+        if like[x] >= 0:
+            other = tokens[like[x]]
+            gone, more = np.setdiff1d(other, own, assume_unique=True), np.setdiff1d(own, other, assume_unique=True)
             if len(gone) + len(more) < len(own):
-                counts = last[1] - overlaps(gone, index, m) + overlaps(more, index, m)
+                counts = answered[like[x]] - overlaps(gone, index, m) + overlaps(more, index, m)
         if counts is None:
             counts = overlaps(own, index, m)
-        last = own, counts
+        answered[x] = counts
+        similar = counts / (sizes + sizes[x] - counts)
+        closer = left & (similar > best)
+        best[closer], like[closer] = similar[closer], x
         linked = 100 * counts >= percent * (sizes[x] + sizes - counts)
         linked[x] = False
         if cross:
@@ -119,7 +131,7 @@ def compare(sets: list[np.ndarray], part: np.ndarray, weight: np.ndarray, percen
 
 
 def set_table(docs: DataFrame, key: str, text: str, k: int, percent: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """For each row of ``docs`` its set's size, digest and those prefix shingles that occur elsewhere; and the blocks of texts."""
+    """For each row of ``docs`` its set's size, digest and those prefix shingles that occur elsewhere, from their place on; and the blocks of texts."""
     blocks, n, total = in_blocks(docs, {key: "k"}, text, block_bytes)
     buckets = max(1, -(-total * 2 // BUCKET_BYTES))
 
@@ -128,11 +140,13 @@ def set_table(docs: DataFrame, key: str, text: str, k: int, percent: int, block_
         classes = classes_of(right, keys, word, buckets)
         shingles, bounds = shingle_sets(left["t"], k)
         kind = classes[np.searchsorted(keys, shingles)]
-        sizes, ids, tokens = np.diff(bounds), [], []
+        sizes, ids, places, tokens = np.diff(bounds), [], [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             own, its = shingles[a:b], kind[a:b]
             ids.append(set_id(own))
-            rest = prefix_length(b - a, percent) - int((its == 0).sum()) if b > a else 0  # those that occur once come first
+            once = int((its == 0).sum())  # those come first
+            rest = prefix_length(b - a, percent) - once if b > a else 0
+            places.append(once)
             if rest > 0:
                 shared = np.flatnonzero(its)
                 order = np.lexsort((own[shared], its[shared]))[:rest]
@@ -141,7 +155,7 @@ def set_table(docs: DataFrame, key: str, text: str, k: int, percent: int, block_
                 tokens.append(np.empty(0, np.int64))
         return pa.table({
             "k": left["k"], "block": left["block"], "n_shingles": pa.array(sizes, pa.int64()), "sid": pa.array(ids, pa.string()),
-            "tokens": pa.array(tokens, pa.list_(pa.int64())),
+            "place": pa.array(places, pa.int32()), "tokens": pa.array(tokens, pa.list_(pa.int64())),
         })
 
     answers = repeat_classes(blocks, lambda column: distinct_shingles(column, k), buckets)
@@ -149,15 +163,44 @@ def set_table(docs: DataFrame, key: str, text: str, k: int, percent: int, block_
     return with_answers(blocks, answers, work, SETS.format(kind=kind)), blocks
 
 
+def postings_of(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, band, step, node, size, rest): the list of each shingle, cut by set size and by the place of the shingle in its set.
+
+    ``rest`` counts the shingles from this place on, the most that sets can share if this is the first that they do.
+    """
+    size = F.col("n_shingles")
+    band = F.floor(F.log(size) / math.log(100 / percent) + 1e-9).cast("int")
+    each = sets.select(F.xxhash64("sid").alias("node"), size, "place", F.posexplode("tokens").alias("i", "token"))
+    place, prefix = F.col("place") + F.col("i"), size - F.ceil(percent * size / 100) + 1
+    return each.select("token", band.alias("band"), F.floor(STEPS * place / prefix).cast("int").alias("step"), "node", size.alias("size"), (size - place).alias("rest"))
+
+
+def live_blocks(postings: DataFrame, percent: int) -> DataFrame:
+    """(token, band, step, first, others): blocks that hold a possible pair, with the first set of each block they can pair with; the rest is skipped.
+
+    The blocks of a list are bounded by the bands of sizes times ``STEPS``.
+    """
+    block = postings.groupBy("token", "band", "step").agg(F.min("node").alias("first"), F.count("*").alias("n"), F.max("rest").alias("rest"), F.min("size").alias("low"))
+    fields = F.struct("band", "step", "first", "n", "rest", "low")
+    lists = block.groupBy("token").agg(F.collect_list(fields).alias("list"), F.sum("n").alias("n")).filter("n > 1")
+    a = F.col("a")
+
+    def meets(b):
+        same = (b["band"] == a["band"]) & (b["step"] == a["step"])
+        reach = (100 + percent) * F.least(a["rest"], b["rest"]) >= percent * (a["low"] + b["low"])
+        return (F.abs(b["band"] - a["band"]) <= 1) & (~same | (b["n"] > 1)) & reach
+
+    pairs = lists.select("token", "list", F.explode("list").alias("a")).select("token", "a", F.filter("list", meets).alias("b")).filter(F.size("b") > 0)
+    return pairs.select("token", "a.band", "a.step", "a.first", F.transform("b", lambda b: b["first"]).alias("others"))
+
+
 def families(sets: DataFrame, percent: int) -> DataFrame:
-    """(sid, family) of the sets that share a prefix shingle with another of a size in reach."""
-    band = F.floor(F.log(F.col("n_shingles")) / math.log(100 / percent) + 1e-9).cast("int")
-    postings = sets.select("sid", band.alias("band"), F.explode("tokens").alias("token"))
-    first = postings.groupBy("token", "band").agg(F.min("sid").alias("first"), F.count("*").alias("n"))
-    within = postings.join(first.filter("n > 1").drop("n"), ["token", "band"]).select(F.col("sid").alias("u"), F.col("first").alias("v"))
-    above = first.select("token", (F.col("band") - 1).alias("band"), F.col("first").alias("u"))
-    across = first.join(above, ["token", "band"]).select("u", F.col("first").alias("v"))
-    return connected_components(within.union(across)).withColumnsRenamed({"node": "sid", "component": "family"})
+    """(node, family) of the sets that meet another in a list block; nodes are hashes of digests, two sets that share one only make a family larger."""
+    postings = postings_of(sets, percent)
+    live = cut_lineage(live_blocks(postings, percent))
+    within = postings.join(live.drop("others"), ["token", "band", "step"]).select(F.col("node").alias("u"), F.col("first").alias("v"))
+    across = live.select(F.col("first").alias("u"), F.explode("others").alias("v"))
+    return connected_components(within.union(across)).withColumnsRenamed({"component": "family"})
 
 
 def family_links(blocks: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -231,9 +274,9 @@ def jaccard_components(
     filled = found.filter("sid is not null")
     # One text stands for a set; rows with one set are counted before any join.
     sets = filled.groupBy("sid").agg(F.count("*").alias("copies"), F.min_by(F.struct("block", "k", "n_shingles"), F.struct("block", "k")).alias("at"))
-    tokens = filled.filter(F.size("tokens") > 0).groupBy("sid", "n_shingles").agg(F.min_by("tokens", "block").alias("tokens"))
+    tokens = filled.filter(F.size("tokens") > 0).groupBy("sid", "n_shingles", "place").agg(F.min_by("tokens", "block").alias("tokens"))
     grouped = cut_lineage(families(tokens, percent))
-    members = sets.join(grouped, "sid").select("sid", "family", "copies", "at.block", "at.k", "at.n_shingles")
+    members = sets.withColumn("node", F.xxhash64("sid")).join(grouped, "node").select("sid", "family", "copies", "at.block", "at.k", "at.n_shingles")
     linked = cut_lineage(family_links(blocks, members, k, percent))
     edges = linked.filter("v is not null").select("u", "v")
     keys = filled.filter("k is not null").select("sid", F.col("k").cast("string").alias("k"))

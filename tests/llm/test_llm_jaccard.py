@@ -2,6 +2,7 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeassay.llm import jaccard
 from codeassay.llm.components import connected_components
@@ -97,3 +98,35 @@ def test_answers_of_similar_sets_are_derived(monkeypatch):
     exact = [sum(10 * len(np.intersect1d(x, y)) >= 8 * len(np.union1d(x, y)) for y in sets) - 1 for x in sets]
     assert links.tolist() == exact and len(edges) <= 29
     assert sum(calls) < 0.3 * sum(len(x) for x in sets)
+
+
+def test_answers_come_from_the_most_similar_set(monkeypatch):
+    """Groups of copies in turn, all of about one size: the set before in any order of sizes is of another group."""
+    import numpy as np
+
+    rng, calls = np.random.default_rng(2), []
+    fresh = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    bases = [fresh(400) for _ in range(5)]
+    sets = [np.unique(np.concatenate([bases[i % 5][: 396 - i % 3], fresh(4)])) for i in range(60)]
+    real = jaccard.overlaps
+    monkeypatch.setattr(jaccard, "overlaps", lambda tokens, index, m: calls.append(len(tokens)) or real(tokens, index, m))
+    edges, links = jaccard.compare(sets, np.arange(60) // 30, np.ones(60, int), 80)
+    assert links.tolist() == [6] * 60 and len(edges) == 55
+    assert sum(n == len(x) for n, x in zip(calls, sets)) <= 5 and sum(calls) < 0.15 * sum(len(x) for x in sets)
+
+
+def test_list_blocks_are_skipped_by_place(spark):
+    """100 shingles each at 80 per cent: 89 must be shared, so a first common shingle after place 11 is too late."""
+    own = lambda i: list(range(1000 * i, 1000 * i + 4))
+    rows = [("a", 100, 10, [1]), ("b", 100, 5, [*own(1), 1]), ("c", 100, 16, [*own(2), 2]), ("d", 100, 20, [2]), ("e", 100, 0, [3]), ("f", 81, 0, [3]), ("g", 60, 0, [3]),
+            ("h", 100, 0, [4]), ("i", 81, 12, [4])]
+    sets = spark.createDataFrame(rows, "sid string, n_shingles bigint, place int, tokens array<bigint>")
+    postings = jaccard.postings_of(sets, 80)
+    assert {(r["token"], r["place"]) for r in postings.select("token", F.expr("size - rest").alias("place")).collect()} >= {(1, 10), (1, 9), (2, 20), (3, 0), (4, 12)}
+    live = jaccard.live_blocks(postings, 80).collect()
+    assert {r["token"] for r in live} == {1, 3}
+    name = {r["n"]: r["sid"] for r in sets.select(F.xxhash64("sid").alias("n"), "sid").collect()}
+    parts = collections.defaultdict(set)
+    for r in jaccard.families(sets, 80).collect():
+        parts[r["family"]].add(name[r["node"]])
+    assert sorted(sorted(p) for p in parts.values()) == [["a", "b"], ["e", "f"]]
