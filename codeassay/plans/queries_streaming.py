@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import detectors as cat
 from ..sources import derived as d, oracle_views as v
 from ..streaming import events as ev, lookups as lk
+from ..streaming.lifetimes import lifetimes
 from ..streaming.runner import run_available, run_updates
 from ..streaming.sessions import debounced
 from . import sast_oracle as so
@@ -166,7 +167,10 @@ LIFE_SQL = """e AS (SELECT event_id // 4 AS scan_id, event_id, ['pending', 'runn
     tr AS (SELECT scan_id, 'pending' AS status, p[1] AS at_ms FROM h WHERE p IS NOT NULL AND (r IS NULL OR p < r) AND (f IS NULL OR p < (f[1], f[2]))
       UNION ALL SELECT scan_id, 'running', r[1] FROM h WHERE r IS NOT NULL
       UNION ALL SELECT scan_id, CASE WHEN late THEN 'failed' ELSE f[3] END, CASE WHEN late THEN r[1] + 900000 ELSE f[1] END
-        FROM (SELECT *, coalesce(r[1] + 900000 <= (SELECT max(t) FROM e) AND (f IS NULL OR f[1] > r[1] + 900000), false) AS late FROM h) WHERE late OR f IS NOT NULL)"""
+        FROM (SELECT *, coalesce({late}, false) AS late FROM h) WHERE late OR f IS NOT NULL)"""
+# A batch looks up to the last event; a timer fires behind the watermark, or is outrun by a later end.
+PASSED_SQL = LIFE_SQL.replace("{late}", "r[1] + 900000 <= (SELECT max(t) FROM e) AND (f IS NULL OR f[1] > r[1] + 900000)")
+TIMER_SQL = LIFE_SQL.replace("{late}", "f[1] > r[1] + 900000 OR (f IS NULL AND r[1] + 900000 < (SELECT max(t) FROM e) - 3 * 86400000)")
 
 
 def _transitions(spark, sf, name):
@@ -174,12 +178,18 @@ def _transitions(spark, sf, name):
     return ev.transitions(minima, minima.agg(F.max("last_ms")).first()[0] or 0)
 
 
-@query("scan_lifecycle_stream", f"WITH {LIFE_SQL} SELECT scan_id, status, at_ms FROM tr")
+@query("scan_lifecycle_stream", f"WITH {PASSED_SQL} SELECT scan_id, status, at_ms FROM tr")
 def scan_lifecycle_stream(spark, sf):
     return _transitions(spark, sf, "lifecycle")
 
 
-@query("completion_notices_stream", f"WITH {LIFE_SQL} SELECT scan_id, 'scheduled_scan' AS type, '/scans/' || scan_id AS link FROM tr WHERE status = 'completed'")
+@query("scan_timeouts_stream", f"WITH {TIMER_SQL} SELECT scan_id, status, at_ms FROM tr")
+def scan_timeouts_stream(spark, sf):
+    """Stuck scans fail by their timers, in the trigger in which the watermark passes their deadline."""
+    return lifetimes(_status_events(d.table_stream(spark, sf, "events")), "lifetimes", watermark="3 days", remember="20 days")
+
+
+@query("completion_notices_stream", f"WITH {PASSED_SQL} SELECT scan_id, 'scheduled_scan' AS type, '/scans/' || scan_id AS link FROM tr WHERE status = 'completed'")
 def completion_notices_stream(spark, sf):
     return ev.completion_notices(_transitions(spark, sf, "notices"))
 
