@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .words import give_back
+
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
 MESSAGE = "bucket int, block int, hashes binary, counts binary"
@@ -79,7 +81,7 @@ def repeat_classes(blocks: DataFrame, hashes: Hashes, buckets: int) -> DataFrame
         out[order] = np.repeat(kind, np.diff(np.append(begin, len(keys))))
         ends = np.cumsum([len(x) for x in data])
         parts = [out[e - len(x) : e].tobytes() for x, e in zip(data, ends, strict=True)]
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.table({"block": table["block"], "bucket": table["bucket"], "classes": pa.array(parts, pa.binary())})
 
     return blocks.groupBy("block").applyInArrow(send, MESSAGE).groupBy("bucket").applyInArrow(answer, ANSWER)
@@ -99,7 +101,7 @@ def with_answers(blocks: DataFrame, answers: DataFrame, work: Callable[[pa.Table
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = work(left, right)
-        pa.default_memory_pool().release_unused()  # a worker lives on through other stages
+        give_back()
         return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -30,7 +30,7 @@ from .blocks import BLOCK_BYTES, BUCKET_BYTES, classes_of, in_blocks, repeat_cla
 from .components import connected_components
 from .keys import fresh, row_key, without
 from .packing import ranked
-from .words import mix, slices, window_hashes, words_of
+from .words import give_back, mix, slices, window_hashes, words_of
 
 #: Sets of a family that one task compares with each other or with as many more.
 PART_SETS = 1000
@@ -249,6 +249,7 @@ def family_links(blocks: DataFrame, members: DataFrame, k: int, percent: int) ->
         edges, links = compare(sets, table["part"].to_numpy(), table["copies"].to_numpy(), percent)
         u = [*sids, *(sids[a] for a, _ in edges)]
         v = [*[None] * len(sids), *(sids[b] for _, b in edges)]
+        give_back()
         return pa.table({"u": pa.array(u, pa.string()), "v": pa.array(v, pa.string()), "links": pa.array([*links.tolist(), *[0] * len(edges)], pa.int64())})
 
     fetched = with_answers(blocks, wanted, fetch, "pair string, sid string, part int, copies bigint, shingles binary")

@@ -7,6 +7,7 @@ slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import sys
 import types
@@ -35,6 +36,14 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("codeassay_worker_cache", types.ModuleType("codeassay_worker_cache")).__dict__
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on through the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * ODD_2
     h = (h ^ (h >> np.uint64(27))) * ODD_3
@@ -71,6 +80,7 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
         j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + most, "right")) - 1)
         yield Slice(i, data.slice(int(cuts[i]), int(cuts[j] - cuts[i])).to_pybytes(), cuts[i : j + 1] - cuts[i])
         i = j
+    give_back()
 
 
 @dataclass
