@@ -12,8 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..catalog import registries as reg
@@ -21,6 +20,7 @@ from .runner import run_updates
 from .sessions import microseconds
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGE = Row("key", "step", "status", "at_ms", "gone")
 STEPS = {"pending": "pending", "running": "running", "completed": "ended", "failed": "ended"}
 
 
@@ -87,21 +87,20 @@ class _Lives(StatefulProcessor):
         self.held.update((json.dumps(firsts), expired, wake))
 
     @staticmethod
-    def _changes(key: tuple, before: dict, after: dict) -> pd.DataFrame:
-        rows = [(key[0], k, *v, False) for k, v in after.items() if before.get(k) != v] + [(key[0], k, *v, True) for k, v in before.items() if k not in after]
-        return pd.DataFrame(rows, columns=["key", "step", "status", "at_ms", "gone"])
+    def _changes(key: tuple, before: dict, after: dict) -> Iterator[Row]:
+        if before is not after:
+            yield from (CHANGE(key[0], k, *v, False) for k, v in after.items() if before.get(k) != v)
+            yield from (CHANGE(key[0], k, *v, True) for k, v in before.items() if k not in after)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         old, expired, timer = self._load()
-        new = old
-        for frame in rows:
-            new = merged_firsts(new, frame["ms"].tolist(), frame["event_id"].tolist(), frame["status"].tolist())
+        new = merged_firsts(old, *zip(*((r["ms"], r["event_id"], r["status"]) for r in rows), strict=True))
         # A scan whose deadline moved to an earlier event is woken again.
         still = expired and new.get("running") == old.get("running")
         self._store(new, still, timer)
-        yield self._changes(key, steps(old, self.limit, expired), steps(new, self.limit, still))
+        return self._changes(key, steps(old, self.limit, expired), steps(new, self.limit, still))
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         firsts, expired, timer = self._load()
         before = steps(firsts, self.limit, expired)
         after = before
@@ -112,7 +111,7 @@ class _Lives(StatefulProcessor):
                 self._store(firsts, True, None)
             else:
                 self.held.clear()
-        yield self._changes(key, before, after)
+        return self._changes(key, before, after)
 
     def close(self) -> None:
         pass
@@ -125,7 +124,7 @@ def lives_of(events: DataFrame, minutes: int, watermark: str, remember: str) ->
     e = events.withWatermark("ts", watermark).select(
         key, F.col("event_id").cast("bigint").alias("event_id"), F.coalesce("status", F.lit("")).alias("status"), "ts", F.unix_millis("ts").alias("ms")
     )
-    steps_of = e.groupBy("key").transformWithStateInPandas(
+    steps_of = e.groupBy("key").transformWithState(
         _Lives(minutes * 60_000, microseconds(remember) // 1000), "key string, step int, status string, at_ms bigint, gone boolean", "update", "EventTime"
     )
     scan = F.when(F.col("key") != "", F.substring("key", 2, 2**31 - 1)).cast(events.schema["scan_id"].dataType)
