@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.session import cut_lineage
+from ..functions.session import cut_lineage, scratch_path
 from .joins import salted_join
 from .ranking import grouped_index
 
@@ -88,16 +88,20 @@ def version_key(version: Column, ecosystem: Column) -> Column:
     return F.when(core != "", F.struct(numbers.alias("numbers"), tail.alias("tail")))
 
 
-#: Packages with more pairs of a version and an interval than this go through the interval index.
-DIRECT_PAIRS = 4096
+#: Packages with more pairs of a version and an interval than this go through the interval index, unless they have few intervals.
+DIRECT_PAIRS, FEW_SPANS = 4096, 16
+#: Blocks of the interval index that make a block of the next level, as a power of two.
+FAN_BITS = 4
 
 
 def range_hits(used: DataFrame, advisories: DataFrame, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
     """(ecosystem, name, version, adv): used versions inside an affected interval.
 
     ``used`` has distinct packages and versions, so a package that everybody
-    depends on is a few rows.  Packages with few pairs join by package and
-    compare; the others go through ``indexed_hits``.  Both give the same rows.
+    depends on is a few rows.  A version meets the intervals of its package as
+    one row, compares, and gives each advisory once; packages with many pairs
+    go through ``indexed_hits``.  Both give the same rows.  Versions are counted
+    only for packages with more than a few intervals.
     """
     package = ["ecosystem", "name"]
     a = advisories.select("*", F.explode("packages").alias("_p")).select("*", F.explode("_p.ranges").alias("_r"))
@@ -107,45 +111,69 @@ def range_hits(used: DataFrame, advisories: DataFrame, direct_pairs: int = DIREC
         (F.col("_r.introduced") == "0").alias("_all"), version_key(F.col("_r.fixed"), F.col("_p.ecosystem")).alias("_fix"),
         F.col("_r.fixed").isNull().alias("_open"), F.struct("id", "summary", "severity", "aliases", "fixed_version").alias("adv"),
     ).filter((F.col("_all") | F.col("_low").isNotNull()) & (F.col("_open") | F.col("_fix").isNotNull()))
-    keyed = used.select("ecosystem", "name", "version", version_key(F.col("version"), F.col("ecosystem")).alias("_key")).filter("_key is not null")
-    pairs = keyed.groupBy(*package).agg(F.count("*").alias("_v")).join(spans.groupBy(*package).agg(F.count("*").alias("_i")), package)
-    large = cut_lineage(pairs.filter(F.col("_v") * F.col("_i") > direct_pairs).select(*package))
-    inside = (F.col("_all") | (F.col("_key") >= F.col("_low"))) & (F.col("_open") | (F.col("_key") < F.col("_fix")))
-    few = keyed.join(large, package, "left_anti").join(spans, package).filter(inside).select("ecosystem", "name", "version", "adv")
-    if large.isEmpty():
-        return few.distinct()
-    many = indexed_hits(keyed.join(large, package, "left_semi"), spans.join(large, package, "left_semi"))
-    return few.unionByName(many).distinct()
+    key = version_key(F.col("version"), F.col("ecosystem")).alias("_key")
+    crowded = cut_lineage(spans.groupBy(*package).agg(F.count("*").alias("_i")).filter(F.col("_i") > min(direct_pairs, FEW_SPANS)))
+    large = None
+    if not crowded.isEmpty():
+        counted = used.join(crowded, package, "left_semi").select(*package, key).filter("_key is not null").groupBy(*package).agg(F.count("*").alias("_v"))
+        large = cut_lineage(counted.join(crowded, package).filter(F.col("_v") * F.col("_i") > direct_pairs).select(*package))
+        large = None if large.isEmpty() else large
+    rest, other = (used, spans) if large is None else (x.join(large, package, "left_anti") for x in (used, spans))
+    listed = other.groupBy(*package).agg(F.collect_list(F.struct("_low", "_all", "_fix", "_open", "adv")).alias("_spans"))
+    met = rest.join(listed, package).select(*package, "version", "_spans", key)
+    inside = lambda s: F.col("_key").isNotNull() & (s["_all"] | (F.col("_key") >= s["_low"])) & (s["_open"] | (F.col("_key") < s["_fix"]))
+    few = met.select(*package, "version", F.explode(F.array_distinct(F.transform(F.filter("_spans", inside), lambda s: s["adv"]))).alias("adv"))
+    if large is None:
+        return few
+    # The index reads both sides several times; what they are made of is read once.
+    keyed = _stored(used.join(large, package, "left_semi").select(*package, "version"), "used").select("*", key).filter("_key is not null")
+    return few.unionByName(indexed_hits(keyed, _stored(spans.join(large, package, "left_semi"), "spans")))
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def indexed_hits(keyed: DataFrame, spans: DataFrame) -> DataFrame:
     """The same for packages with many versions and many intervals, at the cost of their sum and the hits.
 
-    The versions and bounds of a package get positions in version order.  An
-    interval of positions falls into at most two dyadic blocks a level, a
-    version lies in one block of each level; they meet in exactly one block if
-    the version is inside, so the join is by block and tests nothing more.
+    The versions and bounds of a package get positions in version order; the
+    intervals of an advisory are made disjoint.  Sixteen blocks make one of the
+    next level.  An interval of positions falls into a bounded number of blocks
+    a level, a version lies in one block of each level; they meet in exactly one
+    block if the version is inside, so the join is by block, tests nothing more
+    and gives each row once.
     """
     pkg = F.to_json(F.struct("ecosystem", "name"))
     keyed, spans = keyed.withColumn("_pkg", pkg), spans.withColumn("_pkg", pkg)
     keys = keyed.select("_pkg", "_key").union(spans.filter("_low is not null").select("_pkg", F.col("_low"))).union(spans.filter("_fix is not null").select("_pkg", F.col("_fix")))
     placed = cut_lineage(grouped_index(keys.distinct(), "_pkg", ["_key"], "_at"))
-    size = placed.groupBy("_pkg").agg(F.count("*").alias("_n"), (F.length(F.bin(F.count("*"))) - 1).alias("_top"))
+    size = placed.groupBy("_pkg").agg(F.count("*").alias("_n"), F.floor((F.length(F.bin(F.count("*"))) - 1) / FAN_BITS).cast("int").alias("_top"))
     bound = lambda name, at: placed.select("_pkg", F.col("_key").alias(name), F.col("_at").alias(at))
-    points = salted_join(keyed, bound("_key", "_p"), ["_pkg", "_key"]).join(size, "_pkg")
+    points = salted_join(keyed, bound("_key", "_p"), ["_pkg", "_key"]).select("_pkg", "ecosystem", "name", "version", "_p").join(size, "_pkg")
     levels = F.sequence(F.lit(0), F.col("_top"))
-    blocks = points.select("_pkg", "ecosystem", "name", "version", F.explode(F.transform(levels, lambda k: F.struct(k.alias("k"), F.call_function("shiftright", F.col("_p"), k).alias("b")))).alias("_block"))
+    block = lambda k: F.struct(k.alias("k"), F.call_function("shiftright", F.col("_p"), k * FAN_BITS).alias("b"))
+    blocks = points.select("_pkg", "ecosystem", "name", "version", F.explode(F.transform(levels, block)).alias("_block"))
     ranged = spans.join(bound("_low", "_from"), ["_pkg", "_low"], "left").join(bound("_fix", "_until"), ["_pkg", "_fix"], "left").join(size, "_pkg")
     low, high = F.coalesce("_from", F.lit(0)).cast("bigint"), F.coalesce("_until", "_n").cast("bigint")
+    # Two intervals of an advisory that overlap share no position afterwards.
+    earlier = Window.partitionBy("_pkg", "adv").orderBy("_lo", "_hi").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.select("_pkg", "adv", "_top", low.alias("_lo"), high.alias("_hi")).withColumn("_done", F.max("_hi").over(earlier))
+    ranged = ranged.withColumn("_lo", F.greatest("_lo", "_done")).filter("_lo < _hi")
 
     def level(k):
-        step = F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
-        first, last = F.ceil(F.col("_lo") / step).cast("bigint"), F.floor(F.col("_hi") / step).cast("bigint")
-        mark = lambda b, odd: F.when((first < last) & (odd % 2 == 1), F.struct(k.alias("k"), b.alias("b")))
-        return F.array(mark(first, first), mark(last - 1, last))
-
-    ranged = ranged.select("_pkg", "adv", "_top", low.alias("_lo"), high.alias("_hi"))
-    cover = ranged.select("_pkg", "adv", F.explode(F.filter(F.flatten(F.transform(levels, level)), lambda x: x.isNotNull())).alias("_block"))
+        step = F.call_function("shiftleft", F.lit(1).cast("bigint"), k * FAN_BITS)
+        first, last = F.ceil(F.col("_lo") / step).cast("bigint"), F.floor(F.col("_hi") / step).cast("bigint")  # whole blocks inside: first to last - 1
+        fan = 1 << FAN_BITS
+        up, down = F.ceil(first / fan).cast("bigint") * fan, F.floor(last / fan).cast("bigint") * fan
+        top = (k == F.col("_top")) | (up >= down)  # nothing of a higher level between them
+        run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+        these = F.when(top, run(first, last)).otherwise(F.concat(run(first, up), run(down, last)))
+        return F.transform(these, lambda b: F.struct(k.alias("k"), b.alias("b")))
+
+    cover = ranged.select("_pkg", "adv", F.explode(F.flatten(F.transform(levels, level))).alias("_block"))
     return blocks.join(cover, ["_pkg", "_block"]).select("ecosystem", "name", "version", "adv")
 
 

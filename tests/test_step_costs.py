@@ -1,5 +1,6 @@
 """What a step must not do again: its rows are right, and it moves or sorts them no more often than it says."""
 
+from codeassay.operators import advisories as ad
 from codeassay.streaming import lifetimes as lt
 
 
@@ -9,3 +10,29 @@ def test_a_timer_that_changes_nothing_gives_no_rows():
     new = {1: ("running", 4), 2: ("failed", 9)}
     assert [tuple(r) for r in lt._Lives._changes(("=1",), old, new)] == [("=1", 1, "running", 4, False), ("=1", 2, "failed", 9, False)]
     assert [r.asDict() for r in lt._Lives._changes(("=1",), old, {})] == [{"key": "=1", "step": 1, "status": "running", "at_ms": 5, "gone": True}]
+
+
+PAIR = "ecosystem string, name string, version string"
+
+
+def snapshot(spark, *documents):
+    docs = [
+        '{"id":"%s","affected":[{"package":{"name":"%s","ecosystem":"npm"},"ranges":[{"events":[%s]}]}]}' % (i, name, ",".join(f'{{"introduced":"{a}"}},{{"fixed":"{b}"}}' for a, b in spans))
+        for i, name, spans in documents
+    ]
+    return ad.normalise_advisories(ad.parse_advisories(spark.createDataFrame([(x,) for x in docs], "value string")))
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_index_gives_a_version_once_for_intervals_that_overlap(spark, monkeypatch):
+    used = spark.createDataFrame([("npm", "p", f"{i}.0") for i in range(600)], PAIR)
+    advisories = snapshot(spark, ("A", "p", [("10", "400"), ("20", "30"), ("350", "500")]), ("B", "p", [("599", "700"), ("0", "1")]))
+    seen = []
+    inner = ad.indexed_hits
+    monkeypatch.setattr(ad, "indexed_hits", lambda *x: seen.append(inner(*x)) or seen[-1])
+    hits = ad.range_hits(used, advisories, direct_pairs=-1)
+    want = sorted([("A", f"{i}.0") for i in range(10, 500)] + [("B", "0.0"), ("B", "599.0")])
+    assert sorted((r.adv.id, r.version) for r in seen[0].collect()) == want == sorted((r.adv.id, r.version) for r in hits.collect())
