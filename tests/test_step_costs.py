@@ -36,3 +36,11 @@ def test_the_index_gives_a_version_once_for_intervals_that_overlap(spark, monkey
     hits = ad.range_hits(used, advisories, direct_pairs=-1)
     want = sorted([("A", f"{i}.0") for i in range(10, 500)] + [("B", "0.0"), ("B", "599.0")])
     assert sorted((r.adv.id, r.version) for r in seen[0].collect()) == want == sorted((r.adv.id, r.version) for r in hits.collect())
+
+
+def test_few_intervals_need_no_distinct_over_the_hits(spark):
+    used = spark.createDataFrame([("npm", "p", v) for v in ("1.0", "2.0", "9.0", "none")] + [("npm", "q", "1.0")], PAIR)
+    advisories = snapshot(spark, ("A", "p", [("0", "3"), ("1.0", "2.5")]), ("B", "p", [("5", "10")]), ("B", "p", [("5", "10")]))
+    hits = ad.range_hits(used, advisories)
+    assert sorted((r.adv.id, r.version) for r in hits.collect()) == [("A", "1.0"), ("A", "2.0"), ("B", "9.0")]
+    assert plan(hits).count("Aggregate") == 1  # the intervals of a package
