@@ -244,16 +244,17 @@ def dev_label(dev: Column) -> Column:
 def scan_sca(dependencies: DataFrame, advisories: DataFrame, scan: str = "repo", failed: DataFrame | None = None) -> DataFrame:
     """Findings for every occurrence of an affected package version; scans in ``failed`` (their look-up broke off) have none.
 
-    Advisories are cut down to the packages in use before the join, and the
-    occurrences are salted: a package that everybody uses does not end in one
-    task.
+    Advisories are cut down to the packages in use, which are found once,
+    before the join, and the occurrences are salted: a package that everybody
+    uses does not end in one task.  Failed scans go afterwards, so that only
+    occurrences with findings are moved for them.
     """
-    if failed is not None:
-        dependencies = dependencies.join(failed.select(scan).distinct(), scan, "left_anti")
-    used = dependencies.select("ecosystem", "name", "version").distinct()
+    used = cut_lineage(dependencies.select("ecosystem", "name", "version").distinct())
     listed = affected_versions(advisories).join(used, ["ecosystem", "name", "version"], "left_semi")
     hits = listed.unionByName(range_hits(used, advisories)).distinct()
     rows = salted_join(dependencies, hits, ["ecosystem", "name", "version"])
+    if failed is not None:
+        rows = rows.join(failed.select(scan).distinct(), scan, "left_anti")
     name, version, eco, dev, adv = (F.col(c) for c in ("name", "version", "ecosystem", "dev", "adv"))
     cve = F.coalesce(F.get(F.filter(adv["aliases"], lambda a: a.startswith("CVE-")), F.lit(0)), adv["id"])
     fix = F.when(

@@ -44,3 +44,12 @@ def test_few_intervals_need_no_distinct_over_the_hits(spark):
     hits = ad.range_hits(used, advisories)
     assert sorted((r.adv.id, r.version) for r in hits.collect()) == [("A", "1.0"), ("A", "2.0"), ("B", "9.0")]
     assert plan(hits).count("Aggregate") == 1  # the intervals of a package
+
+
+def test_failed_scans_are_taken_out_once(spark):
+    deps = spark.createDataFrame(
+        [(s, "npm", "p", "1.0", "m", 1, False) for s in ("a", "b")], "repo string, ecosystem string, name string, version string, source string, line int, dev boolean"
+    )
+    found = ad.scan_sca(deps, snapshot(spark, ("A", "p", [("0", "3")])), "repo", spark.createDataFrame([("b",), ("b",)], "repo string"))
+    assert [(r.repo, r.rule_id) for r in found.collect()] == [("a", "SCA-A")]
+    assert plan(found).count("LeftAnti") == 1
