@@ -288,7 +288,8 @@ def to_sbom(dependencies: DataFrame, order: list[str], project: Column | None =
     """
     d = grouped_index(dependencies, "scan_id", order)
     each = d.select("scan_id", F.col("idx").alias("place"), F.concat(F.when(F.col("idx") > 0, ",").otherwise(""), F.to_json(component())).alias("text"))
-    named = dependencies.groupBy("scan_id").agg((F.first(F.col("scan_id").cast("string")) if project is None else F.min(project)).alias("_name"))
+    # A text taken along in the aggregate would make it sort all rows.
+    named = dependencies.select("scan_id").distinct().withColumn("_name", F.col("scan_id").cast("string")) if project is None else dependencies.groupBy("scan_id").agg(F.min(project).alias("_name"))
     scans = _every(named, scans).select("scan_id", F.coalesce("_name", F.col("scan_id").cast("string")).alias("_name"))
     head = F.struct(
         F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"),

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from codeassay.operators import advisories as ad
+from codeassay.operators import advisories as ad, exports as ex
 from codeassay.sources import derived as d
 from codeassay.streaming import lifetimes as lt
 
@@ -70,3 +70,10 @@ def test_the_sequence_of_a_finding_is_as_formatted(spark, tmp_path):
     found = d.findings(spark, str(tmp_path)).select("seq")
     assert sorted(r.seq for r in found.collect()) == ["2-3-4-5-RF-19960109", "null-null-null-null-nullnull-null"]
     assert "format_string" not in plan(found)
+
+
+def test_names_of_documents_need_no_sort(spark):
+    deps = spark.createDataFrame([(1, "m", 1, "p", "1.0", "npm", False, None)] * 2, "scan_id bigint, source string, line int, name string, version string, ecosystem string, dev boolean, license string")
+    docs = ex.to_sbom(deps, ["source", "line", "name"], scans=spark.createDataFrame([(1,), (2,)], "scan_id bigint"))
+    assert sorted((r.scan_id, r.components) for r in ex.sbom_summary(docs).collect()) == [(1, 2), (2, 0)]
+    assert "first(" not in plan(docs)
