@@ -110,12 +110,13 @@ def reachability(edges: DataFrame, seeds: DataFrame, scan: str = "repo", max_rou
     executor costs a partition.
     """
     keys, node = [scan, "parent_key"], [scan, "dep_key"]
-    e = edges.select(*keys, "child_key").distinct()
+    e = edges.select(*keys, "child_key")
     hot = hot_keys(edges, keys)
     is_hot = key_hash(keys).isin(hot) if hot else F.lit(False)
     salt = F.when(is_hot, F.pmod(F.xxhash64("child_key"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    e = e.withColumn("_salt", salt).repartition(*keys, "_salt").persist(StorageLevel.MEMORY_AND_DISK)
+    # Rows that are equal lie together by then, so one shuffle serves both.
+    e = e.withColumn("_salt", salt).repartition(*keys, "_salt").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     frontier = cut_lineage(seeds.select(*node).distinct().withColumn("depth", F.lit(0)))
     known, size, recent, waiting, depth = frontier.repartition(*node).persist(StorageLevel.MEMORY_AND_DISK), frontier.count(), None, 0, 0
     held = [e, known]

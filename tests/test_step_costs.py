@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from codeassay.operators import advisories as ad, exports as ex
+from codeassay.operators import advisories as ad, exports as ex, graph as gr
 from codeassay.sources import derived as d
 from codeassay.streaming import lifetimes as lt
 
@@ -77,3 +77,12 @@ def test_names_of_documents_need_no_sort(spark):
     docs = ex.to_sbom(deps, ["source", "line", "name"], scans=spark.createDataFrame([(1,), (2,)], "scan_id bigint"))
     assert sorted((r.scan_id, r.components) for r in ex.sbom_summary(docs).collect()) == [(1, 2), (2, 0)]
     assert "first(" not in plan(docs)
+
+
+def test_edges_are_shuffled_once(spark, monkeypatch):
+    plans, keep = [], type(spark.range(1)).persist
+    monkeypatch.setattr(type(spark.range(1)), "persist", lambda self, *a: plans.append(self._jdf.queryExecution().sparkPlan().toString()) or keep(self, *a))
+    e = spark.createDataFrame([("s", "a", "b"), ("s", "a", "b"), ("s", "b", "c")], "repo string, parent_key string, child_key string")
+    got = gr.reachability(e, spark.createDataFrame([("s", "a")], "repo string, dep_key string"))
+    assert sorted((r.dep_key, r.depth) for r in got.collect()) == [("a", 0), ("b", 1), ("c", 2)]
+    assert plans[0].index("HashAggregate") < plans[0].index("Exchange")  # equal edges go after the one shuffle, not before another
