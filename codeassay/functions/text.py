@@ -35,7 +35,7 @@ def numbered(lines: Column) -> Column:
 
 
 def base_name(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
+    return F.substring_index(path, "/", -1)
 
 
 def severity_rank(sev: Column) -> Column:

@@ -14,7 +14,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import base_name, js_trim, lines_of, numbered
+from ..functions.text import base_name, js_trim, lines_of
 from .corpus import is_manifest
 
 DEP = "struct<name:string,version:string,ecosystem:string,line:int,dev:boolean,license:string,declared_range:string>"
@@ -22,10 +22,19 @@ NONE = f"array<{DEP}>"
 NULL = "cast(null as string)"
 
 
+def _bare(raw: Column) -> Column:
+    """A version without range operators."""
+    return js_trim(F.regexp_replace(raw, r"^[\^~>=<]+", ""))
+
+
+def _is_version(v: Column) -> Column:
+    return v.rlike(r"^\d+\.\d+")
+
+
 def clean_version(raw: Column) -> Column:
     """Strip range operators; NULL unless ``digits.digits`` follows."""
-    v = js_trim(F.regexp_replace(raw, r"^[\^~>=<]+", ""))
-    return F.when(v.rlike(r"^\d+\.\d+"), v)
+    v = _bare(raw)
+    return F.when(_is_version(v), v)
 
 
 def _dep(name, version, ecosystem, line, dev=None, license=None, declared=None) -> Column:
@@ -55,26 +64,33 @@ def _first_line(num: Column, text: Column, start: Column) -> Column:
     return F.coalesce(F.get(found, F.lit(0))["n"], start)
 
 
-def package_json(content: Column, num: Column) -> Column:
-    doc = F.from_json(content, PACKAGE_JSON)
+SECTIONS = ("dependencies", "devDependencies")
+
+
+def _section_lines(num: Column) -> Column:
+    """The lines where the sections of a package.json begin."""
+    return F.array(*[_first_line(num, F.lit(f'"{field}"'), F.lit(1)) for field in SECTIONS])
+
+
+def package_json(doc: Column, starts: Column, num: Column) -> Column:
+    """``doc`` (the parsed text) and ``starts`` must be columns: every entry looks at them."""
 
-    def section(field: str, dev: bool) -> Column:
-        at = _first_line(num, F.lit(f'"{field}"'), F.lit(1))
+    def section(i: int, dev: bool) -> Column:
+        at = F.get(starts, F.lit(i))
         entries = F.transform(
-            F.map_entries(doc[field]),
-            lambda e: F.struct(e["key"].alias("k"), e["value"].alias("raw"), clean_version(e["value"]).alias("v")),
+            F.map_entries(doc[SECTIONS[i]]),
+            lambda e: F.struct(e["key"].alias("k"), F.concat(F.lit('"'), e["key"], F.lit('"')).alias("q"), e["value"].alias("raw"), _bare(e["value"]).alias("v")),
         )
         return F.transform(
-            F.filter(entries, lambda e: e["v"].isNotNull()),
+            F.filter(entries, lambda e: _is_version(e["v"])),
             lambda e: _dep(
-                e["k"], e["v"], "npm",
-                _first_line(num, F.concat(F.lit('"'), e["k"], F.lit('"')), at),
+                e["k"], e["v"], "npm", _first_line(num, e["q"], at),
                 F.lit(dev), _text_only(doc["license"]), F.when(e["raw"] != e["v"], e["raw"]),
             ),
         )
 
     none = F.array().cast(NONE)
-    return F.concat(F.coalesce(section("dependencies", False), none), F.coalesce(section("devDependencies", True), none))
+    return F.concat(F.coalesce(section(0, False), none), F.coalesce(section(1, True), none))
 
 
 LOCK_ENTRY = (
@@ -187,13 +203,10 @@ def lock_entries(locks: DataFrame) -> DataFrame:
 # ------------------------------------------------------------ line manifests
 def requirements_txt(num: Column) -> Column:
     pattern = r"^([a-zA-Z0-9_][a-zA-Z0-9._-]*)(?:\[.*?\])?\s*==\s*([^\s;#,]+)"
-    rows = F.filter(
-        F.transform(num, lambda x: F.struct(x["n"].alias("n"), js_trim(x["t"]).alias("t"))),
-        lambda x: x["t"].rlike(pattern) & ~x["t"].rlike("^[#-]"),
-    )
+    rows = F.filter(num, lambda x: x["s"].rlike(pattern) & ~x["s"].rlike("^[#-]"))
     return F.transform(
         rows,
-        lambda x: _dep(F.lower(F.regexp_extract(x["t"], pattern, 1)), F.regexp_extract(x["t"], pattern, 2), "PyPI", x["n"]),
+        lambda x: _dep(F.lower(F.regexp_extract(x["s"], pattern, 1)), F.regexp_extract(x["s"], pattern, 2), "PyPI", x["n"]),
     )
 
 
@@ -213,10 +226,10 @@ def _blocks(num: Column, heads: Column, build, with_first: bool = False) -> Colu
     return F.transform(heads, block)
 
 
-def _last_group(body: Column, pattern: str, trim: bool = False) -> Column:
-    text = (lambda x: js_trim(x["t"])) if trim else (lambda x: x["t"])
-    hits = F.filter(body, lambda x: text(x).rlike(pattern))
-    return F.nullif(F.regexp_extract(text(F.get(hits, F.size(hits) - 1)), pattern, 1), F.lit(""))
+def _last_group(body: Column, pattern: str, text: str = "t") -> Column:
+    """The group of the last line that matches; patterns match no empty group."""
+    groups = F.transform(body, lambda x: F.regexp_extract(x[text], pattern, 1))
+    return F.try_element_at(F.filter(groups, lambda g: g != ""), F.lit(-1))
 
 
 def _sectioned(num: Column, heads: Column, wanted: dict, build) -> Column:
@@ -236,13 +249,10 @@ def pipfile(num: Column, heads: Column) -> Column:
     pattern = r'^([a-zA-Z0-9_][a-zA-Z0-9._-]*)\s*=\s*"==([^"]+)"'
 
     def build(body, dev):
-        rows = F.filter(body, lambda x: js_trim(x["t"]).rlike(pattern))
+        rows = F.filter(body, lambda x: x["s"].rlike(pattern))
         return F.transform(
             rows,
-            lambda x: _dep(
-                F.lower(F.regexp_extract(js_trim(x["t"]), pattern, 1)), F.regexp_extract(js_trim(x["t"]), pattern, 2),
-                "PyPI", x["n"], F.lit(dev),
-            ),
+            lambda x: _dep(F.lower(F.regexp_extract(x["s"], pattern, 1)), F.regexp_extract(x["s"], pattern, 2), "PyPI", x["n"], F.lit(dev)),
         )
 
     return _sectioned(num, heads, {"[packages]": False, "[dev-packages]": True}, build)
@@ -254,65 +264,44 @@ def cargo_toml(num: Column, heads: Column) -> Column:
 
     def build(body, dev):
         def one(x):
-            t = js_trim(x["t"])
+            t = x["s"]
             pick = lambda g: F.when(t.rlike(simple), F.regexp_extract(t, simple, g)).when(t.rlike(table), F.regexp_extract(t, table, g))
-            return F.struct(x["n"].alias("n"), pick(1).alias("name"), clean_version(pick(2)).alias("v"))
+            return F.struct(x["n"].alias("n"), pick(1).alias("name"), _bare(pick(2)).alias("v"))
 
-        rows = F.filter(F.transform(body, one), lambda r: r["name"].isNotNull() & r["v"].isNotNull())
+        rows = F.filter(F.transform(body, one), lambda r: r["name"].isNotNull() & _is_version(r["v"]))
         return F.transform(rows, lambda r: _dep(r["name"], r["v"], "crates.io", r["n"], F.lit(dev)))
 
     sections = {"[dependencies]": False, "[dev-dependencies]": True, "[build-dependencies]": True}
     return _sectioned(num, heads, sections, build)
 
 
-def go_mod(num: Column) -> Column:
-    """Single-line and block requirements; the block flag is folded over the lines."""
+def go_mod(num: Column, heads: Column) -> Column:
+    """Single-line and block requirements; ``heads`` are the lines that open or close a block."""
     single, inner = r"^require\s+(\S+)\s+(v\S+)", r"^(\S+)\s+(v\S+)"
-    flags = F.aggregate(
-        num,
-        F.struct(F.lit(False).alias("on"), F.array().cast("array<int>").alias("inside")),
-        lambda acc, x: F.struct(
-            F.when(js_trim(x["t"]) == "require (", F.lit(True))
-            .when((js_trim(x["t"]) == ")") & acc["on"], F.lit(False))
-            .otherwise(acc["on"])
-            .alias("on"),
-            F.when(
-                acc["on"] & js_trim(x["t"]).rlike(inner) & ~js_trim(x["t"]).startswith("//") & ~js_trim(x["t"]).rlike(r"^require [^(]*$"),
-                F.array_append(acc["inside"], x["n"]),
-            )
-            .otherwise(acc["inside"])
-            .alias("inside"),
-        ),
-        lambda acc: acc["inside"],
-    )
-    singles = F.transform(
-        F.filter(num, lambda x: js_trim(x["t"]).rlike(single) & ~F.contains(x["t"], F.lit("("))),
-        lambda x: _dep(F.regexp_extract(js_trim(x["t"]), single, 1), F.regexp_extract(js_trim(x["t"]), single, 2), "Go", x["n"]),
-    )
-    blocks = F.transform(
-        F.transform(flags, lambda n: F.get(num, n - 1)),
-        lambda x: _dep(F.regexp_extract(js_trim(x["t"]), inner, 1), F.regexp_extract(js_trim(x["t"]), inner, 2), "Go", x["n"]),
-    )
+    entry = lambda pattern: lambda x: _dep(F.regexp_extract(x["s"], pattern, 1), F.regexp_extract(x["s"], pattern, 2), "Go", x["n"])
+    singles = F.transform(F.filter(num, lambda x: x["s"].rlike(single) & ~F.contains(x["t"], F.lit("("))), entry(single))
+
+    def build(body, _):
+        rows = F.filter(body, lambda x: x["s"].rlike(inner) & ~x["s"].startswith("//") & ~x["s"].rlike(r"^require [^(]*$"))
+        return F.transform(rows, entry(inner))
+
+    blocks = _sectioned(num, heads, {"require (": None}, build)
     return F.array_sort(F.concat(singles, blocks), lambda a, b: a["line"] - b["line"])
 
 
 def go_sum(num: Column) -> Column:
     pattern = r"^(\S+)\s+(v[^\s/]+)\s+h1:"
-    rows = F.filter(num, lambda x: js_trim(x["t"]).rlike(pattern) & ~F.contains(x["t"], F.lit("/go.mod ")))
-    return F.transform(
-        rows, lambda x: _dep(F.regexp_extract(js_trim(x["t"]), pattern, 1), F.regexp_extract(js_trim(x["t"]), pattern, 2), "Go", x["n"])
-    )
+    rows = F.filter(num, lambda x: x["s"].rlike(pattern) & ~F.contains(x["t"], F.lit("/go.mod ")))
+    return F.transform(rows, lambda x: _dep(F.regexp_extract(x["s"], pattern, 1), F.regexp_extract(x["s"], pattern, 2), "Go", x["n"]))
 
 
 def yarn_lock(num: Column, heads: Column, version: str) -> Column:
     header = r'^"?(@?[^@"]+)@'
 
     def build(h, text, body):
-        return F.struct(
-            h.alias("n"), F.nullif(F.regexp_extract(text, header, 1), F.lit("")).alias("name"), _last_group(body, version).alias("v")
-        )
+        return F.struct(h.alias("n"), F.regexp_extract(text, header, 1).alias("name"), _last_group(body, version).alias("v"))
 
-    rows = F.filter(_blocks(num, heads, build), lambda r: r["name"].isNotNull() & r["v"].isNotNull())
+    rows = F.filter(_blocks(num, heads, build), lambda r: (r["name"] != "") & r["v"].isNotNull())
     return F.transform(rows, lambda r: _dep(r["name"], r["v"], "npm", r["n"]))
 
 
@@ -332,8 +321,8 @@ def cargo_lock(num: Column, heads: Column) -> Column:
     def build(h, _, body):
         return F.struct(
             h.alias("n"),
-            _last_group(body, r'^name\s*=\s*"([^"]+)"', True).alias("name"),
-            _last_group(body, r'^version\s*=\s*"([^"]+)"', True).alias("v"),
+            _last_group(body, r'^name\s*=\s*"([^"]+)"', "s").alias("name"),
+            _last_group(body, r'^version\s*=\s*"([^"]+)"', "s").alias("v"),
         )
 
     rows = F.filter(_blocks(num, heads, build), lambda r: r["name"].isNotNull() & r["v"].isNotNull())
@@ -345,14 +334,26 @@ def _heads(kind: Column, num: Column) -> Column:
     top = lambda x: (x["t"] != "") & ~x["t"].startswith(" ")
     pick = lambda test: F.transform(F.filter(num, test), lambda x: x["n"])
     return (
-        F.when(kind.isin("Pipfile", "Cargo.toml"), pick(lambda x: js_trim(x["t"]).startswith("[")))
-        .when(kind == "Cargo.lock", F.concat(F.array(F.lit(0)), pick(lambda x: js_trim(x["t"]) == "[[package]]")))
+        F.when(kind.isin("Pipfile", "Cargo.toml"), pick(lambda x: x["s"].startswith("[")))
+        .when(kind == "Cargo.lock", F.concat(F.array(F.lit(0)), pick(lambda x: x["s"] == "[[package]]")))
+        .when(kind == "go.mod", pick(lambda x: x["s"].isin("require (", ")")))
         .when(kind == "yarn.lock", pick(lambda x: top(x) & ~x["t"].startswith("#") & (x["t"] != "__metadata:")))
         .when(kind == "pnpm-lock.yaml", pick(top))
         .otherwise(F.array().cast("array<int>"))
     )
 
 
+#: formats whose lines are read without the white space around them
+TRIMMED = ("requirements.txt", "Pipfile", "go.mod", "go.sum", "Cargo.toml", "Cargo.lock")
+
+
+def _lines(kind: Column, content: Column) -> Column:
+    """Numbered lines as they are (``t``) and, for ``TRIMMED``, without white space around them (``s``): trimmed once, read often."""
+    return F.transform(
+        lines_of(content), lambda t, i: F.struct((i + 1).alias("n"), t.alias("t"), F.when(kind.isin(*TRIMMED), js_trim(t)).alias("s"))
+    )
+
+
 #: formats that report a package once per file
 ONCE = ("yarn.lock", "pnpm-lock.yaml", "go.sum")
 
@@ -366,30 +367,37 @@ def parse_manifests(files: DataFrame, entries: DataFrame | None = None) -> DataF
     declared_range, ord (position within the file).
     """
     m = files.filter(is_manifest(F.col("path")) & (base_name(F.col("path")) != "package-lock.json")).select(
-        "repo", "path", "content", base_name(F.col("path")).alias("_kind"), numbered(lines_of(F.col("content"))).alias("_num")
+        "repo", "path", "content", base_name(F.col("path")).alias("_kind")
     )
-    m = m.withColumn("_heads", _heads(F.col("_kind"), F.col("_num")))
     num, heads, kind, content = F.col("_num"), F.col("_heads"), F.col("_kind"), F.col("content")
+    m = m.withColumn("_num", _lines(kind, content))
+    # what the entries of a file share is found once per file, not inside the loops over them
+    is_json = kind == "package.json"
+    m = m.withColumns({"_heads": _heads(kind, num), "_doc": F.when(is_json, F.from_json(content, PACKAGE_JSON)), "_starts": F.when(is_json, _section_lines(num))})
     berry = content.contains("__metadata:")
     deps = (
-        F.when(kind == "package.json", package_json(content, num))
+        F.when(is_json, package_json(F.col("_doc"), F.col("_starts"), num))
         .when((kind == "yarn.lock") & berry, yarn_lock(num, heads, r'^\s+version:\s*"?([^"\s]+)"?'))
         .when(kind == "yarn.lock", yarn_lock(num, heads, r'^\s+version\s+"([^"]+)"'))
         .when(kind == "pnpm-lock.yaml", pnpm_lock(num, heads))
         .when(kind == "requirements.txt", requirements_txt(num))
         .when(kind == "Pipfile", pipfile(num, heads))
-        .when(kind == "go.mod", go_mod(num))
+        .when(kind == "go.mod", go_mod(num, heads))
         .when(kind == "go.sum", go_sum(num))
         .when(kind == "Cargo.toml", cargo_toml(num, heads))
         .when(kind == "Cargo.lock", cargo_lock(num, heads))
     )
     rows = m.select("repo", "path", "_kind", F.posexplode(deps).alias("_i", "d"))
-    # first occurrence per file for the formats that report once; keys are fine-grained, so nothing gathers
-    once = rows.filter(F.col("_kind").isin(*ONCE)).groupBy("repo", "path", F.col("d.name").alias("_n"), F.col("d.version").alias("_v")).agg(
-        F.min(F.struct("_i", "d")).alias("s")
-    ).select("repo", "path", F.col("s._i").alias("_i"), F.col("s.d").alias("d"))
-    every = rows.filter(~F.col("_kind").isin(*ONCE)).select("repo", "path", "_i", "d")
-    out = every.unionByName(once).select("repo", F.col("path").alias("source"), F.array("_i").alias("ord"), "d.*")
+    every = rows.filter(~F.col("_kind").isin(*ONCE)).select("repo", F.col("path").alias("source"), F.array("_i").alias("ord"), "d.*")
+    # first occurrence per file for the formats that report once; keys are fine-grained, so nothing gathers.
+    # Position and line in one number keep the aggregate a hash aggregate; the other columns follow from the path
+    null = F.lit(None).cast("string")
+    first = F.shiftleft(F.col("_i").cast("long"), 32).bitwiseOR(F.col("d.line").cast("long"))
+    once = rows.filter(F.col("_kind").isin(*ONCE)).groupBy("repo", "path", "d.name", "d.version", "d.ecosystem").agg(F.min(first).alias("_f")).select(
+        "repo", F.col("path").alias("source"), F.array(F.shiftright("_f", 32).cast("int")).alias("ord"), "name", "version", "ecosystem",
+        F.col("_f").bitwiseAND(0xFFFFFFFF).cast("int").alias("line"), F.lit(False).alias("dev"), null.alias("license"), null.alias("declared_range"),
+    )
+    out = every.unionByName(once)
     locked = entries if entries is not None else lock_entries(package_locks(files))
     return out.unionByName(
         locked.select(

@@ -26,6 +26,36 @@ def test_formats(files):
     assert deps(files, "other.txt", "a==1.0") == []
 
 
+def test_once_per_file_and_state_of_blocks(files):
+    """A file that is given twice reports a package once where its format does; other formats report what each copy holds."""
+    sums, pins = ("go.sum", "a v1.0.0 h1:x=\nb v1.0.0 h1:x=\na v1.0.0 h1:x="), ("requirements.txt", "a==1.0\n a==1.0 ")
+    found = parse_manifests(files(sums, sums, pins, pins))
+    assert sorted((r.source, r.name, r.line, list(r.ord)) for r in found.collect()) == sorted(
+        [("go.sum", "a", 1, [0]), ("go.sum", "b", 2, [1])] + 2 * [("requirements.txt", "a", 1, [0]), ("requirements.txt", "a", 2, [1])]
+    )
+    mod = ")\na v1\nrequire (\nb v1\nrequire (\nc v1\nrequire d v1\n)\ne v1\n require (\t\nf v1"
+    assert deps(files, "go.mod", mod) == [("b", "v1", 4, False), ("c", "v1", 6, False), ("d", "v1", 7, False), ("f", "v1", 11, False)]
+
+
+def test_what_a_file_shares_is_found_once(files):
+    """The loops over entries hold no JSON parser, lines are trimmed once, and first occurrences need no sort."""
+    found = parse_manifests(files(("package.json", '{"dependencies": {\n"a": "^1.2.3"}}')))
+    loops = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode" in x]
+    assert len(loops) == 2 and not any("from_json" in x for x in loops)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_are_built_in_as_many_tasks_as_asked_for(spark, tmp_path):
+    from codeassay.sources import derived_manifests as dm
+
+    spark.range(4000).selectExpr(
+        "id div 4 AS l_orderkey", "id % 50 AS l_partkey", "id % 7 AS l_suppkey", "cast(id % 4 AS int) AS l_linenumber", "if(id % 3 = 0, 'F', 'O') AS l_linestatus"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    built = dm.manifests(spark, str(tmp_path))
+    assert built.count() == 1000
+    assert built.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_nested_locks(files):
     """Any depth in one pass without a shuffle, repeated names, values that are no text, texts that are no lock files."""
     deep = '{"version": "1.0", "dependencies": {"n%d": ' * 60 % tuple(range(60)) + '{"version": "2.0"}' + "}}" * 60
