@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.session import cut_lineage, scratch_path
-from .joins import salted_join
+from .joins import copy_hot, most_hashes, salted_join, spread_hot
 from .ranking import grouped_index
 
 RAW_SCHEMA = """id STRING, summary STRING, details STRING, aliases ARRAY<STRING>,
@@ -59,39 +61,81 @@ def affected_ranges(ranges: Column) -> Column:
 STAGES = {"dev": -5, "a": -4, "alpha": -4, "b": -3, "beta": -3, "c": -2, "rc": -2, "pre": -2, "preview": -2, "post": 1, "rev": 1, "r": 1}
 
 
+#: The most numbers of a plain version, the most digits of each, and its form: most versions are plain.
+PLAIN_NUMBERS, PLAIN_DIGITS = 4, 6
+PLAIN_VERSION = r"^(0|[1-9][0-9]{0,%d})(\.(0|[1-9][0-9]{0,%d})){0,%d}$" % (PLAIN_DIGITS - 1, PLAIN_DIGITS - 1, PLAIN_NUMBERS - 1)
+
+
+def _short_number(digits: Column) -> Column:
+    return F.lpad(digits, PLAIN_DIGITS, "#")
+
+
+def _number(digits: Column) -> Column:
+    """A number without leading zeros as a text in its order: filled up from the left, or, if it is long, after a letter for its length."""
+    long = F.concat(F.char(F.length(digits) + 64), digits)
+    return F.when(digits.isNull(), _short_number(F.lit(""))).when(F.length(digits) <= PLAIN_DIGITS, _short_number(digits)).otherwise(long)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, and outside of the compiled code of the row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def version_key(version: Column, ecosystem: Column) -> Column:
-    """Versions of an ecosystem in their order, as a value that Spark compares: numbers, then what stands before or after the release.
+    """Versions of an ecosystem in their order, as a text that Spark compares: numbers, then what stands before or after the release.
 
     PyPI orders by stages (dev, a, b, rc, release, post), the others by semantic
     versions: a pre-release comes before its release, numeric parts before
     words.  Build data does not count; trailing zeros do not either.  A text
     without a leading number is null.
+
+    A list ends in ``!``, which comes before the beginning of every part, and a
+    word in a zero byte, so texts compare as the lists of numbers and words do.
+    All have four numbers at least.  Plain versions are tried first; the rest
+    stays out of the compiled code, which would be too long to run fast.
     """
-    plain = F.regexp_replace(F.regexp_replace(F.trim(version), r"^[vV=]+", ""), r"\+.*$", "")
-    core = F.regexp_extract(plain, r"^(\d+(?:\.\d+)*)", 1)
-    digits = F.split(F.regexp_replace(core, r"(?:\.0+)+$", ""), r"\.")
-    numbers = F.transform(digits, lambda x: x.cast("decimal(30,0)"))
-    rest = F.substr(plain, F.length(core) + 1)
-    number = lambda x: F.coalesce(F.nullif(x, F.lit("")).cast("decimal(30,0)"), F.lit(0).cast("decimal(30,0)"))
-    part = lambda rank, n, text: F.struct(rank.cast("int").alias("rank"), n.cast("decimal(30,0)").alias("n"), text.alias("text"))
-    release = F.array(part(F.lit(0), F.lit(0), F.lit("")))
-    ranks = F.create_map(*[F.lit(x) for p in STAGES.items() for x in p])
-    staged = F.transform(
-        F.regexp_extract_all(F.lower(rest), F.lit(r"([a-z]+[._-]?\d*)"), F.lit(1)),
-        lambda x: part(F.coalesce(ranks[F.regexp_extract(x, "^([a-z]+)", 1)], F.lit(-1)), number(F.regexp_extract(x, r"(\d*)$", 1)), F.lit("")),
-    )
-    words = F.transform(
-        F.filter(F.split(F.regexp_replace(rest, "^-", ""), r"\."), lambda x: x != ""),
-        lambda x: F.when(x.rlike(r"^\d+$"), part(F.lit(-2), number(F.regexp_extract(x, r"^(\d*)", 1)), F.lit(""))).otherwise(part(F.lit(-1), F.lit(0), x)),
-    )
-    tail = F.when(ecosystem == "PyPI", F.concat(staged, release)).when(F.size(words) > 0, words).otherwise(release)
-    return F.when(core != "", F.struct(numbers.alias("numbers"), tail.alias("tail")))
+    release = F.concat(F.lit("F"), _short_number(F.lit("0")), F.lit("\0"))
+    text = lambda numbers, tail: F.concat(numbers, F.lit("!"), tail, F.lit("!"))
+    part = lambda rank, n, word: _once(n.cast("string"), lambda n: F.concat(F.char(rank + 70), _number(n), word, F.lit("\0")))
+
+    def other(plain: Column, core: Column) -> Column:
+        whole = lambda x: x.cast("decimal(30,0)")
+        digits = F.transform(F.split(F.regexp_replace(core, r"(?:\.0+)+$", ""), r"\."), lambda x: whole(x).cast("string"))
+        numbers = _once(digits, lambda x: F.concat(F.array_join(F.transform(x, _number), ""), F.repeat(_short_number(F.lit("0")), PLAIN_NUMBERS - F.size(x))))
+        rest = F.substr(plain, F.length(core) + 1)
+        number = lambda x: F.coalesce(whole(F.nullif(x, F.lit(""))), whole(F.lit(0)))
+        ranks = F.create_map(*[F.lit(x) for p in STAGES.items() for x in p])
+        staged = F.transform(
+            F.regexp_extract_all(F.lower(rest), F.lit(r"([a-z]+[._-]?\d*)"), F.lit(1)),
+            lambda x: part(F.coalesce(ranks[F.regexp_extract(x, "^([a-z]+)", 1)], F.lit(-1)), number(F.regexp_extract(x, r"(\d*)$", 1)), F.lit("")),
+        )
+        shown = lambda x: F.replace(F.replace(x, F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\1"))
+        words = F.transform(
+            F.filter(F.split(F.regexp_replace(rest, "^-", ""), r"\."), lambda x: x != ""),
+            lambda x: F.when(x.rlike(r"^\d+$"), part(F.lit(-2), number(F.regexp_extract(x, r"^(\d*)", 1)), F.lit(""))).otherwise(part(F.lit(-1), F.lit(0), shown(x))),
+        )
+        before = _once(F.array_join(words, ""), lambda x: F.when(x == "", release).otherwise(x))
+        tail = F.when(ecosystem == "PyPI", F.concat(F.array_join(staged, ""), release)).otherwise(before)
+        return F.when(core != "", text(numbers, tail))
+
+    def any_form(version: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(F.trim(version), r"^[vV=]+", ""), r"\+.*$", "")
+        return _once(plain, lambda p: _once(F.regexp_extract(p, r"^(\d+(?:\.\d+)*)", 1), lambda c: other(p, c)))
+
+    pieces = F.split(version, r"\.")
+    few = F.concat(*[_short_number(F.coalesce(F.get(pieces, F.lit(i)), F.lit("0"))) for i in range(PLAIN_NUMBERS)])
+    simple = F.concat(F.when(version.rlike(PLAIN_VERSION), ""), text(few, release))  # null if the version is not plain
+    return F.coalesce(simple, _once(version, any_form))
 
 
 #: Packages with more pairs of a version and an interval than this go through the interval index, unless they have few intervals.
 DIRECT_PAIRS, FEW_SPANS = 4096, 16
 #: Blocks of the interval index that make a block of the next level, as a power of two.
 FAN_BITS = 4
+#: Versions that travel as one row through the index, at most; packages that are sent to all tasks as a table, at most.
+TOGETHER, SENT_PACKAGES = 1024, 200_000
+#: From so many versions on, those of a package are dealt over several tasks.
+HOT_VERSIONS = 1_000_000
 
 
 def range_hits(used: DataFrame, advisories: DataFrame, direct_pairs: int = DIRECT_PAIRS) -> DataFrame:
@@ -110,24 +154,33 @@ def range_hits(used: DataFrame, advisories: DataFrame, direct_pairs: int = DIREC
         F.when(F.col("_r.introduced") != "0", version_key(F.col("_r.introduced"), F.col("_p.ecosystem"))).alias("_low"),
         (F.col("_r.introduced") == "0").alias("_all"), version_key(F.col("_r.fixed"), F.col("_p.ecosystem")).alias("_fix"),
         F.col("_r.fixed").isNull().alias("_open"), F.struct("id", "summary", "severity", "aliases", "fixed_version").alias("adv"),
-    ).filter((F.col("_all") | F.col("_low").isNotNull()) & (F.col("_open") | F.col("_fix").isNotNull()))
+    )
+    # What is read several times is made once, and tested afterwards: a test before would make the keys twice.
+    spans = _stored(spans, "spans").filter((F.col("_all") | F.col("_low").isNotNull()) & (F.col("_open") | F.col("_fix").isNotNull()))
     key = version_key(F.col("version"), F.col("ecosystem")).alias("_key")
-    crowded = cut_lineage(spans.groupBy(*package).agg(F.count("*").alias("_i")).filter(F.col("_i") > min(direct_pairs, FEW_SPANS)))
-    large = None
-    if not crowded.isEmpty():
-        counted = used.join(crowded, package, "left_semi").select(*package, key).filter("_key is not null").groupBy(*package).agg(F.count("*").alias("_v"))
-        large = cut_lineage(counted.join(crowded, package).filter(F.col("_v") * F.col("_i") > direct_pairs).select(*package))
-        large = None if large.isEmpty() else large
-    rest, other = (used, spans) if large is None else (x.join(large, package, "left_anti") for x in (used, spans))
+    crowded, large = _few(cut_lineage(spans.groupBy(*package).agg(F.count("*").alias("_i")).filter(F.col("_i") > min(direct_pairs, FEW_SPANS)))), None
+    if crowded:
+        used = _stored(used.select(*package, "version"), "used")
+        counted = used.groupBy(*package).agg(F.count("*").alias("_v")).join(crowded, package)
+        sizes = cut_lineage(counted.filter(F.col("_v") * F.col("_i") > direct_pairs).select(*package, "_v"))
+        large = _few(sizes.select(*package))
+    other = spans.join(large, package, "left_anti") if large else spans
+    if large:
+        hot = most_hashes(sizes.select(*package, F.col("_v").alias("n")), package, HOT_VERSIONS)
+        many = indexed_hits(used.join(large, package, "left_semi").select("*", key), spans.join(large, package, "left_semi"), hot)
+        if other.isEmpty():
+            return many
     listed = other.groupBy(*package).agg(F.collect_list(F.struct("_low", "_all", "_fix", "_open", "adv")).alias("_spans"))
-    met = rest.join(listed, package).select(*package, "version", "_spans", key)
+    met = used.join(listed, package).select(*package, "version", "_spans", key)
     inside = lambda s: F.col("_key").isNotNull() & (s["_all"] | (F.col("_key") >= s["_low"])) & (s["_open"] | (F.col("_key") < s["_fix"]))
     few = met.select(*package, "version", F.explode(F.array_distinct(F.transform(F.filter("_spans", inside), lambda s: s["adv"]))).alias("adv"))
-    if large is None:
-        return few
-    # The index reads both sides several times; what they are made of is read once.
-    keyed = _stored(used.join(large, package, "left_semi").select(*package, "version"), "used").select("*", key).filter("_key is not null")
-    return few.unionByName(indexed_hits(keyed, _stored(spans.join(large, package, "left_semi"), "spans")))
+    return few.unionByName(many) if large else few
+
+
+def _few(packages: DataFrame) -> DataFrame | None:
+    """A table of packages that joins without moving the other side if it is small; nothing if it is empty."""
+    n = packages.count()
+    return (F.broadcast(packages) if n <= SENT_PACKAGES else packages) if n else None
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -136,31 +189,46 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def indexed_hits(keyed: DataFrame, spans: DataFrame) -> DataFrame:
+def indexed_hits(keyed: DataFrame, spans: DataFrame, hot: list[int]) -> DataFrame:
     """The same for packages with many versions and many intervals, at the cost of their sum and the hits.
 
-    The versions and bounds of a package get positions in version order; the
-    intervals of an advisory are made disjoint.  Sixteen blocks make one of the
-    next level.  An interval of positions falls into a bounded number of blocks
-    a level, a version lies in one block of each level; they meet in exactly one
-    block if the version is inside, so the join is by block, tests nothing more
-    and gives each row once.
+    The bounds of a package cut its versions into segments, numbered in version
+    order; the intervals of an advisory are made disjoint.  Versions are sorted
+    among the bounds once, and those of a segment go on together.  Sixteen
+    blocks make one of the next level.  An interval of segments falls into a
+    bounded number of blocks a level, a segment lies in one block of each level;
+    they meet in exactly one block if the segment is inside, so the join is by
+    block, tests nothing more and gives each row once.  Versions of the packages
+    in ``hot`` (hashes) are dealt over several copies of their bounds.
     """
-    pkg = F.to_json(F.struct("ecosystem", "name"))
-    keyed, spans = keyed.withColumn("_pkg", pkg), spans.withColumn("_pkg", pkg)
-    keys = keyed.select("_pkg", "_key").union(spans.filter("_low is not null").select("_pkg", F.col("_low"))).union(spans.filter("_fix is not null").select("_pkg", F.col("_fix")))
-    placed = cut_lineage(grouped_index(keys.distinct(), "_pkg", ["_key"], "_at"))
-    size = placed.groupBy("_pkg").agg(F.count("*").alias("_n"), F.floor((F.length(F.bin(F.count("*"))) - 1) / FAN_BITS).cast("int").alias("_top"))
-    bound = lambda name, at: placed.select("_pkg", F.col("_key").alias(name), F.col("_at").alias(at))
-    points = salted_join(keyed, bound("_key", "_p"), ["_pkg", "_key"]).select("_pkg", "ecosystem", "name", "version", "_p").join(size, "_pkg")
+    package, hashed = ["name", "ecosystem"], ["ecosystem", "name"]
+    ends = spans.select(F.struct(*package).alias("_pkg"), F.explode(F.array("_low", "_fix")).alias("_key")).filter("_key is not null").distinct()
+    placed = _stored(grouped_index(ends, "_pkg", ["_key"], "_at").select("_pkg.*", "_key", (F.col("_at") + 1).alias("_bound")), "bounds")
+
+    # A version lies in the segment of the last bound that is not after it, 0 before all bounds.
+    points = spread_hot(keyed.select(*package, "version", "_key", F.lit(None).cast("bigint").alias("_bound")), hashed, hot)
+    marks = copy_hot(placed.select(*package, F.lit(None).cast("string").alias("version"), "_key", "_bound"), hashed, hot)
+    in_order = Window.partitionBy(*package, "_salt").orderBy("_key", F.asc_nulls_last("_bound"))
+    so_far, all_of = (in_order.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, Window.unboundedFollowing))
+    sorted_in = points.unionByName(marks).select(
+        *package, "_salt", "version", "_key", "_bound", F.coalesce(F.max("_bound").over(so_far), F.lit(0)).alias("_segment"),
+        F.coalesce(F.max("_bound").over(all_of), F.lit(0)).alias("_last"), F.floor(F.row_number().over(in_order) / TOGETHER).alias("_some"),
+    )
+    segments = sorted_in.filter("_bound is null and _key is not null").groupBy(*package, "_salt", "_last", "_segment", "_some").agg(F.collect_list("version").alias("_versions"))
+
+    top = F.floor((F.length(F.bin(F.col("_last") + 1)) - 1) / FAN_BITS).cast("int")
     levels = F.sequence(F.lit(0), F.col("_top"))
-    block = lambda k: F.struct(k.alias("k"), F.call_function("shiftright", F.col("_p"), k * FAN_BITS).alias("b"))
-    blocks = points.select("_pkg", "ecosystem", "name", "version", F.explode(F.transform(levels, block)).alias("_block"))
-    ranged = spans.join(bound("_low", "_from"), ["_pkg", "_low"], "left").join(bound("_fix", "_until"), ["_pkg", "_fix"], "left").join(size, "_pkg")
-    low, high = F.coalesce("_from", F.lit(0)).cast("bigint"), F.coalesce("_until", "_n").cast("bigint")
-    # Two intervals of an advisory that overlap share no position afterwards.
-    earlier = Window.partitionBy("_pkg", "adv").orderBy("_lo", "_hi").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.select("_pkg", "adv", "_top", low.alias("_lo"), high.alias("_hi")).withColumn("_done", F.max("_hi").over(earlier))
+    block = lambda k: F.struct(k.alias("_level"), F.call_function("shiftright", F.col("_segment"), k * FAN_BITS).alias("_block"))
+    blocks = segments.withColumn("_top", top).select(*package, "_salt", "_versions", F.inline(F.transform(levels, block)))
+
+    bound = lambda name, at: placed.select(*package, F.col("_key").alias(name), F.col("_bound").alias(at))
+    size = placed.groupBy(*package).agg(F.max("_bound").alias("_last"))
+    ranged = spans.join(bound("_low", "_from"), [*package, "_low"], "left").join(bound("_fix", "_until"), [*package, "_fix"], "left").join(size, package, "left")
+    ranged = ranged.withColumn("_last", F.coalesce("_last", F.lit(0)))
+    low, high = F.coalesce("_from", F.lit(0)).cast("bigint"), F.coalesce("_until", F.col("_last") + 1).cast("bigint")
+    # Two intervals of an advisory that overlap share no segment afterwards.
+    earlier = Window.partitionBy(*package, "adv").orderBy("_lo", "_hi").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.select(*package, "adv", top.alias("_top"), low.alias("_lo"), high.alias("_hi")).withColumn("_done", F.max("_hi").over(earlier))
     ranged = ranged.withColumn("_lo", F.greatest("_lo", "_done")).filter("_lo < _hi")
 
     def level(k):
@@ -171,10 +239,11 @@ def indexed_hits(keyed: DataFrame, spans: DataFrame) -> DataFrame:
         top = (k == F.col("_top")) | (up >= down)  # nothing of a higher level between them
         run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
         these = F.when(top, run(first, last)).otherwise(F.concat(run(first, up), run(down, last)))
-        return F.transform(these, lambda b: F.struct(k.alias("k"), b.alias("b")))
+        return F.transform(these, lambda b: F.struct(k.alias("_level"), b.alias("_block")))
 
-    cover = ranged.select("_pkg", "adv", F.explode(F.flatten(F.transform(levels, level))).alias("_block"))
-    return blocks.join(cover, ["_pkg", "_block"]).select("ecosystem", "name", "version", "adv")
+    cover = copy_hot(ranged.select(*package, "adv", F.inline(F.flatten(F.transform(levels, level)))), hashed, hot)
+    met = blocks.join(cover, [*package, "_salt", "_level", "_block"])
+    return met.select("ecosystem", "name", F.explode("_versions").alias("version"), "adv")
 
 
 def normalise_advisories(raw: DataFrame) -> DataFrame:

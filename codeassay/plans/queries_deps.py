@@ -219,13 +219,14 @@ def advisory_interval_index(spark, sf):
     text, k, size, o = (lambda c: c.cast("string")), F.col("p_partkey"), F.col("p_size"), F.col("l_orderkey")
     name = lambda c: F.concat(F.lit("g"), text(F.floor(c / 100)))
     version = F.concat_ws(".", text(F.col("l_suppkey") % 10), text(o % 97), text(F.col("l_linenumber")))
-    used = d.table(spark, sf, "lineitem").select(F.lit("npm").alias("ecosystem"), name(F.col("l_partkey")).alias("name"), version.alias("version")).distinct()
+    used = d.table(spark, sf, "lineitem").select(F.lit("npm").alias("ecosystem"), name(F.col("l_partkey")).alias("name"), version.alias("version"))
+    used = used.repartition("name", "version").distinct()  # tables of distinct rows before the shuffle would outgrow their tasks
     low = F.concat_ws(".", text(k % 10), text(size), F.lit("0"))
     fix = F.when(k % 9 != 4, F.concat(F.lit('},{"fixed":"'), F.concat_ws(".", text(k % 10), text(size + k % 13), F.lit("3")), F.lit('"'))).otherwise("")
     doc = F.concat(
         F.lit('{"id":"I-'), text(k), F.lit('","affected":[{"package":{"name":"'), name(k), F.lit('","ecosystem":"npm"},"ranges":[{"events":[{"introduced":"'), low, F.lit('"'), fix, F.lit("}]}]}]}")
     )
-    advisories = ad.normalise_advisories(ad.parse_advisories(d.table(spark, sf, "part").select(doc.alias("value"))))
+    advisories = ad.normalise_advisories(ad.parse_advisories(d.spread(d.table(spark, sf, "part").select("p_partkey", "p_size")).select(doc.alias("value"))))
     return ad.range_hits(used, advisories).groupBy("adv.id").agg(F.count("*").alias("versions"))
 
 

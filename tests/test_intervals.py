@@ -46,3 +46,24 @@ def test_skipped_scans(spark):
     assert got(advisories) == [("a", 2, False), ("b", 1, False)]
     assert got(advisories, "repo", failed) == [("a", 2, False), ("b", 1, True)]
     assert got(None) == got(advisories.limit(0)) == [("a", 2, True), ("b", 1, True)]
+
+
+def test_hot_packages_and_long_segments(spark, monkeypatch):
+    """Versions dealt over copies of the bounds, few of them together, and null names on both sides."""
+    monkeypatch.setattr(ad, "HOT_VERSIONS", 30)
+    monkeypatch.setattr(ad, "TOGETHER", 3)
+    monkeypatch.setattr(ad, "SENT_PACKAGES", 1)
+    rng = random.Random(9)
+    advisories, used = snapshot(spark, rng, 3, 90), versions(spark, rng, 3, 150)
+    odd = spark.createDataFrame([("npm", None, "1.0"), (None, "p0", "1.0"), ("npm", "p0", None)], used.schema)
+    none = ad.normalise_advisories(ad.parse_advisories(spark.createDataFrame([('{"id":"N","affected":[{"package":{"ecosystem":"npm"},"ranges":[{"events":[{"introduced":"0"}]}]}]}',)], "value string")))
+    found = lambda most: sorted((r.name, r.version, r.adv.id) for r in ad.range_hits(used.unionByName(odd), advisories.unionByName(none), direct_pairs=most).collect())
+    assert found(-1) == found(1 << 60) != []
+
+
+def test_a_package_without_bounds(spark):
+    docs = [(f'{{"id":"A{i}","affected":[{{"package":{{"name":"p","ecosystem":"npm"}},"ranges":[{{"events":[{{"introduced":"0"}}]}}]}}]}}',) for i in range(2)]
+    advisories = ad.normalise_advisories(ad.parse_advisories(spark.createDataFrame(docs, "value string")))
+    used = spark.createDataFrame([("npm", "p", v) for v in ("1", "2.0", "none")], "ecosystem string, name string, version string")
+    got = sorted((r.version, r.adv.id) for r in ad.range_hits(used, advisories, direct_pairs=-1).collect())
+    assert got == [("1", "A0"), ("1", "A1"), ("2.0", "A0"), ("2.0", "A1")]

@@ -41,6 +41,15 @@ def test_the_index_gives_a_version_once_for_intervals_that_overlap(spark, monkey
     assert sorted((r.adv.id, r.version) for r in seen[0].collect()) == want == sorted((r.adv.id, r.version) for r in hits.collect())
 
 
+def test_the_index_makes_its_inputs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+    rows = [("npm", "p", f"{i}.0") for i in range(600)]
+    used = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4).map(lambda r: made.add(1) or r), PAIR).distinct()
+    hits = ad.range_hits(used, snapshot(spark, *((f"A{i}", "p", [(f"{i}", f"{i + 9}")]) for i in range(20))))
+    assert hits.count() == 180
+    assert made.value == len(rows)
+
+
 def test_few_intervals_need_no_distinct_over_the_hits(spark):
     used = spark.createDataFrame([("npm", "p", v) for v in ("1.0", "2.0", "9.0", "none")] + [("npm", "q", "1.0")], PAIR)
     advisories = snapshot(spark, ("A", "p", [("0", "3"), ("1.0", "2.5")]), ("B", "p", [("5", "10")]), ("B", "p", [("5", "10")]))

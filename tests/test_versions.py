@@ -23,3 +23,13 @@ def test_intervals(spark):
     kind = "array<struct<events:array<struct<introduced:string,fixed:string>>>>"
     row = spark.createDataFrame([(text,)], "t string").select(affected_ranges(F.from_json("t", kind)).alias("r")).first()
     assert [tuple(x) for x in row.r] == [("0", "1.2"), ("2.0", None)]
+
+
+def test_short_and_long_forms_in_one_order(spark):
+    versions = ["0", "0.0.0.0.1", "0.0.1", "0.1", "v0.2-0", "0.2-a", "0.2-a.b", "0.2-a\0", "0.2-a\0b", "0.2-a\1", "0.2", "=1.0.0.0.0.0+x", "1.0.0.0.0.1", "1.0.0.1", "1.999999", "1.1000000", "1.1000000.1", "1.123456789012345678901", "2"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(versions)], "i int, v string")
+    key = version_key(F.col("v"), F.lit("npm"))
+    assert [r.v for r in rows.orderBy(key).collect()] == versions and rows.select(key.alias("k")).distinct().count() == len(versions)
+    assert all(isinstance(r[0], str) for r in rows.select(key).collect())
+    same = spark.createDataFrame([("1.2", "v1.2"), ("0", "00.0"), ("1.0.0.0.0", "1"), ("01.2", "1.2.0"), ("0.1.0", "=0.01")], "a string, b string")
+    assert all(r[0] for r in same.select(version_key(F.col("a"), F.lit("PyPI")) == version_key(F.col("b"), F.lit("PyPI"))).collect())
